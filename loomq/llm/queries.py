@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomq.llm.decontamination import decontaminate
 from loomq.llm.packing import pack_digest
+from loomq.llm.secrets import secrets
 from loomq.llm.token_counts import token_counts
 from loomq.session import table
 
@@ -26,9 +27,14 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_digest(table(spark, sf_dir, "documents"))
 
 
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
     "op6_packing": op6_packing,
+    "op9_secret_scans": op9_secret_scans,
 }
 ORACLES: dict[str, str] = {}
