@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loomq.llm.decontamination import decontaminate
+from loomq.llm.language_id import languages
 from loomq.llm.packing import pack_digest
+from loomq.llm.quality import quality
 from loomq.llm.secrets import secrets
 from loomq.llm.token_counts import token_counts
+from loomq.llm.toxicity import toxicity
 from loomq.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,10 +26,22 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_digest(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(table(spark, sf_dir, "documents"))
 
@@ -34,7 +49,10 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
+    "op4_toxicity": op4_toxicity,
+    "op5_quality_rules": op5_quality_rules,
     "op6_packing": op6_packing,
+    "op7_language_id": op7_language_id,
     "op9_secret_scans": op9_secret_scans,
 }
 ORACLES: dict[str, str] = {}
