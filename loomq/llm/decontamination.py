@@ -216,3 +216,25 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, share: int = 20, **option
         return record_batch(_ARROW, [rows.column("doc_id"), *out])
 
     return map_batches(benchmark_hits(df, benchmark, **options), batch, SCHEMA)
+
+
+#: DuckDB SQL for decontaminate() with its defaults.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+k AS (SELECT DISTINCT item_id, least(len(w), 13) AS n, w[i:i + least(len(w), 13) - 1] AS g
+      FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM k),
+g AS (SELECT doc_id, i, n, w[i:i + n - 1] AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes)),
+h AS (SELECT g.doc_id, g.i, g.n, k.item_id FROM g JOIN k ON k.n = g.n AND k.g = g.g),
+p AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM h),
+o AS (SELECT doc_id, count(*) AS n_hit, count(*) FILTER (WHERE before IS NULL OR before < p - 1) AS n_spans
+      FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM p) GROUP BY doc_id),
+i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+      FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated, coalesce(n_spans, 0) AS n_spans
+FROM d LEFT JOIN o ON o.doc_id = d.doc_id LEFT JOIN i ON i.doc_id = d.doc_id
+"""
