@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loomq.llm.common import BEYOND, char_class, documents_of, map_batches, record_batch, texts
+from loomq.llm.common import char_class, documents_of, map_batches, record_batch, texts
 from loomq.session import expose_package
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -32,10 +33,12 @@ END_ID = 1
 #: Mean number of documents in a bucket that is packed by one task.
 BUCKET_DOCUMENTS = 4096
 #: Words whose identifiers a worker keeps.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 400_000
 
-# The pre-tokenizer's pattern for texts below U+0300, its classes spelt out.
 _L, _N = char_class("L"), char_class("N")
+#: Characters that need the general path: all from U+0300 on, and those that only Python takes for white space.
+_OTHER = re.compile("[\x1c-\x1f\u0300-\U0010ffff]")
+# The pre-tokenizer's pattern for texts below U+0300, its classes spelt out.
 _LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\\t-\\r \\x85\\xa0{_L}{_N}]+")
 
 _CUT = pa.schema([("doc_id", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary()), ("bucket", pa.int64())])
@@ -46,7 +49,7 @@ _PIECES = pa.schema(
 
 
 class WordIds(dict):
-    """Word -> its identifiers as little-endian unsigned 32-bit bytes."""
+    """Text between white space -> its identifiers as little-endian unsigned 16-bit bytes."""
 
     def __init__(self, path: str):
         super().__init__()
@@ -55,19 +58,20 @@ class WordIds(dict):
         self.tokenizer.no_padding()
 
     def whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.whole(word)
-        if len(self) < KEPT_WORDS and len(word) <= 64:
+        parts = _LATIN.findall(word)
+        ids = self.whole(word) if len(parts) == 1 else b"".join([self[part] for part in parts])
+        if len(self) < KEPT_WORDS and len(word) <= 32:
             self[word] = ids
         return ids
 
     def ids(self, text: str) -> bytes:
         """Of a whole text; characters that normalization could join and special strings take the library's own path."""
-        if "<|" in text or BEYOND.search(text):
+        if "<|" in text or _OTHER.search(text):
             return self.whole(text)
-        return b"".join(map(self.__getitem__, _LATIN.findall(text.lower())))
+        return b"".join(map(self.__getitem__, text.lower().split()))
 
 
 @lru_cache(maxsize=2)
@@ -172,8 +176,8 @@ def pack(
 ) -> DataFrame:
     """Every document's identifiers plus an end identifier, packed into sequences of at most window identifiers.
 
-    A row is a piece: doc_id, start (identifiers of its document before it), length, ids (unsigned 16-bit if the
-    vocabulary allows, else 32-bit, little-endian), doc_tokens, sequence_id and offset. A null or empty text is a
+    A row is a piece: doc_id, start (identifiers of its document before it), length, ids (little-endian
+    unsigned 16-bit), doc_tokens, sequence_id and offset. A null or empty text is a
     document of the end identifier only. Repeated rows are documents of their own; null ids are kept. An empty table
     gives no rows. One shuffle deals the documents into buckets whose number grows with the table.
     """
@@ -182,12 +186,11 @@ def pack(
     buckets = max(1, -(-docs.count() // bucket_documents))
 
     def cut(rows: pa.RecordBatch) -> pa.RecordBatch:
-        model, end = word_ids(vocabulary), np.asarray([end_id], "<u4").tobytes()
+        model, end = word_ids(vocabulary), array("H", [end_id]).tobytes()
         keys = rows.column("doc_id").to_pylist()
         ids = [model.ids(text) + end for text in texts(rows)]
-        dealt = [zlib.crc32(x[-64:], zlib.crc32(b"%d:%d" % (k if k is not None else -1, len(x)))) % buckets for k, x in zip(keys, ids)]
-        small = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
-        return record_batch(_CUT, [keys, [len(x) // 4 for x in ids], small, dealt])
+        dealt = [zlib.crc32(x[-32:], zlib.crc32(b"%d:%d" % (k if k is not None else -1, len(x)))) % buckets for k, x in zip(keys, ids)]
+        return record_batch(_CUT, [keys, [len(x) // 2 for x in ids], ids, dealt])
 
     def fill(key: tuple, rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("doc_id", "ascending"), ("doc_tokens", "ascending"), ("ids", "ascending")])
