@@ -2,9 +2,742 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from loomq.functions import dates, ordering, text
+from loomq.operators import cost, dedupe, geometry, layout, manifest, merge, regions, search, translate
+from loomq.session import table
+from loomq.sources.files import tree_files
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+#: The flagship's query.
+BOOLEAN_QUERY = "the AND (copyright OR license)"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a function under its name, with its SQL if there is some."""
+
+    def add(fn: Query) -> Query:
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            ORACLES[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+# --- searching ----------------------------------------------------------------------------------------------------
+
+
+@query("""
+SELECT doc_id, source, substr(split_part(text, chr(10), 1), 1, 80) AS snippet FROM documents
+WHERE contains(lower(text), 'the') AND (contains(lower(text), 'copyright') OR contains(lower(text), 'license'))
+""")
+def search_boolean(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumnRenamed("text", "full_text")
+    found = search.search(docs, BOOLEAN_QUERY, ["full_text"])
+    return found.orderBy(ordering.natural_key(F.col("source")), "doc_id").select("doc_id", "source", "snippet")
+
+
+@query("""
+SELECT page_id, concat_ws(chr(10), nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), ''), nullif(url, '')) AS scope FROM pages
+WHERE contains(lower(concat_ws(chr(10), nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), ''), nullif(url, ''))), 'the')
+  AND contains(lower(concat_ws(chr(10), nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), ''), nullif(url, ''))), 'example')
+""")
+def search_scopes_concat(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("ico_format"), F.col("url").alias("header"))
+    found = search.search(pages, "the UND example", ["header", "ico_format"])
+    return found.select("page_id", search.scope_text(["header", "ico_format"]).alias("scope"))
+
+
+@query("SELECT doc_id, '' AS snippet FROM documents")
+def search_blank_query(spark, sf_dir):
+    return search.search(table(spark, sf_dir, "documents"), "  ", ["full_text"]).select("doc_id", "snippet")
+
+
+@query("""
+SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1997-02-01' AND o_orderdate < TIMESTAMP '1997-04-16'
+""")
+def search_file_date(spark, sf_dir):
+    files = table(spark, sf_dir, "orders").withColumn("mtime", F.col("o_orderdate"))
+    day = datetime.date
+    chosen = dates.DateFilter(dates.DateRange(day(1997, 2, 1), day(1997, 4, 15)))
+    return search.search(files, "", dates=chosen).select("o_orderkey")
+
+
+@query("""
+SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' AND o_orderdate < TIMESTAMP '1998-01-08' AND contains(lower(o_orderpriority), 'high')
+""")
+def search_document_date(spark, sf_dir):
+    docs = table(spark, sf_dir, "orders").select("o_orderkey", F.concat_ws(" ", "o_orderpriority", F.lit("as of"), F.date_format("o_orderdate", "d.M.yyyy")).alias("full_text"))
+    day = datetime.date
+    chosen = dates.DateFilter(dates.DateRange(day(1998, 1, 1), day(1998, 1, 7)), "document", ("full_text",), (dates.GERMAN,))
+    return search.search(docs, "HIGH || nothing like it", ["full_text"], chosen).select("o_orderkey")
+
+
+@query("""
+SELECT s_suppkey, CASE WHEN s_nationkey % 3 = 0 THEN '' ELSE s_name || ' Ltd' END AS developer FROM supplier
+""")
+def developer_name(spark, sf_dir):
+    head = F.concat_ws("\n", F.lit("Report"), F.when(F.col("s_nationkey") % 3 != 0, F.concat(F.lit("developer:  "), "s_name", F.lit(" Ltd  QSI ICO: X"))), F.lit("Developer: second"))
+    lines = F.when(F.col("s_nationkey") % 3 == 0, F.lit("Report")).otherwise(head)
+    return table(spark, sf_dir, "supplier").select("s_suppkey", text.developer(lines).alias("developer"))
+
+
+# --- dates --------------------------------------------------------------------------------------------------------
+
+
+def _dated(spark, sf_dir, shape: str, finder) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    words = F.concat(F.lit("Signed "), F.date_format("o_orderdate", shape), F.lit(", not 2026-13-40 or 31.02.2026 or 45/13/2026."))
+    return orders.select("o_orderkey", F.explode(finder(words)).alias("found"))
+
+
+_ORDER_DATES = "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS found FROM orders"
+
+
+@query(_ORDER_DATES)
+def dates_iso(spark, sf_dir):
+    return _dated(spark, sf_dir, "yyyy-M-d", dates.iso_dates)
+
+
+@query(_ORDER_DATES)
+def dates_de(spark, sf_dir):
+    return _dated(spark, sf_dir, "d.M.yyyy", dates.german_dates)
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN day(o_orderdate) <= 12 THEN make_date(CAST(year(o_orderdate) AS INTEGER), CAST(day(o_orderdate) AS INTEGER), CAST(month(o_orderdate) AS INTEGER))
+       ELSE CAST(o_orderdate AS DATE) END AS found FROM orders
+""")
+def dates_slash(spark, sf_dir):
+    return _dated(spark, sf_dir, "MM/dd/yyyy", dates.slash_dates)
+
+
+@query(_ORDER_DATES)
+def dates_en(spark, sf_dir):
+    return _dated(spark, sf_dir, "MMMM d, yyyy", dates.english_dates)
+
+
+@query(_ORDER_DATES + " WHERE year(o_orderdate) >= 2000")
+def dates_custom(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").filter(F.year("o_orderdate") >= 2000)
+    words = F.concat(F.lit("Filed "), F.date_format("o_orderdate", "MMM d, yy"), F.lit("."))
+    return orders.select("o_orderkey", F.explode(dates.custom_dates(words, "MMM D, YY")).alias("found"))
+
+
+@query(r"""
+SELECT doc_id, CAST(len(list_filter(regexp_extract_all(text, '\b\d{1,2}\.\d{1,2}\.\d{2,4}\b'), lambda x:
+       try_strptime(CASE WHEN len(string_split(x, '.')[3]) = 2 THEN string_split(x, '.')[1] || '.' || string_split(x, '.')[2] || '.20' || string_split(x, '.')[3] ELSE
+       string_split(x, '.')[1] || '.' || string_split(x, '.')[2] || '.' || lpad(string_split(x, '.')[3], 4, '0') END, '%d.%m.%Y') IS NOT NULL)) AS INTEGER) AS n_dates
+FROM documents
+""")
+def dates_in_documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(dates.german_dates(F.col("text"))).alias("n_dates"))
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate >= TIMESTAMP '1996-05-01' AND o_orderdate < TIMESTAMP '1996-06-01'")
+def date_range_filter(spark, sf_dir):
+    day = datetime.date
+    may = dates.DateRange(day(1996, 5, 1), day(1996, 5, 31))
+    return table(spark, sf_dir, "orders").filter(dates.matches_file_date(F.col("o_orderdate"), may)).select("o_orderkey", "o_orderdate")
+
+
+# --- order --------------------------------------------------------------------------------------------------------
+
+_FILE = "p_brand || ' ' || CAST(p_size AS VARCHAR) || CASE WHEN p_partkey % 2 = 0 THEN ' Copy' ELSE ' copy' END || CAST(p_partkey % 100 AS VARCHAR)"
+
+
+@query(f"""
+WITH n AS (SELECT p_partkey, {_FILE} AS name FROM part),
+k AS (SELECT *, list_transform(regexp_extract_all(lower(name), '[0-9]+|[^0-9]+'), lambda x: CASE WHEN x[1] BETWEEN '0' AND '9' THEN
+             {{'t': 0, 'n': CAST(x AS BIGINT), 's': ''}} ELSE {{'t': 1, 'n': 0, 's': x}} END) AS k FROM n)
+SELECT p_partkey, name, rank() OVER (ORDER BY k) AS place FROM k QUALIFY row_number() OVER (ORDER BY k, p_partkey) <= 200
+""")
+def natural_sort_topk(spark, sf_dir):
+    parts = table(spark, sf_dir, "part")
+    copy = F.when(F.col("p_partkey") % 2 == 0, " Copy").otherwise(" copy")
+    named = parts.select("p_partkey", F.concat("p_brand", F.lit(" "), F.col("p_size").cast("string"), copy, (F.col("p_partkey") % 100).cast("string")).alias("name"))
+    first = named.withColumn("k", ordering.natural_key(F.col("name"))).orderBy("k", "p_partkey").limit(200)
+    return first.select("p_partkey", "name", F.rank().over(Window.orderBy("k")).cast("long").alias("place"))
+
+
+@query("""
+WITH n AS (SELECT p_partkey, p_name, p_size FROM part), r AS (SELECT *, row_number() OVER (ORDER BY lower(p_name) DESC, p_partkey) AS place FROM n)
+SELECT p_partkey, place FROM r WHERE place <= 100
+""")
+def sorted_results(spark, sf_dir):
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"), F.col("p_partkey").alias("ordinal"))
+    first = search.sorted_results(parts, "name", descending=True).limit(100)
+    w = Window.orderBy(ordering.natural_key(F.col("name")).desc(), "ordinal")
+    return first.select("p_partkey", F.row_number().over(w).cast("long").alias("place"))
+
+
+@query("""
+SELECT c.conv_id, CAST(u.i AS INTEGER) AS place, CAST(u.page AS INTEGER) AS page, CASE WHEN conv_id % 5 = 4 THEN 'page out of range' END AS error
+FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) c
+LEFT JOIN LATERAL (SELECT unnest(range(len(l))) AS i, unnest(l) AS page FROM (SELECT CASE conv_id % 5 WHEN 0 THEN range(n) WHEN 1 THEN list_reverse(range(n))
+     WHEN 2 THEN [0, 0] WHEN 3 THEN range(n - 1, n) END AS l)) u ON true
+""")
+def page_selection(spark, sf_dir):
+    sized = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    n = F.col("n").cast("string")
+    case = F.col("conv_id") % 5
+    spec = F.when(case == 0, "").when(case == 1, F.concat(n, F.lit(" - 1"))).when(case == 2, "1,1").when(case == 3, F.concat(n, F.lit("-"))).otherwise(F.concat(F.lit("1-"), (F.col("n") + 1).cast("string")))
+    chosen = sized.withColumn("c", ordering.page_selection(spec, F.col("n")))
+    return chosen.select("conv_id", F.posexplode_outer("c.pages").alias("place", "page"), F.col("c.error").alias("error"))
+
+
+@query("""
+SELECT event_type AS query, max(ts) AS used FROM events WHERE trim(event_type) <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20
+""")
+def query_history(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select(F.concat(F.lit(" "), "event_type").alias("query"), F.col("ts").alias("used"))
+    return ordering.history(events, "query", "used")
+
+
+@query("""
+SELECT c_custkey, 'slide' || CAST(c_custkey AS VARCHAR) || '.xml' AS path, row_number() OVER (ORDER BY c_custkey) AS place FROM customer QUALIFY place <= 300
+""")
+def slide_order(spark, sf_dir):
+    slides = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("slide"), F.col("c_custkey").cast("string"), F.lit(".xml")).alias("path"))
+    first = slides.orderBy(*ordering.slide_key(F.col("path"))).limit(300)
+    return first.withColumn("place", F.row_number().over(Window.orderBy(*ordering.slide_key(F.col("path")))).cast("long"))
+
+
+# --- texts --------------------------------------------------------------------------------------------------------
+
+
+@query(r"""
+WITH m AS (SELECT doc_id, text, regexp_extract_all(text, '(?i)\b(?:the|token|des)\b') AS w FROM documents)
+SELECT doc_id, CAST(len(list_filter(w, lambda x: x = upper(x))) AS INTEGER) AS n_protected, md5(text) AS restored FROM m
+""")
+def protect_caps_count(spark, sf_dir):
+    masked = table(spark, sf_dir, "documents").withColumn("m", text.protect_terms(F.col("text"), ["the", "Token", "DES"]))
+    back = text.restore_terms(F.col("m.text"), F.col("m.placeholders"))
+    return masked.select("doc_id", F.size("m.placeholders").alias("n_protected"), F.md5(F.encode(back, "UTF-8")).alias("restored"))
+
+
+@query(r"""
+SELECT page_id, md5(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '</p>\s*<p>', chr(10) || chr(10), 'gi'), '<br\s*/?>', chr(10), 'gi'), '<[^>]+>', '', 'g'),
+       '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&')) AS digest FROM pages
+""")
+def html_to_plain(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(F.encode(text.html_to_plain(F.col("html")), "UTF-8")).alias("digest"))
+
+
+@query(r"""
+SELECT conv_id, turn, '<p>' || replace(replace(replace(replace(replace(trim(regexp_replace(regexp_replace(text, chr(10), ' ', 'g'), ' {2,}', ' ', 'g')),
+       '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') || '</p>' AS markup
+FROM conversations WHERE text <> '' AND NOT regexp_matches(text, '\n\s*\n')
+""")
+def plain_to_html(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").filter((F.col("text") != "") & ~F.col("text").rlike(r"\n\s*\n"))
+    return turns.select("conv_id", "turn", text.plain_to_html(F.col("text")).alias("markup"))
+
+
+@query(r"""
+SELECT doc_id, regexp_matches(text, '[^\x{00}-\x{FF}]') AS needs_unicode, NOT regexp_matches(text, '\p{L}') AS no_letters FROM documents
+""")
+def text_predicates(spark, sf_dir):
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", text.needs_unicode_font(t).alias("needs_unicode"), (~text.has_letters(t)).alias("no_letters"))
+
+
+@query("""
+SELECT p_partkey, (p_partkey // 65536) % 256 AS r, (p_partkey // 256) % 256 AS g, p_partkey % 256 AS b,
+       CASE WHEN 0.299 * ((p_partkey // 65536) % 256) + 0.587 * ((p_partkey // 256) % 256) + 0.114 * (p_partkey % 256) > 128 THEN 0 ELSE 255 END AS contrast FROM part
+""")
+def colours(spark, sf_dir):
+    c = text.unpacked_colour(F.col("p_partkey"))
+    shown = text.contrasting_colour(c)["r"].alias("contrast")
+    return table(spark, sf_dir, "part").select("p_partkey", *[c[n].cast("long").alias(n) for n in "rgb"], shown)
+
+
+@query("""
+SELECT p_partkey, (p_size, p_partkey % 7) > (25, 3) AS newer FROM part
+""")
+def newer_versions(spark, sf_dir):
+    version = F.concat(F.lit("v"), F.col("p_size").cast("string"), F.lit("."), (F.col("p_partkey") % 7).cast("string"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.is_newer(version, F.lit("25.3")).alias("newer"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
+def json_config(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
+
+
+@query(r"""
+WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS t, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents),
+c AS (SELECT regexp_replace(t, '^\s+|\s+$', '', 'g') AS t, doc_id * 1000000 + i - 1 AS o FROM w)
+SELECT lower(t) AS key, arg_min(t, o) AS term FROM c WHERE t <> '' AND NOT regexp_matches(t, '[^\x{00}-\x{7F}]') GROUP BY 1
+""")
+def dedupe_casefold_first(spark, sf_dir):
+    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "term"))
+    ordered = words.select("term", (F.col("doc_id") * 1_000_000 + F.col("i")).alias("o")).filter(~text.stripped(F.col("term")).rlike(r"[^\x{00}-\x{7F}]"))
+    return merge.first_spellings(ordered, "term", "o").select("key", "term")
+
+
+# --- boxes, lines and regions -------------------------------------------------------------------------------------
+
+#: Regions made from the parts table: 40 to an image, places and sizes from keys.
+_BOXES = """
+box AS (SELECT p_partkey // 40 AS image, p_partkey % 40 AS idx, 'r' || CAST(p_partkey AS VARCHAR) AS text, (p_partkey * 37) % 400 AS x, (p_partkey * 53) % 900 AS y,
+               40 + (p_partkey * 7) % 160 AS width, 10 + (p_partkey * 11) % 14 AS height, CAST(20 + (p_partkey * 13) % 80 AS DOUBLE) AS confidence, p_partkey % 9 <> 0 AS translatable FROM part)
+"""
+
+
+def _boxes(spark, sf_dir) -> DataFrame:
+    k = F.col("p_partkey")
+    columns = {
+        "image": F.floor(k / 40), "idx": k % 40, "text": F.concat(F.lit("r"), k.cast("string")), "x": (k * 37) % 400, "y": (k * 53) % 900, "width": 40 + (k * 7) % 160,
+        "height": 10 + (k * 11) % 14, "confidence": (20 + (k * 13) % 80).cast("double"), "translatable": k % 9 != 0,
+    }
+    return table(spark, sf_dir, "part").select(*[c.alias(n) for n, c in columns.items()])
+
+
+@query(f"""
+WITH {_BOXES}, p AS (SELECT a.image, a.idx, b.idx AS next_order, b.y - a.y - a.height AS gap FROM box a JOIN box b ON a.image = b.image AND a.idx <> b.idx AND b.x < a.x + a.width
+  AND b.x + b.width > a.x AND b.y >= a.y + a.height AND least(a.height, b.height) >= 0.6 * greatest(a.height, b.height))
+SELECT image, idx, next_order, gap FROM p QUALIFY row_number() OVER (PARTITION BY image, idx ORDER BY gap, next_order) = 1
+""")
+def nearest_below(spark, sf_dir):
+    return geometry.nearest_below(_boxes(spark, sf_dir), ["image"], "idx")
+
+
+@query(f"""
+WITH RECURSIVE {_BOXES}, near AS (SELECT a.image, a.idx, a.height, b.idx AS nxt, b.y - a.y - a.height AS gap FROM box a JOIN box b ON a.image = b.image AND a.idx <> b.idx AND b.x < a.x + a.width
+  AND b.x + b.width > a.x AND b.y >= a.y + a.height AND least(a.height, b.height) >= 0.6 * greatest(a.height, b.height)
+  QUALIFY row_number() OVER (PARTITION BY a.image, a.idx ORDER BY b.y - a.y - a.height, b.idx) = 1),
+link AS (SELECT image, min(idx) AS idx, nxt FROM near WHERE gap < 0.6 * height GROUP BY image, nxt),
+chain(image, idx, head) AS (SELECT b.image, b.idx, b.idx FROM box b LEFT JOIN link l ON l.image = b.image AND l.nxt = b.idx WHERE l.idx IS NULL
+  UNION ALL SELECT l.image, l.nxt, c.head FROM chain c JOIN link l ON l.image = c.image AND l.idx = c.idx)
+SELECT b.image, c.head AS chain, min(b.x) AS x, min(b.y) AS y, max(b.x + b.width) - min(b.x) AS width, max(b.y + b.height) - min(b.y) AS height, avg(b.confidence) AS confidence,
+       count(*) AS members, string_agg(b.text, ' ' ORDER BY b.y, b.idx) AS text FROM box b JOIN chain c ON c.image = b.image AND c.idx = b.idx GROUP BY 1, 2
+""")
+def paragraph_merge(spark, sf_dir):
+    chained = regions.paragraph_chains(_boxes(spark, sf_dir), ["image"], "idx")
+    return regions.merged_regions(chained, ["image"]).drop("line_height")
+
+
+@query(f"""
+WITH {_BOXES}, n AS (SELECT a.image, a.idx, a.x, a.y, a.width, a.height,
+  min(CASE WHEN b.x < a.x + a.width AND b.x + b.width > a.x AND b.y >= a.y + a.height THEN b.y - a.y - a.height END) AS below,
+  min(CASE WHEN b.x < a.x + a.width AND b.x + b.width > a.x AND b.y + b.height <= a.y THEN a.y - b.y - b.height END) AS above,
+  min(CASE WHEN b.y < a.y + a.height AND b.y + b.height > a.y AND b.x + b.width <= a.x THEN a.x - b.x - b.width END) AS l,
+  min(CASE WHEN b.y < a.y + a.height AND b.y + b.height > a.y AND b.x >= a.x + a.width THEN b.x - a.x - a.width END) AS r
+  FROM box a LEFT JOIN box b ON a.image = b.image AND a.idx <> b.idx GROUP BY ALL)
+SELECT image, idx, CAST(greatest(least(coalesce(greatest(below - 3, 1), 4.0 * height), 1000 - y - height), 0) AS DOUBLE) AS room_below,
+  CAST(greatest(coalesce(greatest(above - 3, 0), least(4.0 * height, y)), 0) AS DOUBLE) AS room_above,
+  CAST(greatest(least(coalesce(l, x), x) - 3, 0) AS DOUBLE) AS room_left, CAST(greatest(least(coalesce(r, 600 - x - width), 600 - x - width) - 3, 0) AS DOUBLE) AS room_right FROM n
+""")
+def rooms(spark, sf_dir):
+    sized = _boxes(spark, sf_dir).withColumn("w", F.lit(600)).withColumn("h", F.lit(1000))
+    return geometry.rooms(sized, ["image"], "idx", "w", "h")
+
+
+@query(f"""
+WITH {_BOXES}, m AS (SELECT image, median(height) AS median_height FROM box WHERE translatable AND confidence >= 40 GROUP BY image)
+SELECT b.image, b.idx, CASE WHEN NOT translatable THEN 'layout' WHEN confidence < 40 THEN 'low_confidence' WHEN height > 1.2 * median_height THEN 'outlier_height' ELSE 'ok' END AS reason
+FROM box b LEFT JOIN m ON m.image = b.image
+""")
+def region_eligibility(spark, sf_dir):
+    judged = regions.eligibility(_boxes(spark, sf_dir).withColumn("line_height", F.lit(None).cast("long")), ["image"], ratio=1.2)
+    return judged.select("image", "idx", "reason")
+
+
+@query(f"""
+WITH {_BOXES}, area AS (SELECT p_partkey // 40 AS image, p_partkey % 40 AS block, (p_partkey * 17) % 300 AS x0, (p_partkey * 29) % 700 AS y0, (p_partkey * 17) % 300 + 150 AS x1,
+  (p_partkey * 29) % 700 + 120 AS y1 FROM part WHERE p_partkey % 40 < 4)
+SELECT b.image, b.idx, a.block FROM box b JOIN area a ON a.image = b.image AND b.x + b.width / 2.0 BETWEEN a.x0 AND a.x1 AND b.y + b.height / 2.0 BETWEEN a.y0 AND a.y1
+""")
+def containment_join(spark, sf_dir):
+    lines = _boxes(spark, sf_dir).select("image", "idx", F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + F.col("width")).alias("x1"), (F.col("y") + F.col("height")).alias("y1"))
+    k = F.col("p_partkey")
+    areas = table(spark, sf_dir, "part").filter(k % 40 < 4).select(F.floor(k / 40).alias("image"), (k % 40).alias("block"), ((k * 17) % 300).alias("x0"), ((k * 29) % 700).alias("y0"), ((k * 17) % 300 + 150).alias("x1"), ((k * 29) % 700 + 120).alias("y1"))
+    return geometry.centre_inside(lines, areas, ["image"]).select("a.image", "a.idx", "b.block")
+
+
+@query(f"""
+WITH {_BOXES}, link AS (SELECT p_partkey // 40 AS image, (p_partkey * 19) % 350 AS x0, (p_partkey * 31) % 800 AS y0, (p_partkey * 19) % 350 + 60 AS x1, (p_partkey * 31) % 800 + 12 AS y1
+  FROM part WHERE p_partkey % 40 < 3)
+SELECT image, idx FROM box b WHERE EXISTS (SELECT 1 FROM link l WHERE l.image = b.image AND least(b.x + b.width, l.x1) - greatest(b.x, l.x0) > 1 AND least(b.y + b.height, l.y1) - greatest(b.y, l.y0) > 1)
+""")
+def link_overlap(spark, sf_dir):
+    lines = _boxes(spark, sf_dir).select("image", "idx", F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + F.col("width")).alias("x1"), (F.col("y") + F.col("height")).alias("y1"))
+    k = F.col("p_partkey")
+    links = table(spark, sf_dir, "part").filter(k % 40 < 3).select(F.floor(k / 40).alias("image"), ((k * 19) % 350).alias("x0"), ((k * 31) % 800).alias("y0"), ((k * 19) % 350 + 60).alias("x1"), ((k * 31) % 800 + 12).alias("y1"))
+    return geometry.touching(lines, links, ["image"]).select("image", "idx")
+
+
+@query("""
+WITH l AS (SELECT user_id, event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events),
+r AS (SELECT user_id, event_id, ts, sum(CASE WHEN ts - before > INTERVAL 1 DAY THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM l)
+SELECT user_id, CAST(run AS BIGINT) AS run, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM r GROUP BY 1, 2
+""")
+def gap_islands(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    w = geometry.window_of(["user_id"], ["ts", "event_id"])
+    cut = geometry.runs(events, ["user_id"], ["ts", "event_id"], F.col("ts") - F.lag("ts").over(w) > F.expr("INTERVAL 1 DAY"))
+    return cut.groupBy("user_id", "run").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+#: Words made from lineitem: an order is an image, its lines words on one line.
+_WORDS = """
+word AS (SELECT l_orderkey AS doc_id, l_linenumber AS word_index, CAST(l_quantity * 12 AS BIGINT) AS l, CAST(10 + l_linenumber % 3 AS BIGINT) AS h, CAST(20 + l_suppkey % 30 AS BIGINT) AS w,
+                CASE WHEN l_partkey % 11 = 0 THEN -1.0 ELSE l_partkey % 100 END AS conf, CASE WHEN l_partkey % 17 = 0 THEN '|' ELSE 'w' || CAST(l_partkey AS VARCHAR) END AS text,
+                row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice) AS copy FROM lineitem)
+"""
+
+
+@query(f"""
+WITH {_WORDS}, kept AS (SELECT * FROM word WHERE copy = 1 AND text <> '|'),
+g AS (SELECT *, l - lag(l + w) OVER o AS gap, greatest(h, lag(h) OVER o, 1) AS tall FROM kept WINDOW o AS (PARTITION BY doc_id ORDER BY l, word_index)),
+r AS (SELECT *, CAST(sum(CASE WHEN gap > 2.5 * tall THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY l, word_index ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM g)
+SELECT doc_id, run, string_agg(text, ' ' ORDER BY l, word_index) AS text, min(l) AS x, max(l + w) - min(l) AS width, max(h) AS height,
+       coalesce(avg(CASE WHEN conf >= 0 THEN conf END), 0.0) AS confidence FROM r GROUP BY 1, 2
+""")
+def word_lines(spark, sf_dir):
+    items = table(spark, sf_dir, "lineitem")
+    w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_extendedprice")
+    words = items.withColumn("copy", F.row_number().over(w)).filter("copy = 1").select(
+        F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("word_index"), *[F.lit(0).alias(c) for c in ("block_num", "par_num", "line_num", "top")],
+        (F.col("l_quantity") * 12).cast("long").alias("left"), (20 + F.col("l_suppkey") % 30).alias("width"), (10 + F.col("l_linenumber") % 3).cast("long").alias("height"),
+        F.when(F.col("l_partkey") % 11 == 0, -1.0).otherwise((F.col("l_partkey") % 100).cast("double")).alias("conf"),
+        F.when(F.col("l_partkey") % 17 == 0, "|").otherwise(F.concat(F.lit("w"), F.col("l_partkey").cast("string"))).alias("text"),
+    )
+    return regions.word_lines(words).select("doc_id", "run", "text", "x", "width", "height", "confidence")
+
+
+@query(r"""
+WITH l AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+p AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+k AS (SELECT source, doc_id, i, trim(lower(regexp_replace(regexp_replace(t, '\d+', '#', 'g'), '\s+', ' ', 'g'))) AS key FROM l WHERE trim(t) <> '' AND i = 1)
+SELECT source, 'text:' || key AS key, count(DISTINCT doc_id) AS on_pages FROM k GROUP BY 1, 2 HAVING count(DISTINCT doc_id) >= 2
+""")
+def repetition_keys(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    first = F.split_part("text", F.lit("\n"), F.lit(1))
+    # A source is a document, its texts pages whose first line is a block at the top, each at a place of its own.
+    blocks = docs.select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page_index"), F.lit(0.0).alias("x0"), F.lit(10.0).alias("y0"), (F.col("doc_id") * 4.0 + 2).alias("x1"), F.lit(20.0).alias("y1"), first.alias("text"))
+    pages = docs.select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page_index"), F.lit(500.0).alias("height"))
+    n = pages.groupBy("doc_id").count().agg(F.max("count")).first()[0] or 1
+    found = layout.repeated_keys(blocks, pages, share=2 / n)
+    return found.filter(F.col("key").startswith("text:")).select(F.col("doc_id").alias("source"), "key", "on_pages")
+
+
+@query("""
+WITH b AS (SELECT l_orderkey % 500 AS doc, l_linenumber AS page, CAST(l_suppkey % 7 AS DOUBLE) AS x, l_partkey FROM lineitem),
+n AS (SELECT doc, count(DISTINCT page) AS n FROM b GROUP BY doc),
+k AS (SELECT doc, x, count(DISTINCT page) AS p FROM b GROUP BY doc, x)
+SELECT k.doc, min(x) * 10 AS x0, max(x) * 10 + 5 AS x1, count(*) AS n_keys FROM k JOIN n ON n.doc = k.doc WHERE p >= greatest(1, round_even(0.9 * n, 0)) GROUP BY k.doc
+""")
+def header_zones(spark, sf_dir):
+    items = table(spark, sf_dir, "lineitem")
+    doc, x = F.col("l_orderkey") % 500, (F.col("l_suppkey") % 7).cast("double")
+    # Blocks at the top whose texts never repeat, so that only their places do.
+    own = F.concat_ws("-", *[F.translate(F.col(c).cast("string"), "0123456789.-", "abcdefghijkl") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_linenumber", "l_quantity")])
+    blocks = items.select(doc.alias("doc_id"), F.col("l_linenumber").alias("page_index"), (x * 10).alias("x0"), F.lit(10.0).alias("y0"), (x * 10 + 5).alias("x1"), F.lit(20.0).alias("y1"), own.alias("text"))
+    pages = items.select(doc.alias("doc_id"), F.col("l_linenumber").alias("page_index"), F.lit(500.0).alias("height")).distinct()
+    return layout.zones(blocks, pages, share=0.9).select(F.col("doc_id").alias("doc"), "x0", "x1", "n_keys")
+
+
+@query()
+def column_groups(spark, sf_dir):
+    items = table(spark, sf_dir, "lineitem")
+    place = F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")
+    blank = F.when(F.col("l_partkey") % 6 == 0, "").otherwise("line")
+    w = Window.partitionBy("l_orderkey").orderBy(place, "l_suppkey", "l_extendedprice")
+    lines = items.select(F.col("l_orderkey").alias("doc_id"), F.row_number().over(w).cast("long").alias("line"), (F.col("l_quantity") * 3).alias("x0"), blank.alias("text"))
+    return layout.column_groups(lines, ["doc_id"], "line").select("doc_id", "line", "column_group")
+
+
+@query("""
+WITH l AS (SELECT user_id, event_id, ts, value < 10 AS s, event_type = 'error' AS blank FROM events),
+e AS (SELECT *, lag(blank) OVER o AS pb, lead(blank) OVER o AS nb, lag(s) OVER o AS ps, lead(s) OVER o AS ns FROM l WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id)),
+m AS (SELECT *, CASE WHEN blank AND NOT coalesce(pb, true) AND NOT coalesce(nb, true) AND ps = ns THEN ps ELSE s END AS status FROM e),
+q AS (SELECT *, lag(status) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM m)
+SELECT user_id, event_id, status, CAST(sum(CASE WHEN before <> status THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM q
+""")
+def status_runs(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    lines = events.select("user_id", "event_id", F.row_number().over(w).alias("line"), (F.col("value") < 10).alias("status"), F.when(F.col("event_type") == "error", " ").otherwise("x").alias("text"))
+    return layout.status_runs(lines, ["user_id"], "line", "status").select("user_id", "event_id", "status", "run")
+
+
+_CONTAINERS = """
+c AS (SELECT conv_id, turn, list_transform(string_split(text, chr(10)), lambda p: length(p)) AS sizes, 4000000 + (turn % 5) * 500000 AS width, 900000 + (conv_id % 4) * 400000 AS height,
+             CAST(12 + turn % 3 * 4 AS DOUBLE) AS f FROM conversations WHERE regexp_matches(text, '\\S')),
+e AS (SELECT conv_id, turn, sizes, greatest(floor(width / 12700 / (f * 0.52)), 1) AS per_line, greatest(floor(height / 12700 / (f * 1.2)), 1) AS room FROM c),
+o AS (SELECT conv_id, turn, list_sum(list_transform(sizes, lambda n: greatest(ceil(n / per_line), 1))) AS lines, room FROM e)
+"""
+
+
+@query(f"WITH {_CONTAINERS} SELECT conv_id, turn, CAST(lines AS BIGINT) AS estimated_lines, CAST(room AS BIGINT) AS available_lines FROM o WHERE lines > room")
+def text_overflow(spark, sf_dir):
+    found = layout.text_overflow(_containers(spark, sf_dir))
+    return found.select("conv_id", "turn", *[F.col(c).cast("long").alias(c) for c in ("estimated_lines", "available_lines")])
+
+
+def _containers(spark, sf_dir) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return turns.select(
+        "conv_id", "turn", F.split("text", "\n").alias("paragraphs"), (4_000_000 + (F.col("turn") % 5) * 500_000).alias("width"), (900_000 + (F.col("conv_id") % 4) * 400_000).alias("height"),
+        (12 + F.col("turn") % 3 * 4).cast("double").alias("font_points"),
+    )
+
+
+@query("""
+WITH a AS (SELECT o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey % 50 END AS cell, max(CAST(o_totalprice / 1000 AS BIGINT)) AS n FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1, 2),
+b AS (SELECT o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey % 50 END AS cell, max(CAST(o_totalprice / 1000 AS BIGINT)) AS n FROM orders WHERE o_orderkey % 2 = 1 GROUP BY 1, 2)
+SELECT a.o_custkey, a.cell, a.n AS estimated_lines FROM a LEFT JOIN b ON a.o_custkey = b.o_custkey AND a.cell IS NOT DISTINCT FROM b.cell WHERE b.n IS NULL OR a.n > b.n
+""")
+def overflow_regression(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").withColumn("cell", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderkey") % 50))
+    sized = [orders.filter(F.col("o_orderkey") % 2 == k).groupBy("o_custkey", "cell").agg(F.max(F.round(F.col("o_totalprice") / 1000).cast("long")).alias("estimated_lines")) for k in (0, 1)]
+    return layout.overflow_regressions(sized[0], sized[1], ["o_custkey", "cell"])
+
+
+# --- duplicates and manifests -------------------------------------------------------------------------------------
+
+
+@query("SELECT md5(text) AS digest, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
+def exact_duplicates(spark, sf_dir):
+    return dedupe.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def _candidates(spark, sf_dir) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return turns.select(
+        F.col("conv_id").alias("group_id"), F.col("turn").alias("idx"), F.col("text").alias("body"), F.when(F.col("turn") % 7 == 6, "unreadable").alias("error"),
+        F.when(F.col("conv_id") % 3 > 0, F.concat(F.lit("d"), (F.col("conv_id") % 2).cast("string"))).alias("domain"),
+        F.when(F.col("conv_id") % 3 > 1, F.concat(F.lit("p"), (F.col("turn") % 2).cast("string"))).alias("developer"),
+        F.lit(None).cast("string").alias("date"), F.size(F.split("text", "\n")).alias("paragraph_count"),
+    )
+
+
+@query()
+def pair_similarity(spark, sf_dir):
+    return dedupe.pair_similarities(_candidates(spark, sf_dir))
+
+
+@query("""
+WITH s AS (SELECT l_orderkey, min(l_discount * 10) AS m, count(*) AS n, count(DISTINCT CASE WHEN l_orderkey % 3 > 0 THEN l_returnflag END) AS domains,
+  count(DISTINCT l_linestatus) AS developers, count(DISTINCT CASE WHEN l_tax > 0.03 THEN l_tax END) AS dates, count(DISTINCT floor(l_quantity / 10)) AS sizes FROM lineitem GROUP BY l_orderkey)
+SELECT l_orderkey AS group_id, n, CASE WHEN n < 2 THEN NULL ELSE m END AS min_similarity, CASE WHEN n < 2 THEN 'uneindeutig'
+  WHEN (domains > 0 OR developers > 0) AND NOT (domains = 1 AND developers = 1) AND m < 0.5 THEN 'wahrscheinlich unabhaengige Dokumente'
+  WHEN m >= 0.9 AND NOT (sizes > 1 OR dates > 1) THEN 'wahrscheinlich Sync-Duplikat' WHEN m >= 0.5 AND (sizes > 1 OR dates > 1) THEN 'wahrscheinlich Versions-Update' ELSE 'uneindeutig' END AS class FROM s
+""")
+def dup_groups_classify(spark, sf_dir):
+    items = table(spark, sf_dir, "lineitem").withColumn("group_id", F.col("l_orderkey"))
+    candidates = items.select(
+        "group_id", F.when(F.col("l_orderkey") % 3 > 0, F.col("l_returnflag")).otherwise("").alias("domain"), F.col("l_linestatus").alias("developer"),
+        F.when(F.col("l_tax") > 0.03, F.col("l_tax").cast("string")).alias("date"), F.floor(F.col("l_quantity") / 10).alias("paragraph_count"),
+    )
+    several = items.groupBy("group_id").count().filter("count > 1")
+    similarities = items.join(several, "group_id", "left_semi").select("group_id", (F.col("l_discount") * 10).alias("similarity"))
+    return dedupe.classify_groups(candidates, similarities)
+
+
+@query("""
+WITH f AS (SELECT s_suppkey // 2 AS number, CASE WHEN s_nationkey % 2 = 0 THEN 'MNEMOSYNE' ELSE 'WOUNDS' END AS title, s_suppkey % 2 AS v, s_nationkey FROM supplier),
+g AS (SELECT number, min(title) AS title, count(*) AS n, max(CASE WHEN v = 1 THEN 1 ELSE 0 END) AS has_variant FROM f WHERE NOT (number % 4 = 0 AND v = 1) GROUP BY number)
+SELECT number, title, CASE WHEN n = 1 THEN CAST(number AS VARCHAR) || ' X.docx' WHEN title = 'MNEMOSYNE' THEN CAST(number AS VARCHAR) || ' X (LS).docx' ELSE CAST(number AS VARCHAR) || ' X.docx' END AS source FROM g
+""")
+def source_selection(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    number, v = F.floor(F.col("s_suppkey") / 2), F.col("s_suppkey") % 2
+    path = F.concat(F.lit("in/"), number.cast("string"), F.lit(" X"), F.when(v == 1, " (ls)").otherwise(""), F.lit(".docx"))
+    files = s.filter(~((number % 4 == 0) & (v == 1))).select(path.alias("path"))
+    titles = s.groupBy(number.cast("string").alias("number")).agg(F.min(F.when(~((number % 4 == 0) & (v == 1)), F.when(F.col("s_nationkey") % 2 == 0, "MNEMOSYNE").otherwise("WOUNDS"))).alias("title"))
+    chosen = dedupe.resolve_source(dedupe.discover(files).join(titles, "number"))
+    name = F.regexp_replace(F.regexp_extract("source", "([^/]*)$", 1), r"\(ls\)", "(LS)")
+    return chosen.select(F.col("number").cast("long").alias("number"), "title", name.alias("source"))
+
+
+_SNAPSHOTS = """
+m AS (SELECT CAST(doc_id // 3 AS VARCHAR) AS number, 'f' || CAST(doc_id AS VARCHAR) AS filename, n_chars AS mtime, md5(text) AS sha, CASE WHEN doc_id % 10 = 9 THEN 'excluded' ELSE 'approved' END AS role
+      FROM documents WHERE doc_id % 7 <> 0 AND (doc_id // 3) % 13 <> 0),
+s AS (SELECT CAST(doc_id // 3 AS VARCHAR) AS number, 'f' || CAST(doc_id AS VARCHAR) AS filename, n_chars + CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END AS mtime,
+             md5(text || CASE WHEN doc_id % 8 = 0 THEN 'x' ELSE '' END) AS sha FROM documents WHERE doc_id % 11 <> 0)
+"""
+
+
+@query(f"""
+WITH {_SNAPSHOTS}, c AS (SELECT number, count(*) AS n FROM s GROUP BY number), k AS (SELECT DISTINCT number FROM m),
+fresh AS (SELECT s.number, s.filename, CASE WHEN c.n = 1 THEN 'auto_approved' ELSE 'new_duplicate' END AS bucket, CAST(NULL AS VARCHAR) AS reason FROM s JOIN c ON c.number = s.number
+  WHERE s.number NOT IN (SELECT number FROM k)),
+sk AS (SELECT * FROM s WHERE number IN (SELECT number FROM k)), mk AS (SELECT * FROM m WHERE number IN (SELECT number FROM s)),
+b AS (SELECT coalesce(sk.number, mk.number) AS number, coalesce(sk.filename, mk.filename) AS filename, CASE WHEN role = 'excluded' THEN NULL WHEN role IS NULL THEN 'changed'
+  WHEN sk.number IS NULL THEN 'missing' WHEN sk.mtime = mk.mtime OR sk.sha = mk.sha THEN 'unchanged' ELSE 'changed' END AS bucket, role
+  FROM sk FULL JOIN mk ON sk.number = mk.number AND sk.filename = mk.filename)
+SELECT * FROM fresh UNION ALL SELECT number, filename, bucket, CASE WHEN role IS NULL THEN 'unexpected' WHEN bucket = 'changed' THEN 'mtime and sha256 differ' END FROM b WHERE bucket IS NOT NULL
+""")
+def manifest_diff(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    d = F.col("doc_id")
+    base = [F.floor(d / 3).cast("string").alias("number"), F.concat(F.lit("f"), d.cast("string")).alias("filename")]
+    known = docs.filter((d % 7 != 0) & (F.floor(d / 3) % 13 != 0)).select(*base, F.col("n_chars").alias("mtime"), F.md5(F.encode("text", "UTF-8")).alias("sha256"), F.when(d % 10 == 9, "excluded").otherwise("approved").alias("role"))
+    changed = F.concat("text", F.when(d % 8 == 0, "x").otherwise(""))
+    scan = docs.filter(d % 11 != 0).select(*base, (F.col("n_chars") + (d % 4 == 0).cast("int")).alias("mtime"), F.md5(F.encode(changed, "UTF-8")).alias("sha256"))
+    return manifest.diff(scan, known)
+
+
+@query("""
+SELECT CAST(o_custkey AS VARCHAR) AS number, 'f' || CAST(o_orderkey AS VARCHAR) AS filename FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 2 = 0
+ORDER BY o_custkey, filename LIMIT 250
+""")
+def batch_selection(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    entries = orders.filter(F.col("o_custkey") % 2 == 0).select(F.col("o_custkey").cast("string").alias("number"), F.concat(F.lit("f"), F.col("o_orderkey").cast("string")).alias("filename"), F.when(F.col("o_orderstatus") == "F", "approved").otherwise("open").alias("status"), F.lit("approved").alias("role"))
+    return manifest.select_documents(entries, limit=250)
+
+
+# --- merging ------------------------------------------------------------------------------------------------------
+
+
+@query("""
+SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN d.lang WHEN l.quality = 0 THEN NULL ELSE upper(d.lang) END AS lang FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
+""")
+def edits_left_join(spark, sf_dir):
+    records = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    # An edit of null counts; a record without an edit stays.
+    edits = table(spark, sf_dir, "labels").join(records, "doc_id").select("doc_id", F.when(F.col("quality") != 0, F.upper("lang")).alias("lang"), F.lit(True).alias("has_lang"))
+    return merge.apply_edits(records, edits, ["doc_id"], ["lang"])
+
+
+_SOURCES = "src AS (SELECT conv_id AS seq, 'in/' || CAST(conv_id AS VARCHAR) || '.pdf' AS path, count(*) AS n FROM conversations GROUP BY conv_id)"
+
+
+def _sources(spark, sf_dir) -> DataFrame:
+    sized = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("seq")).agg(F.count(F.lit(1)).alias("n_pages"))
+    return sized.select("seq", F.concat(F.lit("in/"), F.col("seq").cast("string"), F.lit(".pdf")).alias("path"), F.when(F.col("seq") % 3 == 0, "1").otherwise("").alias("spec"), "n_pages")
+
+
+@query(f"""
+WITH {_SOURCES}, k AS (SELECT *, CASE WHEN seq % 3 = 0 THEN 1 ELSE n END AS c FROM src),
+o AS (SELECT *, CAST(coalesce(sum(c) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS off FROM k)
+SELECT seq, path, p AS source_page, off + p AS output_page FROM (SELECT seq, path, off, unnest(range(c)) AS p FROM o)
+""")
+def merge_pages(spark, sf_dir):
+    return merge.selected_pages(_sources(spark, sf_dir))
+
+
+@query(f"""
+WITH {_SOURCES}, k AS (SELECT *, CASE WHEN seq % 3 = 0 THEN 1 ELSE n END AS c FROM src),
+o AS (SELECT *, CAST(coalesce(sum(c) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS off FROM k)
+SELECT seq, turn AS entry, 1 AS level, role AS title, off + turn + 1 AS page FROM o JOIN conversations ON conv_id = seq WHERE seq % 2 = 0
+UNION ALL SELECT seq, 0, 1, CAST(seq AS VARCHAR) || '.pdf' || CASE WHEN c < n THEN ' (1)' ELSE '' END, off + 1 FROM o WHERE seq % 2 = 1
+""")
+def merge_offsets(spark, sf_dir):
+    toc = table(spark, sf_dir, "conversations").filter(F.col("conv_id") % 2 == 0).select(F.col("conv_id").alias("seq"), F.col("turn").alias("entry"), F.lit(1).alias("level"), F.col("role").alias("title"), (F.col("turn") + 1).alias("page"))
+    return merge.contents(_sources(spark, sf_dir), toc)
+
+
+@query(f"""
+WITH {_SOURCES} SELECT count(*) AS segments, count(DISTINCT path) AS files_processed, CAST(sum(CASE WHEN seq % 3 = 0 THEN 1 ELSE n END) AS BIGINT) AS pages_written,
+  CAST(CASE WHEN count(*) <= 100 THEN 0 ELSE ceil(count(*) / 100.0) END AS BIGINT) AS batches FROM src
+""")
+def merge_stats(spark, sf_dir):
+    return merge.merge_stats(_sources(spark, sf_dir))
+
+
+@query("""
+WITH n AS (SELECT p_partkey, p_name || '_DE.pdf' AS name FROM part)
+SELECT p_partkey, CASE WHEN k = 1 THEN name ELSE replace(name, '.pdf', ' (' || CAST(k AS VARCHAR) || ').pdf') END AS destination
+FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY p_partkey) AS k FROM n)
+""")
+def free_names(spark, sf_dir):
+    parts = table(spark, sf_dir, "part").select("p_partkey", merge.translated_name(F.concat(F.lit("in/"), "p_name", F.lit(".pdf")), F.lit("de")).alias("name"))
+    return merge.free_names(parts, "name", "p_partkey").select("p_partkey", "destination")
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT 'r' || CAST(r_regionkey AS VARCHAR) AS id, 'root' AS parent_id, r_name AS name, true AS is_folder FROM region
+  UNION ALL SELECT 'n' || CAST(n_nationkey AS VARCHAR), 'r' || CAST(n_regionkey AS VARCHAR), n_name, true FROM nation
+  UNION ALL SELECT 'c' || CAST(c_custkey AS VARCHAR), 'n' || CAST(c_nationkey AS VARCHAR), c_name, false FROM customer),
+t(id, name, is_folder, depth) AS (SELECT id, name, is_folder, 1 FROM e WHERE parent_id = 'root' UNION ALL SELECT e.id, e.name, e.is_folder, t.depth + 1 FROM t JOIN e ON e.parent_id = t.id)
+SELECT id, name, depth FROM t WHERE NOT is_folder
+""")
+def folder_tree(spark, sf_dir):
+    def entries(name, mark, key, parent_mark, parent, label, folder):
+        up = F.lit("root") if parent is None else F.concat(F.lit(parent_mark), F.col(parent).cast("string"))
+        return table(spark, sf_dir, name).select(F.concat(F.lit(mark), F.col(key).cast("string")).alias("id"), up.alias("parent_id"), F.col(label).alias("name"), F.lit(folder).alias("is_folder"), F.lit(None).cast("date").alias("modified"))
+
+    tree = entries("region", "r", "r_regionkey", "", None, "r_name", True)
+    tree = tree.unionByName(entries("nation", "n", "n_nationkey", "r", "n_regionkey", "n_name", True))
+    tree = tree.unionByName(entries("customer", "c", "c_custkey", "n", "c_nationkey", "c_name", False))
+    return tree_files(tree, "root").select("id", "name", "depth")
+
+
+# --- costs and translation ----------------------------------------------------------------------------------------
+
+
+@query("""
+SELECT lang, CAST(sum(length(text)) AS BIGINT) AS characters, greatest(CAST(sum(length(text)) AS BIGINT) - 100000, 0) / 1000000 * 20.0 AS estimate FROM documents GROUP BY lang
+""")
+def cost_by_lang(spark, sf_dir):
+    counted = cost.characters(table(spark, sf_dir, "documents"), ["lang"])
+    return counted.select("lang", "characters", cost.cost(F.col("characters"), F.lit(400_000), F.lit(500_000), F.lit(20.0)).alias("estimate"))
+
+
+@query("SELECT event_type AS provider, strftime(ts, '%Y-%m') AS month, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS characters FROM events GROUP BY 1, 2")
+def monthly_usage(spark, sf_dir):
+    log = table(spark, sf_dir, "events").withColumn("n", F.floor("value").cast("long"))
+    return cost.monthly_usage(log, "event_type", "ts", "n")
+
+
+@query("""
+WITH RECURSIVE t AS (SELECT conv_id, turn, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+f(conv_id, i, used, admitted) AS (SELECT conv_id, i, CASE WHEN n <= 1500 THEN n ELSE 0 END, n <= 1500 FROM t WHERE i = 1
+  UNION ALL SELECT t.conv_id, t.i, f.used + CASE WHEN f.used + t.n <= 1500 THEN t.n ELSE 0 END, f.used + t.n <= 1500 FROM f JOIN t ON t.conv_id = f.conv_id AND t.i = f.i + 1)
+SELECT t.conv_id, t.turn, f.admitted, CAST(f.used AS BIGINT) AS used FROM f JOIN t ON t.conv_id = f.conv_id AND t.i = f.i
+""")
+def budget_fold(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("n"))
+    return cost.within_budget(turns, ["conv_id"], "turn", "n", 1500).select("conv_id", "turn", "admitted", "used")
+
+
+@query(f"WITH {_BOXES} SELECT image, CAST(sum(length(text)) AS BIGINT) AS characters FROM box WHERE confidence >= 40 GROUP BY image")
+def image_dry_run(spark, sf_dir):
+    return regions.dry_run_characters(_boxes(spark, sf_dir), ["image"])
+
+
+@query("""
+WITH u AS (SELECT conv_id, turn, text, role <> 'assistant' AS t FROM conversations),
+s AS (SELECT conv_id, CASE WHEN NOT t OR trim(text) = '' THEN 'skipped' WHEN turn % 4 = 2 THEN 'failed' ELSE 'translated' END AS status, length(text) AS n FROM u)
+SELECT conv_id, count(*) AS units, count(*) FILTER (WHERE status = 'translated') AS translated, count(*) FILTER (WHERE status = 'skipped') AS skipped,
+       count(*) FILTER (WHERE status = 'failed') AS failed, CAST(coalesce(sum(n) FILTER (WHERE status = 'translated'), 0) AS BIGINT) AS chars_sent FROM s GROUP BY conv_id
+""")
+def translation_outcomes(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    units = turns.select("conv_id", F.col("turn").alias("unit_index"), F.concat("text", F.when((F.col("turn") % 4 == 2) & (F.trim("text") != ""), "[[fail]]").otherwise("")).alias("text"), (F.col("role") != "assistant").alias("translatable"))
+    return translate.outcome_stats(translate.translate_units(units, "echo", "DE"), ["conv_id"])
+
+
+@query("""
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'AUREXIS' ELSE 'NAME ' || CAST(doc_id AS VARCHAR) END AS term, doc_id % 3 <> 0 AS used_fallback FROM documents
+""")
+def chosen_terms(spark, sf_dir):
+    d = F.col("doc_id")
+    header = F.when(d % 3 == 0, F.lit("Developer: X QSI ICO: AUREXIS")).otherwise(F.lit("Developer: X"))
+    path = F.concat(F.lit("in/"), (d + 100).cast("string"), F.lit("  NAME "), d.cast("string"), F.lit(".docx"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.array(F.lit("Title"), header).alias("headers"), path.alias("path"))
+    return translate.chosen_term(docs)
+
+
+@query("""
+SELECT conv_id, turn, text, CASE WHEN turn % 2 = 0 THEN upper(role) END AS translated, turn % 2 <> 0 AS spanning FROM conversations
+""")
+def side_by_side(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    done = turns.filter(F.col("turn") % 2 == 0).select("conv_id", "turn", F.upper("role").alias("text"))
+    return translate.side_by_side(turns.select("conv_id", "turn", "text"), done, ["conv_id", "turn"])
