@@ -25,7 +25,7 @@ from loomq.session import expose_package, materialize
 
 ORDER, BACKOFF, LEAST_COUNT = 3, 0.4, 2
 #: Mean documents of a block, and of what one partition of the count tables holds the n-grams of.
-BLOCK_DOCUMENTS, PARTITION_DOCUMENTS = 2048, 4096
+BLOCK_DOCUMENTS, PARTITION_DOCUMENTS = 3072, 4096
 #: Words whose hashes a worker keeps.
 KEPT_WORDS = 1_000_000
 
@@ -85,16 +85,23 @@ def _distinct(place: np.ndarray, grams: list[np.ndarray], inverse: bool = False)
 
 
 def _packed(values: np.ndarray) -> bytes:
-    """Whole numbers as a byte width and the low bytes of each."""
+    """Whole numbers as planes of their low bytes, each compressed on its own; the high planes are nearly constant."""
     width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
     planes = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
-    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+    parts = [zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes[:, i]).tobytes()) for i in range(width)]
+    return b"".join([bytes([width]), *[len(p).to_bytes(4, "little") for p in parts], *parts])
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(-1, data[0])
-    wide = np.zeros((len(planes), 8), np.uint8)
-    wide[:, : data[0]] = planes
+    width, columns = data[0], []
+    at = 1 + 4 * width
+    for i in range(width):
+        end = at + int.from_bytes(data[1 + 4 * i : 5 + 4 * i], "little")
+        columns.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(data[at:end]), np.uint8))
+        at = end
+    wide = np.zeros((len(columns[0]), 8), np.uint8)
+    for i, column in enumerate(columns):
+        wide[:, i] = column
     return wide.view("<u8").ravel()
 
 
