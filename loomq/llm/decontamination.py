@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomq.llm.common import documents_of, map_batches, raw_texts, record_batch
+from loomq.session import expose_package
 
 WINDOW_WORDS = 13
 #: Benchmark text that one automaton may hold; a larger benchmark is scanned in several blocks of this size.
@@ -218,6 +219,27 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, share: int = 20, **option
     return map_batches(benchmark_hits(df, benchmark, **options), batch, SCHEMA)
 
 
+def drop_contaminated(
+    df: DataFrame, benchmark: DataFrame, share: int = 20, width: int = WINDOW_WORDS, text_col: str = "text", item_col: str = "item_id",
+    item_text_col: str = "text", block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """The rows of df, all columns unchanged, that decontaminate() doesn't call contaminated; a null text stays."""
+    expose_package(df.sparkSession)
+    blocks = [(df.sparkSession.sparkContext.broadcast(items), _key(items, width)) for items in benchmark_blocks(benchmark, item_col, item_text_col, block_bytes)]
+
+    def clean(column: pa.Array) -> pa.Array:
+        words = [words_of(x or b"") for x in column.cast(pa.binary()).to_pylist()]
+        spans: list[list[list[int]]] = [[] for _ in words]
+        for sent, key in blocks:
+            windows = _automaton(key, sent.value, width)
+            for found, text in zip(spans, words):
+                found += windows.scan(text)[0]
+        hits = [sum(b - a + 1 for a, b in merge_spans(found)) for found in spans]
+        return pa.array([not (n and share * n >= len(text)) for n, text in zip(hits, words)], pa.bool_())
+
+    return df.filter(F.arrow_udf(clean, "boolean")(F.col(f"`{text_col}`").cast("string")))
+
+
 #: DuckDB SQL for decontaminate() with its defaults.
 ORACLE = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

@@ -345,6 +345,18 @@ def jaccard_classes(
     return joined.unionByName(none.select("doc_id", F.col("doc_id").alias("class_id"), *one))
 
 
+def keep_one(df: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, text_col: str = "text") -> DataFrame:
+    """The rows of df, all columns unchanged, with one row of each class: the first by its place in the table.
+
+    Rows are told apart by their place, so null and repeated ids do no harm; df has to be a stored table, whose scans
+    agree. A text without words stays.
+    """
+    placed = df.withColumn("__place", F.monotonically_increasing_id())
+    classes = jaccard_classes(placed.select(F.col("__place").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), threshold, recall)
+    others = classes.filter("doc_id != class_id").select(F.col("doc_id").alias("__place"))
+    return placed.join(others, "__place", "left_anti").drop("__place")
+
+
 #: DuckDB SQL for jaccard_classes() with its defaults.
 ORACLE = r"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import pickle
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -16,12 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomq.llm.common import documents_of, fold, map_batches, record_batch, texts
+from loomq.session import expose_package
 
 #: Bounds of the labelled sample: texts for each language (of at most so many characters) and landmarks among them.
 SAMPLE, SAMPLE_CHARS, LANDMARKS = 500, 20_000, 48
 #: Languages that are learned, most frequent first.
 LANGUAGES = 64
 RIDGE = 1e-2
+#: Score below which a filter rejects a text.
+LEAST_SCORE = 0.3
 #: Steepness of the softmax that turns regression outputs, about 1 and -1, into scores.
 STEEPNESS = 4.0
 #: n-grams are told apart by a hash of so many bits.
@@ -158,6 +162,42 @@ def training_rows(df: DataFrame, per_language: int = SAMPLE, id_col: str = "doc_
 _models: dict[str, Model] = {}
 
 
+def _predictor(df: DataFrame, train: DataFrame, id_col: str, text_col: str, lang_col: str) -> Callable[[list[str]], tuple[list[str], list[float]]]:
+    """A fitted model as a function that executors can call."""
+    model = fit(training_rows(train, id_col=id_col, text_col=text_col, lang_col=lang_col))
+    sent, digest = df.sparkSession.sparkContext.broadcast(pickle.dumps(model)), model.digest
+
+    def predict(sample: list[str]) -> tuple[list[str], list[float]]:
+        if digest not in _models:
+            _models.clear()
+            _models[digest] = pickle.loads(sent.value)
+        return _models[digest].predict(sample)
+
+    return predict
+
+
+def keep_languages(
+    df: DataFrame, least_score: float = LEAST_SCORE, allowed: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+) -> DataFrame:
+    """The rows of df, all columns unchanged, whose text has a language.
+
+    Rows go whose prediction is 'und', isn't among the allowed languages or has a score below least_score. Null and
+    letterless texts go therefore. If no row is labelled there is no model, and only letterless texts go.
+    """
+    expose_package(df.sparkSession)
+    labelled = not df.filter(F.col(f"`{lang_col}`").isNotNull()).isEmpty()
+    predict = _predictor(df, df, id_col, text_col, lang_col)
+
+    def passes(column: pa.Array) -> pa.Array:
+        sample = [x or "" for x in column.to_pylist()]
+        if not labelled:
+            return pa.array(map(has_letter, sample), pa.bool_())
+        names, scores = predict(sample)
+        return pa.array([n != "und" and s >= least_score and (allowed is None or n in allowed) for n, s in zip(names, scores)], pa.bool_())
+
+    return df.filter(F.arrow_udf(passes, "boolean")(F.col(f"`{text_col}`").cast("string")))
+
+
 def languages(df: DataFrame, train: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The predicted language of every text and its score.
 
@@ -166,14 +206,10 @@ def languages(df: DataFrame, train: DataFrame | None = None, id_col: str = "doc_
     One row comes back for each row; a null id counts as the empty text in the folds. Apart from the fit the plan has
     no shuffle; the model that is broadcast has at most LANGUAGES * LANDMARKS landmarks.
     """
-    model = fit(training_rows(train if train is not None else df, id_col=id_col, text_col=text_col, lang_col=lang_col))
-    sent, digest = df.sparkSession.sparkContext.broadcast(pickle.dumps(model)), model.digest
+    predict = _predictor(df, train if train is not None else df, id_col, text_col, lang_col)
 
     def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
-        if digest not in _models:
-            _models.clear()
-            _models[digest] = pickle.loads(sent.value)
-        names, scores = _models[digest].predict(texts(rows))
+        names, scores = predict(texts(rows))
         return record_batch(_ARROW, [rows.column("doc_id"), rows.column("held_out"), names, scores])
 
     docs = documents_of(df, id_col, text_col).withColumn("held_out", fold("doc_id", 4) == 2)
