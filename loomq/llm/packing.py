@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from loomq.llm.common import char_class, documents_of, map_batches, record_batch, texts
+from loomq.llm.token_counts import byte_symbols
 from loomq.session import expose_package
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -56,14 +57,23 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        shown = {b: c for c, b in byte_symbols().items()}
+        self.shown = [shown[b] for b in range(256)]
 
     def whole(self, text: str) -> bytes:
         return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def piece(self, word: str) -> bytes:
+        """Of one pre-tokenized word, by the library's model alone: nothing is left to normalize or split."""
+        shown = word if word.isascii() else "".join([self.shown[b] for b in word.encode("utf-8")])
+        return array("H", [token.id for token in self.model.tokenize(shown)]).tobytes()
+
     def __missing__(self, word: str) -> bytes:
         parts = _LATIN.findall(word)
-        ids = self.whole(word) if len(parts) == 1 else b"".join([self[part] for part in parts])
-        if len(self) < KEPT_WORDS and len(word) <= 32:
+        alone = len(parts) == 1 and parts[0] == word
+        ids = self.piece(word) if alone else b"".join([self[part] for part in parts])
+        if len(word) <= 32 and len(self) < (KEPT_WORDS if alone else KEPT_WORDS // 2):
             self[word] = ids
         return ids
 
