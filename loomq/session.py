@@ -24,12 +24,18 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     )
 
 
+#: Rows in an Arrow batch where the session leaves Spark's default, which is too many for long texts.
+BATCH_SETTING, SPARK_BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
+
+
 def expose_package(spark: SparkSession) -> None:
-    """Let the executors' Python workers import this package from where the driver has it.
+    """Prepare a session for Python on its executors; safe to call often.
 
-    Does nothing but set an environment variable of the workers, so it is safe to call often. On a cluster whose
-    machines do not share that path the package has to be installed there.
+    The workers can import this package from where the driver has it (on a cluster whose machines do not share that
+    path it has to be installed there). Arrow batches get smaller unless the session has its own setting.
     """
+    if spark.conf.get(BATCH_SETTING, SPARK_BATCH) == SPARK_BATCH:
+        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
