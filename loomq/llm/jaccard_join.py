@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomq.llm.common import documents_of, map_batches, raw_texts, record_batch
+from loomq.llm.common import documents_of, hold, map_batches, raw_texts, record_batch
 from loomq.llm.decontamination import words_of
 from loomq.session import expose_package, materialize
 
@@ -40,7 +40,7 @@ SMALL, LARGE, LEVELS = 256, 1024, 4
 #: Sets of a candidate group that one task compares with as many others.
 BLOCK = 512
 #: Words whose hashes a worker keeps.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 300_000
 
 _SETS = "doc_id long, set_key binary, n_shingles long, tokens binary"
 _SETS_ARROW = pa.schema([("doc_id", pa.int64()), ("set_key", pa.binary()), ("n_shingles", pa.int64()), ("tokens", pa.binary())])
@@ -174,8 +174,9 @@ def _exact_task(pairs: pa.Table, threshold: float) -> list[tuple[bytes, bytes, i
     sets = [np.frombuffer(x, np.uint64) for x in pairs.column("shingles").to_pylist()]
     sizes = np.array([len(s) for s in sets], np.float32)
     copies = np.array(pairs.column("copies").to_pylist(), np.int64)
-    side = pairs.column("block").to_numpy()
-    both = len(np.unique(side)) > 1
+    side, both = pairs.column("block").to_numpy(), pairs.column("mixed")[0].as_py()
+    if both and side.min() == side.max():
+        return []  # the other block has no sets
     left = np.flatnonzero(side == side.min()) if both else np.arange(len(keys))
     right = np.flatnonzero(side == side.max()) if both else left
     _, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -258,7 +259,9 @@ def candidate_edges(sets: DataFrame, threshold: float, recall: float, large: int
     found: DataFrame | None = None
     for level in range(LEVELS + 1):
         first = n + level * CHOICE
-        sizes = keys.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        # Counted first and told apart from its partitioning by ~~, so that Spark can split a path that many sets share.
+        sizes = materialize(keys.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+        sizes = sizes.select(F.bitwise_not(F.bitwise_not("path")).alias("path"), "n")
         shared = materialize(keys.join(sizes, "path").join(sets, "set_key").select("path", "n", "above", "set_key", "tokens"))
         # Small buckets share a task; one of more than a task's worth of comparisons has its own.
         group = F.when(F.col("n") > SMALL, F.col("path")).otherwise(F.pmod("path", F.lit(_groups(shared, 4096))))
@@ -297,6 +300,7 @@ def jaccard_classes(
     expose_package(df.sparkSession)
 
     def sketch(rows: pa.RecordBatch) -> pa.RecordBatch:
+        hold("jaccard join", _hashes.clear)
         keys, sizes, tokens = [], [], []
         for text in raw_texts(rows):
             found = shingles(text)
@@ -317,6 +321,7 @@ def jaccard_classes(
     dealt = members.join(sized, "component").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("set_key"), "blocks"))
 
     def spelt(rows: pa.RecordBatch) -> pa.RecordBatch:
+        hold("jaccard join", _hashes.clear)
         found = [shingles(text) for text in raw_texts(rows)]
         return record_batch(_FULL_ARROW, [rows.column("doc_id"), [set_key(x) if len(x) else None for x in found], [x.tobytes() for x in found]])
 
@@ -326,9 +331,9 @@ def jaccard_classes(
     full = map_batches(texts.select(F.col("id").alias("doc_id"), "text"), spelt, _FULL).select("set_key", "shingles")
     spread = full.join(dealt, "set_key").dropDuplicates(["set_key"])
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    pairs = spread.withColumn("other", other).withColumn("pair", F.least("block", "other") * F.col("blocks") + F.greatest("block", "other"))
+    pairs = spread.withColumn("other", other).withColumn("mixed", F.col("block") != F.col("other")).withColumn("pair", F.least("block", "other") * F.col("blocks") + F.greatest("block", "other"))
     group = F.when(F.col("n") > F.lit(min(64, block)), F.xxhash64("component", "pair")).otherwise(F.pmod(F.xxhash64("component"), F.lit(_groups(members, 1024))))
-    kept = ["component", "pair", "block", "set_key", "copies", "shingles"]
+    kept = ["component", "pair", "block", "mixed", "set_key", "copies", "shingles"]
     exact = pairs.withColumn("dealt", group).select("dealt", *kept).groupBy("dealt").applyInArrow(_comparer(threshold), _EXACT)
     exact = materialize(exact)
 
