@@ -1,8 +1,8 @@
 """Toxicity by a weighted lexicon.
 
 Texts are folded (case, homoglyphs, digits and signs that stand for letters, marks) and scanned once by an Aho-Corasick
-automaton. The lexicon is learned from a bounded sample of labelled rows: word beginnings that toxic texts have far more
-often than others, each weighted by its log odds. Longer beginnings that clean texts use as often are exception phrases:
+automaton. The lexicon is learned from a bounded sample of labelled rows: words and word beginnings that toxic texts have
+far more often than others, each weighted by its log odds. Longer beginnings that clean texts use as often are exception phrases:
 a term inside one doesn't count. The matched weight, as a sum and normalised by the text's length, is turned into a score
 by a logistic regression.
 """
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomq.llm.common import documents_of, fold, map_batches, record_batch, texts
+from loomq.llm.common import documents_of, fold, hold, map_batches, record_batch, texts
 
 #: Bounds of the labelled sample: rows, and characters of a row that may be in it.
 SAMPLE, SAMPLE_CHARS = 6_000, 30_000
@@ -120,7 +120,7 @@ def learn(labelled: list[tuple[str, int]]) -> Lexicon:
     odds = {b: math.log((uses[1][b] + 0.5) / size[1]) - math.log((uses[0][b] + 0.5) / size[0]) for b in hopeful}
     evidence = {b: _evidence(uses[0][b], uses[1][b], *size) for b in hopeful if odds[b] >= TERM_ODDS}
     terms: dict[str, float] = {}
-    for b in sorted((b for b, g in evidence.items() if g >= TERM_EVIDENCE), key=lambda b: (-round(evidence[b], 6), -len(b), b)):
+    for b in sorted((b for b, g in evidence.items() if g >= TERM_EVIDENCE), key=lambda b: (-round(evidence[b], 6), b.endswith(" "), -len(b), b)):
         if not any(b.startswith(t) or t.startswith(b) for t in terms):
             terms[b] = odds[b]
     exceptions = _exceptions(terms, counted, labelled, size)
@@ -135,6 +135,8 @@ def _beginnings(words: Counter) -> Counter:
         for k in TERM_CHARS:
             if k <= len(w):
                 found[w[:k]] += n
+        if len(w) >= TERM_CHARS[0]:
+            found[w + " "] += n  # the whole word
     return found
 
 
@@ -196,6 +198,7 @@ def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sent, digest = df.sparkSession.sparkContext.broadcast(pickle.dumps(lexicon)), lexicon.digest
 
     def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
+        hold("toxicity", _lexicons.clear)
         if digest not in _lexicons:
             _lexicons.clear()
             _lexicons[digest] = pickle.loads(sent.value)
