@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomq.llm.common import documents_of, record_batch
+from loomq.llm.common import documents_of, hold, record_batch
 from loomq.llm.decontamination import words_of
 from loomq.session import expose_package, materialize
 
@@ -63,6 +63,7 @@ def block_grams(texts: list[bytes], order: int) -> tuple[list[int], np.ndarray,
 
     Places with fewer words before them than an order needs hold that order's n-gram of lower order, which is ignored.
     """
+    hold("backoff", _hashes.clear)
     sizes, parts = [], []
     for text in texts:
         words = words_of(text)

@@ -53,6 +53,19 @@ def record_batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     )
 
 
+_holder: list = [None, lambda: None]
+
+
+def hold(owner: str, release: Callable[[], None]) -> None:
+    """What an operator calls on an executor before it uses tables that it keeps there.
+
+    Workers live on from one stage to the next; the tables of the operator before are released.
+    """
+    if _holder[0] != owner:
+        _holder[1]()
+        _holder[:] = [owner, release]
+
+
 def char_class(major: str, limit: int = 0x300) -> str:
     """The body of a regex class: code points below the limit whose Unicode category starts with the letter."""
     found = [c for c in range(limit) if unicodedata.category(chr(c)).startswith(major)]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomq.llm.common import documents_of, map_batches, raw_texts, record_batch
+from loomq.llm.common import documents_of, hold, map_batches, raw_texts, record_batch
 from loomq.session import expose_package
 
 WINDOW_WORDS = 13
@@ -133,6 +133,7 @@ _automata: dict[str, Windows] = {}
 
 
 def _automaton(key: str, items: list[tuple[str, bytes]], width: int) -> Windows:
+    hold("decontamination", _automata.clear)
     if key not in _automata:
         _automata.clear()
         _automata[key] = Windows(items, width)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomq.llm.common import documents_of, fold, map_batches, record_batch, texts
+from loomq.llm.common import documents_of, fold, hold, map_batches, record_batch, texts
 from loomq.session import expose_package
 
 #: Bounds of the labelled sample: texts for each language (of at most so many characters) and landmarks among them.
@@ -162,12 +162,19 @@ def training_rows(df: DataFrame, per_language: int = SAMPLE, id_col: str = "doc_
 _models: dict[str, Model] = {}
 
 
+def _release() -> None:
+    global _TABLE
+    _TABLE = None
+    _models.clear()
+
+
 def _predictor(df: DataFrame, train: DataFrame, id_col: str, text_col: str, lang_col: str) -> Callable[[list[str]], tuple[list[str], list[float]]]:
     """A fitted model as a function that executors can call."""
     model = fit(training_rows(train, id_col=id_col, text_col=text_col, lang_col=lang_col))
     sent, digest = df.sparkSession.sparkContext.broadcast(pickle.dumps(model)), model.digest
 
     def predict(sample: list[str]) -> tuple[list[str], list[float]]:
+        hold("language ID", _release)
         if digest not in _models:
             _models.clear()
             _models[digest] = pickle.loads(sent.value)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loomq.llm.common import char_class, documents_of, map_batches, record_batch, texts
+from loomq.llm.common import char_class, documents_of, hold, map_batches, record_batch, texts
 from loomq.llm.token_counts import byte_symbols
 from loomq.session import expose_package
 
@@ -43,10 +43,8 @@ _OTHER = re.compile("[\x1c-\x1f\u0300-\U0010ffff]")
 _LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\\t-\\r \\x85\\xa0{_L}{_N}]+")
 
 _CUT = pa.schema([("doc_id", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary()), ("bucket", pa.int64())])
-PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-_PIECES = pa.schema(
-    [(c, pa.int64()) for c in ("doc_id", "start", "length")] + [("ids", pa.binary())] + [(c, pa.int64()) for c in ("doc_tokens", "sequence_id", "offset")]
-)
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+_PIECES = pa.schema([(c.split()[0], pa.int64()) for c in PIECES.split(", ")])
 
 
 class WordIds(dict):
@@ -66,7 +64,7 @@ class WordIds(dict):
 
     def piece(self, word: str) -> bytes:
         """Of one pre-tokenized word, by the library's model alone: nothing is left to normalize or split."""
-        shown = word if word.isascii() else "".join([self.shown[b] for b in word.encode("utf-8")])
+        shown = word if word.isascii() and word.isprintable() else "".join([self.shown[b] for b in word.encode("utf-8")])
         return array("H", [token.id for token in self.model.tokenize(shown)]).tobytes()
 
     def __missing__(self, word: str) -> bytes:
@@ -182,12 +180,13 @@ def pack_lengths(lengths: list[int], window: int = WINDOW) -> list[list[tuple[in
 
 def pack(
     df: DataFrame, window: int = WINDOW, end_id: int = END_ID, vocabulary: str = VOCABULARY, bucket_documents: int = BUCKET_DOCUMENTS,
-    id_col: str = "doc_id", text_col: str = "text",
+    id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True,
 ) -> DataFrame:
     """Every document's identifiers plus an end identifier, packed into sequences of at most window identifiers.
 
-    A row is a piece: doc_id, start (identifiers of its document before it), length, ids (little-endian
-    unsigned 16-bit), doc_tokens, sequence_id and offset. A null or empty text is a
+    A row is a piece: doc_id, start (identifiers of its document before it), length, ids_crc32 (of its identifiers as
+    little-endian unsigned 32-bit numbers), doc_tokens, sequence_id and offset, and with with_ids also ids, the
+    identifiers as little-endian unsigned 16-bit numbers. A null or empty text is a
     document of the end identifier only. Repeated rows are documents of their own; null ids are kept. An empty table
     gives no rows. One shuffle deals the documents into buckets whose number grows with the table.
     """
@@ -195,7 +194,10 @@ def pack(
     expose_package(df.sparkSession)
     buckets = max(1, -(-docs.count() // bucket_documents))
 
+    schema = _PIECES.append(pa.field("ids", pa.binary())) if with_ids else _PIECES
+
     def cut(rows: pa.RecordBatch) -> pa.RecordBatch:
+        hold("packing", word_ids.cache_clear)
         model, end = word_ids(vocabulary), array("H", [end_id]).tobytes()
         keys = rows.column("doc_id").to_pylist()
         ids = [model.ids(text) + end for text in texts(rows)]
@@ -206,32 +208,19 @@ def pack(
         rows = rows.sort_by([("doc_id", "ascending"), ("doc_tokens", "ascending"), ("ids", "ascending")])
         keys, ids = rows.column("doc_id").to_pylist(), rows.column("ids").to_pylist()
         sizes = rows.column("doc_tokens").to_pylist()
-        out: list[list] = [[] for _ in _PIECES]
+        out: list[list] = [[] for _ in schema]
         base = key[0].as_py() << 40
         for n, sequence in enumerate(pack_lengths(sizes, window)):
             offset = 0
             for item, start, length in sequence:
-                row = (keys[item], start, length, ids[item][2 * start : 2 * (start + length)], sizes[item], base + n, offset)
+                own = ids[item][2 * start : 2 * (start + length)]
+                row = (keys[item], start, length, zlib.crc32(np.frombuffer(own, "<u2").astype("<u4").tobytes()), sizes[item], base + n, offset, own)
                 for column, value in zip(out, row):
                     column.append(value)
                 offset += length
-        return pa.Table.from_batches([record_batch(_PIECES, out)])
+        return pa.Table.from_batches([record_batch(schema, out)])
 
     if word_ids(vocabulary).tokenizer.get_vocab_size() > 1 << 16:
         raise ValueError("identifiers must fit 16 bits")
     dealt = map_batches(docs, cut, "doc_id long, doc_tokens long, ids binary, bucket long")
-    return dealt.groupBy("bucket").applyInArrow(fill, PIECES)
-
-
-_DIGEST = pa.schema([(f.name if f.name != "ids" else "ids_crc32", pa.int64()) for f in _PIECES])
-
-
-def pack_digest(df: DataFrame, **options) -> DataFrame:
-    """The pieces of pack() with the crc32 of their identifiers in place of these."""
-
-    def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
-        sums = [zlib.crc32(np.frombuffer(x, "<u2").astype("<u4").tobytes()) for x in rows.column("ids").to_pylist()]
-        return record_batch(_DIGEST, [pa.array(sums, pa.int64()) if f.name == "ids" else rows.column(f.name) for f in _PIECES])
-
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return pack(df, **options).mapInArrow(lambda batches: map(batch, batches), schema)
+    return dealt.groupBy("bucket").applyInArrow(fill, PIECES + ", ids binary" * with_ids)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomq.llm.common import documents_of, map_batches, raw_texts, record_batch
+from loomq.llm.common import documents_of, hold, map_batches, raw_texts, record_batch
 
 #: Bounds of the labelled sample: texts, and characters of a text that may be in it.
 SAMPLE, SAMPLE_CHARS = 4_000, 20_000
@@ -221,6 +221,7 @@ def quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sent, digest = df.sparkSession.sparkContext.broadcast(pickle.dumps(field)), field.digest
 
     def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
+        hold("quality", _fields.clear)
         if digest not in _fields:
             _fields.clear()
             _fields[digest] = pickle.loads(sent.value)

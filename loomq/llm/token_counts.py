@@ -18,7 +18,7 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
 
-from loomq.llm.common import BEYOND, char_class, documents_of, map_batches, raw_texts, record_batch
+from loomq.llm.common import BEYOND, char_class, documents_of, hold, map_batches, raw_texts, record_batch
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: Words whose counts a worker keeps; rarer ones beyond it are counted anew each time.
@@ -110,6 +110,7 @@ def token_counts(df: DataFrame, limit: int = 1024, vocabulary: str = VOCABULARY,
     """
 
     def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
+        hold("token counts", counter.cache_clear)
         model, data = counter(vocabulary), raw_texts(rows)
         n = [model.count(x.decode("utf-8", "replace")) for x in data]
         return record_batch(_ARROW, [rows.column("doc_id"), [len(x) for x in data], n, [x > limit for x in n]])
