@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomq.llm import backoff, decontamination, jaccard_join
 from loomq.llm.language_id import languages
-from loomq.llm.packing import pack_digest
+from loomq.llm.licenses import licenses
+from loomq.llm.packing import pack
 from loomq.llm.quality import quality
 from loomq.llm.secrets import secrets
 from loomq.llm.token_counts import token_counts
@@ -26,6 +27,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -35,7 +40,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_digest(table(spark, sf_dir, "documents"))
+    return pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +62,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
+    "op3_license_scans": op3_license_scans,
     "op4_toxicity": op4_toxicity,
     "op5_quality_rules": op5_quality_rules,
     "op6_packing": op6_packing,
