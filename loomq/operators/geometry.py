@@ -113,8 +113,9 @@ def rooms(regions: DataFrame, keys: Sequence[str], order: str, image_width: str,
     )
     free = FREE_HEIGHTS * F.col("height")
     edge_right, edge_bottom = F.col(image_width) - F.col("x") - F.col("width"), F.col(image_height) - F.col("y") - F.col("height")
-    below = F.least(F.coalesce(F.greatest(F.col("below") - MARGIN, F.lit(1.0)), free), edge_bottom)
-    above = F.coalesce(F.greatest(F.col("above") - MARGIN, F.lit(0.0)), F.least(free, F.col("y")))
+    # greatest() skips nulls, so a missing neighbour has to be asked for.
+    below = F.least(F.when(F.col("below").isNull(), free).otherwise(F.greatest(F.col("below") - MARGIN, F.lit(1.0))), edge_bottom)
+    above = F.when(F.col("above").isNull(), F.least(free, F.col("y"))).otherwise(F.greatest(F.col("above") - MARGIN, F.lit(0.0)))
     sides = [F.least(F.coalesce(c, e), e) - MARGIN for c, e in ((F.col("left"), F.col("x")), (F.col("right"), edge_right))]
     zero = F.lit(0.0)
     values = (("room_below", below), ("room_above", above), ("room_left", sides[0]), ("room_right", sides[1]))

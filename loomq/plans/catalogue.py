@@ -334,8 +334,8 @@ WITH {_BOXES}, n AS (SELECT a.image, a.idx, a.x, a.y, a.width, a.height,
   min(CASE WHEN b.y < a.y + a.height AND b.y + b.height > a.y AND b.x + b.width <= a.x THEN a.x - b.x - b.width END) AS l,
   min(CASE WHEN b.y < a.y + a.height AND b.y + b.height > a.y AND b.x >= a.x + a.width THEN b.x - a.x - a.width END) AS r
   FROM box a LEFT JOIN box b ON a.image = b.image AND a.idx <> b.idx GROUP BY ALL)
-SELECT image, idx, CAST(greatest(least(coalesce(greatest(below - 3, 1), 4.0 * height), 1000 - y - height), 0) AS DOUBLE) AS room_below,
-  CAST(greatest(coalesce(greatest(above - 3, 0), least(4.0 * height, y)), 0) AS DOUBLE) AS room_above,
+SELECT image, idx, CAST(greatest(least(CASE WHEN below IS NULL THEN 4.0 * height ELSE greatest(below - 3, 1) END, 1000 - y - height), 0) AS DOUBLE) AS room_below,
+  CAST(greatest(CASE WHEN above IS NULL THEN least(4.0 * height, y) ELSE greatest(above - 3, 0) END, 0) AS DOUBLE) AS room_above,
   CAST(greatest(least(coalesce(l, x), x) - 3, 0) AS DOUBLE) AS room_left, CAST(greatest(least(coalesce(r, 600 - x - width), 600 - x - width) - 3, 0) AS DOUBLE) AS room_right FROM n
 """)
 def rooms(spark, sf_dir):
