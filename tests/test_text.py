@@ -110,13 +110,13 @@ def test_dominant(spark):
 
 def test_terms_file(tmp_path):
     file = tmp_path / "terms.csv"
-    file.write_bytes('﻿Begriff;Kommentar\nClaude;x\n\n CLAUDE ;y\nAnthropic;z\n'.encode())
-    assert settings.terms_file(file) == ["Claude", "Anthropic"]
+    file.write_bytes('﻿Begriff;Kommentar\nClavis;x\n\n CLAVIS ;y\nArboretum;z\n'.encode())
+    assert settings.terms_file(file) == ["Clavis", "Arboretum"]
     file.write_bytes('"Foo, Inc.",company\nBär,x\n'.encode("cp1252"))
     assert settings.terms_file(file) == ["Foo, Inc.", "Bär"]
     file.write_text("Wisdom\nwisdom\nFoo\n")
     assert settings.terms_file(file) == ["Wisdom", "Foo"]
-    assert settings.merge_terms("Anthropic\nClaude", ["claude", "VIRELICON", "Anthropic", "Acme"]) == "Anthropic\nClaude\nVIRELICON\nAcme"
+    assert settings.merge_terms("Arboretum\nClavis", ["clavis", "VIRELICON", "Arboretum", "Acme"]) == "Arboretum\nClavis\nVIRELICON\nAcme"
 
 
 def test_settings(spark, tmp_path):
