@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from typing import Protocol
 
@@ -27,7 +28,17 @@ class Echo:
         return [ValueError("refused") if "[[fail]]" in t else f"[{target}] {t}" for t in texts]
 
 
-_PROVIDERS: dict[str, Callable[[], Provider]] = {"echo": Echo}
+class Upper:
+    """A provider for tests that keeps markup: capitals outside of tags, character references and placeholders."""
+
+    def translate(self, texts: list[str], target: str, source: str | None) -> list[str | Exception]:
+        def capitals(m: re.Match) -> str:
+            return m[0] if m[1] else m[0].upper()
+
+        return [re.sub(r"(<[^>]+>|&[a-z#0-9]+;|§§\w+§§)|[^<&§]+", capitals, t) for t in texts]
+
+
+_PROVIDERS: dict[str, Callable[[], Provider]] = {"echo": Echo, "upper": Upper}
 
 
 class UnknownProvider(KeyError):

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomq.functions import dates, ordering, text
-from loomq.operators import cost, dedupe, geometry, layout, manifest, merge, regions, search, translate
+from loomq.operators import cost, dedupe, geometry, layout, manifest, merge, pages, pipelines, regions, search, translate
 from loomq.session import table
 from loomq.sources.files import tree_files
 
@@ -741,3 +741,63 @@ def side_by_side(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations")
     done = turns.filter(F.col("turn") % 2 == 0).select("conv_id", "turn", F.upper("role").alias("text"))
     return translate.side_by_side(turns.select("conv_id", "turn", "text"), done, ["conv_id", "turn"])
+
+
+@query("""
+WITH l AS (SELECT l_orderkey AS doc_id, l_linenumber AS block_index, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice) AS line_index,
+  CAST(l_quantity AS DOUBLE) AS x0, 'p' || CAST(l_partkey AS VARCHAR) AS text, l_partkey % 4 = 0 AS lit FROM lineitem),
+r AS (SELECT *, lag(lit) OVER (PARTITION BY doc_id, block_index ORDER BY line_index) AS before FROM l),
+n AS (SELECT *, sum(CASE WHEN before <> lit THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, block_index ORDER BY line_index ROWS UNBOUNDED PRECEDING) AS run FROM r),
+b AS (SELECT doc_id, block_index, run, lit AS highlighted, string_agg(text, chr(10) ORDER BY line_index) AS text, min(x0) AS x0 FROM n GROUP BY ALL)
+SELECT doc_id, block_index, highlighted, text, x0, row_number() OVER (PARTITION BY doc_id ORDER BY block_index, run) AS place FROM b
+""")
+def page_blocks(spark, sf_dir):
+    items = table(spark, sf_dir, "lineitem")
+    w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_extendedprice")
+    at = (F.col("l_linenumber") * 1000 + F.col("line_index") * 10).cast("double")
+    # Lines of one column, each at a height of its own; a band lies on every line whose part's key is a multiple of four.
+    lines = items.select("*", F.row_number().over(w).alias("line_index")).select(
+        F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page_index"), F.col("l_linenumber").alias("block_index"), "line_index", F.col("l_quantity").alias("x0"),
+        at.alias("y0"), (F.col("l_quantity") + 5).alias("x1"), (at + 8).alias("y1"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("text"), "l_partkey",
+    )
+    bands = lines.filter(F.col("l_partkey") % 4 == 0).select("doc_id", "page_index", "x0", "y0", "x1", "y1")
+    found = pages.page_blocks(lines.drop("l_partkey"), bands, bands.filter("false"))
+    return found.select("doc_id", "block_index", "highlighted", "text", "x0", F.col("place").cast("long").alias("place"))
+
+
+@query(f"""
+WITH RECURSIVE {_BOXES}, m AS (SELECT image, median(height) AS h FROM box WHERE translatable AND confidence >= 40 GROUP BY image),
+ok AS (SELECT b.* FROM box b JOIN m ON m.image = b.image WHERE translatable AND confidence >= 40 AND height <= 4 * h),
+near AS (SELECT a.image, a.idx, a.height, b.idx AS nxt, b.y - a.y - a.height AS gap FROM ok a JOIN ok b ON a.image = b.image AND a.idx <> b.idx AND b.x < a.x + a.width
+  AND b.x + b.width > a.x AND b.y >= a.y + a.height AND least(a.height, b.height) >= 0.6 * greatest(a.height, b.height)
+  QUALIFY row_number() OVER (PARTITION BY a.image, a.idx ORDER BY b.y - a.y - a.height, b.idx) = 1),
+link AS (SELECT image, min(idx) AS idx, nxt FROM near WHERE gap < 0.6 * height GROUP BY image, nxt),
+chain(image, idx, head) AS (SELECT b.image, b.idx, b.idx FROM ok b LEFT JOIN link l ON l.image = b.image AND l.nxt = b.idx WHERE l.idx IS NULL
+  UNION ALL SELECT l.image, l.nxt, c.head FROM chain c JOIN link l ON l.image = c.image AND l.idx = c.idx),
+g AS (SELECT c.image, c.head, count(*) AS n, CAST(sum(length(b.text)) + count(*) - 1 AS BIGINT) AS chars FROM chain c JOIN ok b ON b.image = c.image AND b.idx = c.idx GROUP BY 1, 2)
+SELECT b.image, count(*) AS regions, count(*) - (SELECT coalesce(sum(n), 0) FROM g WHERE g.image = b.image) AS skipped, (SELECT coalesce(sum(n), 0) FROM g WHERE g.image = b.image) AS translated,
+       0 AS failed, (SELECT coalesce(sum(chars), 0) FROM g WHERE g.image = b.image) AS chars_sent FROM box b GROUP BY b.image
+""")
+def image_translation(spark, sf_dir):
+    boxes = _boxes(spark, sf_dir).withColumn("line_height", F.lit(None).cast("long"))
+    return pipelines.translate_images(boxes, ["image"], "idx", "echo", "DE")[1]
+
+
+@query("""
+WITH p AS (SELECT conv_id, turn, list_filter(list_transform(string_split(text, chr(10)), lambda x, i: {'t': x, 'n': i - 1}),
+                  lambda s: regexp_matches(s.t, '\\p{L}') AND NOT regexp_matches(s.t, '(?i)^\\s*(https?://|www\\.|mailto:)')) AS s FROM conversations)
+SELECT conv_id, count(*) AS units, count(*) FILTER (WHERE len(s) > 0) AS translated, count(*) FILTER (WHERE len(s) = 0) AS skipped, 0 AS failed,
+  CAST(sum(coalesce(list_sum(list_transform(s, lambda e: length('<span data-run="' || CAST(e.n AS VARCHAR) || '">' ||
+       replace(replace(replace(e.t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</span>'))), 0)) AS BIGINT) AS chars_sent FROM p GROUP BY conv_id
+""")
+def slide_translation(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.split("text", "\n").alias("texts"))
+    done = pipelines.translate_slides(turns, ["conv_id", "turn"], "upper", "DE")
+    return translate.outcome_stats(done, ["conv_id"])
+
+
+@query()
+def word_translation(spark, sf_dir):
+    run = "struct(text, true as translatable, false as is_image, false as is_hyperlink, cast(null as string) as hyperlink_target, turn % 2 = 0 as bold, false as italic, false as underline)"
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("path"), F.lit("body").alias("part"), F.col("turn").alias("para_index"), (F.col("role") != "system").alias("translatable"), F.expr(f"array({run})").alias("runs"))
+    return pipelines.word_stats(pipelines.translate_word(turns, "upper", "DE"))

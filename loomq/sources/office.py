@@ -125,7 +125,7 @@ def read_word(files: DataFrame, mask_metadata: bool = False) -> DataFrame:
                     rows += list(word_rows(path, bytes(content), mask_metadata))
                 except (zipfile.BadZipFile, ET.ParseError, ValueError, KeyError) as error:
                     rows.append({"path": path, "part": "body", "runs": [], "error": f"{type(error).__name__}: {error}"})
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in PARAGRAPHS.split(", ")]).astype({"para_index": "Int32", "section": "Int32"})
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in PARAGRAPHS.split(", ")], dtype=object).astype({"para_index": "Int32", "section": "Int32"})
 
     return files.select("path", "content").mapInPandas(read, PARAGRAPHS)
 
@@ -255,7 +255,7 @@ def read_slides(files: DataFrame) -> DataFrame:
                 except (zipfile.BadZipFile, ET.ParseError, ValueError) as error:
                     rows.append({"path": path, "paragraphs": [], "error": f"{type(error).__name__}: {error}"})
             kinds = {c: "Int32" for c in ("slide_number", "table_row", "table_col")} | {c: "Int64" for c in ("width", "height")}
-            yield pd.DataFrame(rows, columns=columns).astype(kinds)
+            yield pd.DataFrame(rows, columns=columns, dtype=object).astype(kinds | {"font_points": "float64"})
 
     return files.select("path", "content").mapInPandas(read, CONTAINERS)
 
