@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -33,10 +33,11 @@ def slide_key(path: Column) -> list[Column]:
 
 def move(df: DataFrame, ordinal: str, at: int, by: int) -> DataFrame:
     """Swap the row at a place with its neighbour (by is 1 or -1); a place at the edge stays."""
-    last = F.max(ordinal).over(Window.partitionBy(F.lit(0)))
-    target = at + by
+    last, target = df.agg(F.max(ordinal)).first()[0], at + by
+    if last is None or not 0 <= target <= last:
+        return df
     swapped = F.when(F.col(ordinal) == at, F.lit(target)).when(F.col(ordinal) == target, F.lit(at)).otherwise(F.col(ordinal))
-    return df.withColumn("__last", last).withColumn(ordinal, F.when((F.lit(target) >= 0) & (F.lit(target) <= F.col("__last")), swapped).otherwise(F.col(ordinal)).cast("long")).drop("__last")
+    return df.withColumn(ordinal, swapped.cast("long"))
 
 
 #: What a page selection's errors say.
