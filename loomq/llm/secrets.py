@@ -155,7 +155,8 @@ def redact(
     """
     expose_package(df.sparkSession)
     text, unnamed = F.col(f"`{text_col}`"), F.lit("")
-    found = F.arrow_udf(_found_batch, _FOUND)
+    # Not called deterministic, or Spark would scan once for the filter and once more for the column.
+    found = F.arrow_udf(_found_batch, _FOUND).asNondeterministic()
     docs = df.withColumn("__found", found(text))
     none = docs.filter(F.size("__found") == 0).drop("__found")
     some = materialize(docs.filter(F.size("__found") > 0).withColumn("__row", F.monotonically_increasing_id()))
