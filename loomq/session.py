@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,11 +45,21 @@ def expose_package(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's spark.checkpoint.dir; set a folder of our own only where none is named, as in tests."""
+    """Keep the cluster's spark.checkpoint.dir; set a folder of our own only in local mode, where none is named.
+
+    That folder goes when the process ends. On a cluster a local folder would be lost with its machine, so there a
+    missing setting is an error.
+    """
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "loomq-checkpoints"))
+    if context.getCheckpointDir() is not None:
+        return
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="loomq-checkpoints-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    context.setCheckpointDir(named)
 
 
 def materialize(df: DataFrame) -> DataFrame:
