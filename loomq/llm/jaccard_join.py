@@ -259,19 +259,18 @@ def candidate_edges(sets: DataFrame, threshold: float, recall: float, large: int
     found: DataFrame | None = None
     for level in range(LEVELS + 1):
         first = n + level * CHOICE
-        # Counted first and told apart from its partitioning by ~~, so that Spark can split a path that many sets share.
-        sizes = materialize(keys.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-        sizes = sizes.select(F.bitwise_not(F.bitwise_not("path")).alias("path"), "n")
+        sizes = _apart(materialize(keys.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")), "path")
         shared = materialize(keys.join(sizes, "path").join(sets, "set_key").select("path", "n", "above", "set_key", "tokens"))
         # Small buckets share a task; one of more than a task's worth of comparisons has its own.
-        group = F.when(F.col("n") > SMALL, F.col("path")).otherwise(F.pmod("path", F.lit(_groups(shared, 4096))))
+        group = F.when(F.col("n") > SMALL, F.col("path")).otherwise(F.pmod("path", F.lit(_groups(shared, 1024))))
         small = shared.filter(F.col("n") <= large).select(group.alias("dealt"), "path", "set_key", "tokens")
         edges = small.groupBy("dealt").applyInArrow(_linker(first, least), _EDGE)
         # A large bucket that kept over half of the one above is alike: a star, which the exact comparison takes apart.
         alike = (F.col("n") > large) & ((F.col("n") * 2 > F.col("above")) | F.lit(level == LEVELS))
         stars = shared.filter(alike).select("path", "set_key")
-        stars = stars.join(stars.groupBy("path").agg(F.min("set_key").alias("a")), "path").select("a", F.col("set_key").alias("b"))
-        edges = edges.unionByName(stars)
+        if not stars.isEmpty():
+            hearts = _apart(materialize(stars.groupBy("path").agg(F.min("set_key").alias("a"))), "path")
+            edges = edges.unionByName(stars.join(hearts, "path").select("a", F.col("set_key").alias("b")))
         found = edges if found is None else found.unionByName(edges)
         rest = shared.filter((F.col("n") > large) & ~F.coalesce(alike, F.lit(False)))
         if rest.isEmpty():
@@ -280,6 +279,12 @@ def candidate_edges(sets: DataFrame, threshold: float, recall: float, large: int
     return found
 
 
+def _apart(counted: DataFrame, key: str) -> DataFrame:
+    """The same rows, of which Spark no longer knows how they are dealt. A join with them then deals both sides anew, and
+    only such a join can be split where many rows share a key."""
+    return counted.withColumn(key, F.bitwise_not(F.bitwise_not(key)))
+
+
 def _groups(rows: DataFrame, size: int) -> int:
     return max(1, -(-rows.count() // size))
 
