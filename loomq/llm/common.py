@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomq.session import expose_package
+from loomq.session import expose_package, materialize
 
 
 def documents_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more: str) -> DataFrame:
@@ -53,6 +53,16 @@ def record_batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     )
 
 
+def apart(counted: DataFrame, key: str) -> DataFrame:
+    """A stored table with one row for each key, of which Spark no longer knows how it is dealt.
+
+    A join with it deals both sides anew, and only such a join can be split where many rows of the other share a key.
+    """
+    kind = dict(counted.dtypes)[key]
+    again = {"bigint": lambda c: F.bitwise_not(F.bitwise_not(c)), "binary": lambda c: F.unhex(F.hex(c)), "string": lambda c: F.reverse(F.reverse(c))}
+    return materialize(counted).withColumn(key, again[kind](F.col(key)))
+
+
 _holder: list = [None, lambda: None]
 
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomq.llm.common import documents_of, hold, map_batches, raw_texts, record_batch
+from loomq.llm.common import apart, documents_of, hold, map_batches, raw_texts, record_batch
 from loomq.llm.decontamination import words_of
 from loomq.session import expose_package, materialize
 
@@ -259,7 +259,7 @@ def candidate_edges(sets: DataFrame, threshold: float, recall: float, large: int
     found: DataFrame | None = None
     for level in range(LEVELS + 1):
         first = n + level * CHOICE
-        sizes = _apart(materialize(keys.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")), "path")
+        sizes = apart(keys.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "path")
         shared = materialize(keys.join(sizes, "path").join(sets, "set_key").select("path", "n", "above", "set_key", "tokens"))
         # Small buckets share a task; one of more than a task's worth of comparisons has its own.
         group = F.when(F.col("n") > SMALL, F.col("path")).otherwise(F.pmod("path", F.lit(_groups(shared, 1024))))
@@ -269,7 +269,7 @@ def candidate_edges(sets: DataFrame, threshold: float, recall: float, large: int
         alike = (F.col("n") > large) & ((F.col("n") * 2 > F.col("above")) | F.lit(level == LEVELS))
         stars = shared.filter(alike).select("path", "set_key")
         if not stars.isEmpty():
-            hearts = _apart(materialize(stars.groupBy("path").agg(F.min("set_key").alias("a"))), "path")
+            hearts = apart(stars.groupBy("path").agg(F.min("set_key").alias("a")), "path")
             edges = edges.unionByName(stars.join(hearts, "path").select("a", F.col("set_key").alias("b")))
         found = edges if found is None else found.unionByName(edges)
         rest = shared.filter((F.col("n") > large) & ~F.coalesce(alike, F.lit(False)))
@@ -279,12 +279,6 @@ def candidate_edges(sets: DataFrame, threshold: float, recall: float, large: int
     return found
 
 
-def _apart(counted: DataFrame, key: str) -> DataFrame:
-    """The same rows, of which Spark no longer knows how they are dealt. A join with them then deals both sides anew, and
-    only such a join can be split where many rows share a key."""
-    return counted.withColumn(key, F.bitwise_not(F.bitwise_not(key)))
-
-
 def _groups(rows: DataFrame, size: int) -> int:
     return max(1, -(-rows.count() // size))
 
@@ -347,6 +341,7 @@ def jaccard_classes(
     classes = linked.join(sets.select("set_key", "id"), "set_key").groupBy("component").agg(F.min("id").alias("class"))
     classed = linked.join(classes, "component").join(links, "set_key").select("set_key", "class", "links")
     known = sets.join(classed, "set_key", "left").select("set_key", F.coalesce("class", "id").alias("class"), F.coalesce("links", F.lit(0)).alias("links"), "copies")
+    known = apart(known, "set_key")  # a third of all documents may be copies of one
     class_id = F.when(F.col("class") != -(1 << 63), F.col("class")).alias("class_id")
     n_links = (F.col("links") + F.col("copies") - 1).cast("long").alias("n_links")
     joined = filled.join(known, "set_key").select("doc_id", class_id, n_links, F.col("copies").cast("long").alias("n_copies"), "n_shingles")
