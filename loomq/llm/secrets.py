@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomq.llm.common import documents_of, map_batches, record_batch, texts
+from loomq.llm.common import apart, documents_of, map_batches, record_batch, texts
 from loomq.session import expose_package, materialize
 
 #: Distinct owners from which on a value counts as a widely copied example.
@@ -115,7 +115,8 @@ def ownership(candidates: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> Da
 def judge(scanned: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
     """Verdicts of scanned rows with a unique column row: row, n_live, n_example, live (the found entries that are)."""
     one = scanned.select("row", "owner", "repository", F.explode("found").alias("f")).select("row", "owner", "repository", "f.*")
-    verdicts = one.join(ownership(one, example_owners).select("hash", "copied"), "hash", "left")
+    copied = apart(ownership(one, example_owners).select("hash", "copied"), "hash")  # one value may be in many rows
+    verdicts = one.join(copied, "hash", "left")
     example = F.col("copied") | F.col("placeholder")
     return verdicts.groupBy("row").agg(
         F.count_if(~example).alias("n_live"), F.count_if(example).alias("n_example"),
