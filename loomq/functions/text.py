@@ -10,9 +10,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Fixed value: the characters that count as white space.
+WHITE_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def stripped(text: Column) -> Column:
-    """Without white space of any script at both ends, where trim() takes spaces only."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Without white space of any script at both ends, where trim() by itself takes spaces only."""
+    return F.trim(text, F.lit(WHITE_SPACE))
 
 
 def collapsed(text: Column) -> Column:
