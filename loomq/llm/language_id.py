@@ -10,18 +10,19 @@ from __future__ import annotations
 import hashlib
 import pickle
 from collections.abc import Callable
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomq.llm.common import documents_of, fold, hold, map_batches, record_batch, texts
 from loomq.session import expose_package
 
-#: Bounds of the labelled sample: texts for each language (of at most so many characters) and landmarks among them.
+#: Bounds of the labelled sample: texts for each language (of a longer one an excerpt of so many characters) and landmarks among them.
 SAMPLE, SAMPLE_CHARS, LANDMARKS = 500, 20_000, 48
-#: Languages that are learned, most frequent first.
+#: Up to so many languages have the whole sample each; more share as many texts and landmarks in all, at least one each.
 LANGUAGES = 64
 RIDGE = 1e-2
 #: Score below which a filter rejects a text.
@@ -113,13 +114,20 @@ class Model:
         return names, scores
 
 
+def even_share(each: int, languages: int) -> int:
+    """How many of a bound for each language are left to one if there are more languages than LANGUAGES."""
+    return max(1, min(each, each * LANGUAGES // max(languages, 1)))
+
+
 def fit(labelled: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
     """A model from (text, language) pairs, the same for the same pairs in any order."""
     labelled = sorted((lang, hashlib.sha256(text.encode("utf-8", "replace")).hexdigest(), text) for text, lang in labelled)
     languages = sorted({x[0] for x in labelled})
     if not languages:
         return Model([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros((0, 0)), np.zeros(0))
-    chosen = [x[2] for lang in languages for x in [y for y in labelled if y[0] == lang][:landmarks]]
+    landmarks = even_share(landmarks, len(languages))
+    groups = {lang: list(g) for lang, g in groupby(labelled, lambda x: x[0])}
+    chosen = [x[2] for lang in languages for x in groups[lang][:landmarks]]
     found = np.stack([grams(text) for text in chosen])
     columns = np.flatnonzero(found.any(0))
     basis = found[:, columns].astype(np.float32)
@@ -130,7 +138,7 @@ def fit(labelled: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: floa
     whiten = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T  # Nyström: features are kernel @ whiten
     features = model.kernel([x[2] for x in labelled]).astype(np.float64) @ whiten
     features = np.hstack([features, np.ones((len(labelled), 1))])
-    counts = {lang: sum(x[0] == lang for x in labelled) for lang in languages}
+    counts = {lang: len(g) for lang, g in groups.items()}
     weight = np.array([1 / counts[x[0]] for x in labelled])[:, None]  # languages weigh the same
     target = np.array([[1.0 if x[0] == lang else -1.0 for lang in languages] for x in labelled])
     penalty = ridge * np.eye(features.shape[1])
@@ -142,23 +150,33 @@ def fit(labelled: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: floa
 def training_rows(df: DataFrame, per_language: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
     """A bounded sample of labelled texts, by a hash of the text, from the folds that may be learned from.
 
-    Counting reads no texts; the texts come in one scan that keeps about twice the sample's size and are then cut to it.
-    Texts that repeat count once.
+    Every language with a labelled text that has a letter is in it. Of a text over SAMPLE_CHARS the excerpt from its first
+    letter on is taken. One scan counts each language's distinct texts, another keeps about three times the sample's size,
+    which is then cut to it. Texts that repeat count once, before anything is collected.
     """
     docs = documents_of(df, id_col, text_col, lang=lang_col).filter((fold("doc_id", 4) != 2) & F.col("lang").isNotNull())
-    top = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    usable = docs.filter(F.col("text").rlike(r"\p{L}")).withColumn("hash", F.xxhash64("text"))
+    top = usable.groupBy("lang").agg(F.approx_count_distinct("hash").alias("n"), F.min(_draw("hash")).alias("least")).collect()
     if not top:
         return []
-    share = F.create_map(*[x for r in top for x in (F.lit(r["lang"]), F.lit(min(1.0, 3.0 * per_language / r["count"])))])
-    draw = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / 1_000_003
-    usable = docs.filter((F.length("text") <= SAMPLE_CHARS) & F.col("text").rlike(r"\p{L}"))
-    rows = usable.filter(draw < share[F.col("lang")]).select("lang", "text", draw.alias("draw")).collect()
+    per_language = even_share(per_language, len(top))
+    # The least draw is always kept, so that a language of few texts can't be missed.
+    limits = [(r["lang"], max(3.0 * per_language / max(r["n"], 1), r["least"])) for r in top]
+    limit = df.sparkSession.createDataFrame(limits, "lang string, most double")
+    from_letter = F.regexp_replace("text", r"^\P{L}+", "")
+    excerpt = F.when(F.length("text") <= SAMPLE_CHARS, F.col("text")).otherwise(F.substring(from_letter, 1, SAMPLE_CHARS))
+    near = usable.join(F.broadcast(limit), "lang").filter(_draw("hash") <= F.col("most"))
+    rows = near.groupBy("lang", "hash").agg(F.min(excerpt).alias("text")).select("lang", "text", _draw("hash").alias("draw")).collect()
     kept: dict[str, dict[str, float]] = {}
     for r in rows:
         kept.setdefault(r["lang"], {})[r["text"]] = r["draw"]
     return [(text, lang) for lang, found in kept.items() for text in sorted(found, key=lambda t: (found[t], t))[:per_language]]
 
 
+def _draw(hashed: str) -> Column:
+    return F.pmod(F.col(hashed), F.lit(1_000_003)) / 1_000_003
+
+
 _models: dict[str, Model] = {}
 
 
@@ -168,8 +186,8 @@ def _release() -> None:
     _models.clear()
 
 
-def _predictor(df: DataFrame, train: DataFrame, id_col: str, text_col: str, lang_col: str) -> Callable[[list[str]], tuple[list[str], list[float]]]:
-    """A fitted model as a function that executors can call."""
+def _predictor(df: DataFrame, train: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[Callable[[list[str]], tuple[list[str], list[float]]], bool]:
+    """A fitted model as a function that executors can call, and whether it has learned any language."""
     model = fit(training_rows(train, id_col=id_col, text_col=text_col, lang_col=lang_col))
     sent, digest = df.sparkSession.sparkContext.broadcast(pickle.dumps(model)), model.digest
 
@@ -180,7 +198,7 @@ def _predictor(df: DataFrame, train: DataFrame, id_col: str, text_col: str, lang
             _models[digest] = pickle.loads(sent.value)
         return _models[digest].predict(sample)
 
-    return predict
+    return predict, bool(model.languages)
 
 
 def keep_languages(
@@ -189,15 +207,15 @@ def keep_languages(
     """The rows of df, all columns unchanged, whose text has a language.
 
     Rows go whose prediction is 'und', isn't among the allowed languages or has a score below least_score. Null and
-    letterless texts go therefore. If no row is labelled there is no model, and only letterless texts go.
+    letterless texts go therefore. If no labelled row outside the fold has a letter, nothing can be learned, and only
+    letterless texts go.
     """
     expose_package(df.sparkSession)
-    labelled = not df.filter(F.col(f"`{lang_col}`").isNotNull()).isEmpty()
-    predict = _predictor(df, df, id_col, text_col, lang_col)
+    predict, learned = _predictor(df, df, id_col, text_col, lang_col)
 
     def passes(column: pa.Array) -> pa.Array:
         sample = [x or "" for x in column.to_pylist()]
-        if not labelled:
+        if not learned:
             return pa.array(map(has_letter, sample), pa.bool_())
         names, scores = predict(sample)
         return pa.array([n != "und" and s >= least_score and (allowed is None or n in allowed) for n, s in zip(names, scores)], pa.bool_())
@@ -209,11 +227,12 @@ def languages(df: DataFrame, train: DataFrame | None = None, id_col: str = "doc_
     """The predicted language of every text and its score.
 
     The model is fitted on a bounded sample of df, or of train, whose crc32(doc_id) mod 4 isn't 2; predictions see the
-    text only. A null text and one without a letter give 'und' and score 0, as does everything if no row is labelled.
+    text only. A null text and one without a letter give 'und' and score 0, as does everything if no labelled row outside
+    that fold has a letter.
     One row comes back for each row; a null id counts as the empty text in the folds. Apart from the fit the plan has
-    no shuffle; the model that is broadcast has at most LANGUAGES * LANDMARKS landmarks.
+    no shuffle; the model that is broadcast has at most LANGUAGES * LANDMARKS landmarks, or one for each language.
     """
-    predict = _predictor(df, train if train is not None else df, id_col, text_col, lang_col)
+    predict, _ = _predictor(df, train if train is not None else df, id_col, text_col, lang_col)
 
     def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
         names, scores = predict(texts(rows))

@@ -47,6 +47,43 @@ def test_languages_odd(odd, empty, spark):
     assert {r["lang_pred"] for r in language_id.languages(nameless).collect()} <= {"und"}
 
 
+def _invented(alphabet, n, seed):
+    import random
+
+    r = random.Random(seed)
+    stock = ["".join(r.choices(alphabet, k=r.randint(3, 8))) for _ in range(300)]
+    return [" ".join(r.choices(stock, k=n)) for _ in range(12)]
+
+
+def test_long_texts_are_learned(spark):
+    long, short = _invented("abcdefghij", 6_000, 1), _invented("klmnopqrst", 60, 2)
+    rows = [(i, "7" * 25_000 + t, "aa") for i, t in enumerate(long)] + [(100 + i, t, "kk") for i, t in enumerate(short)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    truth = {r[0]: r[2] for r in rows}
+    assert {r["doc_id"]: r["lang_pred"] for r in language_id.languages(df).collect()} == truth
+    only = df.filter("lang = 'aa'")
+    assert {r["lang_pred"] for r in language_id.languages(only).collect()} == {"aa"}
+    assert language_id.keep_languages(only).count() == len(long)
+    assert all(len(t) <= language_id.SAMPLE_CHARS for t, _ in language_id.training_rows(df))
+
+
+def test_every_language_is_learned(spark):
+    rows = [(100 * n + i, t, f"l{n}") for n in range(70) for i, t in enumerate(_invented([chr(0x4E00 + 20 * n + c) for c in range(10)], 8, n))]
+    rows += [(10_000 + i, "rare words", "rare") for i in range(4_000)]  # one text, however often
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {lang for _, lang in language_id.training_rows(df)} == {r[2] for r in rows}
+    out = {r["doc_id"]: r["lang_pred"] for r in language_id.languages(df).collect()}
+    assert all(out[i] == lang for i, _, lang in rows)
+
+
+def test_nothing_to_learn_keeps_what_has_a_letter(spark):
+    held = [i for i in range(100) if crc(i) % 4 == 2]
+    rows = [(i, f"some words {i}", "en" if i in held else None) for i in range(100)] + [(100, "7 7", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["lang_pred"] for r in language_id.languages(df).collect()} == {"und"}
+    assert language_id.keep_languages(df).count() == 100
+
+
 def test_toxicity_held_out(labelled):
     docs, labels = labelled
     truth = {r["doc_id"]: r["toxic"] for r in labels.collect()}
