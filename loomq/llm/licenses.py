@@ -1,16 +1,16 @@
-"""License scans: winnowed fingerprints pick candidates, banded alignment measures them.
+"""License scans: the rarest words of a template pick candidates, banded alignment measures them.
 
-Templates are normalised to words; of every few neighbouring word n-grams the one with the least hash is a fingerprint
-(winnowing), and an inverted index leads from a fingerprint to its places in the templates. Every n-gram of a document is
-looked up, so a passage that holds a template's n-gram unchanged is found. A hit is a
-candidate, and a local alignment of the words in a band around its diagonal gives the matched share of the template and
-the span in the document.
+Templates are normalised to words. An alignment that covers the reported share leaves few words of its template out, so
+of any one place more than may be left out it matches one. So many places, those of the template's rarest words, are
+its anchors, and an inverted index leads from a word to its anchors. Every word of a document is looked up. A hit is a
+candidate if enough of the template's words lie near it, and an alignment of all its words in a band around its diagonal
+gives the matched share of the template and the span in the document. No such alignment is missed for want of a hit.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from loomq.llm.common import documents_of, hold, map_batches, raw_texts, record_batch
 from loomq.llm.decontamination import char_spans, words_of
 
-#: Words of a fingerprint, neighbours of which the least is taken, half the band, and the least share that is reported.
-GRAM, WINDOW, BAND, COVERAGE = 3, 4, 12, 0.8
+#: Half the band, and the least share that is reported.
+BAND, COVERAGE = 12, 0.8
 #: Scores of the alignment.
 MATCH, MISMATCH, GAP = 2, -2, -1
 #: Words whose hashes a worker keeps.
@@ -80,87 +80,86 @@ class WordHashes(dict):
 _hashes = WordHashes()
 
 
-def gram_hashes(words: list[bytes], width: int) -> np.ndarray:
-    """The hash of every word n-gram of a text."""
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    n = len(h) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    mixed = np.full(n, 0x2545F4914F6CDD1D, np.uint64)
-    for i in range(width):
-        mixed = (mixed ^ h[i : n + i]) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(31)
-    return mixed
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
 
 
-def winnowed(hashes: np.ndarray, window: int) -> list[int]:
-    """Places of the least hash of every window of neighbours, the rightmost of equal ones; all of a short text's."""
-    if len(hashes) <= window:
-        return [int(len(hashes) - 1 - np.argmin(hashes[::-1]))] if len(hashes) else []
-    spans = np.lib.stride_tricks.sliding_window_view(hashes, window)
-    return sorted({int(i + window - 1 - np.argmin(spans[i][::-1])) for i in range(len(spans))})
+def least_matched(n_words: int, coverage: float) -> int:
+    """The fewest matched words of a template that reach the coverage, one at least."""
+    return next((k for k in range(1, n_words + 1) if k >= coverage * n_words), n_words)
 
 
 class Index:
-    """The templates' fingerprints; a template of fewer words than a fingerprint can't be found and is an error."""
+    """The templates' anchors for a coverage; a template without words can't be found and is an error."""
 
-    def __init__(self, templates: dict[str, str], width: int = GRAM, window: int = WINDOW):
+    def __init__(self, templates: dict[str, str], coverage: float = COVERAGE):
         self.names = sorted(templates)
         self.words = [words_of(templates[n].encode("utf-8")) for n in self.names]
-        self.width = width
+        if not all(self.words):
+            raise ValueError(f"template {self.names[self.words.index([])]!r} has no words")
+        self.counts = [Counter(words) for words in self.words]
+        self.least = [least_matched(len(words), coverage) for words in self.words]
+        uses = Counter(w for words in self.words for w in words)
         places: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for t, words in enumerate(self.words):
-            hashes = gram_hashes(words, width)
-            if not len(hashes):
-                raise ValueError(f"template {self.names[t]!r} has fewer than {width} words")
-            for p in winnowed(hashes, window):
-                places[int(hashes[p])].append((t, p))
+            rarest = sorted(range(len(words)), key=lambda p: (uses[words[p]], -len(words[p]), p))
+            for p in sorted(rarest[: len(words) - self.least[t] + 1]):
+                places[_hashes[words[p]]].append((t, p))
         self.places = dict(places)
-        self.known = np.array(sorted(places), np.uint64)
-        #: A quick test by the low bits, which nearly all n-grams of a text fail.
+        #: A quick test by the low bits, which nearly all words of a text fail.
         self.maybe = np.zeros(1 << 16, bool)
-        self.maybe[(self.known & np.uint64(0xFFFF)).astype(np.int64)] = True
-        spelt = repr([(n, templates[n]) for n in self.names]) + f"{width}:{window}"
+        self.maybe[(np.array(sorted(places), np.uint64) & np.uint64(0xFFFF)).astype(np.int64)] = True
+        spelt = repr([(n, templates[n]) for n in self.names]) + f"{coverage}"
         self.digest = hashlib.sha256(spelt.encode()).hexdigest()
 
     def hits(self, words: list[bytes]) -> dict[int, list[tuple[int, int]]]:
         """For each template that has hits their (place in the text, diagonal), a diagonal being the place in the text
         less that in the template."""
-        hashes = gram_hashes(words, self.width)
-        likely = np.flatnonzero(self.maybe[(hashes & np.uint64(0xFFFF)).astype(np.int64)])
+        likely = np.flatnonzero(self.maybe[(word_hashes(words) & np.uint64(0xFFFF)).astype(np.int64)])
         found: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for at in likely.tolist():
-            for t, p in self.places.get(int(hashes[at]), ()):
+            for t, p in self.places.get(_hashes[words[at]], ()):
                 found[t].append((at, at - p))
         return found
 
+    def possible(self, t: int, text: list[bytes], diagonal: int) -> bool:
+        """Whether the band around a diagonal holds enough of a template's words, in any order."""
+        counts = self.counts[t]
+        near = Counter(w for w in text[max(0, diagonal - BAND) : max(0, diagonal + len(self.words[t]) + BAND)] if w in counts)
+        return sum(min(n, counts[w]) for w, n in near.items()) >= self.least[t]
+
 
 def align(template: list[bytes], text: list[bytes], diagonal: int, band: int = BAND) -> tuple[int, int, int]:
-    """(matched words, first and last matched place in the text) of the best local alignment inside a band."""
-    width = 2 * band + 1
+    """(matched words, first and last matched place in the text) of the best alignment of a whole template in a band.
+
+    The text before and after it is free. Words left out at the template's ends cost as others do: if they didn't, a
+    changed word next to an end would cost the words beyond it too.
+    """
+    width, never = 2 * band + 1, -(10**9)
     before, moves = [0] * (width + 1), []
-    best, best_at = 0, None
     for i, word in enumerate(template):
-        row, move = [0] * (width + 1), bytearray(width)
-        left = 0
+        row, move = [never] * (width + 1), bytearray(width)
+        left = never
         for d in range(width):
             j = i + diagonal + d - band
-            if not 0 <= j < len(text):
-                left = 0
+            if j >= len(text):
+                break
+            if j < 0:
+                row[d] = left = GAP * (i + 1)
+                move[d] = 2
                 continue
             through = before[d] + (MATCH if text[j] == word else MISMATCH)
             skip, add = before[d + 1] + GAP, left + GAP
-            score = max(0, through, skip, add)
+            score = max(through, skip, add)
             row[d] = left = score
             # 1 goes on through a pair of words, 2 skips a word of the template, 3 one of the text
-            move[d] = 0 if not score else 1 if score == through else 2 if score == skip else 3
-            if score > best:
-                best, best_at = score, (i, d)
+            move[d] = 1 if score == through else 2 if score == skip else 3
         before = row
         moves.append(move)
-    if best_at is None:
+    best = max(before[:width])
+    if best <= 0:
         return 0, 0, -1
-    i, d = best_at
+    i, d = len(template) - 1, before.index(best)
     matched, first, last = 0, None, None
     while i >= 0 and 0 <= d < width and moves[i][d]:
         j, step = i + diagonal + d - band, moves[i][d]
@@ -180,23 +179,22 @@ def align(template: list[bytes], text: list[bytes], diagonal: int, band: int = B
 def matches(index: Index, words: list[bytes], coverage: float) -> list[tuple[int, int, int, float]]:
     """(first, last, template, coverage) of what is reported, by place.
 
-    A hit is aligned unless it lies in a match of its template, or near a diagonal that was tried in vain. Words of a
-    match are taken out for its template, so that one right after another is found too.
+    A hit is aligned until it lies in a match of its template or its diagonal has been tried in vain. Words of a match
+    are taken out for its template, so that one right before or after another is found too.
     """
     found = []
     for t, hits in index.hits(words).items():
         left, template = words, index.words[t]
-        vain: list[int] = []
+        vain: set[int] = set()
         for at, diagonal in hits:
-            if not left[at] or any(abs(diagonal - d) <= BAND // 2 for d in vain[-8:]):
-                continue
-            matched, first, last = align(template, left, diagonal)
-            if matched >= coverage * len(template):
-                found.append((first, last, t, matched / len(template)))
-                left = list(words) if left is words else left
-                left[first : last + 1] = [b""] * (last - first + 1)
-            else:
-                vain.append(diagonal)
+            while left[at] and diagonal not in vain:
+                matched, first, last = align(template, left, diagonal) if index.possible(t, left, diagonal) else (0, 0, -1)
+                if matched and matched >= coverage * len(template):
+                    found.append((first, last, t, matched / len(template)))
+                    left = list(words) if left is words else left
+                    left[first : last + 1] = [b""] * (last - first + 1)
+                else:
+                    vain.add(diagonal)
     return sorted(found)
 
 
@@ -216,13 +214,13 @@ def licenses(df: DataFrame, templates: dict[str, str] | None = None, coverage: f
     Repeated rows and null ids are kept. The plan has no shuffle; the templates are a parameter and travel with it.
     """
     known = TEMPLATES if templates is None else templates
-    digest = Index(known).digest
+    digest = Index(known, coverage).digest
 
     def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
         hold("licenses", _release)
         if digest not in _indexes:
             _indexes.clear()
-            _indexes[digest] = Index(known)
+            _indexes[digest] = Index(known, coverage)
         index, out = _indexes[digest], [[] for _ in _ARROW.names[1:]]
         for text in raw_texts(rows):
             words = words_of(text)

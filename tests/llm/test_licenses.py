@@ -38,6 +38,35 @@ def test_neighbours_and_ties():
     assert [m[:2] for m in found] == [(0, 2), (3, 5), (7, 9)]
 
 
+def test_one_word_changed_anywhere():
+    index = li.Index(li.TEMPLATES)
+    for t, template in enumerate(index.words):
+        allowed = len(template) - index.least[t]
+        for p in range(len(template)) if allowed else ():
+            for text in (template[:p] + [b"other"] + template[p + 1 :], template[:p] + template[p + 1 :]):
+                found = [m for m in li.matches(index, [b"x", *text, b"y"], 0.8) if m[2] == t]
+                assert len(found) == 1 and found[0][3] == (len(template) - 1) / len(template)
+    for text in (b"Licensed under the MIT License", b"Distributed under the MIT License."):
+        assert [index.names[m[2]] for m in li.matches(index, words_of(text), 0.8)] == ["mit"]
+
+
+def test_as_many_words_changed_as_the_coverage_allows():
+    r, index = random.Random(3), li.Index(li.TEMPLATES)
+    for t, template in enumerate(index.words):
+        for _ in range(20):
+            gone = set(r.sample(range(len(template)), min(len(template) - index.least[t], li.BAND)))
+            text = [w for p, w in enumerate(template) if p not in gone]
+            covered = max(li.align(template, text, d)[0] for d in range(-li.BAND, 1))
+            if covered >= 0.8 * len(template):
+                assert [m for m in li.matches(index, text, 0.8) if m[2] == t]
+
+
+def test_a_weaker_match_beside_a_better_one():
+    index = li.Index(li.TEMPLATES)
+    found = li.matches(index, words_of(b"Licensed under the MIT License. Released under the MIT License."), 0.8)
+    assert [(m[0], m[1], round(m[3], 1)) for m in found] == [(1, 4, 0.8), (5, 9, 1.0)]
+
+
 def test_odd(odd, empty):
     out = li.licenses(odd).collect()
     assert len(out) == odd.count() and all(r["n_matches"] == 0 and r["spans"] == "" for r in out)
