@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomq.session import materialize
@@ -21,3 +21,13 @@ def totals_before(df: DataFrame, amount: str, order: str, name: str = "offset")
     own = F.sum(amount).over(Window.partitionBy("__range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
     placed = dealt.join(F.broadcast(starts), "__range")  # a row for each shuffle partition
     return placed.withColumn(name, (F.col("__start") + F.coalesce(own, F.lit(0))).cast("long")).drop("__range", "__start")
+
+
+def places(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """All rows with their place, from 1, in an order without ties; dealt and counted by ranges as in totals_before()."""
+    dealt = materialize(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    totals = dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("__total"))
+    before = F.sum("__total").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = totals.select("__range", F.coalesce(before, F.lit(0)).alias("__start"))
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return dealt.join(F.broadcast(starts), "__range").withColumn(name, (F.col("__start") + own).cast("long")).drop("__range", "__start")

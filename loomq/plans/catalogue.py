@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomq.functions import dates, ordering, text
-from loomq.operators import cost, dedupe, geometry, layout, manifest, merge, pages, pipelines, regions, search, translate
+from loomq.operators import cost, dedupe, geometry, layout, manifest, merge, pages, pipelines, prefix, regions, search, translate
 from loomq.session import table
 from loomq.sources.files import tree_files
 
@@ -169,6 +169,21 @@ def natural_sort_topk(spark, sf_dir):
     return first.select("p_partkey", "name", F.rank().over(Window.orderBy("k")).cast("long").alias("place"))
 
 
+@query(f"""
+WITH n AS (SELECT p_partkey, {_FILE} AS name FROM part),
+k AS (SELECT *, list_transform(regexp_extract_all(lower(name), '[0-9]+|[^0-9]+'), lambda x: CASE WHEN x[1] BETWEEN '0' AND '9' THEN
+             {{'t': 0, 'n': CAST(x AS BIGINT), 's': ''}} ELSE {{'t': 1, 'n': 0, 's': x}} END) AS k FROM n)
+SELECT p_partkey, name, rank() OVER (ORDER BY k) AS place FROM k
+""")
+def natural_sort_all(spark, sf_dir):
+    parts = table(spark, sf_dir, "part")
+    copy = F.when(F.col("p_partkey") % 2 == 0, " Copy").otherwise(" copy")
+    named = parts.select("p_partkey", F.concat("p_brand", F.lit(" "), F.col("p_size").cast("string"), copy, (F.col("p_partkey") % 100).cast("string")).alias("name"))
+    placed = prefix.places(named.withColumn("k", ordering.natural_key(F.col("name"))), [F.col("k"), F.col("p_partkey")], "at")
+    ranks = placed.groupBy("k").agg(F.min("at").alias("place"))  # equal names share the first one's place
+    return placed.join(ranks, "k").select("p_partkey", "name", "place")
+
+
 @query("""
 WITH n AS (SELECT p_partkey, p_name, p_size FROM part), r AS (SELECT *, row_number() OVER (ORDER BY lower(p_name) DESC, p_partkey) AS place FROM n)
 SELECT p_partkey, place FROM r WHERE place <= 100
@@ -180,6 +195,12 @@ def sorted_results(spark, sf_dir):
     return first.select("p_partkey", F.row_number().over(w).cast("long").alias("place"))
 
 
+@query("SELECT p_partkey, row_number() OVER (ORDER BY lower(p_name) DESC, p_partkey) AS place FROM part")
+def sorted_results_all(spark, sf_dir):
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"), F.col("p_partkey").alias("ordinal"))
+    return prefix.places(parts, [ordering.natural_key(F.col("name")).desc(), F.col("ordinal").asc()]).select("p_partkey", "place")
+
+
 @query("""
 SELECT c.conv_id, CAST(u.i AS INTEGER) AS place, CAST(u.page AS INTEGER) AS page, CASE WHEN conv_id % 5 = 4 THEN 'page out of range' END AS error
 FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) c
@@ -212,6 +233,12 @@ def slide_order(spark, sf_dir):
     return first.withColumn("place", F.row_number().over(Window.orderBy(*ordering.slide_key(F.col("path")))).cast("long"))
 
 
+@query("SELECT c_custkey, 'slide' || CAST(c_custkey AS VARCHAR) || '.xml' AS path, row_number() OVER (ORDER BY c_custkey) AS place FROM customer")
+def slide_order_all(spark, sf_dir):
+    slides = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("slide"), F.col("c_custkey").cast("string"), F.lit(".xml")).alias("path"))
+    return prefix.places(slides, ordering.slide_key(F.col("path")))
+
+
 # --- texts --------------------------------------------------------------------------------------------------------
 
 
