@@ -133,6 +133,15 @@ def dates_custom(spark, sf_dir):
     return orders.select("o_orderkey", F.explode(dates.custom_dates(words, "MMM D, YY")).alias("found"))
 
 
+# YY is a year of this century: 199x is read as 209x.
+@query("""
+SELECT o_orderkey, make_date(CAST(2000 + year(o_orderdate) % 100 AS INTEGER), CAST(month(o_orderdate) AS INTEGER), CAST(day(o_orderdate) AS INTEGER)) AS found FROM orders
+""")
+def dates_custom_all(spark, sf_dir):
+    words = F.concat(F.lit("Filed "), F.date_format("o_orderdate", "MMM d, yy"), F.lit("."))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.explode(dates.custom_dates(words, "MMM D, YY")).alias("found"))
+
+
 @query(r"""
 SELECT doc_id, CAST(len(list_filter(regexp_extract_all(text, '\b\d{1,2}\.\d{1,2}\.\d{2,4}\b'), lambda x:
        try_strptime(CASE WHEN len(string_split(x, '.')[3]) = 2 THEN string_split(x, '.')[1] || '.' || string_split(x, '.')[2] || '.20' || string_split(x, '.')[3] ELSE

@@ -19,3 +19,9 @@ def test_every_row_has_a_place(spark, name, table):
 def test_places_over_ranges(spark):
     df = spark.range(5_000).select((F.col("id") * 7 % 5_000).alias("k")).repartition(8)
     assert all(r["place"] == 5_000 - r["k"] for r in prefix.places(df, [F.col("k").desc()]).collect())
+
+
+def test_every_order_is_scanned(spark):
+    orders = spark.read.parquet(f"{SF}/orders.parquet")
+    out = catalogue.QUERIES["dates_custom_all"](spark, SF)
+    assert out.count() == orders.count() and out.agg(F.max(F.year("found"))).first()[0] >= 2090
