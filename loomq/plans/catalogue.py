@@ -316,9 +316,20 @@ c AS (SELECT regexp_replace(t, '^\s+|\s+$', '', 'g') AS t, doc_id * 1000000 + i
 SELECT lower(t) AS key, arg_min(t, o) AS term FROM c WHERE t <> '' AND NOT regexp_matches(t, '[^\x{00}-\x{7F}]') GROUP BY 1
 """)
 def dedupe_casefold_first(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "term"))
-    ordered = words.select("term", (F.col("doc_id") * 1_000_000 + F.col("i")).alias("o")).filter(~text.stripped(F.col("term")).rlike(r"[^\x{00}-\x{7F}]"))
-    return merge.first_spellings(ordered, "term", "o").select("key", "term")
+    ascii_only = _terms(table(spark, sf_dir, "documents")).filter(~text.stripped(F.col("term")).rlike(r"[^\x{00}-\x{7F}]"))
+    return merge.first_spellings(ascii_only, "term", "o").select("key", "term")
+
+
+# No SQL: DuckDB's lower() differs from Spark's outside ASCII.
+@query()
+def dedupe_casefold_all(spark, sf_dir):
+    return merge.first_spellings(_terms(table(spark, sf_dir, "documents")), "term", "o").select("key", "term")
+
+
+def _terms(docs: DataFrame) -> DataFrame:
+    """Every piece between spaces, with its place o: the document, then the piece in it."""
+    words = docs.select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "term"))
+    return words.select("term", F.struct("doc_id", "i").alias("o"))
 
 
 # --- boxes, lines and regions -------------------------------------------------------------------------------------

@@ -25,3 +25,27 @@ def test_every_order_is_scanned(spark):
     orders = spark.read.parquet(f"{SF}/orders.parquet")
     out = catalogue.QUERIES["dates_custom_all"](spark, SF)
     assert out.count() == orders.count() and out.agg(F.max(F.year("found"))).first()[0] >= 2090
+
+
+def test_first_spellings_of_all_terms(spark):
+    texts = {2: "Éclair ÉCLAIR Straße x", 1: "éCLAIR Straße STRASSE Öl \u2003öl", 3: "ÖL X"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    first = {}
+    for doc_id in sorted(texts):
+        for term in filter(None, (t.strip() for t in texts[doc_id].split(" "))):
+            first.setdefault(term.lower(), term)
+    got = merge.first_spellings(catalogue._terms(docs), "term", "o").collect()
+    assert {r["key"]: r["term"] for r in got} == first and len(got) == len(first)
+
+
+def test_terms_are_not_filtered(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    keys = {r["key"] for r in catalogue.QUERIES["dedupe_casefold_all"](spark, SF).collect()}
+    assert any(not k.isascii() for k in keys)
+    assert {t.strip().lower() for r in docs for t in r["text"].split(" ") if t.strip() and t.isascii()} <= keys
+
+
+def test_order_of_a_text_of_over_a_million_pieces(spark):
+    docs = spark.createDataFrame([(1, "x " * 1_000_000 + "LATE"), (2, "late")], "doc_id long, text string")
+    got = merge.first_spellings(catalogue._terms(docs), "term", "o").filter("key = 'late'").first()
+    assert got["term"] == "LATE"
