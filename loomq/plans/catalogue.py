@@ -648,6 +648,16 @@ def batch_selection(spark, sf_dir):
     return manifest.select_documents(entries, limit=250)
 
 
+@query("""
+SELECT CAST(o_custkey AS VARCHAR) AS number, 'f' || CAST(o_orderkey AS VARCHAR) AS filename FROM orders WHERE o_orderstatus = 'F'
+ORDER BY o_custkey, filename LIMIT 250
+""")
+def batch_selection_all(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    entries = orders.select(F.col("o_custkey").cast("string").alias("number"), F.concat(F.lit("f"), F.col("o_orderkey").cast("string")).alias("filename"), F.when(F.col("o_orderstatus") == "F", "approved").otherwise("open").alias("status"), F.lit("approved").alias("role"))
+    return manifest.select_documents(entries, limit=250)
+
+
 # --- merging ------------------------------------------------------------------------------------------------------
 
 

@@ -49,3 +49,8 @@ def test_order_of_a_text_of_over_a_million_pieces(spark):
     docs = spark.createDataFrame([(1, "x " * 1_000_000 + "LATE"), (2, "late")], "doc_id long, text string")
     got = merge.first_spellings(catalogue._terms(docs), "term", "o").filter("key = 'late'").first()
     assert got["term"] == "LATE"
+
+
+def test_batch_is_chosen_from_all_orders(spark):
+    got = catalogue.QUERIES["batch_selection_all"](spark, SF).collect()
+    assert len(got) == 250 and any(int(r["number"]) % 2 for r in got)
