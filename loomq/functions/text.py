@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import html
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -24,6 +25,31 @@ def collapsed(text: Column) -> Column:
     return stripped(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+def bound(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn of a value that is computed once, however often fn's lambdas look at it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
+@lru_cache(maxsize=1)
+def _foldings() -> dict[str, str]:
+    """What full case folding changes in a text that is in lower case already, by Unicode's own table."""
+    every = map(chr, (c for c in range(0x110000) if not 0xD800 <= c < 0xE000))
+    return {c: c.casefold() for c in every if c.lower() == c != c.casefold()}
+
+
+def casefold(text: Column) -> Column:
+    """Full case folding: equal for texts that differ in case only, with ß as ss.
+
+    Nearly every text is done by lower() and two replacements; only one with a rarer letter goes through the whole table.
+    """
+    rare = {c: f for c, f in _foldings().items() if c not in "ßς"}
+    low = F.replace(F.translate(F.lower(text), "ς", "σ"), F.lit("ß"), F.lit("ss"))
+    one = {c: f for c, f in rare.items() if len(f) == 1}
+    more = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(f).alias("f")) for c, f in rare.items() if len(f) > 1])
+    whole = F.aggregate(more, F.translate(low, "".join(one), "".join(one.values())), lambda t, e: F.replace(t, e["c"], e["f"]))
+    return F.when(low.rlike("[" + "".join(f"\\x{{{ord(c):x}}}" for c in rare) + "]"), whole).otherwise(low)
+
+
 # --- terms that stay as they are ---------------------------------------------------------------------------------
 
 #: Fixed value: what stands for the n-th protected term.
@@ -47,19 +73,32 @@ def protect_terms(text: Column, terms: Sequence[str]) -> Column:
     none = F.expr("cast(map() as map<string,string>)")
     if pattern is None:
         return F.struct(text.alias("text"), F.when(text.isNotNull(), none).alias("placeholders"))
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
     first, last = PLACEHOLDER.split("{}")
+    read = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("between"))
+
+    def located(r: Column) -> Column:
+        """Where the occurrences in capitals are, and the text as pieces, one up to the end of each occurrence."""
+        places = F.filter(F.transform(r["found"], lambda w, i: F.when(_all_caps(w), i)), lambda i: i.isNotNull())
+        pieces = F.zip_with(r["between"], r["found"], lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+        return F.struct(places.alias("at"), pieces.alias("pieces"), r["found"].alias("found"), r["between"].alias("between"))
+
+    def masked(r: Column) -> Column:
+        """Each stretch between two masked occurrences is joined once, so the work is linear in the text."""
+
+        def stretch(at: Column, n: Column) -> Column:
+            start = F.when(n > 0, F.get(r["at"], n - 1) + 1).otherwise(0)
+            plain = F.array_join(F.slice(r["pieces"], start + 1, at - start), "")
+            return F.concat(plain, F.get(r["between"], at), F.lit(first), n.cast("string"), F.lit(last))
 
-    def numbered(word: Column, i: Column) -> Column:
-        number = F.size(F.filter(F.slice(found, F.lit(1), i), _all_caps))
-        return F.when(_all_caps(word), F.concat(F.lit(first), number.cast("string"), F.lit(last))).otherwise(word)
+        done = F.when(F.size(r["at"]) > 0, F.element_at(r["at"], -1) + 1).otherwise(0)
+        rest = F.array_join(F.slice(r["pieces"], done + 1, F.size(r["pieces"])), "")
+        keys = F.transform(r["at"], lambda _, n: F.concat(F.lit(first), n.cast("string"), F.lit(last)))
+        caps = F.transform(r["at"], lambda i: F.get(r["found"], i))
+        shown = F.concat(F.array_join(F.transform(r["at"], stretch), ""), rest)
+        return F.struct(shown.alias("text"), F.map_from_arrays(keys, caps).alias("placeholders"))
 
-    shown = F.transform(found, numbered)
-    pieces = F.zip_with(between, shown, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    caps = F.filter(found, _all_caps)
-    keys = F.transform(caps, lambda w, i: F.concat(F.lit(first), i.cast("string"), F.lit(last)))
-    return F.struct(F.array_join(pieces, "").alias("text"), F.when(text.isNotNull(), F.map_from_arrays(keys, caps)).alias("placeholders"))
+    empty = F.struct(F.lit(None).cast("string").alias("text"), F.lit(None).cast("map<string,string>").alias("placeholders"))
+    return F.when(text.isNull(), empty).otherwise(bound(bound(read, located), masked))
 
 
 def restore_terms(text: Column, placeholders: Column) -> Column:
@@ -74,7 +113,7 @@ def _unescaped(column: pa.Array) -> pa.Array:
 
 
 def unescape(text: Column) -> Column:
-    """Character references as characters; only texts that have an ampersand go through Python."""
+    """Character references as characters, by HTML's own table, in Arrow batches."""
     return F.arrow_udf(_unescaped, "string")(text)
 
 
@@ -156,7 +195,7 @@ def has_letters(text: Column) -> Column:
 
 def repetition_key(text: Column) -> Column:
     """Equal for lines that differ in numbers, white space and case only."""
-    return F.lower(collapsed(F.regexp_replace(text, r"(?U)\d+", "#")))
+    return casefold(collapsed(F.regexp_replace(text, r"(?U)\d+", "#")))
 
 
 # --- names of documents ------------------------------------------------------------------------------------------

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomq.operators.prefix import fold_rows
+
 #: Providers with the price of a million characters in USD and the free characters a month.
 PRICES = {"deepl": (20.0, 500_000), "google": (20.0, 500_000), "openai": (15.0, 0), "grok": (15.0, 0)}
 #: Characters a run may send.
@@ -54,16 +56,18 @@ def estimates(usage: DataFrame, planned: DataFrame, prices: DataFrame, month: st
 
 def within_budget(items: DataFrame, keys: Sequence[str], order: str, size: str, budget: int = RUN_BUDGET) -> DataFrame:
     """The items with admitted and used: in order, an item is admitted if it fits what is left; a later, smaller one may
-    still fit. A running sum can't say that, so a run's sizes are folded in an array. One run is one group."""
-    entries = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("n"))))
-    start = F.expr("struct(cast(0 as bigint) as used, cast(array() as array<struct<admitted:boolean,used:bigint>>) as steps)")
-
-    def fold(s: Column, e: Column) -> Column:
-        fits = s["used"] + e["n"] <= budget
-        used = F.when(fits, s["used"] + e["n"]).otherwise(s["used"])
-        step = F.array(F.struct(fits.alias("admitted"), used.alias("used")))
-        return F.struct(used.alias("used"), F.concat(s["steps"], step).alias("steps"))
-
-    folded = items.groupBy(*keys).agg(entries.alias("es")).withColumn("steps", F.aggregate("es", start, fold, lambda s: s["steps"]))
-    each = folded.select(*keys, F.explode(F.arrays_zip("es", "steps")).alias("e"))
-    return items.join(each.select(*keys, F.col("e.es.o").alias(order), F.col("e.steps.admitted").alias("admitted"), F.col("e.steps.used").alias("used")), [*keys, order])
+    still fit. A running sum can't say that, so a run's sizes are folded one after the other. A null size counts as 0."""
+
+    def run() -> Callable[[int], tuple[bool, int]]:
+        used = 0
+
+        def step(n: int) -> tuple[bool, int]:
+            nonlocal used
+            fits = used + n <= budget
+            used += n if fits else 0
+            return fits, used
+
+        return step
+
+    amount = F.coalesce(F.col(size), F.lit(0)).cast("long")
+    return fold_rows(items, keys, [order, size], [amount], run, "admitted boolean, used bigint")

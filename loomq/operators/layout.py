@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomq.functions.text import blank, repetition_key, stripped
 from loomq.operators.geometry import runs, window_of
+from loomq.operators.prefix import fold_rows
 
 #: The share of a page's height that is a zone, and the share of pages a key has to be on.
 ZONE_SHARE, PAGE_SHARE = 0.15, 0.6
@@ -51,22 +51,25 @@ def column_groups(lines: DataFrame, keys: Sequence[str], order: str, spread: flo
     """The lines with column_group: a new group starts where the left edges would differ by more than the spread.
 
     Blank lines belong to the open group and don't count. The range starts anew with each group, which no window frame
-    can say, so the edges of a block's lines are folded in an array.
+    can say, so a block's lines are folded one after the other.
     """
-    ordered = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.when(~blank(F.col("text")), F.col("x0").cast("double")).alias("x"))))
-    start = F.expr("struct(cast(0 as bigint) as g, cast(null as double) as low, cast(null as double) as high, cast(array() as array<bigint>) as groups)")
 
-    def fold(s: Column, e: Column) -> Column:
-        x = e["x"]
-        low, high = F.least(s["low"], x), F.greatest(s["high"], x)
-        new = x.isNotNull() & s["low"].isNotNull() & (high - low > spread)
-        group = (s["g"] + new.cast("long")).alias("g")
-        kept = [F.when(x.isNull(), s[n]).when(new, x).otherwise(v).alias(n) for n, v in (("low", low), ("high", high))]
-        return F.struct(group, *kept, F.concat(s["groups"], F.array(s["g"] + new.cast("long"))).alias("groups"))
+    def block() -> Callable[[float | None], tuple[int]]:
+        group, low, high = 0, None, None
 
-    folded = lines.groupBy(*keys).agg(ordered.alias("ls")).withColumn("gs", F.aggregate("ls", start, fold, lambda s: s["groups"]))
-    grouped = folded.select(*keys, F.explode(F.arrays_zip("ls", "gs")).alias("e")).select(*keys, F.col("e.ls.o").alias(order), F.col("e.gs").alias("column_group"))
-    return lines.join(grouped, [*keys, order])
+        def step(x: float | None) -> tuple[int]:
+            nonlocal group, low, high
+            if x is not None:
+                if low is not None and max(high, x) - min(low, x) > spread:
+                    group, low, high = group + 1, x, x
+                else:
+                    low, high = (x, x) if low is None else (min(low, x), max(high, x))
+            return (group,)
+
+        return step
+
+    edge = F.when(~blank(F.col("text")), F.col("x0").cast("double"))
+    return fold_rows(lines, keys, [order], [edge], block, "column_group bigint")
 
 
 def metadata_lines(lines: DataFrame, keys: Sequence[str], order: str, anchors: Sequence[str]) -> DataFrame:
@@ -174,7 +177,3 @@ def section_ranges(paragraphs: DataFrame, keys: Sequence[str], order: str, is_br
     w = window_of(keys, [order])
     return runs(paragraphs, keys, [order], F.lag(F.col(is_break)).over(w), "section")
 
-
-def apply_in_pages(df: DataFrame, keys: Sequence[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """A custom step on one page's rows at a time."""
-    return df.groupBy(*keys).applyInPandas(fn, schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,11 +17,24 @@ def with_hashes(files: DataFrame, content: str = "content") -> DataFrame:
     return files.withColumn("sha256", F.sha2(F.col(content), 256)).drop(content)
 
 
+def needed_hashes(scan: DataFrame, manifest: DataFrame, read: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A scan (number, filename, mtime) with sha256 where a difference needs it; only those files are read.
+
+    read(files) returns the files with their content. A hash is needed for an approved file whose time differs from the
+    manifest's; all others get null.
+    """
+    keys = ["number", "filename"]
+    old = manifest.filter("role <> 'excluded'").select(*keys, F.col("mtime").alias("__before"))
+    doubtful = scan.join(old, keys).filter(~F.col("mtime").eqNullSafe(F.col("__before"))).drop("__before")
+    hashed = with_hashes(read(doubtful)).select(*keys, "sha256")
+    return scan.join(hashed, keys, "left")
+
+
 def diff(scan: DataFrame, manifest: DataFrame) -> DataFrame:
     """number, filename, bucket and reason of every file, driven by the scanned numbers.
 
     scan: number, filename, mtime, sha256. manifest: the same with role (approved or excluded). A number that only the
-    manifest has is left out. Hashes are compared only where the times differ, so a lazily hashed scan hashes few files.
+    manifest has is left out. Hashes are compared only where the times differ; needed_hashes() reads those files only.
     """
     counts = scan.groupBy("number").agg(F.count(F.lit(1)).alias("n_files"))
     known = manifest.select("number").distinct().withColumn("known", F.lit(True))
@@ -50,6 +65,15 @@ def issues(difference: DataFrame) -> DataFrame:
     return difference.filter(F.col("bucket").isin(*ISSUES))
 
 
+def suggestions(difference: DataFrame, classes: DataFrame) -> DataFrame:
+    """Each number with new duplicates, its files and the suggested class of its group (number, n_files, class).
+
+    classes: group_id and class as dedupe.classify_groups() gives them; a group that wasn't classified has none.
+    """
+    groups = difference.filter(F.col("bucket") == DUPLICATE).groupBy("number").agg(F.count(F.lit(1)).alias("n_files"))
+    return groups.join(classes.select(F.col("group_id").cast("string").alias("number"), "class"), "number", "left")
+
+
 def approve_new(manifest: DataFrame, scan: DataFrame, difference: DataFrame) -> DataFrame:
     """The manifest with the files that a difference approves of itself."""
     approved = difference.filter(F.col("bucket") == APPROVED).select("number", "filename")

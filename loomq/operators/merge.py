@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomq.functions.ordering import page_selection
-from loomq.functions.text import stripped
+from loomq.functions.text import casefold, stripped
 from loomq.operators.prefix import totals_before
+from loomq.session import expose_package
 
 #: Documents that one step of a two-level merge takes.
 BATCH = 100
@@ -65,16 +68,21 @@ def source_errors(sources: DataFrame) -> DataFrame:
 
 
 def first_spellings(terms: DataFrame, term: str, order: str) -> DataFrame:
-    """Each term once, case aside, with the spelling that comes first; blank ones are left out."""
+    """Each term once, case aside, with the spelling that comes first; blank ones are left out.
+
+    Spellings are reduced to their first place before they are folded, so folding sees each once. An order of a number
+    type keeps that reduction in a hash aggregation.
+    """
     own = terms.select(stripped(F.col(term)).alias(term), F.col(order).alias(order)).filter(F.col(term) != "")
-    first = own.groupBy(F.lower(term).alias("key")).agg(F.min(F.struct(order, term)).alias("m"))
+    spelt = own.groupBy(term).agg(F.min(order).alias(order))
+    first = spelt.groupBy(casefold(F.col(term)).alias("key")).agg(F.min(F.struct(order, term)).alias("m"))
     return first.select("key", F.col(f"m.{term}").alias(term), F.col(f"m.{order}").alias(order))
 
 
 def added_terms(existing: DataFrame, new: DataFrame, term: str, order: str) -> DataFrame:
     """Existing terms as they are, duplicates included, then the new ones that aren't there yet, each once."""
     old = existing.select(stripped(F.col(term)).alias(term), F.lit(0).alias("side"), F.col(order).alias(order)).filter(F.col(term) != "")
-    fresh = first_spellings(new, term, order).join(old.select(F.lower(term).alias("key")).distinct(), "key", "left_anti")
+    fresh = first_spellings(new, term, order).join(old.select(casefold(F.col(term)).alias("key")).distinct(), "key", "left_anti")
     return old.unionByName(fresh.select(term, F.lit(1).alias("side"), order)).orderBy("side", order).select(term)
 
 
@@ -89,24 +97,94 @@ def apply_edits(records: DataFrame, edits: DataFrame, keys: Sequence[str], colum
     return joined.select(*[changed.get(c, F.col(c)).alias(c) for c in records.columns])
 
 
-def free_names(wanted: DataFrame, name: str, order: str, taken: DataFrame | None = None) -> DataFrame:
-    """The rows with destination: a name that is taken, or wanted before, gets ' (2)', ' (3)' and so on before its end.
+#: A name before its extension, and the extension; a name that only begins with a dot has none.
+_NAME = r"(?s)^(.+?)(\.[^.]+)?$"
+_NUMBER = re.compile(r"(?s)(.*) \(([2-9]|[1-9][0-9]+)\)")
+
+
+def safe_name(name: Column, extension: str = "") -> Column:
+    """A name without path separators and with the extension; a blank or null one is unbenannt."""
+    clean = stripped(F.translate(F.coalesce(name, F.lit("")), "/\\", "__"))
+    named = F.when(clean == "", F.lit(f"unbenannt{extension}")).otherwise(clean)
+    if not extension:
+        return named
+    return F.when(F.endswith(F.lower(named), F.lit(extension.lower())), named).otherwise(F.concat(named, F.lit(extension)))
+
+
+def _split_name(name: str) -> tuple[str, str]:
+    found = re.fullmatch(_NAME, name)
+    return (found[1], found[2] or "") if found else (name, "")
+
+
+class FreeNames:
+    """Names that are given out one after the other, each the first of its row's that is free.
+
+    A row tries its name, then ' (2)', ' (3)' and so on before the extension. All numbers below the next one to try are
+    in use, so a name that is wanted a million times costs one entry.
+    """
 
-    Numbering is by window over equal names, so no row waits for another.
+    def __init__(self):
+        self.used: set[str] = set()
+        self.after: dict[str, int] = {}
+
+    def in_use(self, name: str) -> bool:
+        if name in self.used or self.after.get(name, 1) > 1:
+            return True
+        stem, suffix = _split_name(name)
+        numbered = _NUMBER.fullmatch(stem)
+        return numbered is not None and self.after.get(numbered[1] + suffix, 1) > int(numbered[2])
+
+    def give(self, name: str) -> str:
+        stem, suffix = _split_name(name)
+        n = self.after.get(name, 1)
+        while True:
+            candidate = name if n == 1 else f"{stem} ({n}){suffix}"
+            n += 1
+            if not self.in_use(candidate):
+                self.after[name] = n
+                return candidate
+
+
+def free_names(wanted: DataFrame, name: str, order: str, taken: DataFrame | None = None, extension: str = "") -> DataFrame:
+    """The rows with destination, a name that no other row gets and that isn't taken.
+
+    In the order given, a row gets the first free one of its name, ' (2)', ' (3)' and so on before its extension. Names
+    that could meet are those that are equal but for such numbers; they are dealt to one task, which reads them sorted
+    and keeps distinct names only, never the rows.
     """
-    clean = F.translate(F.col(name), "/\\", "__")
-    rows = wanted.withColumn("__clean", clean)
-    w = Window.partitionBy("__clean").orderBy(order)
-    rows = rows.withColumn("__n", F.row_number().over(w))
+    expose_package(wanted.sparkSession)
+    columns = wanted.columns
+    rows = wanted.withColumn("__clean", safe_name(F.col(name), extension)).withColumn("__wanted", F.lit(True))
     if taken is not None:
-        used = taken.groupBy(F.col(name).alias("__clean")).agg(F.lit(1).alias("__used"))
-        rows = rows.join(used, "__clean", "left").withColumn("__n", F.col("__n") + F.coalesce("__used", F.lit(0))).drop("__used")
-    stem, end = F.regexp_extract("__clean", r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract("__clean", r"^(.*?)(\.[^.]*)?$", 2)
-    shown = F.when(F.col("__n") == 1, F.col("__clean")).otherwise(F.concat(stem, F.lit(" ("), F.col("__n").cast("string"), F.lit(")"), end))
-    return rows.withColumn("destination", shown).drop("__clean", "__n")
+        blocked = taken.select(safe_name(F.col(name), extension).alias("__clean"), F.lit(False).alias("__wanted"))
+        rows = rows.unionByName(blocked, allowMissingColumns=True)
+    parts = [F.regexp_extract("__clean", _NAME, k) for k in (1, 2)]
+    root = F.concat_ws("\0", F.regexp_replace(parts[0], r"( \([0-9]+\))+$", ""), parts[1])
+    # At first they are dealt by the hash, so that a task's roots follow each other without a sort over all rows.
+    sorted_ = rows.withColumn("__root", root).repartition("__root").sortWithinPartitions("__root", "__wanted", order)
+    kept = sorted_.drop("__root")
+    fields = kept.select(*columns, F.col("__clean").alias("destination"))
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, root = FreeNames(), None
+        for batch in batches:
+            is_wanted, given = batch.column("__wanted"), []
+            for clean, want, own in zip(batch.column("__clean").to_pylist(), is_wanted.to_pylist(), batch.column("__root").to_pylist()):
+                if own != root:
+                    names, root = FreeNames(), own
+                if want:
+                    given.append(names.give(clean))
+                else:
+                    names.used.add(clean)
+            left = batch.filter(is_wanted).select(columns)
+            yield pa.RecordBatch.from_arrays([*left.columns, pa.array(given, pa.string())], names=[*columns, "destination"])
+
+    return sorted_.mapInArrow(assign, fields.schema)
 
 
 def translated_name(path: Column, language: Column) -> Column:
-    """A file's name with the target language before its extension."""
+    """A file's name with the target language before its extension: its letters and digits, TRANSLATED without any."""
     name = F.regexp_extract(path, r"([^/]*)$", 1)
-    return F.concat(F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.lit("_"), F.upper(language), F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 2))
+    tag = F.regexp_replace(F.upper(F.coalesce(language, F.lit(""))), r"[^\p{L}\p{N}]", "")
+    shown = F.when(tag == "", F.lit("TRANSLATED")).otherwise(tag)
+    return F.concat(F.regexp_extract(name, _NAME, 1), F.lit("_"), shown, F.regexp_extract(name, _NAME, 2))

@@ -126,18 +126,11 @@ def dates_en(spark, sf_dir):
     return _dated(spark, sf_dir, "MMMM d, yyyy", dates.english_dates)
 
 
-@query(_ORDER_DATES + " WHERE year(o_orderdate) >= 2000")
-def dates_custom(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").filter(F.year("o_orderdate") >= 2000)
-    words = F.concat(F.lit("Filed "), F.date_format("o_orderdate", "MMM d, yy"), F.lit("."))
-    return orders.select("o_orderkey", F.explode(dates.custom_dates(words, "MMM D, YY")).alias("found"))
-
-
 # YY is a year of this century: 199x is read as 209x.
 @query("""
 SELECT o_orderkey, make_date(CAST(2000 + year(o_orderdate) % 100 AS INTEGER), CAST(month(o_orderdate) AS INTEGER), CAST(day(o_orderdate) AS INTEGER)) AS found FROM orders
 """)
-def dates_custom_all(spark, sf_dir):
+def dates_custom(spark, sf_dir):
     words = F.concat(F.lit("Filed "), F.date_format("o_orderdate", "MMM d, yy"), F.lit("."))
     return table(spark, sf_dir, "orders").select("o_orderkey", F.explode(dates.custom_dates(words, "MMM D, YY")).alias("found"))
 
@@ -193,19 +186,8 @@ def natural_sort_all(spark, sf_dir):
     return placed.join(ranks, "k").select("p_partkey", "name", "place")
 
 
-@query("""
-WITH n AS (SELECT p_partkey, p_name, p_size FROM part), r AS (SELECT *, row_number() OVER (ORDER BY lower(p_name) DESC, p_partkey) AS place FROM n)
-SELECT p_partkey, place FROM r WHERE place <= 100
-""")
-def sorted_results(spark, sf_dir):
-    parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"), F.col("p_partkey").alias("ordinal"))
-    first = search.sorted_results(parts, "name", descending=True).limit(100)
-    w = Window.orderBy(ordering.natural_key(F.col("name")).desc(), "ordinal")
-    return first.select("p_partkey", F.row_number().over(w).cast("long").alias("place"))
-
-
 @query("SELECT p_partkey, row_number() OVER (ORDER BY lower(p_name) DESC, p_partkey) AS place FROM part")
-def sorted_results_all(spark, sf_dir):
+def sorted_results(spark, sf_dir):
     parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"), F.col("p_partkey").alias("ordinal"))
     return prefix.places(parts, [ordering.natural_key(F.col("name")).desc(), F.col("ordinal").asc()]).select("p_partkey", "place")
 
@@ -233,17 +215,8 @@ def query_history(spark, sf_dir):
     return ordering.history(events, "query", "used")
 
 
-@query("""
-SELECT c_custkey, 'slide' || CAST(c_custkey AS VARCHAR) || '.xml' AS path, row_number() OVER (ORDER BY c_custkey) AS place FROM customer QUALIFY place <= 300
-""")
-def slide_order(spark, sf_dir):
-    slides = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("slide"), F.col("c_custkey").cast("string"), F.lit(".xml")).alias("path"))
-    first = slides.orderBy(*ordering.slide_key(F.col("path"))).limit(300)
-    return first.withColumn("place", F.row_number().over(Window.orderBy(*ordering.slide_key(F.col("path")))).cast("long"))
-
-
 @query("SELECT c_custkey, 'slide' || CAST(c_custkey AS VARCHAR) || '.xml' AS path, row_number() OVER (ORDER BY c_custkey) AS place FROM customer")
-def slide_order_all(spark, sf_dir):
+def slide_order(spark, sf_dir):
     slides = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("slide"), F.col("c_custkey").cast("string"), F.lit(".xml")).alias("path"))
     return prefix.places(slides, ordering.slide_key(F.col("path")))
 
@@ -270,12 +243,13 @@ def html_to_plain(spark, sf_dir):
 
 
 @query(r"""
-SELECT conv_id, turn, '<p>' || replace(replace(replace(replace(replace(trim(regexp_replace(regexp_replace(text, chr(10), ' ', 'g'), ' {2,}', ' ', 'g')),
-       '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') || '</p>' AS markup
-FROM conversations WHERE text <> '' AND NOT regexp_matches(text, '\n\s*\n')
+WITH l AS (SELECT conv_id, turn, array_to_string(list_transform(string_split(text, chr(10)), lambda x: trim(x)), chr(10)) AS t FROM conversations),
+p AS (SELECT conv_id, turn, list_transform(list_filter(string_split_regex(t, '\n\n+'), lambda x: trim(x, chr(10)) <> ''), lambda x: trim(x, chr(10))) AS ps FROM l)
+SELECT conv_id, turn, array_to_string(list_transform(ps, lambda x: '<p>' || replace(replace(replace(replace(replace(regexp_replace(replace(x, chr(10), ' '), ' {2,}', ' ', 'g'),
+       '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') || '</p>'), '') AS markup FROM p
 """)
 def plain_to_html(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").filter((F.col("text") != "") & ~F.col("text").rlike(r"\n\s*\n"))
+    turns = table(spark, sf_dir, "conversations")
     return turns.select("conv_id", "turn", text.plain_to_html(F.col("text")).alias("markup"))
 
 
@@ -312,24 +286,17 @@ def json_config(spark, sf_dir):
 
 @query(r"""
 WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS t, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents),
-c AS (SELECT regexp_replace(t, '^\s+|\s+$', '', 'g') AS t, doc_id * 1000000 + i - 1 AS o FROM w)
-SELECT lower(t) AS key, arg_min(t, o) AS term FROM c WHERE t <> '' AND NOT regexp_matches(t, '[^\x{00}-\x{7F}]') GROUP BY 1
+c AS (SELECT regexp_replace(t, '^\s+|\s+$', '', 'g') AS t, doc_id * 1000000000 + i AS o FROM w)
+SELECT replace(lower(t), 'ß', 'ss') AS key, arg_min(t, o) AS term FROM c WHERE t <> '' GROUP BY 1
 """)
 def dedupe_casefold_first(spark, sf_dir):
-    ascii_only = _terms(table(spark, sf_dir, "documents")).filter(~text.stripped(F.col("term")).rlike(r"[^\x{00}-\x{7F}]"))
-    return merge.first_spellings(ascii_only, "term", "o").select("key", "term")
-
-
-# No SQL: DuckDB's lower() differs from Spark's outside ASCII.
-@query()
-def dedupe_casefold_all(spark, sf_dir):
     return merge.first_spellings(_terms(table(spark, sf_dir, "documents")), "term", "o").select("key", "term")
 
 
 def _terms(docs: DataFrame) -> DataFrame:
-    """Every piece between spaces, with its place o: the document, then the piece in it."""
-    words = docs.select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "term"))
-    return words.select("term", F.struct("doc_id", "i").alias("o"))
+    """Every piece between spaces that a document hasn't had before, with its place o: the document, then its number."""
+    words = docs.select("doc_id", F.posexplode(F.array_distinct(F.split("text", " "))).alias("i", "term"))
+    return words.select("term", (F.col("doc_id").cast("decimal(20,0)") * (1 << 31) + F.col("i")).cast("decimal(38,0)").alias("o"))
 
 
 # --- boxes, lines and regions -------------------------------------------------------------------------------------
@@ -438,14 +405,13 @@ def gap_islands(spark, sf_dir):
 
 #: Words made from lineitem: an order is an image, its lines words on one line.
 _WORDS = """
-word AS (SELECT l_orderkey AS doc_id, l_linenumber AS word_index, CAST(l_quantity * 12 AS BIGINT) AS l, CAST(10 + l_linenumber % 3 AS BIGINT) AS h, CAST(20 + l_suppkey % 30 AS BIGINT) AS w,
-                CASE WHEN l_partkey % 11 = 0 THEN -1.0 ELSE l_partkey % 100 END AS conf, CASE WHEN l_partkey % 17 = 0 THEN '|' ELSE 'w' || CAST(l_partkey AS VARCHAR) END AS text,
-                row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice) AS copy FROM lineitem)
+word AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS word_index, CAST(l_quantity * 12 AS BIGINT) AS l, CAST(10 + l_linenumber % 3 AS BIGINT) AS h, CAST(20 + l_suppkey % 30 AS BIGINT) AS w,
+                CASE WHEN l_partkey % 11 = 0 THEN -1.0 ELSE l_partkey % 100 END AS conf, CASE WHEN l_partkey % 17 = 0 THEN '|' ELSE 'w' || CAST(l_partkey AS VARCHAR) END AS text FROM lineitem)
 """
 
 
 @query(f"""
-WITH {_WORDS}, kept AS (SELECT * FROM word WHERE copy = 1 AND text <> '|'),
+WITH {_WORDS}, kept AS (SELECT * FROM word WHERE text <> '|'),
 g AS (SELECT *, l - lag(l + w) OVER o AS gap, greatest(h, lag(h) OVER o, 1) AS tall FROM kept WINDOW o AS (PARTITION BY doc_id ORDER BY l, word_index)),
 r AS (SELECT *, CAST(sum(CASE WHEN gap > 2.5 * tall THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY l, word_index ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM g)
 SELECT doc_id, run, string_agg(text, ' ' ORDER BY l, word_index) AS text, min(l) AS x, max(l + w) - min(l) AS width, max(h) AS height,
@@ -453,9 +419,9 @@ SELECT doc_id, run, string_agg(text, ' ' ORDER BY l, word_index) AS text, min(l)
 """)
 def word_lines(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem")
-    w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_extendedprice")
-    words = items.withColumn("copy", F.row_number().over(w)).filter("copy = 1").select(
-        F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("word_index"), *[F.lit(0).alias(c) for c in ("block_num", "par_num", "line_num", "top")],
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    words = items.select(
+        F.col("l_orderkey").alias("doc_id"), F.row_number().over(w).alias("word_index"), *[F.lit(0).alias(c) for c in ("block_num", "par_num", "line_num", "top")],
         (F.col("l_quantity") * 12).cast("long").alias("left"), (20 + F.col("l_suppkey") % 30).alias("width"), (10 + F.col("l_linenumber") % 3).cast("long").alias("height"),
         F.when(F.col("l_partkey") % 11 == 0, -1.0).otherwise((F.col("l_partkey") % 100).cast("double")).alias("conf"),
         F.when(F.col("l_partkey") % 17 == 0, "|").otherwise(F.concat(F.lit("w"), F.col("l_partkey").cast("string"))).alias("text"),
@@ -466,14 +432,14 @@ def word_lines(spark, sf_dir):
 @query(r"""
 WITH l AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
 p AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
-k AS (SELECT source, doc_id, i, trim(lower(regexp_replace(regexp_replace(t, '\d+', '#', 'g'), '\s+', ' ', 'g'))) AS key FROM l WHERE trim(t) <> '' AND i = 1)
+k AS (SELECT source, doc_id, i, trim(replace(lower(regexp_replace(regexp_replace(t, '\d+', '#', 'g'), '\s+', ' ', 'g')), 'ß', 'ss')) AS key FROM l WHERE trim(t) <> '')
 SELECT source, 'text:' || key AS key, count(DISTINCT doc_id) AS on_pages FROM k GROUP BY 1, 2 HAVING count(DISTINCT doc_id) >= 2
 """)
 def repetition_keys(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    first = F.split_part("text", F.lit("\n"), F.lit(1))
-    # A source is a document, its texts pages whose first line is a block at the top, each at a place of its own.
-    blocks = docs.select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page_index"), F.lit(0.0).alias("x0"), F.lit(10.0).alias("y0"), (F.col("doc_id") * 4.0 + 2).alias("x1"), F.lit(20.0).alias("y1"), first.alias("text"))
+    lines = docs.select("source", "doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    # A source is a document, its texts pages whose lines are blocks at the top, those of a page at a place of its own.
+    blocks = lines.select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page_index"), F.lit(0.0).alias("x0"), F.lit(10.0).alias("y0"), (F.col("doc_id") * 4.0 + 2).alias("x1"), F.lit(20.0).alias("y1"), F.col("line").alias("text"))
     pages = docs.select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page_index"), F.lit(500.0).alias("height"))
     n = pages.groupBy("doc_id").count().agg(F.max("count")).first()[0] or 1
     found = layout.repeated_keys(blocks, pages, share=2 / n)
@@ -496,12 +462,20 @@ def header_zones(spark, sf_dir):
     return layout.zones(blocks, pages, share=0.9).select(F.col("doc_id").alias("doc"), "x0", "x1", "n_keys")
 
 
-@query()
+@query("""
+WITH RECURSIVE l AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber * 1000000 + l_partkey, l_suppkey, l_extendedprice, l_quantity) AS line,
+  CASE WHEN l_partkey % 6 <> 0 THEN CAST(l_quantity * 3 AS DOUBLE) END AS x FROM lineitem),
+f(doc_id, line, low, high, column_group) AS (SELECT doc_id, line, x, x, 0 FROM l WHERE line = 1
+  UNION ALL SELECT l.doc_id, l.line, CASE WHEN x IS NULL THEN low WHEN greatest(high, x) - least(low, x) > 50 THEN x ELSE least(low, x) END,
+    CASE WHEN x IS NULL THEN high WHEN greatest(high, x) - least(low, x) > 50 THEN x ELSE greatest(high, x) END,
+    column_group + CASE WHEN x IS NOT NULL AND low IS NOT NULL AND greatest(high, x) - least(low, x) > 50 THEN 1 ELSE 0 END FROM f JOIN l ON l.doc_id = f.doc_id AND l.line = f.line + 1)
+SELECT doc_id, line, CAST(column_group AS BIGINT) AS column_group FROM f
+""")
 def column_groups(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem")
     place = F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")
     blank = F.when(F.col("l_partkey") % 6 == 0, "").otherwise("line")
-    w = Window.partitionBy("l_orderkey").orderBy(place, "l_suppkey", "l_extendedprice")
+    w = Window.partitionBy("l_orderkey").orderBy(place, "l_suppkey", "l_extendedprice", "l_quantity")
     lines = items.select(F.col("l_orderkey").alias("doc_id"), F.row_number().over(w).cast("long").alias("line"), (F.col("l_quantity") * 3).alias("x0"), blank.alias("text"))
     return layout.column_groups(lines, ["doc_id"], "line").select("doc_id", "line", "column_group")
 
@@ -638,21 +612,11 @@ def manifest_diff(spark, sf_dir):
     return manifest.diff(scan, known)
 
 
-@query("""
-SELECT CAST(o_custkey AS VARCHAR) AS number, 'f' || CAST(o_orderkey AS VARCHAR) AS filename FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 2 = 0
-ORDER BY o_custkey, filename LIMIT 250
-""")
-def batch_selection(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders")
-    entries = orders.filter(F.col("o_custkey") % 2 == 0).select(F.col("o_custkey").cast("string").alias("number"), F.concat(F.lit("f"), F.col("o_orderkey").cast("string")).alias("filename"), F.when(F.col("o_orderstatus") == "F", "approved").otherwise("open").alias("status"), F.lit("approved").alias("role"))
-    return manifest.select_documents(entries, limit=250)
-
-
 @query("""
 SELECT CAST(o_custkey AS VARCHAR) AS number, 'f' || CAST(o_orderkey AS VARCHAR) AS filename FROM orders WHERE o_orderstatus = 'F'
 ORDER BY o_custkey, filename LIMIT 250
 """)
-def batch_selection_all(spark, sf_dir):
+def batch_selection(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     entries = orders.select(F.col("o_custkey").cast("string").alias("number"), F.concat(F.lit("f"), F.col("o_orderkey").cast("string")).alias("filename"), F.when(F.col("o_orderstatus") == "F", "approved").otherwise("open").alias("status"), F.lit("approved").alias("role"))
     return manifest.select_documents(entries, limit=250)
@@ -707,14 +671,26 @@ def merge_stats(spark, sf_dir):
     return merge.merge_stats(_sources(spark, sf_dir))
 
 
+# Forty files to a folder, wanted under names that meet each other's numbered forms, and taken names in every third.
 @query("""
-WITH n AS (SELECT p_partkey, p_name || '_DE.pdf' AS name FROM part)
-SELECT p_partkey, CASE WHEN k = 1 THEN name ELSE replace(name, '.pdf', ' (' || CAST(k AS VARCHAR) || ').pdf') END AS destination
-FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY p_partkey) AS k FROM n)
+WITH RECURSIVE w AS (SELECT p_partkey, p_partkey // 40 AS f, row_number() OVER (PARTITION BY p_partkey // 40 ORDER BY p_partkey) AS i,
+  'f' || CAST(p_partkey // 40 AS VARCHAR) || CASE p_partkey % 7 WHEN 2 THEN ' (2)' WHEN 3 THEN ' (3)' WHEN 4 THEN ' (2) (2)' ELSE '' END || '_PTBR' AS stem FROM part),
+t(f, i, used, p_partkey, destination) AS (SELECT DISTINCT f, CAST(0 AS BIGINT), CASE WHEN f % 3 = 0 THEN ['f' || CAST(f AS VARCHAR) || '_PTBR.pdf', 'f' || CAST(f AS VARCHAR) || '_PTBR (4).pdf'] ELSE CAST([] AS VARCHAR[]) END,
+    CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR) FROM w
+  UNION ALL SELECT f, i, list_append(used, d), p_partkey, d FROM (SELECT w.f, w.i, t.used, w.p_partkey, list_filter(list_transform(range(1, len(t.used) + 2),
+    lambda k: CASE WHEN k = 1 THEN w.stem || '.pdf' ELSE w.stem || ' (' || CAST(k AS VARCHAR) || ').pdf' END), lambda x: NOT list_contains(t.used, x))[1] AS d FROM t JOIN w ON w.f = t.f AND w.i = t.i + 1))
+SELECT p_partkey, destination FROM t WHERE i > 0
 """)
 def free_names(spark, sf_dir):
-    parts = table(spark, sf_dir, "part").select("p_partkey", merge.translated_name(F.concat(F.lit("in/"), "p_name", F.lit(".pdf")), F.lit("de")).alias("name"))
-    return merge.free_names(parts, "name", "p_partkey").select("p_partkey", "destination")
+    k = F.col("p_partkey")
+    folder = F.floor(k / 40).cast("string")
+    number = F.when(k % 7 == 2, " (2)").when(k % 7 == 3, " (3)").when(k % 7 == 4, " (2) (2)").otherwise("")
+    path = F.concat(F.lit("in/f"), folder, number, F.lit(".pdf"))
+    wanted = table(spark, sf_dir, "part").select("p_partkey", merge.translated_name(path, F.lit("pt-br")).alias("name"))
+    ends = F.explode(F.array(F.lit(""), F.lit(" (4)")))
+    taken = table(spark, sf_dir, "part").filter(F.floor(k / 40) % 3 == 0).select(folder.alias("f")).distinct()
+    taken = taken.select("f", ends.alias("e")).select(F.concat(F.lit("f"), "f", F.lit("_PTBR"), "e", F.lit(".pdf")).alias("name"))
+    return merge.free_names(wanted, "name", "p_partkey", taken).select("p_partkey", "destination")
 
 
 @query("""

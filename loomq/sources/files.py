@@ -6,11 +6,13 @@ import time
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from loomq.functions.text import stem
+from loomq.session import expose_package, materialize
 
 #: Extensions by what is looked for.
 PDF, WORD, SLIDES = (".pdf",), (".docx",), (".pptx",)
@@ -34,21 +36,36 @@ def stems(found: DataFrame) -> DataFrame:
     return found.withColumn("stem", stem(F.col("path")))
 
 
-def tree_files(entries: DataFrame, root: str, recursive: bool = True, levels: int = 100) -> DataFrame:
+def tree_files(entries: DataFrame, root: str, recursive: bool = True) -> DataFrame:
     """The files below a folder of a tree (id, parent_id, name, is_folder, modified), with their depth.
 
-    Each level is one join of the folders found so far with their children, so the work follows the tree's depth.
+    Only the folders are walked, each level one join of the last level's folders with theirs, written once; the files
+    are joined to the folders found at the end, whatever the depth. A folder that is met again isn't walked again, so a
+    ring of folders ends.
     """
     kids = entries.select("id", "parent_id", "name", "is_folder", "modified")
-    level = kids.filter(F.col("parent_id") == root).withColumn("depth", F.lit(1))
-    found = level
-    for depth in range(2, levels + 1 if recursive else 2):
-        folders = level.filter("is_folder").select(F.col("id").alias("parent_id"))
-        level = kids.join(folders, "parent_id", "left_semi").withColumn("depth", F.lit(depth))
-        if level.isEmpty():
-            break
-        found = found.unionByName(level)
-    return found.filter(~F.col("is_folder")).drop("is_folder")
+    spark = entries.sparkSession
+    first = spark.createDataFrame([(root, 0)], "id string, depth int").withColumn("id", F.col("id").cast(entries.schema["id"].dataType))
+    seen = level = first
+    if recursive:
+        folders = kids.filter("is_folder").select("id", "parent_id")
+        while True:
+            found = folders.join(level.select(F.col("id").alias("parent_id"), "depth"), "parent_id").select("id", (F.col("depth") + 1).alias("depth")).distinct()
+            level = materialize(found.join(seen.select("id"), "id", "left_anti"))
+            if level.isEmpty():
+                break
+            seen = seen.unionByName(level)
+    above = seen.select(F.col("id").alias("parent_id"), (F.col("depth") + 1).alias("depth"))
+    return kids.filter(~F.col("is_folder")).join(above, "parent_id").select("id", "parent_id", "name", "modified", "depth")
+
+
+def remote_date(value: Column) -> Column:
+    """The day of a remote timestamp such as 2026-08-15T10:23:00.000Z, as written there; null for what isn't one."""
+    shape = r"^(\d{4}-\d{2}-\d{2})(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?(?:Z|[+-]\d{2}:?\d{2})?)?$"
+    stamp = F.regexp_extract(value, shape, 1)
+    clock = F.regexp_extract(value, r"[T ](\d{2}:\d{2}(?::\d{2})?)", 1)
+    valid = (clock == "") | F.concat(F.lit("2000-01-01 "), clock).try_cast("timestamp").isNotNull()
+    return F.when(valid, F.nullif(stamp, F.lit("")).try_cast("date"))
 
 
 # --- a remote drive that lists pages ------------------------------------------------------------------------------
@@ -77,6 +94,48 @@ def with_retries(call: Callable[[], Any], attempts: int = ATTEMPTS, first_wait:
             sleep(first_wait * 2**n)
 
 
+def checked_folder(get: Callable[[str], dict], folder: str) -> dict:
+    """A remote folder's id and name before a long scan; one in the bin, or a file, is an error that names it."""
+    found = with_retries(lambda: get(folder))
+    if found.get("trashed"):
+        raise ValueError(f"{found.get('name', folder)!r} is in the bin")
+    if not found.get("is_folder"):
+        raise ValueError(f"{found.get('name', folder)!r} is not a folder")
+    return {"id": found["id"], "name": found["name"]}
+
+
+def client_of(name: str) -> Any:
+    """What the function named module:function returns."""
+    import importlib
+
+    module, function = name.split(":")
+    return getattr(importlib.import_module(module), function)()
+
+
+def downloaded(entries: DataFrame, client: str, attempts: int = ATTEMPTS, first_wait: float = FIRST_WAIT) -> DataFrame:
+    """The entries (id, …) with content and error, fetched by executors in whole; refusals are tried again.
+
+    client names a module:function that returns fetch(id) -> bytes. One file is held at a time; a file that can't be
+    fetched has a null content and its error, and doesn't stop the others.
+    """
+    expose_package(entries.sparkSession)
+    columns = entries.columns
+    schema = entries.limit(0).select("*", F.lit(None).cast("binary").alias("content"), F.lit(None).cast("string").alias("error")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fetch = client_of(client)
+        for batch in batches:
+            for n, key in enumerate(batch.column("id").to_pylist()):
+                try:
+                    content, error = with_retries(lambda: fetch(key), attempts, first_wait), None
+                except Exception as problem:  # one file must not stop the others
+                    content, error = None, f"{type(problem).__name__}: {problem}"
+                own = [batch.column(c).slice(n, 1) for c in columns]
+                yield pa.RecordBatch.from_arrays([*own, pa.array([content], pa.binary()), pa.array([error], pa.string())], names=[*columns, "content", "error"])
+
+    return entries.mapInArrow(run, schema)
+
+
 class PagedListing(DataSource):
     """A remote folder's entries as a table: spark.read.format("paged_listing").
 
@@ -110,10 +169,7 @@ class _PagedReader(DataSourceReader):
         return [_Folder(f) for f in self.folders]
 
     def read(self, partition: _Folder) -> Iterator[tuple]:
-        import importlib
-
-        module, function = self.client.split(":")
-        list_page = getattr(importlib.import_module(module), function)()
+        list_page = client_of(self.client)
         token = None
         while True:
             entries, token = with_retries(lambda: list_page(partition.folder, self.kinds, token, PAGE_SIZE))

@@ -23,12 +23,14 @@ A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 P = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
 WORD_PARTS = {"body": "word/document.xml", "header": "word/header2.xml", "footer": "word/footer1.xml"}
 UNTRANSLATED_PLACEHOLDERS = ("ftr", "dt", "sldNum")
+BODY_PROPERTIES = ("wrap", "lIns", "tIns", "rIns", "bIns", "vert", "anchor")
 
 RUN = "struct<text:string,translatable:boolean,is_image:boolean,is_hyperlink:boolean,hyperlink_target:string,bold:boolean,italic:boolean,underline:boolean>"
 PARAGRAPHS = f"path string, part string, para_index int, translatable boolean, section int, is_separator boolean, runs array<{RUN}>, error string"
 CONTAINERS = (
-    "path string, slide_path string, slide_number int, shape_id string, shape_name string, kind string, table_row int, table_col int, width long, height long, "
-    "font_points double, paragraphs array<string>, error string"
+    "path string, slide_path string, slide_number int, shape_id string, shape_name string, kind string, placeholder_type string, group_path array<string>, "
+    "table_row int, table_col int, x long, y long, width long, height long, rotation long, autofit string, body map<string,string>, font_points double, "
+    "paragraphs array<string>, translatable boolean, exclusion_reason string, error string"
 )
 
 
@@ -192,43 +194,52 @@ def replaced_word(content: bytes, texts: dict[tuple[str, int], str]) -> bytes:
 # --- presentations ------------------------------------------------------------------------------------------------
 
 
-def _extent(shape: ET.Element) -> tuple[int | None, int | None]:
-    ext = next(shape.iter(A + "ext"), None)
-    if ext is None or ext.get("cx") is None:
-        return None, None
-    return int(ext.get("cx")), int(ext.get("cy"))
+def _box(transform: ET.Element | None) -> dict:
+    """Place, size and rotation of a shape's own transform; a shape that takes its layout's has none."""
+    off, ext = (None if transform is None else transform.find(A + tag) for tag in ("off", "ext"))
+    number = lambda node, key: None if node is None or node.get(key) is None else int(node.get(key))
+    return {"x": number(off, "x"), "y": number(off, "y"), "width": number(ext, "cx"), "height": number(ext, "cy"), "rotation": number(transform, "rot")}
 
 
-def _container(shape: ET.Element, body: ET.Element, kind: str, cell: tuple[int, int] | None = None) -> dict:
+def _identity(shape: ET.Element, otherwise: str) -> tuple[str, str]:
+    """A shape's id and name; extension lists inside its name's element don't matter."""
     name = next(shape.iter(P + "cNvPr"), None)
+    return ("", otherwise) if name is None else (name.get("id", ""), name.get("name", otherwise))
+
+
+def _body(body: ET.Element) -> dict:
     sizes = [int(r.get("sz")) / 100 for r in body.iter(A + "rPr") if (r.get("sz") or "").isdigit()]
-    width, height = _extent(shape)
-    paragraphs = ["".join(t.text or "" for t in p.iter(A + "t")) for p in body.findall(A + "p")]
+    own = body.find(A + "bodyPr")
+    fit = [] if own is None else [c.tag[len(A):] for c in own if c.tag in (A + "noAutofit", A + "normAutofit", A + "spAutoFit")]
     return {
-        "shape_id": None if name is None else name.get("id"), "shape_name": None if name is None else name.get("name"), "kind": kind,
-        "table_row": cell[0] if cell else None, "table_col": cell[1] if cell else None, "width": width, "height": height,
-        "font_points": max(sizes, default=18.0), "paragraphs": paragraphs,
+        "font_points": max(sizes, default=18.0), "paragraphs": ["".join(t.text or "" for t in p.iter(A + "t")) for p in body.findall(A + "p")],
+        "autofit": fit[0] if fit else None, "body": {} if own is None else {k: own.get(k) for k in BODY_PROPERTIES if own.get(k) is not None},
     }
 
 
-def _containers(tree: ET.Element) -> Iterator[dict]:
+def _containers(tree: ET.Element, groups: tuple[str, ...] = ()) -> Iterator[dict]:
+    """The text containers of a tree of shapes, those in groups and table cells too.
+
+    Placeholders that the master fills are there, marked as not translatable. A cell has its table's box.
+    """
     for shape in tree:
         if shape.tag == P + "grpSp":
-            yield from _containers(shape)
-        elif shape.tag == P + "sp":
-            placeholder = next(shape.iter(P + "ph"), None)
-            body = shape.find(P + "txBody")
-            if body is not None and (placeholder is None or placeholder.get("type") not in UNTRANSLATED_PLACEHOLDERS):
-                yield _container(shape, body, "text_box" if placeholder is None else "placeholder")
-        elif shape.tag == P + "graphicFrame":
-            for table in shape.iter(A + "tbl"):
-                widths = [int(c.get("w") or 0) for c in table.iter(A + "gridCol")]
-                for i, row in enumerate(table.findall(A + "tr")):
-                    for j, cell in enumerate(row.findall(A + "tc")):
-                        body = cell.find(A + "txBody")
-                        if body is not None:
-                            own = _container(shape, body, "table_cell", (i, j))
-                            yield own | {"width": widths[j] if j < len(widths) else None, "height": int(row.get("h") or 0) or None}
+            yield from _containers(shape, (*groups, ":".join(_identity(shape, "group"))))
+        elif shape.tag == P + "sp" and (body := shape.find(P + "txBody")) is not None:
+            holder = shape.find(f"{P}nvSpPr/{P}nvPr/{P}ph")
+            kind = None if holder is None else holder.get("type")
+            free, (number, name) = kind not in UNTRANSLATED_PLACEHOLDERS, _identity(shape, "shape")
+            yield {
+                "shape_id": number, "shape_name": name, "kind": "text_box" if holder is None else "placeholder", "placeholder_type": kind, "group_path": list(groups),
+                **_box(shape.find(f"{P}spPr/{A}xfrm")), **_body(body), "translatable": free, "exclusion_reason": None if free else f"protected_placeholder:{kind}",
+            }
+        elif shape.tag == P + "graphicFrame" and (table := next(shape.iter(A + "tbl"), None)) is not None:
+            (number, name), box = _identity(shape, "table"), _box(shape.find(P + "xfrm"))
+            for i, row in enumerate(table.findall(A + "tr")):
+                for j, cell in enumerate(row.findall(A + "tc")):
+                    if (body := cell.find(A + "txBody")) is not None:
+                        place = {"shape_id": number, "shape_name": name, "kind": "table_cell", "group_path": list(groups), "table_row": i, "table_col": j}
+                        yield place | box | _body(body) | {"translatable": True}
 
 
 def slide_rows(path: str, content: bytes) -> Iterator[dict]:
@@ -254,12 +265,84 @@ def read_slides(files: DataFrame) -> DataFrame:
                     rows += list(slide_rows(path, bytes(content)))
                 except (zipfile.BadZipFile, ET.ParseError, ValueError) as error:
                     rows.append({"path": path, "paragraphs": [], "error": f"{type(error).__name__}: {error}"})
-            kinds = {c: "Int32" for c in ("slide_number", "table_row", "table_col")} | {c: "Int64" for c in ("width", "height")}
+            kinds = {c: "Int32" for c in ("slide_number", "table_row", "table_col")} | {c: "Int64" for c in ("x", "y", "width", "height", "rotation")}
             yield pd.DataFrame(rows, columns=columns, dtype=object).astype(kinds | {"font_points": "float64"})
 
     return files.select("path", "content").mapInPandas(read, CONTAINERS)
 
 
+def slide_texts(root: ET.Element) -> list[list[ET.Element]]:
+    """The text nodes of a slide by paragraph, in the order of _containers() and their paragraphs."""
+    tree, found = root.find(f"{P}cSld/{P}spTree"), []
+
+    def walk(parent: ET.Element) -> None:
+        for shape in parent:
+            if shape.tag == P + "grpSp":
+                walk(shape)
+            bodies = []
+            if shape.tag == P + "sp":
+                bodies = shape.findall(P + "txBody")
+            elif shape.tag == P + "graphicFrame" and (table := next(shape.iter(A + "tbl"), None)) is not None:
+                bodies = table.findall(f"{A}tr/{A}tc/{A}txBody")
+            for body in bodies:
+                found.extend([list(p.iter(A + "t")) for p in body.findall(A + "p")])
+
+    if tree is not None:
+        walk(tree)
+    return found
+
+
+def replaced_slides(content: bytes, texts: dict[tuple[str, int, int], str]) -> bytes:
+    """A presentation with some run texts replaced: texts by slide path, paragraph of the slide and run of it.
+
+    Without a replacement that fits the same bytes come back. Slides that change are written anew, every other part as
+    it was. A place that the slide doesn't have is an error.
+    """
+    if not texts:
+        return content
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(content)) as source, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as target:
+        unknown = {slide for slide, _, _ in texts} - set(source.namelist())
+        if unknown:
+            raise ValueError(f"no {sorted(unknown)[0]}")
+        for info in source.infolist():
+            data = source.read(info.filename)
+            own = {(p, r): text for (slide, p, r), text in texts.items() if slide == info.filename}
+            if own:
+                root = ET.fromstring(data)
+                nodes = slide_texts(root)
+                for (p, r), text in own.items():
+                    if p >= len(nodes) or r >= len(nodes[p]):
+                        raise ValueError(f"{info.filename} has no run {r} in paragraph {p}")
+                    nodes[p][r].text = text
+                data = ET.tostring(root, "utf-8", xml_declaration=True)
+            target.writestr(info, data)
+    return out.getvalue()
+
+
+def saved_slides(files: DataFrame, texts: DataFrame) -> DataFrame:
+    """path and content of presentations (path, content) with new texts (path, slide_path, paragraph, run, text) put in.
+
+    A presentation without new texts keeps its bytes; one that can't be written has a null content and its error.
+    """
+    expose_package(files.sparkSession)
+    entry = F.struct("slide_path", "paragraph", "run", "text")
+    grouped = texts.groupBy("path").agg(F.collect_list(entry).alias("texts"))  # one file's runs
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, content, new in zip(batch["path"], batch["content"], batch["texts"]):
+                wanted = {} if new is None else {(t["slide_path"], int(t["paragraph"]), int(t["run"])): t["text"] for t in new}
+                try:
+                    rows.append((path, replaced_slides(bytes(content), wanted), None))
+                except (zipfile.BadZipFile, ET.ParseError, ValueError) as error:
+                    rows.append((path, None, f"{type(error).__name__}: {error}"))
+            yield pd.DataFrame(rows, columns=["path", "content", "error"])
+
+    return files.select("path", "content").join(grouped, "path", "left").mapInPandas(write, "path string, content binary, error string")
+
+
 def structure_digest(files: DataFrame) -> DataFrame:
     """path, part and the SHA-256 of each part of a package, slides without their texts: equal if only texts changed."""
     expose_package(files.sparkSession)

@@ -1,5 +1,7 @@
+import hashlib
 import random
 from difflib import SequenceMatcher
+from pathlib import PurePosixPath
 
 import pytest
 from pyspark.sql import functions as F
@@ -30,6 +32,22 @@ def test_manifest(spark):
     assert [r["number"] for r in chosen] == ["1", "2", "3"]
 
 
+def test_needed_hashes(spark):
+    scan = spark.createDataFrame([("1", "a", "t1"), ("2", "b", "t2"), ("3", "new", "t")], "number string, filename string, mtime string")
+    known = spark.createDataFrame([("1", "approved", "a", "t1", "s1", "approved"), ("2", "approved", "b", "old", hashlib.sha256(b"b").hexdigest(), "approved")], MANIFEST)
+    asked = []
+
+    def read(files):
+        asked.extend(r["filename"] for r in files.collect())
+        return files.withColumn("content", F.col("filename").cast("binary"))
+
+    hashed = manifest.needed_hashes(scan, known, read)
+    assert asked == ["b"] and {r["filename"]: r["bucket"] for r in manifest.diff(hashed, known).collect()} == {"a": "unchanged", "b": "unchanged", "new": "auto_approved"}
+    classes = spark.createDataFrame([("4", "x")], "group_id string, class string")
+    found = spark.createDataFrame([("4", "d1", "new_duplicate"), ("4", "d2", "new_duplicate"), ("1", "a", "changed")], "number string, filename string, bucket string")
+    assert [tuple(r) for r in manifest.suggestions(found, classes).collect()] == [("4", 2, "x")]
+
+
 def _group(spark, sims, **facts):
     n = 3
     rows = [("g", facts.get("developer", ["x"] * n)[i], facts.get("domain", ["d"] * n)[i], facts.get("date", [None] * n)[i], facts.get("count", [5] * n)[i]) for i in range(n)]
@@ -79,6 +97,13 @@ def test_budget_skips(spark):
     assert got == [(True, 60), (False, 60), (True, 90), (False, 90), (True, 100)]
 
 
+def test_budget_of_a_long_run(spark):
+    df = spark.range(300_000).select(F.lit(1).alias("run"), F.col("id").alias("i"), (F.col("id") % 7).alias("n"))
+    assert cost.within_budget(df, ["run"], "i", "n", 1000).filter("admitted").agg(F.max("used")).first()[0] == 1000
+    ties = spark.createDataFrame([(1, 0, 5), (1, 0, 5), (1, 0, None)], "run int, i int, n int")
+    assert sorted(r["used"] for r in cost.within_budget(ties, [], "i", "n", 9).collect()) == [0, 5, 5]
+
+
 def test_merge(spark):
     sources = spark.createDataFrame([(0, "a.pdf", "", 5), (1, "b.pdf", "3-1", 3), (2, "in/a.pdf", "2", 2), (3, "e.pdf", "", 0)], "seq int, path string, spec string, n_pages int")
     pages = [(r["seq"], r["source_page"], r["output_page"]) for r in merge.selected_pages(sources).orderBy("output_page").collect()]
@@ -98,16 +123,47 @@ def test_edits_and_terms(spark):
     edits = spark.createDataFrame([(1, None, True, 9, False), (7, "x", True, 1, True)], "i int, text string, has_text boolean, size int, has_size boolean")
     assert [(r["text"], r["size"]) for r in merge.apply_edits(records, edits, ["i"], ["text", "size"]).orderBy("i").collect()] == [("a", 1), (None, 2), ("c", 3)]
     terms = spark.createDataFrame([(0, "Clavis"), (1, "CLAVIS"), (2, " clavis "), (3, "Arboretum"), (4, " ")], "o int, term string")
+    folded = spark.createDataFrame([(1, "STRASSE"), (0, "Straße")], "o int, term string")
+    assert [r["term"] for r in merge.first_spellings(folded, "term", "o").collect()] == ["Straße"]
     assert [r["term"] for r in merge.first_spellings(terms, "term", "o").orderBy("o").collect()] == ["Clavis", "Arboretum"]
     new = spark.createDataFrame([(0, "clavis"), (1, "VIRELICON"), (2, "virelicon"), (3, "Acme")], "o int, term string")
     assert [r["term"] for r in merge.added_terms(terms, new, "term", "o").collect()] == ["Clavis", "CLAVIS", "clavis", "Arboretum", "VIRELICON", "Acme"]
 
 
+def in_turn(wanted, taken=()):
+    """Brute force: each name in turn takes the first of its forms that is free."""
+    used, out = set(taken), []
+    for name in wanted:
+        path = PurePosixPath(name)
+        n = 1
+        while (candidate := name if n == 1 else f"{path.stem} ({n}){path.suffix}") in used:
+            n += 1
+        used.add(candidate)
+        out.append(candidate)
+    return out
+
+
+def given(spark, wanted, taken=(), **options):
+    df = spark.createDataFrame(list(enumerate(wanted)), "o int, name string")
+    blocked = spark.createDataFrame([(t,) for t in taken], "name string") if taken else None
+    return [r["destination"] for r in merge.free_names(df, "name", "o", blocked, **options).orderBy("o").collect()]
+
+
 def test_free_names(spark):
-    wanted = spark.createDataFrame([(0, "a.pdf"), (1, "a.pdf"), (2, "b/c"), (3, "a.pdf")], "o int, name string")
-    assert [r["destination"] for r in merge.free_names(wanted, "name", "o").orderBy("o").collect()] == ["a.pdf", "a (2).pdf", "b_c", "a (3).pdf"]
-    taken = spark.createDataFrame([("a.pdf",)], "name string")
-    assert [r["destination"] for r in merge.free_names(wanted, "name", "o", taken).orderBy("o").collect()][0] == "a (2).pdf"
+    assert given(spark, ["a.pdf", "a.pdf", "b/c", "a.pdf"]) == ["a.pdf", "a (2).pdf", "b_c", "a (3).pdf"]
+    assert given(spark, ["a.pdf", "a.pdf", "a (2).pdf"]) == ["a.pdf", "a (2).pdf", "a (2) (2).pdf"]
+    assert given(spark, ["b.pdf"], ["b.pdf", "b (2).pdf"]) == ["b (3).pdf"]
+    assert given(spark, ["x", None, " ", "Y.PDF"], extension=".pdf") == ["x.pdf", "unbenannt.pdf", "unbenannt (2).pdf", "Y.PDF"]
+    r = random.Random(8)
+    forms = [f"{stem}{number}{suffix}" for stem in ("a", "b.c", ".d") for number in ("", " (1)", " (2)", " (3)", " (2) (2)", " (02)") for suffix in (".pdf", "")]
+    wanted, taken = [r.choice(forms) for _ in range(400)], r.sample(forms, 8)
+    got = given(spark, wanted, taken)
+    assert got == in_turn(wanted, taken) and len(set(got)) == len(got) and not set(got) & set(taken)
+
+
+def test_translated_name(value):
+    for language, expected in (("de", "t_DE.pdf"), ("pt-br", "t_PTBR.pdf"), (" ", "t_TRANSLATED.pdf"), (None, "t_TRANSLATED.pdf")):
+        assert value(lambda lang: merge.translated_name(F.lit("in/t.pdf"), lang), (language, "string")) == expected
 
 
 def test_translation(spark):

@@ -1,3 +1,8 @@
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -44,3 +49,20 @@ def test_query(spark, duck, name):
         assert sorted(names) == columns
         at = [names.index(c) for c in columns]
         assert got == sorted((tuple(shown(r[i]) for i in at) for r in result.fetchall()), key=str)
+
+
+@pytest.mark.parametrize("missing", ["folders", "library"])
+def test_works_without_the_training_data_part(tmp_path, missing):
+    """With both folders and the pipeline gone, or a library of theirs missing, every other query is there."""
+    root = Path(entry_module.__file__).parent
+    for name in ("loomq", "__spark_entry__.py", "corpus_pipeline.py"):
+        (shutil.copytree if (root / name).is_dir() else shutil.copy)(root / name, tmp_path / name)
+    blocked = ""
+    if missing == "folders":
+        shutil.rmtree(tmp_path / "loomq/llm")
+        (tmp_path / "corpus_pipeline.py").unlink()
+    else:
+        blocked = "import sys; sys.modules['ahocorasick'] = None; "
+    code = blocked + "import __spark_entry__ as e; print(len(e.queries()), any(n.startswith('op1_') for n in e.queries()), set(e.oracle_sql()) <= set(e.queries()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True).stdout.split()
+    assert int(out[0]) == len(catalogue.QUERIES) and out[1:] == ["False", "True"]

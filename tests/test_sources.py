@@ -89,12 +89,65 @@ def _slides(texts):
 
 def test_slides(spark):
     df = spark.createDataFrame([("a", bytearray(_slides({10: "ten", 2: "two"})))], "path string, content binary")
-    got = [(r["slide_number"], r["paragraphs"], r["font_points"], r["width"]) for r in office.read_slides(df).collect()]
+    found = office.read_slides(df)
+    got = [(r["slide_number"], r["paragraphs"], r["font_points"], r["width"]) for r in found.filter("translatable").collect()]
     assert got == [(2, ["two"], 12.0, 1270000), (2, ["grouped"], 12.0, 1270000), (10, ["ten"], 12.0, 1270000), (10, ["grouped"], 12.0, 1270000)]
+    kept = [(r["paragraphs"], r["exclusion_reason"]) for r in found.filter("not translatable").collect()]
+    assert kept == [(["foot"], "protected_placeholder:ftr")] * 2
     other = spark.createDataFrame([("a", bytearray(_slides({10: "zehn", 2: "zwei"})))], "path string, content binary")
     assert sorted(r["sha256"] for r in office.structure_digest(df).collect()) == sorted(r["sha256"] for r in office.structure_digest(other).collect())
 
 
+def test_shapes_as_a_current_program_writes_them(spark):
+    """The name's element has an extension list, whose a:ext has no size; tables and groups have boxes of their own."""
+    ns = 'xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main"'
+    lists = '<a:extLst><a:ext uri="{FF2B}"><x xmlns="urn:x" id="1"/></a:ext></a:extLst>'
+    sp = f'<p:sp><p:nvSpPr><p:cNvPr id="4" name="Title">{lists}</p:cNvPr><p:nvPr><p:ph type="title"/></p:nvPr></p:nvSpPr><p:spPr><a:xfrm rot="600"><a:off x="7" y="8"/><a:ext cx="1000" cy="2000"/></a:xfrm></p:spPr><p:txBody><a:bodyPr wrap="square"><a:normAutofit/></a:bodyPr><a:p><a:r><a:t>a</a:t></a:r><a:r><a:t>b</a:t></a:r></a:p></p:txBody></p:sp>'
+    cell = "<a:tc><a:txBody><a:p><a:r><a:t>{}</a:t></a:r></a:p></a:txBody></a:tc>"
+    frame = f'<p:graphicFrame><p:nvGraphicFramePr><p:cNvPr id="9" name="T">{lists}</p:cNvPr></p:nvGraphicFramePr><p:xfrm><a:off x="1" y="2"/><a:ext cx="30" cy="40"/></p:xfrm><a:graphic><a:graphicData><a:tbl><a:tr h="5">{cell.format("c0")}{cell.format("c1")}</a:tr></a:tbl></a:graphicData></a:graphic></p:graphicFrame>'
+    group = f'<p:grpSp><p:nvGrpSpPr><p:cNvPr id="2" name="G"/></p:nvGrpSpPr>{frame}</p:grpSp>'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("ppt/slides/slide1.xml", f"<p:sld {ns}><p:cSld><p:spTree>{sp}{group}</p:spTree></p:cSld></p:sld>")
+        z.writestr("ppt/other.bin", b"x")
+    df = spark.createDataFrame([("a", bytearray(out.getvalue()))], "path string, content binary")
+    rows = office.read_slides(df).collect()
+    title = rows[0]
+    assert (title["x"], title["y"], title["width"], title["height"], title["rotation"]) == (7, 8, 1000, 2000, 600)
+    assert title["placeholder_type"] == "title" and title["translatable"] and title["autofit"] == "normAutofit" and title["body"] == {"wrap": "square"}
+    assert [(r["paragraphs"], r["table_col"], r["width"], r["group_path"]) for r in rows[1:]] == [(["c0"], 0, 30, ["2:G"]), (["c1"], 1, 30, ["2:G"])]
+    new = spark.createDataFrame([("a", "ppt/slides/slide1.xml", 0, 1, "B"), ("a", "ppt/slides/slide1.xml", 2, 0, "C & 1")], "path string, slide_path string, paragraph int, run int, text string")
+    saved = office.saved_slides(df, new).first()
+    again = office.read_slides(spark.createDataFrame([("a", saved["content"])], "path string, content binary")).collect()
+    assert [r["paragraphs"] for r in again] == [["aB"], ["c0"], ["C & 1"]] and saved["error"] is None
+    assert office.saved_slides(df, new.filter("false")).first()["content"] == out.getvalue()
+    wrong = new.limit(1).withColumn("run", F.lit(5))
+    assert "no run 5" in office.saved_slides(df, wrong).first()["error"]
+    digests = [{r["part"]: r["sha256"] for r in office.structure_digest(d).collect()} for d in (df, spark.createDataFrame([("a", saved["content"])], "path string, content binary"))]
+    assert digests[0] == digests[1]
+
+
+def test_remote(spark, tmp_path, value):
+    for given, expected in (("2026-08-15T10:23:00.000Z", "2026-08-15"), ("2026-08-15T23:59:00+02:00", "2026-08-15"), ("2026-08-15", "2026-08-15"), ("2026-13-15T10:23:00Z", None), ("2026-08-15T25:23:00Z", None), ("soon", None), ("", None), (None, None)):
+        got = value(files.remote_date, (given, "string"))
+        assert (None if got is None else str(got)) == expected
+    known = {"f": {"id": "f", "name": "F", "is_folder": True}, "t": {"id": "t", "name": "T", "is_folder": True, "trashed": True}, "x": {"id": "x", "name": "X", "is_folder": False}}
+    assert files.checked_folder(known.__getitem__, "f") == {"id": "f", "name": "F"}
+    for bad, words in (("t", "in the bin"), ("x", "not a folder")):
+        with pytest.raises(ValueError, match=words):
+            files.checked_folder(known.__getitem__, bad)
+    (tmp_path / "fake_fetch.py").write_text("def client():\n    def fetch(key):\n        if key == 'b':\n            raise OSError('gone')\n        return key.encode() * 3\n    return fetch\n")
+    spark.sparkContext.addPyFile(str(tmp_path / "fake_fetch.py"))
+    got = {r["id"]: (r["name"], r["content"], r["error"]) for r in files.downloaded(spark.createDataFrame([("a", "n"), ("b", "m")], "id string, name string"), "fake_fetch:client", first_wait=0.0).collect()}
+    assert got == {"a": ("n", bytearray(b"aaa"), None), "b": ("m", None, "OSError: gone")}
+
+
+def test_deep_tree(spark):
+    rows = [(str(i), str(i - 1) if i else "root", f"f{i}", True) for i in range(12)] + [("leaf", "11", "deep", False), ("0", "11", "ring", True)]
+    tree = spark.createDataFrame([(*r, None) for r in rows], "id string, parent_id string, name string, is_folder boolean, modified date")
+    assert [(r["name"], r["depth"]) for r in files.tree_files(tree, "root").collect()] == [("deep", 13)]
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("a.txt", "x"), ("b.txt", "y")], "name string, content string")
     sinks.write_files(df, str(tmp_path / "out"))

@@ -127,3 +127,18 @@ def test_settings(spark, tmp_path):
     assert [r["render_box"] is not None for r in table.orderBy("region_index").collect()] == [False, True]
     with pytest.raises(ValueError, match="width"):
         settings.regions_table(spark, [{"text": "a", "x": 1, "y": 2, "height": 4}])
+
+
+def test_casefold(spark, value):
+    for t in ("Straße STRASSE", "ΣΊΣΥΦΟΣ ς", "ŉ ǰ ﬃ ẞ İ ı ſ", "Ꭰ ꭰ", "", "plain", "µm"):
+        assert value(text.casefold, t) == t.casefold()
+    assert value(text.casefold, (None, "string")) is None
+    letters = [chr(c) for c in range(0x20, 0x2FA20) if chr(c).isalpha() and not 0x3400 <= c < 0xA000 and not 0xAC00 <= c < 0xD7A4 and not 0x20000 <= c]
+    df = spark.createDataFrame([(c, c.casefold()) for c in letters], "c string, f string")
+    assert [r["c"] for r in df.filter(text.casefold(F.col("c")) != F.col("f")).collect()] == []
+
+
+def test_protect_many_terms(value):
+    source = " ".join(f"w{i} WISDOM wisdom" for i in range(20_000))
+    got = value(lambda t: text.protect_terms(t, ["Wisdom"]), source)
+    assert len(got["placeholders"]) == 20_000 and got["text"].endswith("w19999 §§19999§§ wisdom")
