@@ -9,12 +9,19 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType, IntegralType, NullType
 
 from loomq.session import expose_package, materialize
 
 
 def documents_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more: str) -> DataFrame:
-    """Only the columns an operator reads, under fixed names, so that further columns can't clash."""
+    """Only the columns an operator reads, under fixed names, so that further columns can't clash.
+
+    Ids are whole numbers; a column of another type is an error here rather than in a task.
+    """
+    kind = df.schema[id_col].dataType
+    if not isinstance(kind, (IntegralType, DecimalType, NullType)):
+        raise ValueError(f"{id_col} has to hold whole numbers, not {kind.simpleString()}")
     columns = [F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")]
     return df.select(*columns, *[F.col(f"`{c}`").alias(name) for name, c in more.items()])
 

@@ -1,8 +1,10 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Every text is scanned for candidates; the hashes of their values are aggregated over the corpus by distinct repositories
-and owners. A value that many owners carry is a copied example; one that stays with its owner and doesn't look like a
-placeholder is live-looking.
+and owners. A value that many owners carry, or very many repositories of whatever owner, is a copied example; one that stays
+with its owner and doesn't look like a placeholder is live-looking.
+
+Every pattern takes time linear in the text: a run of characters is looked at a bounded number of times.
 """
 
 from __future__ import annotations
@@ -19,8 +21,8 @@ from pyspark.sql import functions as F
 from loomq.llm.common import apart, documents_of, map_batches, record_batch, texts
 from loomq.session import expose_package, materialize
 
-#: Distinct owners from which on a value counts as a widely copied example.
-EXAMPLE_OWNERS = 3
+#: Distinct owners, or distinct repositories, from which on a value counts as a widely copied example.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 50
 #: Shannon entropy, in bits a character, below which a value looks like a placeholder.
 PLACEHOLDER_BITS = 2.0
 
@@ -29,16 +31,21 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # the same runs as [0-9a-f]+ of 24 characters and more
 _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-# Published formats of further credentials, each with a literal it contains.
+# Published formats of further credentials, each with a literal it contains. Runs are possessive, and one
+# that failed can't be entered again in its middle.
 _FORMATS = (
-    ("private_key", "PRIVATE KEY-----", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----")),
-    ("jwt", "eyJ", re.compile(r"\beyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}")),
-    ("bearer", "earer ", re.compile(r"\b[Bb]earer [A-Za-z0-9+/_.~-]{20,}=*")),
-    ("prefixed", "_", re.compile(r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|glpat-[A-Za-z0-9_-]{20,})")),
-    ("url_password", "://", re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^\s/:@]+:[^\s/:@]+@")),
+    ("private_key", "PRIVATE KEY-----", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*+-----END [A-Z ]*PRIVATE KEY-----")),
+    ("jwt", "eyJ", re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+")),
+    ("bearer", "earer ", re.compile(r"\b[Bb]earer [A-Za-z0-9+/_.~-]{20,}+=*+")),
+    ("prefixed", "_", re.compile(r"(?<![A-Za-z0-9_-])(?:gh[pousr]_[A-Za-z0-9]{36,}+|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}+)")),
+    ("prefixed", "glpat-", re.compile(r"(?<![A-Za-z0-9_-])glpat-[A-Za-z0-9_-]{20,}+")),
 )
-_PLACEHOLDER = re.compile(r"example|sample|dummy|placeholder|changeme|your[_-]?|x{6,}|test", re.I)
-KINDS = ("assign", "access", "hex", *(f[0] for f in _FORMATS))
+_USER_AND_PASSWORD = re.compile(r"://[^\s/:@]++:[^\s/:@]++@")
+_SCHEME = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-"
+# Words that a placeholder has as a whole part, and ends of documented examples.
+_PLACEHOLDER_WORDS = re.compile(r"(?:your|example|sample|dummy|placeholder|changeme|change|test|testing|foobar|redacted|xxx+|(?:example|test|sample|dummy|your|my)(?:key|token|password|secret))\d{0,4}", re.A)
+_EXAMPLE_END = re.compile(r"EXAMPLE(?:KEY)?$")
+KINDS = ("assign", "access", "hex", "private_key", "jwt", "bearer", "prefixed", "url_password")
 
 _FOUND = "array<struct<kind:string,start:long,end:long,value_start:long,value_end:long,hash:string,placeholder:boolean>>"
 SCAN = f"doc_id long, owner string, repository string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, found {_FOUND}"
@@ -63,13 +70,29 @@ def find(text: str) -> list[tuple[str, int, int, int, int]]:
     for kind, literal, pattern in _FORMATS:
         if literal in text:
             found += [(kind, *m.span(), *m.span()) for m in pattern.finditer(text)]
+    if "://" in text:
+        found += [("url_password", a, b, a, b) for a, b in _addresses(text)]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
+def _addresses(text: str) -> list[tuple[int, int]]:
+    """scheme://user:password@ spans. The scheme is read backwards from its "://", never beyond the one before."""
+    found, done = [], 0
+    for m in _USER_AND_PASSWORD.finditer(text):
+        before = text[max(done, text.rfind("://", done, m.start())) : m.start()]
+        scheme = before[len(before.rstrip(_SCHEME)) :].lstrip(_SCHEME[52:])
+        if scheme:
+            found.append((m.start() - len(scheme), m.end()))
+        done = m.end()
+    return found
+
+
 def looks_like_placeholder(value: str) -> bool:
+    """Little entropy, or a placeholder's word as a whole part of the value; such a word inside a longer one is chance."""
     counts = Counter(value)
     bits = -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values())
-    return bits < PLACEHOLDER_BITS or bool(_PLACEHOLDER.search(value))
+    parts = re.split("[^a-z0-9]+", value.lower())
+    return bits < PLACEHOLDER_BITS or bool(_EXAMPLE_END.search(value)) or any(map(_PLACEHOLDER_WORDS.fullmatch, parts))
 
 
 def _joined(found: list) -> str:
@@ -100,32 +123,35 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_co
     return map_batches(docs.select("doc_id", "text", *named), _scan_batch, SCAN)
 
 
-def ownership(candidates: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """Per hash: distinct owners, distinct repositories and whether it is an example by ownership.
+def ownership(candidates: DataFrame, example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES) -> DataFrame:
+    """Per hash: distinct owners, distinct repositories and whether it is an example by either.
 
     Counts come from three aggregations with map-side combination, the first by (hash, owner, repository), so that a
-    value which a third of all rows carry is spread until it has been reduced to one row for each owner.
+    value which a third of all rows carry is spread until it has been reduced to one row for each owner. A repository is
+    told by its owner and name.
     """
     once = candidates.select("hash", "owner", "repository").distinct()
     owned = once.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("n"))
     owners = owned.groupBy("hash").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n_repositories"))
-    return owners.withColumn("copied", F.col("n_owners") >= example_owners)
+    return owners.withColumn("copied", (F.col("n_owners") >= example_owners) | (F.col("n_repositories") >= example_repositories))
 
 
-def judge(scanned: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """Verdicts of scanned rows with a unique column row: row, n_live, n_example, live (the found entries that are)."""
+def judge(scanned: DataFrame, example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES) -> DataFrame:
+    """Verdicts of scanned rows with a unique column row: row, n_live, n_example, the most owners and repositories of one
+    of its values, and live (the found entries that are)."""
     one = scanned.select("row", "owner", "repository", F.explode("found").alias("f")).select("row", "owner", "repository", "f.*")
-    copied = apart(ownership(one, example_owners).select("hash", "copied"), "hash")  # one value may be in many rows
-    verdicts = one.join(copied, "hash", "left")
+    owners = ownership(one, example_owners, example_repositories)
+    verdicts = one.drop("owner", "repository").join(apart(owners, "hash"), "hash", "left")  # one value may be in many rows
     example = F.col("copied") | F.col("placeholder")
     return verdicts.groupBy("row").agg(
-        F.count_if(~example).alias("n_live"), F.count_if(example).alias("n_example"),
+        F.count_if(~example).alias("n_live"), F.count_if(example).alias("n_example"), F.max("n_owners").alias("n_owners"), F.max("n_repositories").alias("n_repositories"),
         F.sort_array(F.collect_list(F.when(~example, F.struct("start", "end", "value_start", "value_end", "kind")))).alias("live"),
     )
 
 
-def secrets(df: DataFrame, example_owners: int = EXAMPLE_OWNERS, **columns: str) -> DataFrame:
-    """One row per document: the base counts and digest, all spans, and live-looking and example candidates.
+def secrets(df: DataFrame, example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES, **columns: str) -> DataFrame:
+    """One row per document: the base counts and digest, all spans, live-looking and example candidates, and the most
+    distinct owners and repositories that one of its values has.
 
     Offsets are code points, ends exclusive; spans are joined as kind:start:end by start and then kind. A null or empty
     text has no candidates; null owners and repositories count as one unnamed each; repeated rows stay apart. The rows
@@ -133,10 +159,10 @@ def secrets(df: DataFrame, example_owners: int = EXAMPLE_OWNERS, **columns: str)
     """
     scanned = materialize(scan(df, **columns).withColumn("row", F.monotonically_increasing_id()))
     some = scanned.filter(F.size("found") > 0)
-    judged = some.join(judge(some, example_owners), "row", "left")
-    kept = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
-    none = scanned.filter(F.size("found") == 0).select(*kept, F.lit(0).cast("long").alias("n_live"), F.lit(0).cast("long").alias("n_example"))
-    return judged.select(*kept, "n_live", "n_example").unionByName(none)
+    judged = some.join(judge(some, example_owners, example_repositories), "row", "left")
+    kept, counts = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"], ["n_live", "n_example", "n_owners", "n_repositories"]
+    none = scanned.filter(F.size("found") == 0).select(*kept, *[F.lit(0).cast("long").alias(c) for c in counts])
+    return judged.select(*kept, *counts).unionByName(none)
 
 
 def _found_batch(column: pa.Array) -> pa.Array:
@@ -146,8 +172,8 @@ def _found_batch(column: pa.Array) -> pa.Array:
 
 
 def redact(
-    df: DataFrame, mask: str = "[SECRET]", example_owners: int = EXAMPLE_OWNERS, text_col: str = "text", owner_col: str = "source",
-    repository_col: str = "doc_id", length_col: str | None = None,
+    df: DataFrame, mask: str = "[SECRET]", example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES, text_col: str = "text",
+    owner_col: str = "source", repository_col: str = "doc_id", length_col: str | None = None,
 ) -> DataFrame:
     """The same rows and columns, the values of live-looking candidates replaced by a mask; length_col is kept right.
 
@@ -163,7 +189,7 @@ def redact(
     some = materialize(docs.filter(F.size("__found") > 0).withColumn("__row", F.monotonically_increasing_id()))
     owner, repository = (F.coalesce(F.col(f"`{c}`").cast("string"), unnamed) for c in (owner_col, repository_col))
     scanned = some.select(F.col("__row").alias("row"), F.col("__found").alias("found"), owner.alias("owner"), repository.alias("repository"))
-    live = judge(scanned, example_owners).select(F.col("row").alias("__row"), F.col("live").alias("__live"))
+    live = judge(scanned, example_owners, example_repositories).select(F.col("row").alias("__row"), F.col("live").alias("__live"))
     joined = some.join(live, "__row", "left").withColumn("__text", _mask(text, F.col("__live"), mask))
     out = joined.withColumn(text_col, F.col("__text"))
     if length_col:
