@@ -14,7 +14,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomq.llm.common import documents_of, fold, hold, map_batches, record_batch, texts
@@ -152,7 +152,7 @@ def training_rows(df: DataFrame, per_language: int = SAMPLE, id_col: str = "doc_
 
     Every language with a labelled text that has a letter is in it. Of a text over SAMPLE_CHARS the excerpt from its first
     letter on is taken. One scan counts each language's distinct texts, another keeps about three times the sample's size,
-    which is then cut to it. Texts that repeat count once, before anything is collected.
+    which is cut to it by the draw before anything is collected. Texts that repeat count once.
     """
     docs = documents_of(df, id_col, text_col, lang=lang_col).filter((fold("doc_id", 4) != 2) & F.col("lang").isNotNull())
     usable = docs.filter(F.col("text").rlike(r"\p{L}")).withColumn("hash", F.xxhash64("text"))
@@ -166,11 +166,9 @@ def training_rows(df: DataFrame, per_language: int = SAMPLE, id_col: str = "doc_
     from_letter = F.regexp_replace("text", r"^\P{L}+", "")
     excerpt = F.when(F.length("text") <= SAMPLE_CHARS, F.col("text")).otherwise(F.substring(from_letter, 1, SAMPLE_CHARS))
     near = usable.join(F.broadcast(limit), "lang").filter(_draw("hash") <= F.col("most"))
-    rows = near.groupBy("lang", "hash").agg(F.min(excerpt).alias("text")).select("lang", "text", _draw("hash").alias("draw")).collect()
-    kept: dict[str, dict[str, float]] = {}
-    for r in rows:
-        kept.setdefault(r["lang"], {})[r["text"]] = r["draw"]
-    return [(text, lang) for lang, found in kept.items() for text in sorted(found, key=lambda t: (found[t], t))[:per_language]]
+    once = near.groupBy("lang", "hash").agg(F.min(excerpt).alias("text")).withColumn("draw", _draw("hash"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))
+    return [(r["text"], r["lang"]) for r in once.withColumn("place", place).filter(F.col("place") <= per_language).collect()]
 
 
 def _draw(hashed: str) -> Column:

@@ -23,6 +23,8 @@ from loomq.llm.common import documents_of, hold, map_batches, raw_texts, record_
 
 #: Bounds of the labelled sample: texts, and characters of a text that may be in it.
 SAMPLE, SAMPLE_CHARS = 4_000, 20_000
+#: Lines, padding included, whose sums are held at once while training.
+PADDED_LINES = 50_000
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -159,13 +161,17 @@ def train(labelled: list[tuple[bytes, int]], rounds: int = 3, steps: int = 60) -
     """
     labelled = sorted({(hashlib.sha256(t).digest(), t, y) for t, y in labelled})
     sample = [(*line_features(t), y) for _, t, y in labelled]
-    sample = [(x[:200], sizes[:200], y) for x, sizes, y in sample if len(x)]
+    sample = [(x, sizes, y) for x, sizes, y in sample if len(x)]
     neutral = Field(np.zeros((_WIDTH, 2)), np.zeros((2, 2)), 0.0)
     if len({y for _, _, y in sample}) < 2:
         return neutral
     lines = [np.full(len(x), 1 - y) for x, _, y in sample]
     by_length = sorted(range(len(sample)), key=lambda i: len(sample[i][0]))
-    groups = [by_length[i : i + 256] for i in range(0, len(by_length), 256)]
+    groups: list[list[int]] = [[]]
+    for i in by_length:  # texts of about the same length, as many as the padded lines allow
+        if groups[-1] and (len(groups[-1]) + 1) * len(sample[i][0]) > PADDED_LINES:
+            groups.append([])
+        groups[-1].append(i)
     weights, moves = np.zeros((_WIDTH, 2)), np.zeros((2, 2))
     field = neutral
     for _ in range(rounds):
@@ -198,12 +204,16 @@ def train(labelled: list[tuple[bytes, int]], rounds: int = 3, steps: int = 60) -
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int = SAMPLE) -> list[tuple[bytes, int]]:
-    """A bounded sample of labelled texts by a hash of the id, half of it for each label if there are enough."""
+    """A bounded sample of labelled texts by a hash of the id, half of it for each label if there are enough.
+
+    One text is collected for each drawn label, the least one where an id repeats, so never more than rows.
+    """
     own = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label"))
-    own = own.filter(F.col("doc_id").isNotNull()).withColumn("draw", F.xxhash64("doc_id"))
+    own = own.filter(F.col("doc_id").isNotNull()).withColumn("draw", F.xxhash64("doc_id")).distinct()
     halves = [own.filter(F.col("label") == y).orderBy("draw", "doc_id").limit(rows // 2) for y in (0, 1)]
     texts_of = documents_of(docs, id_col, text_col).filter(F.length("text") <= SAMPLE_CHARS)
-    found = texts_of.join(F.broadcast(halves[0].unionByName(halves[1])), "doc_id").select("text", "label")  # of a fixed number of rows
+    drawn = F.broadcast(halves[0].unionByName(halves[1]))  # of a fixed number of rows
+    found = texts_of.join(drawn, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     return [(r["text"].encode("utf-8"), r["label"]) for r in found.collect()]
 
 

@@ -2,9 +2,12 @@
 
 Texts are folded (case, homoglyphs, digits and signs that stand for letters, marks) and scanned once by an Aho-Corasick
 automaton. The lexicon is learned from a bounded sample of labelled rows: words and word beginnings that toxic texts have
-far more often than others, each weighted by its log odds. Longer beginnings that clean texts use as often are exception phrases:
-a term inside one doesn't count. The matched weight, as a sum and normalised by the text's length, is turned into a score
-by a logistic regression.
+far more often than others, each weighted by its log odds. Longer beginnings, and pairs of a term's word with the word
+before or after it, that clean texts use as often are exception phrases: a term inside one doesn't count. The matched
+weight, as a sum and normalised by the text's length, is turned into a score by a logistic regression.
+
+Some foldings would harm ordinary words: a sign at a word's end (win10), a marked letter below U+0300 (schön), letters
+that stand alone (a b c). Those are done only where the folded word begins with a term of the lexicon.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ import pickle
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Callable
 
 import ahocorasick
 import numpy as np
@@ -30,7 +34,7 @@ SAMPLE, SAMPLE_CHARS = 6_000, 30_000
 TERM_CHARS, TERM_SUPPORT, TERM_ODDS, TERM_EVIDENCE = range(3, 13), 5, 1.5, 40.0
 #: Uses in one text that count as evidence.
 USES_OF_A_TEXT = 3
-#: An exception phrase has so many more characters than its term and so many clean texts.
+#: An exception phrase within a word has at most so many more characters than its term; every one so many clean texts.
 EXCEPTION_CHARS, EXCEPTION_SUPPORT = 8, 3
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, n_matches long"
@@ -40,8 +44,12 @@ _ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score",
 _HOMOGLYPHS = dict(zip("аеорсухкмтнвіјѕԁɡαορνικτυ", "aeopcyxkmthbijsdgaopviktu"))
 _SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "i"}
 _SIGNS_INSIDE = re.compile(r"(?<=[^\W\d_])[013457@$!|]+(?=[^\W\d_])|(?<![^\s])[013457@$]+(?=[^\W\d_])")
-_ODD = re.compile("[̀-\U0010ffff]")
+_ODD = re.compile("[\u0261\u0300-\U0010ffff]")
 _WORDS = re.compile(r"[^\W\d_]+")
+#: Words that end in signs or have marked letters, and letters that stand alone: folded if a term comes of it.
+_DOUBTFUL = re.compile(r"(?<![^\W_])(?:[^\W\d_](?P<by>[ .*_-])(?:[^\W\d_](?P=by)){2,}[^\W\d_](?![^\W_])|[^\W\d_]*[\u00c0-\u024f][^\W\d_]*|[^\W\d_]{2,}[013457@$|]+(?=$|[\s.,;:!?)\"']))")
+_MARKED = {c: unicodedata.normalize("NFKD", chr(c))[0] for c in range(0xC0, 0x250) if unicodedata.normalize("NFKD", chr(c))[0].isascii()}
+_PLAIN = str.maketrans({**_SIGNS, **{chr(c): x for c, x in _MARKED.items()}, **dict.fromkeys(" .*_-")})
 
 
 def _folded_char(c: str) -> str:
@@ -51,13 +59,16 @@ def _folded_char(c: str) -> str:
     return "".join(_HOMOGLYPHS.get(x, x) for x in parts.lower())
 
 
-def words_of(text: str) -> list[str]:
-    """The folded words of a text. Letters below U+0300 keep their marks, which tell words of a language apart."""
+def words_of(text: str, is_term: Callable[[str], bool] | None = None) -> list[str]:
+    """The folded words of a text; is_term says whether a word begins with a term, which decides doubtful foldings."""
     text = text.lower()
     if _ODD.search(text):
         text = unicodedata.normalize("NFC", text)
-        text = "".join([c if c < "̀" else _folded_char(c) for c in text])
-    return _WORDS.findall(_SIGNS_INSIDE.sub(lambda m: "".join(map(_SIGNS.__getitem__, m[0])), text))
+        text = "".join([c if c < "\u0300" and c != "\u0261" else _folded_char(c) for c in text])
+    text = _SIGNS_INSIDE.sub(lambda m: "".join(map(_SIGNS.__getitem__, m[0])), text)
+    if is_term is not None:
+        text = _DOUBTFUL.sub(lambda m: plain if is_term(plain := m[0].translate(_PLAIN)) else m[0], text)
+    return _WORDS.findall(text)
 
 
 class Lexicon:
@@ -71,27 +82,39 @@ class Lexicon:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"automaton": None}
 
+    def begins(self, word: str) -> str | None:
+        """The term that a word begins with; a term of a whole word ends in a space. No term begins another."""
+        own = word + " "
+        return next((own[:k] for k in range(TERM_CHARS[0], min(TERM_CHARS[-1] + 1, len(own)) + 1) if own[:k] in self.terms), self.terms.get(own) and own)
+
     def matches(self, words: list[str]) -> tuple[int, float]:
-        """How many words begin with a term, and their weight; a word counts once, by its longest term."""
+        """How many words begin with a term, and their weight; one inside an exception phrase doesn't count."""
         if not self.terms:
             return 0, 0.0
         if self.automaton is None:
             self.automaton = ahocorasick.Automaton()
-            for term, weight in self.terms.items():
-                self.automaton.add_word(" " + term, (len(term) + 1, weight))
             for phrase in self.exceptions:
                 self.automaton.add_word(" " + phrase, (len(phrase) + 1, 0.0))
+            for term, weight in self.terms.items():
+                self.automaton.add_word(" " + term, (len(term) + 1, weight))
             self.automaton.make_automaton()
-        found: dict[int, tuple[int, float]] = {}
+        found, excepted = [], []
         for end, (length, weight) in self.automaton.iter(" " + " ".join(words) + " "):
-            start = end - length + 1
-            if length > found.get(start, (0, 0.0))[0]:
-                found[start] = (length, weight)
-        weights = [w for _, w in found.values() if w]
-        return len(weights), sum(weights)
+            (found if weight else excepted).append((end - length + 1, end, weight))
+        if excepted and found:
+            excepted.sort()
+            reach, at, kept = -1, 0, []
+            for start, end, weight in sorted(found):
+                while at < len(excepted) and excepted[at][0] <= start:
+                    reach = max(reach, excepted[at][1])
+                    at += 1
+                if reach < end:
+                    kept.append((start, end, weight))
+            found = kept
+        return len(found), sum(w for _, _, w in found)
 
     def features(self, text: str) -> tuple[int, list[float]]:
-        words = words_of(text)
+        words = words_of(text, self.begins)
         n, weight = self.matches(words)
         per_word = math.log1p(100.0 * weight / (len(words) + 20.0))
         return n, [1.0, math.log1p(weight), per_word, weight / n if n else 0.0, math.log1p(n)]
@@ -108,7 +131,8 @@ def learn(labelled: list[tuple[str, int]]) -> Lexicon:
     total = Counter(y for _, _, y in labelled)
     if not total[1]:
         return Lexicon({}, [], [-8.0, 0.0, 0.0, 0.0, 0.0])
-    counted = [Counter(words_of(t)) for _, t, _ in labelled]
+    spelt = [words_of(t) for _, t, _ in labelled]
+    counted = [Counter(words) for words in spelt]
     size = [sum(sum(c.values()) for c, (_, _, y) in zip(counted, labelled) if y == k) + 1 for k in (0, 1)]
     support = Counter(b for c, (_, _, y) in zip(counted, labelled) if y for b in _beginnings(c))
     hopeful = {b for b, n in support.items() if n >= TERM_SUPPORT}
@@ -123,7 +147,7 @@ def learn(labelled: list[tuple[str, int]]) -> Lexicon:
     for b in sorted((b for b, g in evidence.items() if g >= TERM_EVIDENCE), key=lambda b: (-round(evidence[b], 6), b.endswith(" "), -len(b), b)):
         if not any(b.startswith(t) or t.startswith(b) for t in terms):
             terms[b] = odds[b]
-    exceptions = _exceptions(terms, counted, labelled, size)
+    exceptions = _exceptions(terms, spelt, labelled, size)
     lexicon = Lexicon(terms, exceptions, [0.0] * 5)
     x = np.array([lexicon.features(t)[1] for _, t, _ in labelled])
     return Lexicon(terms, exceptions, _logistic(x, np.array([y for _, _, y in labelled], float)))
@@ -146,16 +170,22 @@ def _evidence(clean: int, toxic: int, n_clean: int, n_toxic: int) -> float:
     return 2 * sum(k * math.log(k / (n * share)) for k, n in ((clean, n_clean), (toxic, n_toxic)) if k)
 
 
-def _exceptions(terms: dict[str, float], counted: list[Counter], labelled: list, size: list[int]) -> list[str]:
-    """Longer beginnings of a term's words that clean texts use at least as often as toxic ones."""
-    uses, clean_texts = (Counter(), Counter()), Counter()
-    for c, (_, _, y) in zip(counted, labelled):
-        for w, n in c.items():
-            for k in TERM_CHARS:
-                if k < len(w) and w[:k] in terms:
-                    phrase = w[: k + EXCEPTION_CHARS]
-                    uses[y][phrase] += min(n, USES_OF_A_TEXT)
-                    clean_texts[phrase] += not y
+def _exceptions(terms: dict[str, float], spelt: list[list[str]], labelled: list, size: list[int]) -> list[str]:
+    """Phrases around a term that clean texts use at least as often as toxic ones: a longer beginning of its word, or its
+    word with the one before or after."""
+    begins, uses, clean_texts = Lexicon(terms, [], []).begins, (Counter(), Counter()), Counter()
+    for words, (_, _, y) in zip(spelt, labelled):
+        own = Counter()
+        known = {w: begins(w) for w in set(words)}
+        for i, w in enumerate(words):
+            if (term := known[w]) is None:
+                continue
+            own.update([w[: len(term) + EXCEPTION_CHARS]] if len(w) > len(term) else [])
+            own.update([f"{words[i - 1]} {w} "] if i else [])
+            own.update([f"{w} {words[i + 1]} "] if i + 1 < len(words) else [])
+        for phrase, n in own.items():
+            uses[y][phrase] += min(n, USES_OF_A_TEXT)
+            clean_texts[phrase] += not y
     return sorted(p for p, n in clean_texts.items() if n >= EXCEPTION_SUPPORT and uses[1][p] / size[1] <= uses[0][p] / size[0])
 
 
@@ -174,12 +204,15 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2, rounds: int =
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int = SAMPLE) -> list[tuple[str, int]]:
-    """A bounded sample of labelled texts from the folds that may be learned from, by a hash of the id."""
+    """A bounded sample of labelled texts from the folds that may be learned from, by a hash of the id.
+
+    One text is collected for each drawn label, the least one where an id repeats, so never more than rows.
+    """
     own = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label"))
     own = own.filter((fold("doc_id", 5) != 0) & F.col("doc_id").isNotNull() & F.col("label").isin(0, 1))
-    drawn = own.withColumn("draw", F.xxhash64("doc_id")).orderBy("draw", "doc_id", "label").limit(rows)
+    drawn = own.withColumn("draw", F.xxhash64("doc_id")).distinct().orderBy("draw", "doc_id", "label").limit(rows)
     texts_of = documents_of(docs, id_col, text_col).filter(F.length("text") <= SAMPLE_CHARS)
-    found = texts_of.join(F.broadcast(drawn), "doc_id").select("text", "label")  # drawn has a fixed number of rows
+    found = texts_of.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # drawn has a fixed number of rows
     return [(r["text"], r["label"]) for r in found.collect()]
 
 

@@ -1,3 +1,5 @@
+import re
+import unicodedata
 import zlib
 
 import pytest
@@ -76,6 +78,34 @@ def test_every_language_is_learned(spark):
     assert all(out[i] == lang for i, _, lang in rows)
 
 
+def test_copies_of_one_text_are_collected_once(spark):
+    rows = [(i, "one and the same text", "en") for i in range(100_000)] + [(200_000 + i, f"anderer text {i}", "de") for i in range(3_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = language_id.training_rows(df)
+    assert sum(lang == "en" for _, lang in sample) == 1 and sum(lang == "de" for _, lang in sample) == language_id.SAMPLE
+
+
+def _exact_grams(text):
+    shown = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in f" {text.lower()} ")
+    shown = re.sub(" +", " ", shown)
+    return {shown[i : i + n] for n in (1, 2, 3) for i in range(len(shown) - n + 1)}
+
+
+def test_hashed_kernel_is_near_the_exact_one(labelled):
+    """The kernel by sets of n-grams as they are, and the regression's verdicts by it, against the hashed one's."""
+    import numpy as np
+
+    rows = [r for r in labelled[0].filter("length(text) between 100 and 4000").orderBy("doc_id").limit(120).collect()]
+    sets = [_exact_grams(r["text"]) for r in rows]
+    model = language_id.fit([(r["text"], r["lang"]) for r in rows[:60]], landmarks=8)
+    chosen = [next(i for i, r in enumerate(rows) if (language_id.grams(r["text"])[model.columns] == (m > 0)).all()) for m in model.landmarks]
+    exact = np.array([[len(a & sets[k]) / (len(a) * len(sets[k])) ** 0.5 for k in chosen] for a in sets])
+    hashed = model.kernel([r["text"] for r in rows])
+    assert np.abs(exact - hashed).max() < 0.01
+    names = model.predict([r["text"] for r in rows])[0]
+    assert [model.languages[k] for k in (exact @ model.weights + model.bias).argmax(1)] == names
+
+
 def test_nothing_to_learn_keeps_what_has_a_letter(spark):
     held = [i for i in range(100) if crc(i) % 4 == 2]
     rows = [(i, f"some words {i}", "en" if i in held else None) for i in range(100)] + [(100, "7 7", "en")]
@@ -105,6 +135,63 @@ def test_folding():
     assert toxicity.words_of("10.37.1.2 call 555") == toxicity.words_of("10.37.1.2 call 555")
 
 
+def test_doubtful_foldings_need_a_term():
+    lexicon = toxicity.Lexicon({"idiot": 3.0, "worthl": 2.0, "whore ": 4.0}, [], [0.0] * 5)
+    for text, n in (("idio7 whor3", 2), ("wörthless idíot", 2), ("i d i o t", 1), ("i.d.i.o.t!", 1), ("w h o r e", 1), ("a b c d e", 0), ("win10 schön", 0), ("whores", 0), ("1diot$ idi0t.", 2), ("ɡ idiot", 1)):
+        assert lexicon.matches(toxicity.words_of(text, lexicon.begins))[0] == n, text
+    assert toxicity.words_of("schön win10 a b c d", lexicon.begins) == ["schön", "win", "a", "b", "c", "d"]
+
+
+def test_automaton_equals_a_plain_search():
+    """Every word's beginnings against the terms, and every phrase's place against them, without an automaton."""
+    import random
+
+    r = random.Random(6)
+    letters = "abc"
+    word = lambda: "".join(r.choice(letters) for _ in range(r.randint(1, 6)))
+    for _ in range(300):
+        terms: dict[str, float] = {}
+        for _ in range(8):
+            t = word() + r.choice(["", " "])
+            if len(t) >= 3 and not any(t.startswith(x) or x.startswith(t) for x in terms):
+                terms[t] = r.random() + 0.1
+        exceptions = sorted({r.choice([word(), f"{word()} {word()} "]) for _ in range(6)} - set(terms))
+        words = [word() for _ in range(r.randint(0, 30))]
+        line, found = " " + " ".join(words) + " ", []
+        for start in (i for i, c in enumerate(line) if c == " "):
+            found += [(start, start + len(t) + 1, w) for t, w in terms.items() if line.startswith(t, start + 1)]
+        spans = [(i, i + len(p) + 1) for p in exceptions for i in range(len(line)) if line.startswith(" " + p, i)]
+        kept = [w for a, b, w in found if not any(c <= a and b <= d for c, d in spans)]
+        n, weight = toxicity.Lexicon(terms, exceptions, [0.0] * 5).matches(words)
+        assert n == len(kept) and abs(weight - sum(kept)) < 1e-9
+
+
+def test_exception_of_two_words():
+    names = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(10) for j in range(4)]
+    bad = [(f"you trash {w} trash {v}", 1) for w, v in zip(names, reversed(names))]
+    good = [(f"take the trash can {w} out", 0) for w in names[:6]] + [(f"nothing here {w} {v} of you", 0) for w in names for v in names[:5]]
+    lexicon = toxicity.learn(bad + good)
+    assert "trash can " in lexicon.exceptions and not any(e.startswith("you trash") for e in lexicon.exceptions)
+    assert lexicon.matches(["the", "trash", "can"])[0] == 0 and lexicon.matches(["you", "trash", "man"])[0] == 1
+
+
+def test_held_out_labels_leave_scores_unchanged(labelled, spark):
+    from pyspark.sql import functions as F
+
+    docs, labels = labelled[0].limit(2_000), labelled[1]
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    swapped = labels.withColumn("toxic", F.when(held, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    a, b = ({(r["doc_id"], r["score"]) for r in toxicity.toxicity(docs, x).collect()} for x in (labels, swapped))
+    assert a == b
+
+
+def test_repeated_ids_are_collected_once(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(5_000)] + [(2, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 1)] * 50 + [(2, 0, 0)], "doc_id long, toxic int, quality int")
+    assert len(quality.training_rows(docs, labels, "doc_id", "text", "quality")) == 2
+    assert sorted(t for t, _ in toxicity.training_rows(docs, labels, "doc_id", "text", "toxic")) == ["other", "text 0"]
+
+
 def test_exceptions_and_order():
     bad = [(f"you scum {w} scum today", 1) for w in "abcdefghijklmnopqrst"] * 1
     good = [(f"the scummery of {w} is a place", 0) for w in "abcdefghijklmnopqrst"] + [(f"nothing here {w}", 0) for w in "abcdefghijklmnopqrst"]
@@ -123,14 +210,45 @@ def test_toxicity_odd(odd, empty, spark):
 
 
 def test_quality_held_out(labelled):
+    """Learned without a fold of the labels, judged on that fold."""
+    from pyspark.sql import functions as F
+
     docs, labels = labelled
-    truth = {r["doc_id"]: r["quality"] for r in labels.collect()}
-    out = {r["doc_id"]: r for r in quality.quality(docs, labels).collect()}
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    out = {r["doc_id"]: r for r in quality.quality(docs, labels.filter(~held)).collect()}
+    truth = {r["doc_id"]: r["quality"] for r in labels.filter(held).collect()}
     judged = [out[i] for i in truth if not out[i]["base_failed"]]
-    assert sum(r["kept"] == bool(truth[r["doc_id"]]) for r in judged) >= 0.98 * len(judged)
+    right = sum(r["kept"] == bool(truth[r["doc_id"]]) for r in judged)
+    print(f"quality: {right} of {len(judged)} held-out texts")
+    assert right >= 0.98 * len(judged)
     assert not any(r["kept"] for r in out.values() if r["base_failed"])
 
 
+def test_gradient_is_the_slope():
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    sample = [(r.normal(size=(n, quality._WIDTH)), r.integers(0, 2, n)) for n in (1, 3, 5)]
+    weights, moves = r.normal(size=(quality._WIDTH, 2)), r.normal(size=(2, 2))
+    _, a, b = quality._gradient(sample, weights, moves)
+    for array, gradient in ((weights, a), (moves, b)):
+        for at in np.ndindex(array.shape):
+            values = []
+            for step in (1e-5, -1e-5):
+                array[at] += step
+                values.append(quality._gradient(sample, weights, moves)[0])
+                array[at] -= step
+            assert abs((values[0] - values[1]) / 2e-5 - gradient[at]) < 1e-4
+
+
+def test_lines_beyond_two_hundred_are_learned():
+    good = [(("A line of words that ends here. Another one.\n" * 300 + f"tail {i}.").encode(), 1) for i in range(6)]
+    bad = [(("A line of words that ends here. Another one.\n" * 220 + "# $ % | menu\n" * 400 + f"x {i}").encode(), 0) for i in range(6)]
+    field = quality.train(good + bad)
+    shares = [field.content_share(*quality.line_features(t))[0] for t, _ in (good[0], bad[0])]
+    assert shares[0] >= field.least_share > shares[1]
+
+
 def _brute(text):
     import re
     from collections import Counter
