@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -68,6 +69,38 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared checkpoint folder, which goes when the application ends."""
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    path, file_system = _path(spark, folder)
+    file_system.mkdirs(path)
+    file_system.deleteOnExit(path)
+    return folder
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    path, file_system = _path(spark, folder)
+    file_system.delete(path, True)
+
+
+def _path(spark: SparkSession, folder: str):
+    # Spark has no other way to a store that only its readers and writers can open.
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def store(df: DataFrame, name: str) -> DataFrame:
+    """The rows written once as a table in the shared folder and read from it, column by column as they are needed.
+
+    What a later step computes from them, such as numbers given to rows, is the same however often and on whatever
+    executors it is read.
+    """
+    folder = shared_folder(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables below a folder; only Spark's reader opens the path."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
