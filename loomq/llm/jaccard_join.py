@@ -4,9 +4,10 @@ A document is its set of shingles of five words. Equal sets are one set from the
 Every set is embedded as 64 sampled tokens, the minima of its shingles under 64 hash functions: two sets share a token
 with a probability that equals their Jaccard similarity.
 
-1. A run splits all sets on a few of these tokens: sets that share one meet in a bucket. Buckets are split again on
-   further tokens, chosen by their depth, until they are small or don't shrink any more. Runs repeat until the target
-   recall is met for a pair at the threshold.
+1. A run splits all sets on a few tokens of its own: sets that share one meet in a bucket. A bucket is split again on
+   further tokens, which its path chooses, until it is small or doesn't shrink any more. A pair that one bucket's tokens
+   part has others in the buckets it shares besides. Runs repeat until the target recall is met for a pair at the
+   threshold, splits counted in.
 2. Small buckets compare all their sets by shared tokens and link what may reach the threshold, by a wide margin. A
    bucket yields a forest, not pairs. Its links make candidate groups.
 3. Within candidate groups every pair gets its exact similarity, in blocks by matrix products of shingle incidence, so
@@ -28,14 +29,15 @@ from pyspark.sql import functions as F
 
 from loomq.llm.common import apart, documents_of, hold, map_batches, raw_texts, record_batch
 from loomq.llm.decontamination import words_of
-from loomq.session import expose_package, materialize
+from loomq.session import expose_package, materialize, store
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.99999
 #: Sampled tokens of a set, and how many of them a run or a level splits on.
 TOKENS, CHOICE = 64, 4
 #: Share of sampled tokens that makes a candidate, this far below the threshold (5 standard deviations).
 MARGIN = 5.0
-#: A bucket of at most SMALL sets is compared outright; one over LARGE is split by the cluster, not in one task.
+#: A bucket of at most SMALL sets is compared outright; one over LARGE is split by the cluster, not in one task. A path
+#: is split at most LEVELS times after its run's first step, wherever that is done.
 SMALL, LARGE, LEVELS = 256, 1024, 4
 #: Sets of a candidate group that one task compares with as many others.
 BLOCK = 512
@@ -100,9 +102,31 @@ def sampled_tokens(found: np.ndarray) -> np.ndarray:
     return best
 
 
+def lost(runs: int, threshold: float, levels: int = LEVELS) -> float:
+    """At most the probability that a pair at the threshold meets in no bucket that is compared, however deep it is split.
+
+    It shares each of the runs' first tokens with the threshold's probability, and so as many buckets; at every split a
+    bucket is lost if none of its tokens is shared. Counted here as if all buckets were split to the last level.
+    """
+    n, parted = runs * CHOICE, 1 - (1 - (1 - threshold) ** CHOICE) ** levels
+    return sum(math.comb(n, k) * threshold**k * (1 - threshold) ** (n - k) * parted**k for k in range(n + 1))
+
+
 def runs_for(recall: float, threshold: float) -> int:
     """Runs after which a pair at the threshold has met with the target probability."""
-    return max(1, math.ceil(math.log(1 - recall) / math.log((1 - threshold) ** CHOICE)))
+    for runs in range(1, (TOKENS - LEVELS * CHOICE) // CHOICE + 1):
+        if lost(runs, threshold) <= 1 - recall:
+            return runs
+    raise ValueError(f"{TOKENS} tokens can't give a recall of {recall} at a similarity of {threshold}")
+
+
+def split_places(first: int, level: int, path: int) -> list[int]:
+    """The tokens on which a bucket with some path is split at a level, from 1; first is the number of the runs' tokens.
+
+    Every level has tokens of its own, of which the path picks some.
+    """
+    width = (TOKENS - first) // LEVELS
+    return [first + (level - 1) * width + (path % width + k) % width for k in range(CHOICE)]
 
 
 def least_shared(threshold: float) -> int:
@@ -132,19 +156,19 @@ class Forest:
             self.join(i, j)
 
 
-def link_bucket(tokens: np.ndarray, members: np.ndarray, forest: Forest, depth: int, first: int, least: int) -> None:
-    """Link the candidates among some sets; large buckets are split on the tokens of their depth."""
+def link_bucket(tokens: np.ndarray, members: np.ndarray, forest: Forest, level: int, path: int, first: int, least: int) -> None:
+    """Link the candidates among some sets; a large bucket that has been split level times is split on its path's tokens."""
     n = len(members)
-    at = first + depth * CHOICE
-    if n > SMALL and depth < LEVELS and at + CHOICE <= TOKENS:
+    if n > SMALL and level < LEVELS:
         parts = []
-        for c in range(at, at + CHOICE):
+        for c in split_places(first, level + 1, path):
             values, inverse, counts = np.unique(tokens[members, c], return_inverse=True, return_counts=True)
             order = np.argsort(inverse, kind="stable")
-            parts += [members[p] for p in np.split(order, np.cumsum(counts)[:-1]) if len(p) > 1]
-        if max(map(len, parts), default=0) <= n // 2:  # else they are alike, and splitting repeats work
-            for part in parts:
-                link_bucket(tokens, part, forest, depth + 1, first, least)
+            found = zip(values.tolist(), np.split(order, np.cumsum(counts)[:-1]))
+            parts += [(xxhash.xxh64_intdigest(b"%d:%d:%d" % (path, c, v)), members[p]) for v, p in found if len(p) > 1]
+        if max((len(p) for _, p in parts), default=0) <= n // 2:  # else they are alike, and splitting repeats work
+            for own, part in parts:
+                link_bucket(tokens, part, forest, level + 1, own, first, least)
             return
     short = (tokens[members] & np.uint32(0xFFFF)).astype(np.uint16)
     for i in range(n - 1):
@@ -153,7 +177,7 @@ def link_bucket(tokens: np.ndarray, members: np.ndarray, forest: Forest, depth:
             forest.join(int(members[i]), int(members[i + 1 + j]))
 
 
-def _bucket_edges(rows: pa.Table, first: int, least: int) -> pa.Table:
+def _bucket_edges(rows: pa.Table, level: int, first: int, least: int) -> pa.Table:
     """Forest edges of all the buckets that were dealt to one group."""
     rows = rows.sort_by([("path", "ascending"), ("set_key", "ascending")])
     keys, path = rows.column("set_key").to_pylist(), rows.column("path").to_numpy()
@@ -162,7 +186,7 @@ def _bucket_edges(rows: pa.Table, first: int, least: int) -> pa.Table:
     cuts = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(keys)]
     for a, b in zip(cuts, cuts[1:]):
         if b - a > 1:
-            link_bucket(tokens, np.arange(a, b), forest, 0, first, least)
+            link_bucket(tokens, np.arange(a, b), forest, level, int(path[a]), first, least)
     edges = {(keys[forest.find(i)], keys[i]) for i in range(len(keys)) if forest.find(i) != i}
     edges = sorted(e for e in edges if e[0] != e[1])
     return pa.Table.from_batches([record_batch(_EDGE_ARROW, [[e[0] for e in edges], [e[1] for e in edges]])])
@@ -234,17 +258,16 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _linker(first: int, least: int) -> Callable[[pa.Table], pa.Table]:
-    return lambda rows: _bucket_edges(rows, first, least)
+def _linker(level: int, first: int, least: int) -> Callable[[pa.Table], pa.Table]:
+    return lambda rows: _bucket_edges(rows, level, first, least)
 
 
 def _comparer(threshold: float) -> Callable[[pa.Table], pa.Table]:
     return lambda rows: _exact(rows, threshold)
 
 
-def _paths(rows: DataFrame, path: Column, first: int, n: int) -> DataFrame:
-    """One row for each of n sampled tokens from the first on, with the path it extends."""
-    places = F.sequence(F.lit(first), F.lit(first + n - 1))
+def _paths(rows: DataFrame, path: Column, places: Column) -> DataFrame:
+    """One row for each of some sampled tokens, with the path it extends."""
     token = F.substring("tokens", F.col("place") * 4 + 1, F.lit(4))
     return rows.withColumn("place", F.explode(places)).withColumn("path", F.xxhash64(path, "place", token)).drop("place")
 
@@ -255,16 +278,15 @@ def candidate_edges(sets: DataFrame, threshold: float, recall: float, large: int
     All runs take their first step at once, without the sampled tokens; only paths that several sets share go on.
     """
     n, least = runs_for(recall, threshold) * CHOICE, least_shared(threshold)
-    keys = _paths(sets, F.lit(0).cast("long"), 0, n).select("path", "set_key", F.lit(None).cast("long").alias("above"))
+    keys = _paths(sets, F.lit(0).cast("long"), F.sequence(F.lit(0), F.lit(n - 1))).select("path", "set_key", F.lit(None).cast("long").alias("above"))
     found: DataFrame | None = None
     for level in range(LEVELS + 1):
-        first = n + level * CHOICE
         sizes = apart(keys.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "path")
         shared = materialize(keys.join(sizes, "path").join(sets, "set_key").select("path", "n", "above", "set_key", "tokens"))
         # Small buckets share a task; one of more than a task's worth of comparisons has its own.
         group = F.when(F.col("n") > SMALL, F.col("path")).otherwise(F.pmod("path", F.lit(_groups(shared, 1024))))
         small = shared.filter(F.col("n") <= large).select(group.alias("dealt"), "path", "set_key", "tokens")
-        edges = small.groupBy("dealt").applyInArrow(_linker(first, least), _EDGE)
+        edges = small.groupBy("dealt").applyInArrow(_linker(level, n, least), _EDGE)
         # A large bucket that kept over half of the one above is alike: a star, which the exact comparison takes apart.
         alike = (F.col("n") > large) & ((F.col("n") * 2 > F.col("above")) | F.lit(level == LEVELS))
         stars = shared.filter(alike).select("path", "set_key")
@@ -273,9 +295,11 @@ def candidate_edges(sets: DataFrame, threshold: float, recall: float, large: int
             edges = edges.unionByName(stars.join(hearts, "path").select("a", F.col("set_key").alias("b")))
         found = edges if found is None else found.unionByName(edges)
         rest = shared.filter((F.col("n") > large) & ~F.coalesce(alike, F.lit(False)))
-        if rest.isEmpty():
+        if level == LEVELS or rest.isEmpty():
             break
-        keys = _paths(rest, F.col("path"), first, CHOICE).select("path", "set_key", F.col("n").alias("above"))
+        width = (TOKENS - n) // LEVELS  # as in split_places()
+        places = F.transform(F.sequence(F.lit(0), F.lit(CHOICE - 1)), lambda k: F.lit(n + level * width) + F.pmod(F.pmod("path", F.lit(width)) + k, F.lit(width)).cast("int"))
+        keys = _paths(rest, F.col("path"), places).select("path", "set_key", F.col("n").alias("above"))
     return found
 
 
@@ -353,10 +377,10 @@ def jaccard_classes(
 def keep_one(df: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, text_col: str = "text") -> DataFrame:
     """The rows of df, all columns unchanged, with one row of each class: the first by its place in the table.
 
-    Rows are told apart by their place, so null and repeated ids do no harm; df has to be a stored table, whose scans
-    agree. A text without words stays.
+    Rows are told apart by their place, so null and repeated ids do no harm. Places are given once and written with the
+    rows, since a later scan may be split otherwise. A text without words stays.
     """
-    placed = df.withColumn("__place", F.monotonically_increasing_id())
+    placed = store(df.withColumn("__place", F.monotonically_increasing_id()), "placed")
     classes = jaccard_classes(placed.select(F.col("__place").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), threshold, recall)
     others = classes.filter("doc_id != class_id").select(F.col("doc_id").alias("__place"))
     return placed.join(others, "__place", "left_anti").drop("__place")
