@@ -1,13 +1,19 @@
 """Benchmark decontamination with one Aho-Corasick automaton over normalised items.
 
-Texts are normalised to words. Every word of the benchmark gets a character of its own, so a window of consecutive item
-words is a short string, a document is a string with one character a word, and the automaton scans it once. A match's
-place is a word number, which maps to the word's span in the original text.
+Texts are normalised to words. Every word of the benchmark gets a character of its own, so item words are a short string,
+a document is a string with one character a word, and the automaton scans it once. A match's place is a word number,
+which maps to the word's span in the original text.
+
+The automaton doesn't hold every window of an item, which would be as many nodes as all windows have words. It holds cuts
+of a third of a window, so near to each other that every window has one of them whole. Where a cut matches, the words
+around it say which windows with this cut occur there. For the automaton a word is two characters, since a node's
+children are searched one by one; only runs of words that the benchmark has are scanned.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 from itertools import repeat
@@ -18,11 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomq.llm.common import documents_of, hold, map_batches, raw_texts, record_batch
-from loomq.session import expose_package
+from loomq.session import expose_package, store
 
 WINDOW_WORDS = 13
-#: Benchmark text that one automaton may hold; a larger benchmark is scanned in several blocks of this size.
-BLOCK_BYTES = 16_000_000
+#: Benchmark text that one automaton may hold, about 20 bytes of memory for each; a larger benchmark is scanned in several
+#: blocks of this size.
+BLOCK_BYTES = 40_000_000
+#: Distinct words of a benchmark that can have a character each; items with more are held by several automata.
+LETTERS = 1_100_000
 
 # Fixed value: what counts as a word, on UTF-8 bytes, where every byte of a non-ASCII character is from 0x80 on.
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -52,44 +61,98 @@ def _letter(n: int) -> str:
     return chr(n + 1 if n + 1 < 0xD800 else n + 1 + 0x800)
 
 
-class Windows:
-    """The automaton over the windows of some items."""
+def _shared(a: str, b: str) -> int:
+    """How many characters two strings have in common at their start."""
+    if b.startswith(a):
+        return len(a)
+    return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
 
-    def __init__(self, items: list[tuple[str, bytes]], width: int):
+class Automaton:
+    """The windows of some items: cuts of them as patterns, and for each cut what stands around it."""
+
+    def __init__(self, width: int):
+        self.width, self.cut = width, (width + 2) // 3
         self.letters: dict[bytes, str] = {}
-        self.items: list[set[str]] = []
-        place: dict[str, int] = {}
-        for item, text in items:
-            words = words_of(text)
-            coded = "".join([self.letters.setdefault(w, _letter(len(self.letters))) for w in words])
-            for i in range(max(1, len(words) - width + 1) if words else 0):
-                n = place.setdefault(coded[i : i + width], len(place))
-                if n == len(self.items):
-                    self.items.append(set())
-                self.items[n].add(item)
-        self.automaton = ahocorasick.Automaton()
-        for window, n in place.items():
-            self.automaton.add_word(window, (n, len(window)))
-        if place:
+        self.size: list[int] = []  # words of each pattern
+        self.whole: dict[int, list[int]] = {}  # items of less than a window's words, by pattern
+        # For each cut its surroundings: the words before it, backwards, those after it, and the items that have them.
+        self.around: dict[int, dict[tuple[str, str], list[int]]] = {}
+        self.place: dict[str, int] = {}
+
+    def add(self, item: int, words: list[bytes]) -> None:
+        width, cut = self.width, self.cut
+        coded = "".join([self.letters.setdefault(w, _letter(len(self.letters))) for w in words])
+        if len(coded) < width:
+            self.whole.setdefault(self._pattern(coded), []).append(item)
+            return
+        for i in range(0, len(coded) - cut + 1, width - cut + 1):
+            key = (coded[max(0, i + cut - width) : i][::-1], coded[i + cut : i + width])
+            items = self.around.setdefault(self._pattern(coded[i : i + cut]), {}).setdefault(key, [])
+            if not items or items[-1] != item:
+                items.append(item)
+
+    def _pattern(self, coded: str) -> int:
+        n = self.place.setdefault(coded, len(self.place))
+        if n == len(self.size):
+            self.size.append(len(coded))
+        return n
+
+    def ready(self) -> None:
+        root = math.isqrt(len(self.letters)) + 1
+        self.pairs = {ord(c): chr(1 + n // root) + chr(1 + root + n % root) for n, c in enumerate(self.letters.values())}
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for pattern, n in self.place.items():
+            self.automaton.add_word(pattern.translate(self.pairs), n)
+        self.place = {}
+        if self.size:
+            self.runs = re.compile(f"[^\0]{{{min(self.size)},}}")
             self.automaton.make_automaton()
 
+    def scan(self, words: list[bytes], spans: list[list[int]], found: set[int]) -> None:
+        if not self.size:
+            return
+        coded = "".join(map(self.letters.get, words, repeat("\0")))
+        more = self.width - self.cut
+        for run in self.runs.finditer(coded):
+            start = run.start()
+            for end, n in self.automaton.iter(run[0].translate(self.pairs)):
+                last = start + end // 2
+                first = last - self.size[n] + 1
+                if n in self.whole:
+                    spans.append([first, last])
+                    found.update(self.whole[n])
+                if n in self.around:
+                    before, after = coded[max(0, first - more) : first][::-1], coded[last + 1 : last + 1 + more]
+                    for (left, right), items in self.around[n].items():
+                        a, b = _shared(left, before), _shared(right, after)
+                        if a + b >= more:
+                            spans.append([first - a, last + b])
+                            found.update(items)
+
+
+class Windows:
+    """The automaton over the windows of some items; several only where their distinct words outnumber the characters."""
+
+    def __init__(self, items: list[tuple[str, bytes]], width: int, letters: int = LETTERS):
+        self.names = [item for item, _ in items]
+        self.automata = [Automaton(width)]
+        for n, (_, text) in enumerate(items):
+            words = words_of(text)
+            if len(self.automata[-1].letters) + len(words) > letters and self.automata[-1].size:
+                self.automata.append(Automaton(width))
+            if words:
+                self.automata[-1].add(n, words)
+        for automaton in self.automata:
+            automaton.ready()
+
     def scan(self, words: list[bytes]) -> tuple[list[list[int]], set[str]]:
         """Merged [first, last] word numbers inside windows, and the items of these windows."""
         spans: list[list[int]] = []
-        if not len(self.automaton):
-            return spans, set()
-        found = set()
-        coded = "".join(map(self.letters.get, words, repeat("\0")))
-        for last, (n, length) in self.automaton.iter(coded):
-            first = last - length + 1
-            found.add(n)
-            while spans and spans[-1][0] >= first:
-                spans.pop()
-            if spans and spans[-1][1] >= first - 1:
-                spans[-1][1] = last
-            else:
-                spans.append([first, last])
-        return spans, set().union(*(self.items[n] for n in found))
+        found: set[int] = set()
+        for automaton in self.automata:
+            automaton.scan(words, spans, found)
+        return merge_spans(spans), {self.names[n] for n in found}
 
 
 def merge_spans(spans: list[list[int]]) -> list[list[int]]:
@@ -153,18 +216,16 @@ def benchmark_hits(
 ) -> DataFrame:
     """Where each document repeats the benchmark: word spans first..last, their character spans, and the items.
 
-    One row for each document and block of the benchmark; row tells repeated documents apart. A null text has no words.
+    One row for each row of df; row is null unless the benchmark takes several blocks. A null text has no words.
     Items without an id or a text are left out; an item without words has no window. An empty benchmark hits nothing.
-    The plan has no shuffle; an automaton holds at most block_bytes of benchmark text.
+    A benchmark of one block is scanned in one pass without a shuffle. A larger one is scanned block by block over rows
+    that have been numbered once, and each row's hits come together by its number.
     """
     docs = documents_of(df, id_col, text_col)
-    spark = df.sparkSession
-    blocks = []
-    for items in benchmark_blocks(benchmark, item_col, item_text_col, block_bytes):
-        blocks.append((spark.sparkContext.broadcast(items), _key(items, width)))
+    blocks = _blocks(benchmark, item_col, item_text_col, block_bytes, width)
     several = len(blocks) > 1
     if several:
-        docs = docs.withColumn("row", F.monotonically_increasing_id())
+        docs = store(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
 
     def batch_of(block):
         sent, key = block
@@ -197,6 +258,12 @@ def benchmark_hits(
     )
 
 
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int, width: int) -> list[tuple]:
+    """Each block of the benchmark, sent to the executors, with its key."""
+    context = benchmark.sparkSession.sparkContext
+    return [(context.broadcast(items), _key(items, width)) for items in benchmark_blocks(benchmark, item_col, text_col, block_bytes)]
+
+
 def decontaminate(df: DataFrame, benchmark: DataFrame, share: int = 20, **options) -> DataFrame:
     """One row per document: words, words hit, items, the items' digest and the verdict.
 
@@ -224,19 +291,27 @@ def drop_contaminated(
     df: DataFrame, benchmark: DataFrame, share: int = 20, width: int = WINDOW_WORDS, text_col: str = "text", item_col: str = "item_id",
     item_text_col: str = "text", block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """The rows of df, all columns unchanged, that decontaminate() doesn't call contaminated; a null text stays."""
+    """The rows of df, all columns unchanged, that decontaminate() doesn't call contaminated; a null text stays.
+
+    With a benchmark of one block this is a filter. With a larger one the rows are numbered and written once, and the
+    contaminated numbers are taken out.
+    """
     expose_package(df.sparkSession)
-    blocks = [(df.sparkSession.sparkContext.broadcast(items), _key(items, width)) for items in benchmark_blocks(benchmark, item_col, item_text_col, block_bytes)]
+    blocks = _blocks(benchmark, item_col, item_text_col, block_bytes, width)
+    if len(blocks) > 1:
+        numbered = store(df.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+        options = dict(id_col="__row", text_col=text_col, item_col=item_col, item_text_col=item_text_col, block_bytes=block_bytes)
+        found = decontaminate(numbered, benchmark, share, width=width, **options).filter("contaminated").select(F.col("doc_id").alias("__row"))
+        return numbered.join(found, "__row", "left_anti").drop("__row")
+    sent, key = blocks[0]
 
     def clean(column: pa.Array) -> pa.Array:
-        words = [words_of(x or b"") for x in column.cast(pa.binary()).to_pylist()]
-        spans: list[list[list[int]]] = [[] for _ in words]
-        for sent, key in blocks:
-            windows = _automaton(key, sent.value, width)
-            for found, text in zip(spans, words):
-                found += windows.scan(text)[0]
-        hits = [sum(b - a + 1 for a, b in merge_spans(found)) for found in spans]
-        return pa.array([not (n and share * n >= len(text)) for n, text in zip(hits, words)], pa.bool_())
+        windows, out = _automaton(key, sent.value, width), []
+        for x in column.cast(pa.binary()).to_pylist():
+            words = words_of(x or b"")
+            n = sum(b - a + 1 for a, b in windows.scan(words)[0])
+            out.append(not (n and share * n >= len(words)))
+        return pa.array(out, pa.bool_())
 
     return df.filter(F.arrow_udf(clean, "boolean")(F.col(f"`{text_col}`").cast("string")))
 

@@ -1,5 +1,9 @@
 import hashlib
+import random
 import re
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 
@@ -42,6 +46,42 @@ def test_against_brute_force(spark, block_bytes):
     assert got(d.decontaminate(docs, items, block_bytes=block_bytes)) == brute(rows, known)
 
 
+@pytest.mark.parametrize("width", [1, 2, 3, 4, 5, 13])
+def test_windows_of_repeating_words(width):
+    """Items and texts over few words, so that cuts and windows occur over and over, also with few letters to give out."""
+    r = random.Random(width)
+    for letters in (d.LETTERS, 12):
+        for _ in range(120):
+            line = lambda n: " ".join(r.choice("abc") + r.choice(["", "", "x"]) for _ in range(r.randrange(n)))
+            items = [(str(k), line(40)) for k in range(r.randrange(8))]
+            texts = [(k, line(90) if r.random() < 0.6 or not items else f"{line(9)} {r.choice(items)[1]} {line(9)}") for k in range(6)]
+            windows = d.Windows([(k, t.encode()) for k, t in items], width, letters)
+            out = []
+            for k, t in texts:
+                spans, found = windows.scan(d.words_of(t.encode()))
+                assert all(a[1] + 1 < b[0] for a, b in zip(spans, spans[1:]))
+                n = sum(b - a + 1 for a, b in spans)
+                out.append((k, len(words(t)), n, len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), n > 0 and 20 * n >= len(words(t))))
+            assert sorted(out, key=str) == brute(texts, items, width)
+
+
+def test_memory_of_a_large_benchmark():
+    """4 MB of a benchmark in a process of its own: the automaton stays within 30 bytes for each of the text."""
+    code = """
+import random, resource, sys, time
+from loomq.llm.decontamination import Windows, words_of
+r = random.Random(1)
+stock = ["".join(r.choices("abcdefghijklmnop", k=r.randint(3, 9))) for _ in range(60_000)]
+items = [(str(i), " ".join(r.choices(stock, k=120)).encode()) for i in range(int(sys.argv[1]) * 1_000_000 // 840)]
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+w = Windows(items, 13)
+assert w.scan(words_of(b"x " + items[5][1] + b" y"))[1] == {"5"}
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) * 1024 / sum(len(t) for _, t in items))
+"""
+    out = subprocess.run([sys.executable, "-c", code, "4"], capture_output=True, text=True, check=True, cwd=Path(d.__file__).parents[2])
+    assert float(out.stdout) < 30
+
+
 def test_odd_rows(spark, odd, empty):
     items = [(1, "A b"), (2, "gamma1"), (3, ""), (4, None), (None, "a"), (2, "gamma1"), (5, "x")]
     known = spark.createDataFrame([(*i, "clash") for i in items], "item_id long, text string, n_words string")
