@@ -1,7 +1,8 @@
 """Packing documents into windows by the minimum-bin-slack method.
 
-Documents are tokenized and cut at every full window; what remains of each is shorter than a window. The remainders are
-dealt by a hash into buckets of a bounded mean size, and every bucket is packed on its own. A window is seeded with the
+Documents are tokenized and cut at every full window, which is final where it is cut; what remains of each is shorter than
+a window. Only the remainders' identifiers move: they are dealt in turn into buckets of a bounded mean size, and every
+bucket is packed on its own. A window is seeded with the
 longest remainder left; a bitset subset-sum dynamic programme over the multiset of remaining lengths finds the total
 closest to the capacity, and backtracking through the stored bitsets gives how often each length is taken. The same
 choice is repeated while the multiset allows it. A slack that is left is closed by cutting one more remainder. The last
@@ -24,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loomq.llm.common import char_class, documents_of, hold, map_batches, record_batch, texts
-from loomq.llm.token_counts import byte_symbols
+from loomq.llm.common import char_class, documents_of, hold, record_batch, texts
+from loomq.llm.token_counts import byte_symbols, shared_part
 from loomq.session import expose_package
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -42,7 +43,8 @@ _OTHER = re.compile("[\x1c-\x1f\u0300-\U0010ffff]")
 # The pre-tokenizer's pattern for texts below U+0300, its classes spelt out.
 _LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\\t-\\r \\x85\\xa0{_L}{_N}]+")
 
-_CUT = pa.schema([("doc_id", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary()), ("bucket", pa.int64())])
+_CUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("crc", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary()), ("bucket", pa.int64())])
+_CUT_COLUMNS = "doc_id long, start long, length long, crc long, doc_tokens long, ids binary, bucket long"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _PIECES = pa.schema([(c.split()[0], pa.int64()) for c in PIECES.split(", ")])
 
@@ -56,6 +58,9 @@ class WordIds(dict):
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
+        specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, specials))) if specials else None
+        self.mark = shared_part(specials)
         shown = {b: c for c, b in byte_symbols().items()}
         self.shown = [shown[b] for b in range(256)]
 
@@ -77,7 +82,7 @@ class WordIds(dict):
 
     def ids(self, text: str) -> bytes:
         """Of a whole text; characters that normalization could join and special strings take the library's own path."""
-        if "<|" in text or _OTHER.search(text):
+        if (self.special is not None and self.mark in text and self.special.search(text)) or _OTHER.search(text):
             return self.whole(text)
         return b"".join(map(self.__getitem__, text.lower().split()))
 
@@ -178,6 +183,11 @@ def pack_lengths(lengths: list[int], window: int = WINDOW) -> list[list[tuple[in
     return packed
 
 
+def checksum(ids: bytes) -> int:
+    """The crc32 of 16-bit identifiers as 32-bit ones."""
+    return zlib.crc32(np.frombuffer(ids, "<u2").astype("<u4").tobytes())
+
+
 def pack(
     df: DataFrame, window: int = WINDOW, end_id: int = END_ID, vocabulary: str = VOCABULARY, bucket_documents: int = BUCKET_DOCUMENTS,
     id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True,
@@ -186,9 +196,11 @@ def pack(
 
     A row is a piece: doc_id, start (identifiers of its document before it), length, ids_crc32 (of its identifiers as
     little-endian unsigned 32-bit numbers), doc_tokens, sequence_id and offset, and with with_ids also ids, the
-    identifiers as little-endian unsigned 16-bit numbers. A null or empty text is a
-    document of the end identifier only. Repeated rows are documents of their own; null ids are kept. An empty table
-    gives no rows. One shuffle deals the documents into buckets whose number grows with the table.
+    identifiers as little-endian unsigned 16-bit numbers. A null or empty text is a document of the end identifier only.
+    Repeated rows are documents of their own; null ids are kept. An empty table gives no rows. One shuffle deals the
+    remainders, each shorter than a window, into buckets whose number grows with the table; a task deals them in turn, so
+    that no value of any column can fill a bucket. Of a full window only its place and checksum move, and with with_ids
+    its identifiers.
     """
     docs = documents_of(df, id_col, text_col)
     expose_package(df.sparkSession)
@@ -196,25 +208,36 @@ def pack(
 
     schema = _PIECES.append(pa.field("ids", pa.binary())) if with_ids else _PIECES
 
-    def cut(rows: pa.RecordBatch) -> pa.RecordBatch:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("packing", word_ids.cache_clear)
-        model, end = word_ids(vocabulary), array("H", [end_id]).tobytes()
-        keys = rows.column("doc_id").to_pylist()
-        ids = [model.ids(text) + end for text in texts(rows)]
-        dealt = [zlib.crc32(x[-32:], zlib.crc32(b"%d:%d" % (k if k is not None else -1, len(x)))) % buckets for k, x in zip(keys, ids)]
-        return record_batch(_CUT, [keys, [len(x) // 2 for x in ids], ids, dealt])
+        model, end, turn = word_ids(vocabulary), array("H", [end_id]).tobytes(), None
+        for batch in batches:
+            out: list[list] = [[] for _ in _CUT]
+            for key, text in zip(batch.column("doc_id").to_pylist(), texts(batch)):
+                ids = model.ids(text) + end
+                if turn is None:  # tasks begin at different buckets
+                    turn = zlib.crc32(b"%d" % (key or 0), zlib.crc32(ids[:64]))
+                for start in range(0, len(ids), 2 * window):
+                    own = ids[start : start + 2 * window]
+                    full = len(own) == 2 * window
+                    row = (key, start // 2, len(own) // 2, checksum(own) if full else None, len(ids) // 2, None if full and not with_ids else own, turn % buckets)
+                    for column, value in zip(out, row):
+                        column.append(value)
+                    turn += 1
+            yield record_batch(_CUT, out)
 
     def fill(key: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("doc_id", "ascending"), ("doc_tokens", "ascending"), ("ids", "ascending")])
-        keys, ids = rows.column("doc_id").to_pylist(), rows.column("ids").to_pylist()
-        sizes = rows.column("doc_tokens").to_pylist()
+        rows = rows.sort_by([("doc_id", "ascending"), ("doc_tokens", "ascending"), ("start", "ascending"), ("ids", "ascending")])
+        keys, starts, sizes, crcs, ids, whole = (rows.column(c).to_pylist() for c in ("doc_id", "start", "length", "crc", "ids", "doc_tokens"))
         out: list[list] = [[] for _ in schema]
-        base = key[0].as_py() << 40
-        for n, sequence in enumerate(pack_lengths(sizes, window)):
+        base, rests = key[0].as_py() << 40, [k for k, crc in enumerate(crcs) if crc is None]
+        full = [[(k, 0, sizes[k])] for k, crc in enumerate(crcs) if crc is not None]
+        packed = [[(rests[item], start, length) for item, start, length in sequence] for sequence in pack_lengths([sizes[k] for k in rests], window)]
+        for n, sequence in enumerate(full + packed):
             offset = 0
-            for item, start, length in sequence:
-                own = ids[item][2 * start : 2 * (start + length)]
-                row = (keys[item], start, length, zlib.crc32(np.frombuffer(own, "<u2").astype("<u4").tobytes()), sizes[item], base + n, offset, own)
+            for k, start, length in sequence:
+                own = None if ids[k] is None else ids[k][2 * start : 2 * (start + length)]
+                row = (keys[k], starts[k] + start, length, crcs[k] if crcs[k] is not None else checksum(own), whole[k], base + n, offset, own)
                 for column, value in zip(out, row):
                     column.append(value)
                 offset += length
@@ -222,5 +245,5 @@ def pack(
 
     if word_ids(vocabulary).tokenizer.get_vocab_size() > 1 << 16:
         raise ValueError("identifiers must fit 16 bits")
-    dealt = map_batches(docs, cut, "doc_id long, doc_tokens long, ids binary, bucket long")
+    dealt = docs.mapInArrow(cut, _CUT_COLUMNS)
     return dealt.groupBy("bucket").applyInArrow(fill, PIECES + ", ids binary" * with_ids)

@@ -40,6 +40,12 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def shared_part(specials: list[str]) -> str:
+    """Two characters that all special strings have in common, which a text without them needn't be searched for."""
+    first = specials[0] if specials else ""
+    return next((first[i : i + 2] for i in range(len(first) - 1) if all(first[i : i + 2] in s for s in specials)), "")
+
+
 class MergeCounter(dict):
     """Word -> number of tokens; a missing word is counted by merging."""
 
@@ -57,6 +63,7 @@ class MergeCounter(dict):
             self.joined.setdefault((symbol[left], symbol[right]), (rank, made))
         specials = [t["content"] for t in spec["added_tokens"]]
         self.specials = re.compile("|".join(map(re.escape, sorted(specials, key=len, reverse=True)))) if specials else None
+        self.mark = shared_part(specials)
 
     def __missing__(self, word: str) -> int:
         data = word.encode("utf-8")
@@ -89,7 +96,7 @@ class MergeCounter(dict):
         return done
 
     def count(self, text: str) -> int:
-        if self.specials is not None and "<|" in text and self.specials.search(text):
+        if self.specials is not None and self.mark in text and self.specials.search(text):
             parts = self.specials.split(text)
             return len(parts) - 1 + sum(map(self.count, parts))
         words = _GENERAL.findall(text) if BEYOND.search(text) else _LATIN.findall(text)

@@ -104,3 +104,35 @@ def test_pack(docs, rows, odd, empty):
 def test_merges(word):
     counter = token_counts.counter(token_counts.VOCABULARY)
     assert len(word.encode()) - counter.merges(word.encode()) == len(BYTES.encode(word).ids)
+
+
+def test_other_special_strings(tmp_path):
+    """A vocabulary whose special strings have nothing in common with the given ones."""
+    import json
+
+    for path, added in ((token_counts.VOCABULARY, ["[SEP]", "[PAD]"]), (packing.VOCABULARY, ["@@", "¶"])):
+        spec = json.load(open(path, encoding="utf-8"))
+        spec["added_tokens"] = [dict(id=i, content=c, single_word=False, lstrip=False, rstrip=False, normalized=False, special=True) for i, c in zip((5, 6), added)]
+        other = str(tmp_path / "other.json")
+        json.dump(spec, open(other, "w"))
+        library = Tokenizer.from_file(other)
+        for text in (f"one {added[0]}two{added[1]} {added[0]}", "plain <|endoftext|> text", added[1]):
+            wanted = library.encode(text, add_special_tokens=False).ids
+            if path == token_counts.VOCABULARY:
+                assert token_counts.MergeCounter(other).count(text) == len(wanted)
+            else:
+                assert np.frombuffer(packing.WordIds(other).ids(text), "<u2").tolist() == wanted
+
+
+def test_copies_and_long_texts_are_spread(spark):
+    """Rows that are equal in every column fall into all buckets; of a text's full windows no identifiers move."""
+    rows = [(None, "the same words again")] * 3_000 + [(7, "a longer text " * 20_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    pieces = packing.pack(df, bucket_documents=100).collect()
+    buckets = {}
+    for p in pieces:
+        buckets[p["sequence_id"] >> 40] = buckets.get(p["sequence_id"] >> 40, 0) + 1
+    assert len(buckets) == 31 and max(buckets.values()) < 200
+    assert sum(p["length"] for p in pieces if p["doc_id"] == 7) == 60_001
+    by_sequence = _check(pieces, [(7, "a longer text " * 20_000)] + [(None, "the same words again")])
+    assert sum(len(s) == 1 and s[0]["length"] == 2048 and s[0]["doc_id"] == 7 for s in by_sequence.values()) >= 29
