@@ -6,6 +6,10 @@ hash range, its distinct n-grams with their number in the block, as one sorted a
 all blocks sent, which is its part of the count tables, and returns to each block the corpus counts of that block's
 n-grams in the same order. The block, which has the same documents through the same shuffle, looks its n-grams up and
 sums the scores of each document. A very frequent n-gram costs one entry a block, however often it occurs.
+
+Blocks and partitions are sized by bytes of text. A block sends a partition at most one row and at least one n-gram a
+row, so the rows never outnumber those of a join of single n-grams. Hashes are as wide as the corpus needs for a wrong
+look-up to have a chance of at most one in 2**28, 64 bits at most.
 """
 
 from __future__ import annotations
@@ -24,10 +28,12 @@ from loomq.llm.decontamination import words_of
 from loomq.session import expose_package, materialize
 
 ORDER, BACKOFF, LEAST_COUNT = 3, 0.4, 2
-#: Mean documents of a block, and of what one partition of the count tables holds the n-grams of.
-BLOCK_DOCUMENTS, PARTITION_DOCUMENTS = 3072, 4096
+#: Mean bytes of text of a block, and of what one partition of the count tables holds the n-grams of.
+BLOCK_BYTES, PARTITION_BYTES = 10_000_000, 12_000_000
+#: Bits of a hash beyond those that number the corpus's n-grams.
+SPARE_BITS = 28
 #: Words whose hashes a worker keeps.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 200_000
 
 _SENT = "part long, block long, n long, grams binary, counts binary"
 _SENT_ARROW = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())])
@@ -58,7 +64,12 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def block_grams(texts: list[bytes], order: int) -> tuple[list[int], np.ndarray, list[np.ndarray]]:
+def hash_bits(size: int, order: int) -> int:
+    """The width of the hashes for so many bytes of text, which have at most a word for every two."""
+    return min(64, (order * (size + 1) // 2).bit_length() + SPARE_BITS)
+
+
+def block_grams(texts: list[bytes], order: int, bits: int = 64) -> tuple[list[int], np.ndarray, list[np.ndarray]]:
     """Words of each text, each word's place in its text, and for each order the hash of the n-gram that ends there.
 
     Places with fewer words before them than an order needs hold that order's n-gram of lower order, which is ignored.
@@ -77,6 +88,9 @@ def block_grams(texts: list[bytes], order: int) -> tuple[list[int], np.ndarray,
         longer = grams[-1].copy()
         longer[1:] = _mixed(grams[-1][:-1] * np.uint64(0xD6E8FEB86659FD93) + words[1:] * np.uint64(0xCA5A826395121157) + np.uint64(k))
         grams.append(longer)
+    if bits < 64:
+        for g in grams:
+            g >>= np.uint64(64 - bits)
     return sizes, place, grams
 
 
@@ -106,9 +120,9 @@ def _unpacked(data: bytes) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
-def _edges(parts: int) -> np.ndarray:
+def _edges(parts: int, bits: int) -> np.ndarray:
     """First hash of every partition but the first."""
-    return np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
+    return np.array([(i << bits) // parts for i in range(1, parts)], np.uint64)
 
 
 def _block_texts(rows: pa.Table) -> tuple[pa.Table, list[bytes]]:
@@ -117,7 +131,7 @@ def _block_texts(rows: pa.Table) -> tuple[pa.Table, list[bytes]]:
 
 def backoff_scores(
     df: DataFrame, order: int = ORDER, backoff: float = BACKOFF, least_count: int = LEAST_COUNT, id_col: str = "doc_id", text_col: str = "text",
-    block_documents: int = BLOCK_DOCUMENTS, partition_documents: int = PARTITION_DOCUMENTS,
+    block_bytes: int = BLOCK_BYTES, partition_bytes: int = PARTITION_BYTES,
 ) -> DataFrame:
     """The stupid-backoff score of every text under the n-gram counts of all of them.
 
@@ -131,24 +145,24 @@ def backoff_scores(
     """
     docs = documents_of(df, id_col, text_col)
     expose_package(df.sparkSession)
-    n = docs.count()
-    blocks, parts = max(1, -(-n // block_documents)), max(1, -(-n // partition_documents))
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    blocks, parts, bits = max(1, -(-size // block_bytes)), max(1, -(-size // partition_bytes)), hash_bits(size, order)
+    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
 
     def send(key: tuple, rows: pa.Table) -> pa.Table:
-        _, place, grams = block_grams(_block_texts(rows)[1], order)
+        _, place, grams = block_grams(_block_texts(rows)[1], order, bits)
         found, counts = _distinct(place, grams)
-        cuts = [0, *np.searchsorted(found, _edges(parts)).tolist(), len(found)]
+        cuts = [0, *np.searchsorted(found, _edges(parts, bits)).tolist(), len(found)]
         out: list[list] = [[] for _ in _SENT_ARROW]
         for part, (a, b) in enumerate(zip(cuts, cuts[1:])):
             if b > a:
-                steps = np.diff(found[a:b], prepend=np.uint64((part << 64) // parts))
+                steps = np.diff(found[a:b], prepend=np.uint64((part << bits) // parts))
                 for column, value in zip(out, (part, key[0].as_py(), b - a, _packed(steps), _packed(counts[a:b]))):
                     column.append(value)
         return pa.Table.from_batches([record_batch(_SENT_ARROW, out)])
 
     def add(key: tuple, rows: pa.Table) -> pa.Table:
-        first = np.uint64((key[0].as_py() << 64) // parts)
+        first = np.uint64((key[0].as_py() << bits) // parts)
         grams = np.concatenate([np.cumsum(_unpacked(x), dtype=np.uint64) + first for x in rows.column("grams").to_pylist()])
         counts = np.concatenate([_unpacked(x) for x in rows.column("counts").to_pylist()])
         found, inverse = np.unique(grams, return_inverse=True)
@@ -161,7 +175,7 @@ def backoff_scores(
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         rows, texts = _block_texts(left)
-        sizes, place, grams = block_grams(texts, order)
+        sizes, place, grams = block_grams(texts, order, bits)
         _, inverse = _distinct(place, grams, inverse=True)
         counts = np.zeros(0, np.uint64)
         if right.num_rows:

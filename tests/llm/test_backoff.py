@@ -1,6 +1,8 @@
 import math
 from collections import Counter
 
+import numpy as np
+
 from loomq.llm import backoff as b
 from loomq.llm.decontamination import words_of
 
@@ -25,7 +27,7 @@ def brute(rows, least=2, alpha=0.4):
 
 def test_against_brute_force(docs, rows, odd, empty):
     for df, known in ((docs, rows), (odd, [(r["doc_id"], r["text"]) for r in odd.collect()])):
-        for blocks in ({}, {"block_documents": 20, "partition_documents": 30}):
+        for blocks in ({}, {"block_bytes": 60_000, "partition_bytes": 90_000}):
             got = sorted(((r["doc_id"], r["n_words"], r["n_backoffs"], r["log_score"]) for r in b.backoff_scores(df, **blocks).collect()), key=str)
             assert [x[:3] for x in got] == [x[:3] for x in brute(known)]
             assert all(abs(x[3] - y[3]) < 2e-4 for x, y in zip(got, brute(known)))
@@ -33,8 +35,13 @@ def test_against_brute_force(docs, rows, odd, empty):
 
 
 def test_packing_numbers():
-    import numpy as np
-
     for values in ([], [0], [255, 256, 1 << 40], [(1 << 64) - 1, 0]):
         array = np.array(values, np.uint64)
         assert b._unpacked(b._packed(array)).tolist() == values
+
+
+def test_width_of_hashes():
+    assert b.hash_bits(0, 3) <= b.hash_bits(10**9, 3) < b.hash_bits(10**12, 3) <= 64 == b.hash_bits(10**14, 3)
+    texts = [b"a b c d a b c", b"", b"x"]
+    wide, narrow = (b.block_grams(texts, 3, bits)[2] for bits in (64, 40))
+    assert all((w >> np.uint64(24) == n).all() for w, n in zip(wide, narrow))
