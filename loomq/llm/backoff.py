@@ -30,6 +30,8 @@ from loomq.session import expose_package, materialize
 ORDER, BACKOFF, LEAST_COUNT = 3, 0.4, 2
 #: Mean bytes of text of a block, and of what one partition of the count tables holds the n-grams of.
 BLOCK_BYTES, PARTITION_BYTES = 10_000_000, 12_000_000
+#: Parts in which a block's n-grams are sorted, so that the sort needs a part of the memory.
+PASSES = 6
 #: Bits of a hash beyond those that number the corpus's n-grams.
 SPARE_BITS = 28
 #: Words whose hashes a worker keeps.
@@ -66,11 +68,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def hash_bits(size: int, order: int) -> int:
     """The width of the hashes for so many bytes of text, which have at most a word for every two."""
-    return min(64, (order * (size + 1) // 2).bit_length() + SPARE_BITS)
+    return min(64, max(40, (order * (size + 1) // 2).bit_length() + SPARE_BITS))
 
 
 def block_grams(texts: list[bytes], order: int, bits: int = 64) -> tuple[list[int], np.ndarray, list[np.ndarray]]:
-    """Words of each text, each word's place in its text, and for each order the hash of the n-gram that ends there.
+    """Words of each text, each word's place in its text (from the order on the same), and for each order the hash of the n-gram that ends there.
 
     Places with fewer words before them than an order needs hold that order's n-gram of lower order, which is ignored.
     """
@@ -82,7 +84,8 @@ def block_grams(texts: list[bytes], order: int, bits: int = 64) -> tuple[list[in
         parts.append(np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words)))
     words = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
     starts = np.repeat(np.cumsum([0, *sizes[:-1]]), sizes) if sizes else np.zeros(0, np.int64)
-    place = np.arange(len(words)) - starts
+    place = np.minimum(np.arange(len(words)) - starts, order).astype(np.int8)  # no more than the order matters
+    del parts, starts
     grams = [_mixed(words + np.uint64(0x9E3779B97F4A7C15))]
     for k in range(1, order):
         longer = grams[-1].copy()
@@ -94,9 +97,33 @@ def block_grams(texts: list[bytes], order: int, bits: int = 64) -> tuple[list[in
     return sizes, place, grams
 
 
-def _distinct(place: np.ndarray, grams: list[np.ndarray], inverse: bool = False):
-    real = np.concatenate([g[place >= k] for k, g in enumerate(grams)]) if len(place) else np.zeros(0, np.uint64)
-    return np.unique(real, return_inverse=inverse, return_counts=not inverse)
+def part_of(grams: np.ndarray, parts: int, bits: int) -> np.ndarray:
+    """The partition of each hash; partitions are ranges of it."""
+    return ((grams >> np.uint64(bits - 32)) * np.uint64(parts)) >> np.uint64(32)
+
+
+def first_of(part: int, parts: int, bits: int) -> int:
+    """The least hash of a partition."""
+    return -(-(part << 32) // parts) << (bits - 32)
+
+
+def _ranges(parts: int) -> list[tuple[int, int]]:
+    """First and last partition of a few ranges, in which a block's n-grams are sorted one after the other."""
+    n = min(PASSES, parts)
+    return [(i * parts // n, (i + 1) * parts // n) for i in range(n)]
+
+
+def _in_range(place: np.ndarray, grams: list[np.ndarray], low: int, high: int, parts: int, bits: int) -> list[np.ndarray]:
+    """Where, for each order, a real n-gram's hash lies in the partitions from low on, high excluded."""
+    found = []
+    for k, g in enumerate(grams):
+        keep = place >= k
+        if low:
+            keep &= g >= np.uint64(first_of(low, parts, bits))
+        if high < parts:
+            keep &= g < np.uint64(first_of(high, parts, bits))
+        found.append(np.flatnonzero(keep).astype(np.int32))
+    return found
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -120,11 +147,6 @@ def _unpacked(data: bytes) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
-def _edges(parts: int, bits: int) -> np.ndarray:
-    """First hash of every partition but the first."""
-    return np.array([(i << bits) // parts for i in range(1, parts)], np.uint64)
-
-
 def _block_texts(rows: pa.Table) -> tuple[pa.Table, list[bytes]]:
     return rows, [x or b"" for x in rows.column("text").cast(pa.binary()).to_pylist()]
 
@@ -151,18 +173,22 @@ def backoff_scores(
 
     def send(key: tuple, rows: pa.Table) -> pa.Table:
         _, place, grams = block_grams(_block_texts(rows)[1], order, bits)
-        found, counts = _distinct(place, grams)
-        cuts = [0, *np.searchsorted(found, _edges(parts, bits)).tolist(), len(found)]
         out: list[list] = [[] for _ in _SENT_ARROW]
-        for part, (a, b) in enumerate(zip(cuts, cuts[1:])):
-            if b > a:
-                steps = np.diff(found[a:b], prepend=np.uint64((part << bits) // parts))
-                for column, value in zip(out, (part, key[0].as_py(), b - a, _packed(steps), _packed(counts[a:b]))):
-                    column.append(value)
+        for low, high in _ranges(parts):
+            at = _in_range(place, grams, low, high, parts, bits)
+            found, counts = np.unique(np.concatenate([g[i] for g, i in zip(grams, at)]), return_counts=True)
+            part = part_of(found, parts, bits)
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(found)]
+            for a, b in zip(cuts, cuts[1:]):
+                if b > a:
+                    own = int(part[a])
+                    steps = np.diff(found[a:b], prepend=np.uint64(first_of(own, parts, bits)))
+                    for column, value in zip(out, (own, key[0].as_py(), b - a, _packed(steps), _packed(counts[a:b]))):
+                        column.append(value)
         return pa.Table.from_batches([record_batch(_SENT_ARROW, out)])
 
     def add(key: tuple, rows: pa.Table) -> pa.Table:
-        first = np.uint64((key[0].as_py() << bits) // parts)
+        first = np.uint64(first_of(key[0].as_py(), parts, bits))
         grams = np.concatenate([np.cumsum(_unpacked(x), dtype=np.uint64) + first for x in rows.column("grams").to_pylist()])
         counts = np.concatenate([_unpacked(x) for x in rows.column("counts").to_pylist()])
         found, inverse = np.unique(grams, return_inverse=True)
@@ -176,18 +202,19 @@ def backoff_scores(
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         rows, texts = _block_texts(left)
         sizes, place, grams = block_grams(texts, order, bits)
-        _, inverse = _distinct(place, grams, inverse=True)
-        counts = np.zeros(0, np.uint64)
-        if right.num_rows:
-            counts = np.concatenate([_unpacked(x) for x in right.sort_by("part").column("counts").to_pylist()])
-        totals, at = [], 0
-        for k in range(order):
-            real = place >= k
-            total = np.zeros(len(place))
-            total[real] = counts[inverse[at : at + int(real.sum())]]
-            at += int(real.sum())
-            totals.append(total)
-        logs, used, open_ = np.zeros(len(place)), np.zeros(len(place), np.int64), np.ones(len(place), bool)
+        right = right.sort_by("part")
+        answered, given = right.column("part").to_numpy(), right.column("counts").to_pylist()
+        totals = [np.zeros(len(place)) for _ in grams]
+        for low, high in _ranges(parts):
+            at = _in_range(place, grams, low, high, parts, bits)
+            _, inverse = np.unique(np.concatenate([g[i] for g, i in zip(grams, at)]), return_inverse=True)
+            if len(inverse):
+                counts = np.concatenate(list(map(_unpacked, given[slice(*np.searchsorted(answered, (low, high)))])))
+                ends = np.cumsum([0, *map(len, at)])
+                for total, i, a, b in zip(totals, at, ends, ends[1:]):
+                    total[i] = counts[inverse[a:b]]
+        del grams
+        logs, used, open_ = np.zeros(len(place)), np.zeros(len(place), np.int8), np.ones(len(place), bool)
         reach = np.minimum(place, order - 1)
         for k in range(order - 1, 0, -1):
             seen = open_ & (totals[k] >= least_count)

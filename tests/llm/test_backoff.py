@@ -45,3 +45,13 @@ def test_width_of_hashes():
     texts = [b"a b c d a b c", b"", b"x"]
     wide, narrow = (b.block_grams(texts, 3, bits)[2] for bits in (64, 40))
     assert all((w >> np.uint64(24) == n).all() for w, n in zip(wide, narrow))
+
+
+def test_partitions_are_ranges():
+    r = np.random.default_rng(5)
+    for bits, parts in ((40, 1), (40, 7), (58, 63), (64, 1000)):
+        hashes = np.sort(r.integers(0, (1 << bits) - 1, 4000, np.uint64))
+        part = b.part_of(hashes, parts, bits)
+        assert (np.diff(part.astype(np.int64)) >= 0).all() and part.max() < parts
+        for p, h in zip(part.tolist(), hashes.tolist()):
+            assert b.first_of(p, parts, bits) <= h and (p + 1 == parts or h < b.first_of(p + 1, parts, bits))
