@@ -6,7 +6,6 @@ packed pieces. Stages don't swallow errors.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +15,7 @@ from loomq.llm.jaccard_join import keep_one
 from loomq.llm.language_id import keep_languages
 from loomq.llm.packing import pack
 from loomq.llm.secrets import redact
-from loomq.session import ensure_checkpoint_dir, table
+from loomq.session import remove_folder, shared_folder, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -58,9 +57,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each but the last is written to the shared checkpoint folder and read again."""
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
+    """All stages over the documents; each but the last is written to the shared checkpoint folder and read again.
+
+    A stage's table goes when the next one's is there, the last one when the application ends.
+    """
+    folder = shared_folder(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for n, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
@@ -69,10 +70,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
             if n:
-                _remove(spark, f"{folder}/{n - 1}-{STAGES[n - 1][0]}")
+                remove_folder(spark, f"{folder}/{n - 1}-{STAGES[n - 1][0]}")
     return docs
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
