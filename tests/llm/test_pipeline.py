@@ -33,6 +33,19 @@ def test_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, SF).count() == before.count()
 
 
+def test_run_on_odd_and_empty_tables(spark, odd, empty, tmp_path):
+    """Nulls, repeated rows, empty and long texts, and columns with clashing names go through all stages."""
+    for name, docs in (("odd", odd), ("empty", empty)):
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(str(tmp_path / name / "benchmark.parquet"))
+        pieces = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        if name == "empty":
+            assert pieces == []
+        else:  # letterless and null texts go, of the three copies one stays
+            assert {p["doc_id"] for p in pieces} <= {3, 4, 6, None} and {4, 6} <= {p["doc_id"] for p in pieces}
+            assert sum(p["length"] for p in pieces if p["doc_id"] in (3, None)) == next(p["doc_tokens"] for p in pieces if p["doc_id"] in (3, None))
+
+
 def test_oracles(spark):
     import duckdb
 
