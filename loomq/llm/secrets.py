@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomq.llm.common import apart, documents_of, map_batches, record_batch, texts
-from loomq.session import expose_package, materialize
+from loomq.session import expose_package, materialize, store
 
 #: Distinct owners, or distinct repositories, from which on a value counts as a widely copied example.
 EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 50
@@ -177,16 +177,14 @@ def redact(
 ) -> DataFrame:
     """The same rows and columns, the values of live-looking candidates replaced by a mask; length_col is kept right.
 
-    Examples stay as they are. A text without live-looking candidates isn't changed at all, nor is a null text. Only
-    the texts with candidates are written and joined; the others pass straight through.
+    Examples stay as they are. A text without live-looking candidates isn't changed at all, nor is a null text. Texts
+    are scanned once, and the rows written with what was found; only those with candidates are joined.
     """
     expose_package(df.sparkSession)
     text, unnamed = F.col(f"`{text_col}`"), F.lit("")
-    # Not called deterministic, or Spark would scan once for the filter and once more for the column.
-    found = F.arrow_udf(_found_batch, _FOUND).asNondeterministic()
-    docs = df.withColumn("__found", found(text))
-    none = docs.filter(F.size("__found") == 0).drop("__found")
-    some = materialize(docs.filter(F.size("__found") > 0).withColumn("__row", F.monotonically_increasing_id()))
+    found = F.arrow_udf(_found_batch, _FOUND)
+    docs = store(df.withColumn("__found", found(text)).withColumn("__row", F.monotonically_increasing_id()), "scanned")
+    none, some = docs.filter(F.size("__found") == 0), docs.filter(F.size("__found") > 0)
     owner, repository = (F.coalesce(F.col(f"`{c}`").cast("string"), unnamed) for c in (owner_col, repository_col))
     scanned = some.select(F.col("__row").alias("row"), F.col("__found").alias("found"), owner.alias("owner"), repository.alias("repository"))
     live = judge(scanned, example_owners, example_repositories).select(F.col("row").alias("__row"), F.col("live").alias("__live"))
@@ -195,7 +193,8 @@ def redact(
     if length_col:
         length = F.length("__text").cast(df.schema[length_col].dataType)
         out = out.withColumn(length_col, F.when(F.size("__live") > 0, length).otherwise(F.col(f"`{length_col}`")))
-    return none.unionByName(out.select(*[F.col(f"`{c}`") for c in df.columns]))
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    return none.select(*columns).unionByName(out.select(*columns))
 
 
 def _mask(text: Column, live: Column, mask: str) -> Column:
