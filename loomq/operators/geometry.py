@@ -60,9 +60,13 @@ def band_extent(blocks: DataFrame, bands: DataFrame, keys: Sequence[str], block_
     return met.groupBy(*by).agg(*[f(f"b.{c}").alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))])
 
 
-def next_below(blocks: DataFrame, keys: Sequence[str], block_id: str) -> DataFrame:
-    """For each block the top of the nearest one below that shares some width with it; null if there is none."""
-    below = (F.col("b.y0") >= F.col("a.y1")) & (F.col("b.x0") < F.col("a.x1")) & (F.col("b.x1") > F.col("a.x0"))
+def next_below(blocks: DataFrame, keys: Sequence[str], block_id: str, wide: tuple[str, str] | None = None) -> DataFrame:
+    """For each block the top of the nearest one below that shares some width with it; null if there is none.
+
+    wide names columns with the width that counts for a block instead of its own, where they aren't null.
+    """
+    x0, x1 = (F.coalesce(F.col(f"a.{w}"), F.col(f"a.{c}")) if w else F.col(f"a.{c}") for w, c in zip(wide or (None, None), ("x0", "x1")))
+    below = (F.col("b.y0") >= F.col("a.y1")) & (F.col("b.x0") < x1) & (F.col("b.x1") > x0)
     other = F.col(f"a.{block_id}") != F.col(f"b.{block_id}")
     met = blocks.alias("a").join(blocks.alias("b"), _same(keys) & other & below, "left")
     return met.groupBy(*[F.col(f"a.{k}") for k in (*keys, block_id)]).agg(F.min("b.y0").alias("next_y0"))

@@ -17,26 +17,32 @@ ZONE_SHARE, PAGE_SHARE = 0.15, 0.6
 COLUMN_SPREAD = 50.0
 
 
-def repeated_keys(blocks: DataFrame, pages: DataFrame, zone: float = ZONE_SHARE, share: float = PAGE_SHARE) -> DataFrame:
+def repeated_keys(blocks: DataFrame, pages: DataFrame, zone: float = ZONE_SHARE, share: float = PAGE_SHARE, hashed: bool = False) -> DataFrame:
     """doc_id, zone (header or footer), key and bbox columns of the texts and places that repeat near the pages' edges.
 
     blocks: doc_id, page_index, x0..y1, text. A block near the top is no footer candidate. Its keys are its text without
-    numbers and case, and its box in steps of two points.
+    numbers and case, and its box in steps of two points. With hashed the keys are their 64-bit hashes, which move less.
     """
     counts = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pages"))
     least = F.greatest(F.lit(1), F.bround(F.lit(share) * F.col("n_pages")))
     shown = blocks.filter(~blank(F.col("text"))).join(pages.select("doc_id", "page_index", "height"), ["doc_id", "page_index"])
     side = F.when(F.col("y0") <= F.col("height") * zone, "header").when(F.col("y1") >= F.col("height") * (1 - zone), "footer")
     place = F.concat_ws(":", F.lit("pos"), *[(F.bround(F.col(c) / 2) * 2).cast("long").cast("string") for c in ("x0", "y0", "x1", "y1")])
-    keys = F.explode(F.array(F.concat(F.lit("text:"), repetition_key(F.col("text"))), place))
+    both = [F.concat(F.lit("text:"), repetition_key(F.col("text"))), place]
+    keys = F.explode(F.array(*[F.xxhash64(k) if hashed else k for k in both]))
     keyed = shown.withColumn("zone", side).filter("zone is not null").withColumn("key", keys)
-    found = keyed.groupBy("doc_id", "zone", "key").agg(F.countDistinct("page_index").alias("on_pages"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+
+    def box() -> list[Column]:
+        return [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
+
+    by_page = keyed.groupBy("doc_id", "zone", "key", "page_index").agg(*box())
+    found = by_page.groupBy("doc_id", "zone", "key").agg(F.count(F.lit(1)).alias("on_pages"), *box())
     return found.join(counts, "doc_id").filter(F.col("on_pages") >= least).drop("n_pages")
 
 
 def zones(blocks: DataFrame, pages: DataFrame, zone: float = ZONE_SHARE, share: float = PAGE_SHARE) -> DataFrame:
     """One box for each document and zone that has repeated keys: the union of their blocks' boxes."""
-    keys = repeated_keys(blocks, pages, zone, share)
+    keys = repeated_keys(blocks, pages, zone, share, hashed=True)
     return keys.groupBy("doc_id", "zone").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count(F.lit(1)).alias("n_keys"))
 
 

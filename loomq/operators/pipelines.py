@@ -42,6 +42,33 @@ def word_stats(done: DataFrame, keys: Sequence[str] = ("path",)) -> DataFrame:
     return done.groupBy(*keys).agg(*counts, F.sum("chars_sent").alias("chars_sent"), F.count_if(F.col("break_change") != 0).alias("new_break_anomalies"), F.array_sort(F.collect_list("error")).alias("errors"))
 
 
+def translate_pages(blocks: DataFrame, provider: str, target: str, source: str | None = None, terms: Sequence[str] = ()) -> DataFrame:
+    """Page blocks (doc_id, page_index, block_index, text, html, translatable) with status, chars_sent, translated_html,
+    translated_text and error ("page<n>:block<n>: …").
+
+    A block with html is sent as that, one without (null) as plain text; others than translatable ones are skipped. All
+    blocks are there before any is sent, and one that fails doesn't stop the others.
+    """
+    done = translate_units(blocks.withColumn("__sent", F.coalesce("html", "text")), provider, target, source, terms, text="__sent")
+    by_html = F.col("html").isNotNull()
+    place = F.concat(F.lit("page"), F.col("page_index").cast("string"), F.lit(":block"), F.col("block_index").cast("string"))
+    out = done.withColumn("translated_html", F.when(by_html, F.col("translated"))).withColumn("translated_text", F.when(~by_html, F.col("translated")))
+    return out.withColumn("error", F.when(F.col("error").isNotNull(), F.concat_ws(": ", place, "error"))).drop("__sent", "translated")
+
+
+def page_stats(done: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """By document: blocks by outcome, characters, blocks that overflow (fits is false) though translated, and errors."""
+    counts = [F.count_if(F.col("status") == s).alias(s) for s in ("translated", "skipped", "failed")]
+    overflow = F.count_if((F.col("status") == "translated") & ~F.col("fits")) if "fits" in done.columns else F.lit(0).cast("long")
+    return done.groupBy(*keys).agg(*counts, F.sum("chars_sent").alias("chars_sent"), overflow.alias("overflow_blocks"), F.array_sort(F.collect_list("error")).alias("errors"))
+
+
+def block_records(done: DataFrame) -> DataFrame:
+    """What a later correction starts from: the blocks that were translated as html, with their original text."""
+    kept = done.filter((F.col("status") == "translated") & F.col("translated_html").isNotNull())
+    return kept.select("doc_id", "page_index", "block_index", F.col("text").alias("original_text"), F.col("translated_html").alias("html"))
+
+
 def translate_slides(paragraphs: DataFrame, keys: Sequence[str], provider: str, target: str, source: str | None = None, terms: Sequence[str] = ()) -> DataFrame:
     """Slide paragraphs (keys, texts: array of run texts) with status, chars_sent, error and new_texts by run.
 

@@ -130,6 +130,14 @@ def chosen_term(headers: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     return headers.select(doc_id, F.coalesce(title, term_of_file(F.col("path"))).alias("term"), title.isNull().alias("used_fallback"))
 
 
+def reading_order(blocks: DataFrame) -> DataFrame:
+    """Translatable blocks with words, in the order in which a comparison shows them: page, height, then place."""
+    from loomq.functions.text import has_letters
+
+    kept = blocks.filter(F.col("translatable") & has_letters(F.col("text")))
+    return kept.orderBy("page_index", "y0", "place")
+
+
 def compare_providers(blocks: DataFrame, providers: Sequence[str], target: str, key: str, text: str = "text") -> DataFrame:
     """Blocks with one column of translations for each provider; a failure shows its error in brackets.
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomq.functions import dates, ordering, text
-from loomq.operators import cost, dedupe, geometry, layout, manifest, merge, pages, pipelines, prefix, regions, search, translate
+from loomq.operators import cost, dedupe, fitting, geometry, layout, manifest, merge, pages, pipelines, prefix, regions, search, translate
 from loomq.session import table
 from loomq.sources.files import tree_files
 
@@ -341,22 +341,46 @@ def paragraph_merge(spark, sf_dir):
     return regions.merged_regions(chained, ["image"]).drop("line_height")
 
 
-@query(f"""
-WITH {_BOXES}, n AS (SELECT a.image, a.idx, a.x, a.y, a.width, a.height,
+#: How far each of these regions may grow.
+_ROOMS = """
+n AS (SELECT a.image, a.idx, a.x, a.y, a.width, a.height,
   min(CASE WHEN b.x < a.x + a.width AND b.x + b.width > a.x AND b.y >= a.y + a.height THEN b.y - a.y - a.height END) AS below,
   min(CASE WHEN b.x < a.x + a.width AND b.x + b.width > a.x AND b.y + b.height <= a.y THEN a.y - b.y - b.height END) AS above,
   min(CASE WHEN b.y < a.y + a.height AND b.y + b.height > a.y AND b.x + b.width <= a.x THEN a.x - b.x - b.width END) AS l,
   min(CASE WHEN b.y < a.y + a.height AND b.y + b.height > a.y AND b.x >= a.x + a.width THEN b.x - a.x - a.width END) AS r
-  FROM box a LEFT JOIN box b ON a.image = b.image AND a.idx <> b.idx GROUP BY ALL)
-SELECT image, idx, CAST(greatest(least(CASE WHEN below IS NULL THEN 4.0 * height ELSE greatest(below - 3, 1) END, 1000 - y - height), 0) AS DOUBLE) AS room_below,
+  FROM box a LEFT JOIN box b ON a.image = b.image AND a.idx <> b.idx GROUP BY ALL),
+room AS (SELECT image, idx, CAST(greatest(least(CASE WHEN below IS NULL THEN 4.0 * height ELSE greatest(below - 3, 1) END, 1000 - y - height), 0) AS DOUBLE) AS room_below,
   CAST(greatest(CASE WHEN above IS NULL THEN least(4.0 * height, y) ELSE greatest(above - 3, 0) END, 0) AS DOUBLE) AS room_above,
-  CAST(greatest(least(coalesce(l, x), x) - 3, 0) AS DOUBLE) AS room_left, CAST(greatest(least(coalesce(r, 600 - x - width), 600 - x - width) - 3, 0) AS DOUBLE) AS room_right FROM n
-""")
+  CAST(greatest(least(coalesce(l, x), x) - 3, 0) AS DOUBLE) AS room_left, CAST(greatest(least(coalesce(r, 600 - x - width), 600 - x - width) - 3, 0) AS DOUBLE) AS room_right FROM n)
+"""
+
+
+@query(f"WITH {_BOXES}, {_ROOMS} SELECT * FROM room")
 def rooms(spark, sf_dir):
     sized = _boxes(spark, sf_dir).withColumn("w", F.lit(600)).withColumn("h", F.lit(1000))
     return geometry.rooms(sized, ["image"], "idx", "w", "h")
 
 
+# Texts of equal words, so that wrapping is a division.
+@query(f"""
+WITH {_BOXES}, {_ROOMS}, r AS (SELECT b.*, room_left, room_right, room_above, room_below, 1 + (b.image * 7 + b.idx * 5) % 40 AS n, CAST(least(greatest(floor(b.height * 0.8), 9), 48) AS INTEGER) AS size
+  FROM box b JOIN room ON room.image = b.image AND room.idx = b.idx),
+c AS (SELECT *, unnest(range(9)) AS k FROM r),
+w AS (SELECT *, least(k * greatest((room_left + room_right) / 8, 1.0), room_left + room_right) AS extra FROM c),
+l AS (SELECT *, greatest(floor((floor((width + extra) / (size * 0.52)) + 1) / 3), 1) AS per_line FROM w),
+f AS (SELECT *, ceil(n / per_line) * greatest(1, floor(size * 1.15)) AS tall, (3 * least(n, per_line) - 1) * size * 0.52 AS widest FROM l),
+g AS (SELECT image, idx, arg_min({{'e': extra, 't': tall}}, k) AS f FROM f WHERE widest <= width + extra AND tall <= height + room_above + room_below GROUP BY image, idx)
+SELECT r.image, r.idx, CASE WHEN f.e >= 0 THEN CAST(trunc(x - (f.e - least(f.e, room_right))) AS INTEGER) END AS gx,
+  CASE WHEN f.e >= 0 THEN CAST(trunc(y - (greatest(f.t - height, 0) - least(greatest(f.t - height, 0), room_below))) AS INTEGER) END AS gy,
+  CASE WHEN f.e >= 0 THEN CAST(trunc(width + f.e) AS INTEGER) END AS gw, CASE WHEN f.e >= 0 THEN CAST(trunc(height + greatest(f.t - height, 0)) AS INTEGER) END AS gh FROM r LEFT JOIN g ON g.image = r.image AND g.idx = r.idx
+""")
+def region_growth(spark, sf_dir):
+    n = (1 + (F.col("image") * 7 + F.col("idx") * 5) % 40).cast("int")
+    sized = _boxes(spark, sf_dir).withColumn("text", F.trim(F.repeat(F.lit("ab "), n))).withColumns({"w": F.lit(600), "h": F.lit(1000), "line_height": F.lit(None).cast("int")})
+    grown = fitting.grow_regions(sized, ["image"], "idx", "text", "w", "h")
+    return grown.select("image", "idx", *[F.col(f"render_box.{c}").alias(f"g{c[0]}") for c in ("x", "y", "width", "height")])
+
+
 @query(f"""
 WITH {_BOXES}, m AS (SELECT image, median(height) AS median_height FROM box WHERE translatable AND confidence >= 40 GROUP BY image)
 SELECT b.image, b.idx, CASE WHEN NOT translatable THEN 'layout' WHEN confidence < 40 THEN 'low_confidence' WHEN height > 1.2 * median_height THEN 'outlier_height' ELSE 'ok' END AS reason
@@ -829,8 +853,71 @@ def slide_translation(spark, sf_dir):
     return translate.outcome_stats(done, ["conv_id"])
 
 
-@query()
+# A conversation is a document, four turns a page, a turn a block of one column; words have markup in every third block.
+_PAGE_BLOCKS = """
+b AS (SELECT conv_id AS doc_id, turn // 4 AS page_index, turn AS block_index, text, role <> 'system' AS translatable, turn % 3 = 0 AS marked, 50.0 AS x0, 20.0 + (turn % 4) * 190 AS y0, 350.0 AS x1,
+  20.0 + (turn % 4) * 190 + 40 + (conv_id % 5) * 30 AS y1, 9.0 + conv_id % 4 AS font_size FROM conversations)
+"""
+
+
+def _page_blocks(spark, sf_dir) -> DataFrame:
+    turns, turn = table(spark, sf_dir, "conversations"), F.col("turn")
+    y0 = 20.0 + (turn % 4) * 190
+    return turns.select(
+        F.col("conv_id").alias("doc_id"), F.floor(turn / 4).alias("page_index"), turn.alias("block_index"), "text", (F.col("role") != "system").alias("translatable"),
+        F.when(turn % 3 == 0, F.concat(F.lit("<b>"), text.escape(F.col("text")), F.lit("</b>"))).alias("html"), F.lit(50.0).alias("x0"), y0.alias("y0"), F.lit(350.0).alias("x1"),
+        (y0 + 40 + (F.col("conv_id") % 5) * 30).alias("y1"), (9.0 + F.col("conv_id") % 4).alias("font_size"), F.lit(800.0).alias("limit"),
+    )
+
+
+#: A text between tags.
+_ESCAPED = "replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
+
+
+@query(f"""
+WITH {_PAGE_BLOCKS}, s AS (SELECT *, CASE WHEN marked THEN '<b>' || {_ESCAPED} || '</b>' ELSE text END AS sent FROM b)
+SELECT doc_id, count(*) FILTER (WHERE translatable AND trim(sent) <> '') AS translated, count(*) FILTER (WHERE NOT (translatable AND trim(sent) <> '')) AS skipped, 0 AS failed,
+       CAST(coalesce(sum(length(sent)) FILTER (WHERE translatable), 0) AS BIGINT) AS chars_sent, count(*) FILTER (WHERE translatable AND marked) AS records FROM s GROUP BY doc_id
+""")
+def page_translation(spark, sf_dir):
+    done = pipelines.translate_pages(_page_blocks(spark, sf_dir), "upper", "DE")
+    records = pipelines.block_records(done).groupBy("doc_id").agg(F.count(F.lit(1)).alias("records"))
+    stats = pipelines.page_stats(done).select("doc_id", "translated", "skipped", "failed", "chars_sent")
+    return stats.join(records, "doc_id", "left").fillna(0, ["records"])
+
+
+# Every block at every font size; a line's words are folded one after the other.
+@query(f"""
+WITH {_PAGE_BLOCKS}, k AS (SELECT b.*, unnest(range(CAST(greatest(floor((font_size - 4) / 0.5), 0) AS INTEGER) + 1)) AS k FROM b),
+z AS (SELECT *, font_size - k * 0.5 AS size, CAST(floor(300.0 / ((font_size - k * 0.5) * 0.52)) AS BIGINT) AS per_line,
+  list_transform(string_split(text, chr(10)), lambda s: list_filter(string_split_regex(s, '\\s+'), lambda x: x <> '')) AS segments FROM k),
+l AS (SELECT doc_id, block_index, y0, y1, font_size, k, size, CAST(list_sum(list_transform(segments, lambda ws: greatest(list_reduce(list_prepend({{'n': CAST(0 AS BIGINT), 'at': CAST(0 AS BIGINT)}},
+  list_transform(ws, lambda w: {{'n': CAST(0 AS BIGINT), 'at': CAST(length(w) AS BIGINT)}})),
+  lambda s, w: CASE WHEN s.n > 0 AND s.at + 1 + w.at <= per_line THEN {{'n': s.n, 'at': s.at + 1 + w.at}} ELSE {{'n': s.n + 1, 'at': w.at}} END).n, 1))) AS BIGINT) AS lines FROM z),
+c AS (SELECT a.doc_id, a.block_index, min(o.y0) AS next_y0 FROM b a LEFT JOIN b o ON o.doc_id = a.doc_id AND o.page_index = a.page_index AND o.block_index <> a.block_index AND o.y0 >= a.y1 GROUP BY 1, 2),
+p AS (SELECT l.*, c.next_y0, CASE WHEN c.next_y0 IS NULL THEN 800.0 ELSE least(800.0, c.next_y0 - 3) END AS cap FROM l JOIN c ON c.doc_id = l.doc_id AND c.block_index = l.block_index),
+g AS (SELECT doc_id, block_index, any_value(y0) AS y0, any_value(y1) AS y1, any_value(font_size) AS font_size, any_value(next_y0) AS next_y0, any_value(cap) AS cap,
+  arg_min({{'s': size, 'h': lines * size * 1.2}}, k) FILTER (WHERE lines * size * 1.2 <= greatest(cap - y0, y1 - y0)) AS f FROM p GROUP BY 1, 2),
+e AS (SELECT *, CASE WHEN f IS NULL THEN greatest(cap, y1) ELSE greatest(y1, y0 + f.h) END AS final_y1, coalesce(f.s, 4.0) AS final_font FROM g),
+h AS (SELECT *, unnest([CASE WHEN final_y1 > y1 + 0.5 AND next_y0 IS NOT NULL AND final_y1 >= cap - 0.5 THEN 'growth_capped_by_collision' END,
+  CASE WHEN final_font <= 8 AND final_font < font_size THEN 'small_final_font' END, CASE WHEN y1 > y0 AND final_y1 - y0 > 2 * (y1 - y0) THEN 'excessive_height_growth' END]) AS kind FROM e)
+SELECT doc_id, block_index, kind, CAST(round(final_y1, 6) AS DOUBLE) AS final_y1, CAST(final_font AS DOUBLE) AS final_font FROM h WHERE kind IS NOT NULL
+""")
+def growth_anomalies(spark, sf_dir):
+    fitted = fitting.fit_blocks(_page_blocks(spark, sf_dir), ["doc_id", "page_index"], "block_index", "text", "limit")
+    return fitting.growth_anomalies(fitted).select("doc_id", "block_index", "kind", F.round("final_y1", 6).alias("final_y1"), "final_font")
+
+
+# A turn is a paragraph of one run, bold in even turns; headers and footers aren't there.
+@query(f"""
+WITH s AS (SELECT conv_id, role <> 'system' AS free, trim(text) <> '' AS shown, {_ESCAPED} AS t, turn % 2 = 0 AS bold FROM conversations)
+SELECT CAST(conv_id AS VARCHAR) AS path, count(*) FILTER (WHERE free AND shown) AS body_translated, count(*) FILTER (WHERE NOT (free AND shown)) AS body_skipped, 0 AS body_failed,
+       0 AS header_translated, 0 AS header_skipped, 0 AS header_failed, 0 AS footer_translated, 0 AS footer_skipped, 0 AS footer_failed,
+       CAST(coalesce(sum(length(t) + CASE WHEN bold THEN 7 ELSE 0 END) FILTER (WHERE free AND shown), 0) AS BIGINT) AS chars_sent, 0 AS new_break_anomalies, '' AS errors
+FROM s GROUP BY conv_id
+""")
 def word_translation(spark, sf_dir):
     run = "struct(text, true as translatable, false as is_image, false as is_hyperlink, cast(null as string) as hyperlink_target, turn % 2 = 0 as bold, false as italic, false as underline)"
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("path"), F.lit("body").alias("part"), F.col("turn").alias("para_index"), (F.col("role") != "system").alias("translatable"), F.expr(f"array({run})").alias("runs"))
-    return pipelines.word_stats(pipelines.translate_word(turns, "upper", "DE"))
+    stats = pipelines.word_stats(pipelines.translate_word(turns, "upper", "DE"))
+    return stats.withColumn("errors", F.concat_ws("; ", "errors"))
