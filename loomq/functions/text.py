@@ -139,6 +139,11 @@ def html_to_line(markup: Column) -> Column:
     return collapsed(unescape(F.regexp_replace(markup, r"<[^>]+>", " ")))
 
 
+def html_preview(markup: Column, length: int = 80) -> Column:
+    """The beginning of a paragraph's text on one line; tags leave no space behind."""
+    return F.substring(collapsed(unescape(F.regexp_replace(markup, r"<[^>]+>", ""))), 1, length)
+
+
 def paragraphs(text: Column) -> Column:
     """Lines joined by a space up to the next blank line, as an array; runs of spaces are one."""
     lines = F.array_join(F.transform(F.split(text, "\n"), stripped), "\n")

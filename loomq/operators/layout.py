@@ -153,10 +153,10 @@ UNITS, CHAR_WIDTH, LINE_HEIGHT, FONT_POINTS = 12700, 0.52, 1.2, 18.0
 
 
 def text_overflow(containers: DataFrame) -> DataFrame:
-    """Containers whose text is estimated to need more lines than fit, with estimated_lines and available_lines.
+    """Containers whose text is estimated to need more lines than fit, with estimated_lines, available_lines and reason.
 
-    containers: width and height in drawing units, font_points, paragraphs array<string>. Containers without a text, a
-    width or a height are left out.
+    containers: width and height in drawing units, font_points, paragraphs array<string>, and if known autofit, which
+    the reason then names. Containers without a text, a width or a height are left out.
     """
     size = F.coalesce(F.col("font_points"), F.lit(FONT_POINTS))
     filled = (F.array_join("paragraphs", "").rlike(r"\S")) & (F.col("width") > 0) & (F.col("height") > 0) & (size > 0)
@@ -164,18 +164,23 @@ def text_overflow(containers: DataFrame) -> DataFrame:
     lines = F.aggregate("paragraphs", F.lit(0).cast("long"), lambda n, p: n + F.greatest(F.ceil(F.length(p) / per_line), F.lit(1)))
     room = F.greatest(F.floor(F.col("height") / UNITS / (size * LINE_HEIGHT)), F.lit(1))
     sized = containers.filter(filled).withColumn("estimated_lines", lines).withColumn("available_lines", room)
+    fit = F.col("autofit") if "autofit" in containers.columns else F.lit(None).cast("string")
+    named = F.concat(F.lit("static_estimate_exceeds_text_body_with_"), fit)
+    sized = sized.withColumn("reason", F.when(fit.isin("normAutofit", "spAutoFit"), named).otherwise("static_estimate_exceeds_fixed_text_body"))
     return sized.filter(F.col("estimated_lines") > F.col("available_lines"))
 
 
 def overflow_regressions(after: DataFrame, before: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Findings that are new or larger than before; a null part of the key equals null."""
+    """Findings that are new or larger than before, with risk saying which; a null part of the key equals null."""
     a, b = after.alias("a"), before.alias("b")
     same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
     on = same[0]
     for s in same[1:]:
         on &= s
     joined = a.join(b, on, "left")
-    return joined.filter(F.col("b.estimated_lines").isNull() | (F.col("a.estimated_lines") > F.col("b.estimated_lines"))).select("a.*")
+    return joined.filter(F.col("b.estimated_lines").isNull() | (F.col("a.estimated_lines") > F.col("b.estimated_lines"))).select(
+        "a.*", F.when(F.col("b.estimated_lines").isNull(), "new_fit_risk").otherwise("increased_fit_risk").alias("risk")
+    )
 
 
 def section_ranges(paragraphs: DataFrame, keys: Sequence[str], order: str, is_break: str) -> DataFrame:

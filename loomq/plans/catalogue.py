@@ -526,10 +526,10 @@ o AS (SELECT conv_id, turn, list_sum(list_transform(sizes, lambda n: greatest(ce
 """
 
 
-@query(f"WITH {_CONTAINERS} SELECT conv_id, turn, CAST(lines AS BIGINT) AS estimated_lines, CAST(room AS BIGINT) AS available_lines FROM o WHERE lines > room")
+@query(f"WITH {_CONTAINERS} SELECT conv_id, turn, CAST(lines AS BIGINT) AS estimated_lines, CAST(room AS BIGINT) AS available_lines, 'static_estimate_exceeds_fixed_text_body' AS reason FROM o WHERE lines > room")
 def text_overflow(spark, sf_dir):
     found = layout.text_overflow(_containers(spark, sf_dir))
-    return found.select("conv_id", "turn", *[F.col(c).cast("long").alias(c) for c in ("estimated_lines", "available_lines")])
+    return found.select("conv_id", "turn", *[F.col(c).cast("long").alias(c) for c in ("estimated_lines", "available_lines")], "reason")
 
 
 def _containers(spark, sf_dir) -> DataFrame:
@@ -543,7 +543,7 @@ def _containers(spark, sf_dir) -> DataFrame:
 @query("""
 WITH a AS (SELECT o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey % 50 END AS cell, max(CAST(o_totalprice / 1000 AS BIGINT)) AS n FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1, 2),
 b AS (SELECT o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey % 50 END AS cell, max(CAST(o_totalprice / 1000 AS BIGINT)) AS n FROM orders WHERE o_orderkey % 2 = 1 GROUP BY 1, 2)
-SELECT a.o_custkey, a.cell, a.n AS estimated_lines FROM a LEFT JOIN b ON a.o_custkey = b.o_custkey AND a.cell IS NOT DISTINCT FROM b.cell WHERE b.n IS NULL OR a.n > b.n
+SELECT a.o_custkey, a.cell, a.n AS estimated_lines, CASE WHEN b.n IS NULL THEN 'new_fit_risk' ELSE 'increased_fit_risk' END AS risk FROM a LEFT JOIN b ON a.o_custkey = b.o_custkey AND a.cell IS NOT DISTINCT FROM b.cell WHERE b.n IS NULL OR a.n > b.n
 """)
 def overflow_regression(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").withColumn("cell", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderkey") % 50))
@@ -800,26 +800,31 @@ def side_by_side(spark, sf_dir):
     return translate.side_by_side(turns.select("conv_id", "turn", "text"), done, ["conv_id", "turn"])
 
 
+# A band lies on every line whose part's key is a multiple of four, a link on every fifth, and a zone over the first
+# lines of the first block.
 @query("""
 WITH l AS (SELECT l_orderkey AS doc_id, l_linenumber AS block_index, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice) AS line_index,
-  CAST(l_quantity AS DOUBLE) AS x0, 'p' || CAST(l_partkey AS VARCHAR) AS text, l_partkey % 4 = 0 AS lit FROM lineitem),
+  CAST(l_quantity AS DOUBLE) AS x0, 'p' || CAST(l_partkey AS VARCHAR) AS text, l_partkey % 4 = 0 AS lit, l_partkey % 5 = 0 AS linked FROM lineitem),
 r AS (SELECT *, lag(lit) OVER (PARTITION BY doc_id, block_index ORDER BY line_index) AS before FROM l),
 n AS (SELECT *, sum(CASE WHEN before <> lit THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, block_index ORDER BY line_index ROWS UNBOUNDED PRECEDING) AS run FROM r),
-b AS (SELECT doc_id, block_index, run, lit AS highlighted, string_agg(text, chr(10) ORDER BY line_index) AS text, min(x0) AS x0 FROM n GROUP BY ALL)
-SELECT doc_id, block_index, highlighted, text, x0, row_number() OVER (PARTITION BY doc_id ORDER BY block_index, run) AS place FROM b
+k AS (SELECT *, lag(linked) OVER (PARTITION BY doc_id, block_index, run ORDER BY line_index) AS link_before FROM n),
+m AS (SELECT *, sum(CASE WHEN link_before <> linked THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, block_index, run ORDER BY line_index ROWS UNBOUNDED PRECEDING) AS link_run FROM k),
+b AS (SELECT doc_id, block_index, run, link_run, lit AS highlighted, linked AS is_link, string_agg(text, chr(10) ORDER BY line_index) AS text, min(x0) AS x0, min(block_index * 1000 + line_index * 10) AS y0 FROM m GROUP BY ALL)
+SELECT doc_id, block_index, highlighted, is_link, NOT is_link AND y0 >= 1025 AS translatable, text, x0, row_number() OVER (PARTITION BY doc_id ORDER BY block_index, run, link_run) AS place FROM b
 """)
 def page_blocks(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem")
     w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_extendedprice")
     at = (F.col("l_linenumber") * 1000 + F.col("line_index") * 10).cast("double")
-    # Lines of one column, each at a height of its own; a band lies on every line whose part's key is a multiple of four.
+    # Lines of one column, each at a height of its own.
     lines = items.select("*", F.row_number().over(w).alias("line_index")).select(
         F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page_index"), F.col("l_linenumber").alias("block_index"), "line_index", F.col("l_quantity").alias("x0"),
         at.alias("y0"), (F.col("l_quantity") + 5).alias("x1"), (at + 8).alias("y1"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("text"), "l_partkey",
     )
-    bands = lines.filter(F.col("l_partkey") % 4 == 0).select("doc_id", "page_index", "x0", "y0", "x1", "y1")
-    found = pages.page_blocks(lines.drop("l_partkey"), bands, bands.filter("false"))
-    return found.select("doc_id", "block_index", "highlighted", "text", "x0", F.col("place").cast("long").alias("place"))
+    bands, links = (lines.filter(F.col("l_partkey") % n == 0).select("doc_id", "page_index", "x0", "y0", "x1", "y1") for n in (4, 5))
+    zones = lines.select("doc_id").distinct().select("doc_id", F.lit("header").alias("zone"), *[F.lit(float(v)).alias(c) for c, v in (("x0", 0), ("y0", 0), ("x1", 1000), ("y1", 1025))])
+    found = pages.page_blocks(lines.drop("l_partkey"), bands, links, zones=zones)
+    return found.select("doc_id", "block_index", "highlighted", "is_link", "translatable", "text", "x0", F.col("place").cast("long").alias("place"))
 
 
 @query(f"""

@@ -1,5 +1,6 @@
 import datetime
 import io
+import json
 import zipfile
 
 import pytest
@@ -163,6 +164,18 @@ def test_sinks(spark, tmp_path):
     assert sinks.run_report(outcomes).first().asDict() == {"total": 2, "translated": 1, "skipped": 0, "failed": 1, "characters": 5, "errors": ["e"]}
 
 
+def test_reports(spark):
+    stats = spark.createDataFrame([(1, 3, 1, 1, 90, 2, ["page0:block1: E: x"]), (2, 1, 0, 0, 5, 0, [])], "doc_id int, translated int, skipped int, failed int, chars_sent int, overflow_blocks int, errors array<string>")
+    got = {r["doc_id"]: r["report"] for r in sinks.qa_report(stats, {"source": "a.pdf"}).collect()}
+    assert got[1].startswith("source: a.pdf\n\n  blocks translated: 3\n") and got[1].endswith("failed blocks:\n  - page0:block1: E: x\n") and got[2].endswith("no failed blocks\n")
+    regions = spark.createDataFrame([("i", 1, "b"), ("i", 0, "a")], "image string, region_index int, text string")
+    report = json.loads(sinks.correction_report(regions, ["image"], "region_index", {"command": "correct"}).first()["report"])
+    assert report == {"command": "correct", "image": "i", "regions": [{"region_index": 0, "text": "a"}, {"region_index": 1, "text": "b"}]}
+    entries = spark.createDataFrame([(1, 5.0, "two\nlines", "x|y"), (0, 9.0, "one", None)], "page_index int, y0 double, text string, echo string")
+    lines = [r["report"].split("\n") for r in sinks.comparison_report(entries, ["echo"], ["page_index", "y0"]).collect()]
+    assert lines[0][0] == "## 1 (page 1)" and lines[1][2:4] == ["> two", "> lines"] and lines[1][-2] == "| echo | x\\|y |"
+
+
 def test_streams(spark, tmp_path):
     docs = spark.createDataFrame([(1, "the license"), (2, "nothing")], "doc_id int, full_text string")
     docs.write.parquet(str(tmp_path / "in"))

@@ -32,6 +32,7 @@ def test_html(value):
     assert value(text.html_to_plain, "<p>a &amp; <b>b</b></p> <p>c<br/>d &lt;x&gt;</p>") == "a & b\n\nc\nd <x>"
     assert value(text.html_to_line, "<p>a</p><p>b &amp;\n c</p>") == "a b & c"
     assert value(text.plain_to_html, "one\n two  three\n\n\nfour <&>\"'") == f"<p>one two three</p><p>four {html.escape(chr(60) + '&>' + chr(34) + chr(39))}</p>"
+    assert value(text.html_preview, "<p>a <b>b</b>\n&amp; c</p><p>d</p>" + "x" * 99) == ("a b & cd" + "x" * 99)[:80]
     spans = "array(struct('a<' as text, true as bold, false as italic, true as underline, 'text' as kind), named_struct('text', '', 'bold', false, 'italic', false, 'underline', false, 'kind', 'paragraph'), named_struct('text', 'b', 'bold', false, 'italic', true, 'underline', false, 'kind', 'text'), named_struct('text', '', 'bold', false, 'italic', false, 'underline', false, 'kind', 'line'), named_struct('text', 'c', 'bold', false, 'italic', false, 'underline', false, 'kind', 'text'))"
     assert value(lambda: text.spans_to_html(F.expr(spans))) == "<p><b><u>a&lt;</u></b></p><p><i>b</i><br/>c</p>"
 
