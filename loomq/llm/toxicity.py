@@ -43,13 +43,14 @@ _ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score",
 # Letters of other scripts that look like Latin ones, and digits and signs written for letters.
 _HOMOGLYPHS = dict(zip("аеорсухкмтнвіјѕԁɡαορνικτυ", "aeopcyxkmthbijsdgaopviktu"))
 _SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "i"}
-_SIGNS_INSIDE = re.compile(r"(?<=[^\W\d_])[013457@$!|]+(?=[^\W\d_])|(?<![^\s])[013457@$]+(?=[^\W\d_])")
+_SIGNS_BEFORE = re.compile(r"[013457@$!|]+(?=[^\W\d_])")
+_SIGNS_AFTER = re.compile(r"[013457@$|]+(?=$|[\s.,;:!?)\"'])")
 _ODD = re.compile("[\u0261\u0300-\U0010ffff]")
 _WORDS = re.compile(r"[^\W\d_]+")
-#: Words that end in signs or have marked letters, and letters that stand alone: folded if a term comes of it.
-_DOUBTFUL = re.compile(r"(?<![^\W_])(?:[^\W\d_](?P<by>[ .*_-])(?:[^\W\d_](?P=by)){2,}[^\W\d_](?![^\W_])|[^\W\d_]*[\u00c0-\u024f][^\W\d_]*|[^\W\d_]{2,}[013457@$|]+(?=$|[\s.,;:!?)\"']))")
+_LAST_WORD = re.compile(r"[^\W\d_]+$")
 _MARKED = {c: unicodedata.normalize("NFKD", chr(c))[0] for c in range(0xC0, 0x250) if unicodedata.normalize("NFKD", chr(c))[0].isascii()}
-_PLAIN = str.maketrans({**_SIGNS, **{chr(c): x for c, x in _MARKED.items()}, **dict.fromkeys(" .*_-")})
+#: Letters that stand alone and are taken for one word if they are so many at least, and how long a word with a sign at its end may be.
+SPELT, WORD_CHARS = 4, 40
 
 
 def _folded_char(c: str) -> str:
@@ -65,10 +66,42 @@ def words_of(text: str, is_term: Callable[[str], bool] | None = None) -> list[st
     if _ODD.search(text):
         text = unicodedata.normalize("NFC", text)
         text = "".join([c if c < "\u0300" and c != "\u0261" else _folded_char(c) for c in text])
-    text = _SIGNS_INSIDE.sub(lambda m: "".join(map(_SIGNS.__getitem__, m[0])), text)
-    if is_term is not None:
-        text = _DOUBTFUL.sub(lambda m: plain if is_term(plain := m[0].translate(_PLAIN)) else m[0], text)
-    return _WORDS.findall(text)
+    signs = lambda m: "".join(map(_SIGNS.__getitem__, m[0]))
+
+    def before(m: re.Match) -> str:
+        """Signs inside of a word, or digits and such at its beginning."""
+        at = text[m.start() - 1 : m.start()]
+        return signs(m) if at.isalpha() or ((not at or at.isspace()) and "!" not in m[0] and "|" not in m[0]) else m[0]
+
+    text = _SIGNS_BEFORE.sub(before, text)
+    if is_term is None:
+        return _WORDS.findall(text)
+
+    def after(m: re.Match) -> str:
+        own = _LAST_WORD.search(text, max(0, m.start() - WORD_CHARS), m.start())
+        return signs(m) if own and is_term(own[0] + signs(m)) else m[0]
+
+    words = _WORDS.findall(_SIGNS_AFTER.sub(after, text))
+    doubtful = [i for i, w in enumerate(words) if len(w) == 1 or not w.isascii()]
+    return _settled(words, doubtful, is_term) if doubtful else words
+
+
+def _settled(words: list[str], doubtful: list[int], is_term: Callable[[str], bool]) -> list[str]:
+    """Words with marked letters without their marks, and letters in a row as one word, where a term comes of it."""
+    alone: list[list[int]] = []
+    for i in doubtful:
+        if len(words[i]) > 1:
+            plain = words[i].translate(_MARKED)
+            if plain != words[i] and is_term(plain):
+                words[i] = plain
+        elif alone and alone[-1][1] == i:
+            alone[-1][1] = i + 1
+        else:
+            alone.append([i, i + 1])
+    for first, end in reversed(alone):
+        if end - first >= SPELT and is_term(word := "".join(words[first:end]).translate(_MARKED)):
+            words[first:end] = [word]
+    return words
 
 
 class Lexicon:
@@ -77,6 +110,7 @@ class Lexicon:
     def __init__(self, terms: dict[str, float], exceptions: list[str], coefficients: list[float]):
         self.terms, self.exceptions, self.coefficients = terms, exceptions, coefficients
         self.digest = hashlib.sha256(repr((sorted(terms.items()), sorted(exceptions), coefficients)).encode()).hexdigest()
+        self.starts = {t[: TERM_CHARS[0]] for t in terms}
         self.automaton = None
 
     def __getstate__(self) -> dict:
@@ -85,7 +119,9 @@ class Lexicon:
     def begins(self, word: str) -> str | None:
         """The term that a word begins with; a term of a whole word ends in a space. No term begins another."""
         own = word + " "
-        return next((own[:k] for k in range(TERM_CHARS[0], min(TERM_CHARS[-1] + 1, len(own)) + 1) if own[:k] in self.terms), self.terms.get(own) and own)
+        if own[: TERM_CHARS[0]] not in self.starts:
+            return None
+        return next((own[:k] for k in range(TERM_CHARS[0], min(TERM_CHARS[-1] + 1, len(own)) + 1) if own[:k] in self.terms), own if own in self.terms else None)
 
     def matches(self, words: list[str]) -> tuple[int, float]:
         """How many words begin with a term, and their weight; one inside an exception phrase doesn't count."""
@@ -134,13 +170,22 @@ def learn(labelled: list[tuple[str, int]]) -> Lexicon:
     spelt = [words_of(t) for _, t, _ in labelled]
     counted = [Counter(words) for words in spelt]
     size = [sum(sum(c.values()) for c, (_, _, y) in zip(counted, labelled) if y == k) + 1 for k in (0, 1)]
-    support = Counter(b for c, (_, _, y) in zip(counted, labelled) if y for b in _beginnings(c))
+    support = Counter()
+    for c, (_, _, y) in zip(counted, labelled):
+        if y:
+            support.update({b for w in c for b in _beginnings(w)})
     hopeful = {b for b, n in support.items() if n >= TERM_SUPPORT}
+    known: dict[str, list[str]] = {}  # of each word, since words repeat
     uses = (Counter(), Counter())
     for c, (_, _, y) in zip(counted, labelled):
-        for b, n in _beginnings(c).items():
-            if b in hopeful:
-                uses[y][b] += min(n, USES_OF_A_TEXT)
+        own = Counter()
+        for w, n in c.items():
+            if w not in known:
+                known[w] = [b for b in _beginnings(w) if b in hopeful]
+            for b in known[w]:
+                own[b] += n
+        for b, n in own.items():
+            uses[y][b] += min(n, USES_OF_A_TEXT)
     odds = {b: math.log((uses[1][b] + 0.5) / size[1]) - math.log((uses[0][b] + 0.5) / size[0]) for b in hopeful}
     evidence = {b: _evidence(uses[0][b], uses[1][b], *size) for b in hopeful if odds[b] >= TERM_ODDS}
     terms: dict[str, float] = {}
@@ -153,15 +198,10 @@ def learn(labelled: list[tuple[str, int]]) -> Lexicon:
     return Lexicon(terms, exceptions, _logistic(x, np.array([y for _, _, y in labelled], float)))
 
 
-def _beginnings(words: Counter) -> Counter:
-    found = Counter()
-    for w, n in words.items():
-        for k in TERM_CHARS:
-            if k <= len(w):
-                found[w[:k]] += n
-        if len(w) >= TERM_CHARS[0]:
-            found[w + " "] += n  # the whole word
-    return found
+def _beginnings(word: str) -> list[str]:
+    """What a term may be of a word: its beginnings, and the whole word with a space behind."""
+    found = [word[:k] for k in TERM_CHARS if k <= len(word)]
+    return [*found, word + " "] if len(word) >= TERM_CHARS[0] else found
 
 
 def _evidence(clean: int, toxic: int, n_clean: int, n_toxic: int) -> float:
