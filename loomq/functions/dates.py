@@ -10,6 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomq.functions.text import bound
+
 # The names of the preset formats and of the months.
 ISO, GERMAN, SLASH, ENGLISH = "iso", "de", "slash", "en_month"
 FORMATS = (ISO, GERMAN, SLASH, ENGLISH)
@@ -23,7 +25,7 @@ _ENGLISH = rf"(?iU)\b(?:({_NAMES})\s+(\d{{1,2}}),?\s+(\d{{4}})|(\d{{1,2}})\s+({_
 
 
 def _date(year: Column, month: Column, day: Column) -> Column:
-    """A date, or null where there is no such day."""
+    """A date of numbers or their digits, or null where there is no such day."""
     padded = [F.lpad(part.cast("string"), n, "0") for part, n in ((year, 4), (month, 2), (day, 2))]
     return F.concat_ws("-", *padded).try_cast("date")
 
@@ -46,35 +48,33 @@ def _all(text: Column, pattern: str, build) -> Column:
     return F.array_compact(F.transform(found, build))
 
 
+def _parts(m: Column, separator: str, build) -> Column:
+    """A date from the pieces of what was found, which is split once."""
+    return bound(F.split(m, separator), lambda p: build(*[F.get(p, k) for k in range(3)]))
+
+
 def iso_dates(text: Column) -> Column:
-    return _all(text, _ISO, lambda m: _date(*[_whole(m, _ISO, k) for k in (1, 2, 3)]))
+    return _all(text, _ISO, lambda m: _parts(m, "-", lambda y, mo, d: _date(y, mo, d)))
 
 
 def german_dates(text: Column) -> Column:
     """Day.month.year; a year below 100 is in this century."""
-    return _all(text, _GERMAN, lambda m: _date(_full_year(_whole(m, _GERMAN, 3)), _whole(m, _GERMAN, 2), _whole(m, _GERMAN, 1)))
+    return _all(text, _GERMAN, lambda m: _parts(m, r"\.", lambda d, mo, y: _date(_full_year(y.try_cast("int")), mo, d)))
 
 
 def slash_dates(text: Column) -> Column:
     """Day first; month first only where that isn't a date."""
-
-    def build(m: Column) -> Column:
-        a, b, year = (_whole(m, _SLASH, k) for k in (1, 2, 3))
-        return F.coalesce(_date(year, b, a), _date(year, a, b))
-
-    return _all(text, _SLASH, build)
+    return _all(text, _SLASH, lambda m: _parts(m, "/", lambda a, b, y: F.coalesce(_date(y, b, a), _date(y, a, b))))
 
 
 def english_dates(text: Column) -> Column:
     """Month day, year and day month year with the full names of the months."""
 
-    def build(m: Column) -> Column:
-        part = [F.regexp_extract(m, _ENGLISH, k) for k in range(7)]
-        month = _month_number(F.concat(part[1], part[5]))
-        day, year = (F.concat(part[a], part[b]).try_cast("int") for a, b in ((2, 4), (3, 6)))
-        return _date(year, month, day)
+    def build(a: Column, b: Column, year: Column) -> Column:
+        month = _month_number(a)
+        return _date(year, F.coalesce(F.nullif(month, F.lit(0)), _month_number(b)), F.when(month > 0, b).otherwise(a))
 
-    return _all(text, _ENGLISH, build)
+    return _all(text, _ENGLISH, lambda m: _parts(m, r"(?U),?\s+", build))
 
 
 _FINDERS = {ISO: iso_dates, GERMAN: german_dates, SLASH: slash_dates, ENGLISH: english_dates}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import html
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from functools import lru_cache
 
 import pyarrow as pa
@@ -47,7 +47,19 @@ def casefold(text: Column) -> Column:
     one = {c: f for c, f in rare.items() if len(f) == 1}
     more = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(f).alias("f")) for c, f in rare.items() if len(f) > 1])
     whole = F.aggregate(more, F.translate(low, "".join(one), "".join(one.values())), lambda t, e: F.replace(t, e["c"], e["f"]))
-    return F.when(low.rlike("[" + "".join(f"\\x{{{ord(c):x}}}" for c in rare) + "]"), whole).otherwise(low)
+    plain = F.octet_length(low) == F.length(low)  # ASCII alone has nothing rare
+    return F.when(plain, low).when(low.rlike(f"[{_ranges(rare)}]"), whole).otherwise(low)
+
+
+def _ranges(chars: Iterable[str]) -> str:
+    """The body of a regular expression's class, with neighbours as ranges."""
+    spans: list[list[int]] = []
+    for c in sorted(map(ord, chars)):
+        if spans and spans[-1][1] == c - 1:
+            spans[-1][1] = c
+        else:
+            spans.append([c, c])
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in spans)
 
 
 # --- terms that stay as they are ---------------------------------------------------------------------------------
