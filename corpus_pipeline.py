@@ -15,7 +15,7 @@ from loomq.llm.jaccard_join import keep_one
 from loomq.llm.language_id import keep_languages
 from loomq.llm.packing import pack
 from loomq.llm.secrets import redact
-from loomq.session import remove_folder, shared_folder, table
+from loomq.session import remove_folder, scratch, shared_folder, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -59,16 +59,19 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; each but the last is written to the shared checkpoint folder and read again.
 
-    A stage's table goes when the next one's is there, the last one when the application ends.
+    A stage's working tables go when its result is written, and that when the next one's is; what the last stage reads
+    goes when the application ends.
     """
     folder = shared_folder(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for n, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        path = f"{folder}/{n}-{name}"
+        with scratch(f"{path}-work") as work:
+            docs = stage(spark, docs, sf_dir)
         if n < len(STAGES) - 1:
-            path = f"{folder}/{n}-{name}"
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            remove_folder(spark, work)
             if n:
                 remove_folder(spark, f"{folder}/{n - 1}-{STAGES[n - 1][0]}")
     return docs

@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +25,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -69,10 +72,23 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_scratch: list[str] = []
+
+
+@contextmanager
+def scratch(folder: str) -> Iterator[str]:
+    """Shared folders that are made meanwhile lie below this one, so that they can be removed with it."""
+    _scratch.append(folder)
+    try:
+        yield folder
+    finally:
+        _scratch.pop()
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared checkpoint folder, which goes when the application ends."""
+    """A new folder below the shared checkpoint folder, or the scratch folder, which goes when the application ends."""
     ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    folder = f"{_scratch[-1] if _scratch else spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
     path, file_system = _path(spark, folder)
     file_system.mkdirs(path)
     file_system.deleteOnExit(path)

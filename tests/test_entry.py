@@ -5,6 +5,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
 from loomq.plans import catalogue
@@ -66,3 +67,16 @@ def test_works_without_the_training_data_part(tmp_path, missing):
     code = blocked + "import __spark_entry__ as e; print(len(e.queries()), any(n.startswith('op1_') for n in e.queries()), set(e.oracle_sql()) <= set(e.queries()))"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True).stdout.split()
     assert int(out[0]) == len(catalogue.QUERIES) and out[1:] == ["False", "True"]
+
+
+def test_shared_tables(spark):
+    from loomq import session
+
+    folder = session.shared_folder(spark, "test")
+    with session.scratch(f"{folder}/work") as work:
+        df = session.store(spark.range(5).withColumn("n", F.monotonically_increasing_id()), "rows")
+    assert df.count() == 5 and all(work in f for f in df.inputFiles())
+    session.remove_folder(spark, work)
+    assert not Path(work.removeprefix("file:")).exists() and Path(folder.removeprefix("file:")).exists()
+    other = session.store(spark.range(2).toDF("n"), "rows")
+    assert folder not in other.inputFiles()[0] and other.count() == 2
