@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loomq.llm import backoff, decontamination, jaccard_join
+from loomq.llm import secrets as secret_scans
 from loomq.llm.language_id import languages
 from loomq.llm.licenses import licenses
 from loomq.llm.packing import pack
 from loomq.llm.quality import quality
-from loomq.llm.secrets import secrets
 from loomq.llm.token_counts import token_counts
 from loomq.llm.toxicity import toxicity
 from loomq.session import table
@@ -52,7 +52,7 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets(table(spark, sf_dir, "documents"))
+    return secret_scans.secrets(table(spark, sf_dir, "documents"))
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,5 +75,6 @@ QUERIES: dict[str, Query] = {
 ORACLES: dict[str, str] = {
     "op1_decontamination": decontamination.ORACLE,
     "op8_jaccard_join": jaccard_join.ORACLE,
+    "op9_secret_scans": secret_scans.ORACLE,
     "op10_lm_scoring": backoff.ORACLE,
 }

@@ -214,3 +214,45 @@ def _mask(text: Column, live: Column, mask: str) -> Column:
         return F.concat(acc["out"], F.substring(text, acc["at"].cast("int") + 1, F.length(text)))
 
     return F.when(F.size(live) > 0, F.aggregate(values, state, step, finish)).otherwise(text)
+
+
+def _oracle() -> str:
+    """DuckDB SQL for secrets() with its defaults.
+
+    A pattern is (what stands before)(the match); a match's place is the length of all pieces and matches before it.
+    """
+    letter = lambda word: "".join(f"[{c.upper()}{c}]" for c in word)
+    space = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+    names = "|".join([*map(letter, ("password", "passwd", "secret", "token")), f"{letter('api')}_?{letter('key')}"])
+    start, word = "(^|[^A-Za-z0-9_-])", r"(^|[^\p{L}\p{N}_])"
+    patterns = (
+        ("assign", rf"""()((?:{names})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+))""", 3, 6), ("access", "()(AKIA[A-Z0-9]+)", 2, 20), ("hex", "()([0-9a-f]{24,})", 2, 24),
+        ("private_key", rf"()(-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/={space}]*-----END [A-Z ]*PRIVATE KEY-----)", 2, 1),
+        ("jwt", rf"{start}(eyJ[A-Za-z0-9_-]{{10,}}\.eyJ[A-Za-z0-9_-]{{10,}}\.[A-Za-z0-9_-]{{10,}})", 2, 1), ("bearer", rf"{word}([Bb]earer [A-Za-z0-9+/_.~-]{{20,}}=*)", 2, 1),
+        ("prefixed", rf"{start}(gh[pousr]_[A-Za-z0-9]{{36,}}|[sr]k_(?:live|test)_[A-Za-z0-9]{{16,}})", 2, 1), ("prefixed", rf"{start}(glpat-[A-Za-z0-9_-]{{20,}})", 2, 1),
+        ("url_password", rf"()([A-Za-z][A-Za-z0-9+.-]*://[^{space}/:@]+:[^{space}/:@]+@)", 2, 1),
+    )
+    each = " UNION ALL ".join(
+        f"SELECT r, '{kind}' AS kind, {KINDS.index(kind)} AS o, {least} AS least, regexp_extract_all(t, '{p}') AS m, regexp_extract_all(t, '{p}', 1) AS l, "
+        f"regexp_extract_all(t, '{p}', {value}) AS v, string_split_regex(t, '{p}') AS b FROM d WHERE regexp_matches(t, '{p}')"
+        for kind, p, value, least in patterns
+    )
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS t FROM documents),
+a AS ({each}),
+i AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM a),
+f AS (SELECT r, kind, o, v[i] AS v, CAST(list_sum(list_transform(b[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) + length(l[i]) AS BIGINT) AS s,
+             length(m[i]) - length(l[i]) AS n FROM i WHERE length(v[i]) >= least),
+w AS (SELECT f.*, d.owner, coalesce(CAST(d.doc_id AS VARCHAR), '') AS repository, list_aggregate(string_split(v, ''), 'entropy') < {PLACEHOLDER_BITS} OR regexp_matches(v, '{_EXAMPLE_END.pattern}')
+             OR len(list_filter(string_split_regex(lower(v), '[^a-z0-9]+'), lambda x: regexp_full_match(x, '{_PLACEHOLDER_WORDS.pattern}'))) > 0 AS placeholder FROM f JOIN d ON d.r = f.r),
+c AS (SELECT v, count(DISTINCT owner) AS n_owners, count(DISTINCT (owner, repository)) AS n_repositories FROM w GROUP BY v),
+g AS (SELECT w.r, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+             string_agg(kind || ':' || s || ':' || (s + n), ',' ORDER BY s, o) FILTER (WHERE o < 3) AS base, string_agg(kind || ':' || s || ':' || (s + n), ',' ORDER BY s, o) AS spans,
+             count(*) FILTER (WHERE placeholder OR n_owners >= {EXAMPLE_OWNERS} OR n_repositories >= {EXAMPLE_REPOSITORIES}) AS n_example, count(*) AS n_all,
+             max(n_owners) AS n_owners, max(n_repositories) AS n_repositories FROM w JOIN c ON c.v = w.v GROUP BY w.r)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+       coalesce(n_all - n_example, 0) AS n_live, coalesce(n_example, 0) AS n_example, coalesce(n_owners, 0) AS n_owners, coalesce(n_repositories, 0) AS n_repositories FROM d LEFT JOIN g ON g.r = d.r
+"""
+
+
+ORACLE = _oracle()

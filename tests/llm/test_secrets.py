@@ -115,3 +115,27 @@ def test_redact(spark, odd, empty):
 def test_redact_masks_a_live_value_with_a_common_word_inside(spark):
     df = spark.createDataFrame([(1, "api_key=Xq9latest77Kz81Lm!", "s")], "doc_id long, text string, source string")
     assert s.redact(df).first()["text"] == "api_key=[SECRET]!"
+
+
+def test_sql_gives_the_same_rows(spark):
+    """Every format, placeholders, examples and clean texts, against DuckDB."""
+    import duckdb
+    import pandas as pd
+
+    r = random.Random(31)
+    run = lambda n, of="abcdefGHIJ0123456789": "".join(r.choices(of, k=n))
+    shared = [f"token={run(20)}" for _ in range(4)]
+    make = [
+        lambda: f"password: '{run(9)}'", lambda: f'api_key="{run(30)}"', lambda: f"AKIA{run(16, 'ABC0123')}", lambda: run(32, "0123456789abcdef"), lambda: f"eyJ{run(12)}.eyJ{run(15)}.{run(11)}",
+        lambda: f"Authorization: Bearer {run(24)}==", lambda: f"ghp_{run(36)}", lambda: f"sk_test_{run(20)}", lambda: f"glpat-{run(20)}", lambda: f"https://user:{run(8)}@host/x", lambda: "password=changeme1",
+        lambda: f"-----BEGIN RSA PRIVATE KEY-----\n{run(40)}\n-----END RSA PRIVATE KEY-----", lambda: r.choice(shared), lambda: "wörter über é\n", lambda: "plain words, a:b and c://d",
+        lambda: f"secret = {run(3)}test{run(5)}", lambda: "token=your-token-here",
+    ]
+    rows = [(i, r.choice([" ", "\n", ", ", "é "]).join(r.choice(make)() for _ in range(r.randrange(5))), f"s{r.randrange(6)}") for i in range(400)]
+    rows += [(400, None, None), (401, "", "s1")]
+    got = {tuple(x[c] for c in sorted(x.asDict())) for x in s.secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    connection = duckdb.connect()
+    connection.register("documents", pd.DataFrame(rows, columns=["doc_id", "text", "source"]))
+    result = connection.execute(s.ORACLE)
+    names = [x[0] for x in result.description]
+    assert {tuple(x[names.index(c)] for c in sorted(names)) for x in result.fetchall()} == got and len(got) == len(rows)
