@@ -40,20 +40,14 @@ def _on(properties: ET.Element | None, tag: str) -> bool:
 
 
 def _run_pieces(run: ET.Element) -> tuple[list[str], bool]:
-    """A run's text between its breaks, and whether it shows an image; fallback content is left out."""
-    pieces, image = [""], False
-    stack = [run]
-    while stack:
-        node = stack.pop()
-        if node.tag == MC + "Fallback":
-            continue
-        if node.tag == W + "t":
-            pieces[-1] += node.text or ""
-        elif node.tag == W + "br":
-            pieces.append("")
-        image |= node.tag in (W + "drawing", W + "sym")
-        stack.extend(reversed(list(node)))
-    return pieces, image
+    """A run's text between its breaks, and whether it shows an image.
+
+    Markup compatibility gives a drawing twice; the second way, the fallback, doesn't count.
+    """
+    twice = {id(node) for fallback in run.iter(MC + "Fallback") for node in fallback.iter()}
+    shown = [node for node in run.iter() if id(node) not in twice]
+    text = "".join("\0" if node.tag == W + "br" else node.text or "" for node in shown if node.tag in (W + "t", W + "br"))
+    return text.split("\0"), any(node.tag in (W + "drawing", W + "sym") for node in shown)
 
 
 def _runs(paragraph: ET.Element, targets: dict[str, str], translatable: bool) -> list[dict]:
