@@ -926,3 +926,188 @@ def word_translation(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("path"), F.lit("body").alias("part"), F.col("turn").alias("para_index"), (F.col("role") != "system").alias("translatable"), F.expr(f"array({run})").alias("runs"))
     stats = pipelines.word_stats(pipelines.translate_word(turns, "upper", "DE"))
     return stats.withColumn("errors", F.concat_ws("; ", "errors"))
+
+
+# --- smaller operators --------------------------------------------------------------------------------------------
+
+
+@query("""
+SELECT p_partkey, 'id-' || CAST(p_partkey AS VARCHAR) AS folder, CAST(p_size AS VARCHAR) || '.' || CAST(p_partkey % 10 AS VARCHAR) AS cuda, p_name AS unfenced,
+       CASE WHEN length(p_name) <= 8 THEN p_name ELSE substr(p_name, 1, 8) || '…' END AS masked, CAST((p_partkey % 50 + 0.5) * 1000000 + p_size * 1000 AS BIGINT) AS bytes FROM part
+""")
+def small_parsers(spark, sf_dir):
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    own = F.concat(F.lit("id-"), k.cast("string"))
+    address = F.when(k % 3 == 0, F.concat(F.lit("https://drive.example/folders/"), own, F.lit("?usp=x"))).when(k % 3 == 1, F.concat(F.lit(" https://drive.example/open?id="), own)).otherwise(own)
+    version = F.concat(F.lit("| Driver 1 CUDA Version:  "), size, F.lit("."), (k % 10).cast("string"), F.lit(" |"))
+    fenced = F.concat(F.lit("```json\n"), F.col("p_name"), F.lit("\n```"))
+    sizes = F.concat(F.lit("fetched "), (k % 50).cast("string"), F.lit(".5 MB and "), size, F.lit(" kB of 7 files"))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", text.folder_id(address).alias("folder"), text.cuda_version(version).alias("cuda"), text.without_code_fence(fenced).alias("unfenced"),
+        text.masked_preview(F.col("p_name")).alias("masked"), text.sizes_sum(sizes).alias("bytes"),
+    )
+
+
+@query("""
+SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'serif' WHEN 1 THEN 'monospace' WHEN 2 THEN 'sans-serif' WHEN 3 THEN 'serif' WHEN 4 THEN 'monospace' ELSE 'serif' END AS family,
+       round(sqrt(power((p_partkey // 65536) % 256 - 10, 2) + power((p_partkey // 256) % 256 - 20, 2) + power(p_partkey % 256 - 30, 2)), 6) AS distance,
+       CAST(trunc(p_partkey % 256 + (30 - p_partkey % 256) * 0.25) AS INTEGER) AS mixed_b FROM part
+""")
+def fonts_and_mixes(spark, sf_dir):
+    names = ["Times New Roman", "Courier New", "Arial", "Georgia-Bold", "DejaVu Sans Mono", "BOOK ANTIQUA"]
+    k = F.col("p_partkey")
+    named = F.get(F.array(*map(F.lit, names)), (k % 6).cast("int"))
+    own, other = text.unpacked_colour(k), F.struct(F.lit(10).alias("r"), F.lit(20).alias("g"), F.lit(30).alias("b"))
+    mixed = text.mixed_colour(own, other, F.lit(0.25))
+    return table(spark, sf_dir, "part").select("p_partkey", text.font_family(named).alias("family"), F.round(text.colour_distance(own, other), 6).alias("distance"), mixed["b"].alias("mixed_b"))
+
+
+@query("""
+SELECT o_orderkey, CAST(i AS INTEGER) AS place, CAST(o_orderdate AS DATE) AS found FROM orders, (SELECT unnest(range(5)) AS i)
+""")
+def dates_all_formats(spark, sf_dir):
+    day = F.col("o_orderdate")
+    shapes = ["d MMMM yyyy", "yyyy-MM-dd", "dd/MM/yyyy", "d.M.yyyy"]
+    words = F.concat_ws(" / ", *[F.date_format(day, s) for s in shapes], F.concat(F.lit("on "), F.date_format(day, "dd|MM|yyyy")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.posexplode(dates.find_dates(words, custom="DD|MM|YYYY")).alias("place", "found"))
+
+
+_BANDS = """
+band AS (SELECT p_partkey // 40 AS image, (p_partkey * 19) % 350 AS x0, (p_partkey * 31) % 800 AS y0, (p_partkey * 19) % 350 + 60 AS x1, (p_partkey * 31) % 800 + 12 AS y1 FROM part WHERE p_partkey % 40 < 3)
+"""
+
+
+def _lines_and_bands(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    lines = _boxes(spark, sf_dir).select("image", "idx", "text", F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + F.col("width")).alias("x1"), (F.col("y") + F.col("height")).alias("y1"))
+    k = F.col("p_partkey")
+    bands = table(spark, sf_dir, "part").filter(k % 40 < 3).select(F.floor(k / 40).alias("image"), ((k * 19) % 350).alias("x0"), ((k * 31) % 800).alias("y0"), ((k * 19) % 350 + 60).alias("x1"), ((k * 31) % 800 + 12).alias("y1"))
+    return lines, bands
+
+
+@query(f"""
+WITH {_BOXES}, {_BANDS} SELECT b.image, b.idx, min(l.x0) AS x0, min(l.y0) AS y0, max(l.x1) AS x1, max(l.y1) AS y1
+FROM box b LEFT JOIN band l ON l.image = b.image AND least(b.y + b.height, l.y1) - greatest(b.y, l.y0) > 1.5 GROUP BY 1, 2
+""")
+def band_extents(spark, sf_dir):
+    lines, bands = _lines_and_bands(spark, sf_dir)
+    return geometry.band_extent(lines, bands, ["image"], "idx")
+
+
+@query(f"""
+WITH {_BOXES} SELECT a.image, a.idx, min(b.y) AS next_y0 FROM box a LEFT JOIN box b ON b.image = a.image AND b.idx <> a.idx AND b.y >= a.y + a.height
+  AND b.x < CASE WHEN a.idx % 2 = 0 THEN a.x + a.width + 100 ELSE a.x + a.width END AND b.x + b.width > CASE WHEN a.idx % 2 = 0 THEN a.x - 100 ELSE a.x END GROUP BY 1, 2
+""")
+def next_blocks(spark, sf_dir):
+    lines, _ = _lines_and_bands(spark, sf_dir)
+    even = F.col("idx") % 2 == 0
+    wide = lines.withColumns({"w0": F.when(even, F.col("x0") - 100), "w1": F.when(even, F.col("x1") + 100)})
+    return geometry.next_below(wide, ["image"], "idx", ("w0", "w1"))
+
+
+@query(f"""
+WITH {_BOXES}, {_BANDS} SELECT b.image, b.idx FROM box b WHERE NOT EXISTS (SELECT 1 FROM band z WHERE z.image = b.image AND b.x < z.x1 AND b.x + b.width > z.x0 AND b.y < z.y1 AND b.y + b.height > z.y0)
+""")
+def zone_exclusion(spark, sf_dir):
+    lines, bands = _lines_and_bands(spark, sf_dir)
+    return layout.outside_zones(lines.withColumnRenamed("image", "doc_id"), bands.withColumnRenamed("image", "doc_id")).select(F.col("doc_id").alias("image"), "idx")
+
+
+@query(f"""
+WITH {_BOXES}, {_BANDS} SELECT b.image, b.idx, b.text, b.x, b.y, b.width, b.height FROM box b WHERE NOT EXISTS (SELECT 1 FROM band z WHERE z.image = b.image
+  AND b.x + b.width / 2.0 BETWEEN z.x0 AND z.x1 AND b.y + b.height / 2.0 BETWEEN z.y0 AND z.y1)
+""")
+def orphan_regions(spark, sf_dir):
+    lines, bands = _lines_and_bands(spark, sf_dir)
+    named = lines.withColumnsRenamed({"image": "doc_id", "idx": "line_index"}).withColumn("score", F.lit(0.9))
+    found = regions.orphan_lines(named, bands.withColumnRenamed("image", "doc_id"))
+    return found.select(F.col("doc_id").alias("image"), F.col("line_index").alias("idx"), "text", *[F.col(c).cast("long").alias(c) for c in ("x", "y", "width", "height")])
+
+
+@query("""
+WITH l AS (SELECT user_id, event_id, lag(event_type = 'error') OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ends, ts FROM events)
+SELECT user_id, event_id, CAST(sum(CASE WHEN ends THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS section FROM l
+""")
+def sections(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    ordered = events.select("user_id", "event_id", F.row_number().over(w).alias("para_index"), (F.col("event_type") == "error").alias("is_break"))
+    return layout.section_ranges(ordered, ["user_id"], "para_index", "is_break").select("user_id", "event_id", "section")
+
+
+@query("""
+WITH l AS (SELECT l_orderkey AS doc_id, l_linenumber AS n, l_partkey % 3 = 0 AS blank, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS i FROM lineitem)
+SELECT doc_id, CASE WHEN min(i) FILTER (WHERE NOT blank) > 1 THEN CAST(min(i) FILTER (WHERE NOT blank) * 10 AS DOUBLE) END AS insert_y0 FROM l GROUP BY doc_id
+""")
+def insert_tops(spark, sf_dir):
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.row_number().over(w).alias("line"), F.when(F.col("l_partkey") % 3 == 0, " ").otherwise("x").alias("text"))
+    return layout.insert_top(lines.withColumn("y0", F.col("line") * 10.0), ["doc_id"], "line")
+
+
+@query("""
+WITH e AS (SELECT n_name AS term, n_nationkey AS o FROM nation WHERE n_nationkey % 2 = 0), n AS (SELECT lower(n_name) AS term, n_nationkey * 2 AS o FROM nation UNION ALL SELECT n_name || 'ß', n_nationkey * 2 + 1 FROM nation
+  UNION ALL SELECT upper(n_name) || 'SS', n_nationkey * 2 + 100 FROM nation),
+k AS (SELECT replace(lower(term), 'ß', 'ss') AS key, arg_min(term, o) AS term FROM n GROUP BY 1)
+SELECT term FROM e UNION ALL SELECT term FROM k WHERE key NOT IN (SELECT lower(term) FROM e)
+""")
+def merged_terms(spark, sf_dir):
+    nation, k = table(spark, sf_dir, "nation"), F.col("n_nationkey")
+    old = nation.filter(k % 2 == 0).select(F.col("n_name").alias("term"), k.alias("o"))
+    new = nation.select(F.lower("n_name").alias("term"), (k * 2).alias("o")).unionByName(nation.select(F.concat("n_name", F.lit("ß")).alias("term"), (k * 2 + 1).alias("o")))
+    new = new.unionByName(nation.select(F.concat(F.upper("n_name"), F.lit("SS")).alias("term"), (k * 2 + 100).alias("o")))
+    return merge.added_terms(old, new, "term", "o")
+
+
+@query("""
+SELECT count(*) AS units, CAST(coalesce(sum(length(text)) FILTER (WHERE role <> 'system' AND trim(text) <> ''), 0) AS BIGINT) AS characters,
+       greatest(coalesce(sum(length(text)) FILTER (WHERE role <> 'system' AND trim(text) <> ''), 0) - 20000, 0) / 1000000 * 20.0 AS estimate,
+       coalesce(sum(length(text)) FILTER (WHERE role <> 'system' AND trim(text) <> ''), 0) > 200000 AS over_budget, 'warning.live_quota_unavailable' AS warning FROM conversations
+""")
+def run_analysis(spark, sf_dir):
+    units = table(spark, sf_dir, "conversations").select("text", (F.col("role") != "system").alias("translatable"))
+    found = translate.analysis(spark, units, "deepl", 480_000)
+    return found.withColumn("warning", F.concat_ws(",", "warnings")).drop("warnings")
+
+
+@query("""
+SELECT conv_id, turn, len(list_filter(string_split(text, ' '), lambda t: translate(t, '©®™~\\|*•§¶†‡°@()[]{}_‘’“”".,', '') = '')) AS n_decoration FROM conversations
+""")
+def decorations(spark, sf_dir):
+    tokens = F.filter(F.split("text", " "), text.is_decoration)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(tokens).cast("long").alias("n_decoration"))
+
+
+@query(r"""
+SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))) AS line FROM pages
+""")
+def html_lines(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(F.encode(text.html_to_line(F.col("html")), "UTF-8")).alias("line"))
+
+
+@query("""
+WITH s AS (SELECT conv_id, count(*) AS units, count(*) FILTER (WHERE role <> 'assistant' AND trim(text) <> '') AS done,
+                  coalesce(sum(length(text)) FILTER (WHERE role <> 'assistant' AND trim(text) <> ''), 0) AS sent FROM conversations GROUP BY conv_id)
+SELECT count(*) AS documents_planned, count(*) FILTER (WHERE conv_id % 5 <> 0) AS documents_translated, count(*) FILTER (WHERE conv_id % 5 = 0) AS documents_failed,
+       CAST(sum(done) FILTER (WHERE conv_id % 5 <> 0) AS BIGINT) AS units_translated, CAST(sum(units - done) FILTER (WHERE conv_id % 5 <> 0) AS BIGINT) AS units_skipped, 0 AS units_failed,
+       CAST(sum(sent) FILTER (WHERE conv_id % 5 <> 0) AS BIGINT) AS chars_sent FROM s
+""")
+def batch_run(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    units = turns.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("unit_index"), "text", (F.col("role") != "assistant").alias("translatable"))
+    documents = turns.select(F.col("conv_id").alias("doc_id")).distinct().withColumn("error", F.when(F.col("doc_id") % 5 == 0, "unreadable"))
+    return translate.batch_stats(translate.translate_units(units, "echo", "DE"), documents)
+
+
+@query("""
+WITH s AS (SELECT conv_id AS seq, CASE WHEN conv_id % 4 = 0 THEN '' ELSE 'in/' || CAST(conv_id AS VARCHAR) || '.pdf' END AS path, conv_id % 5 <> 0 AS there,
+  CASE WHEN conv_id % 6 = 0 THEN 'page out of range' WHEN conv_id % 6 = 1 THEN 'not a page number' END AS wrong, count(*) AS n FROM conversations GROUP BY conv_id)
+SELECT seq, array_to_string(list_filter([CASE WHEN path = '' THEN 'no file' END, CASE WHEN NOT there THEN 'file is missing' END, wrong], lambda x: x IS NOT NULL), '; ') AS errors FROM s
+WHERE path = '' OR NOT there OR wrong IS NOT NULL
+""")
+def merge_errors(spark, sf_dir):
+    sized = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("seq")).agg(F.count(F.lit(1)).alias("n_pages"))
+    k = F.col("seq")
+    spec = F.when(k % 6 == 0, F.concat(F.lit("1-"), (F.col("n_pages") + 1).cast("string"))).when(k % 6 == 1, F.lit("x")).otherwise("")
+    path = F.when(k % 4 == 0, "").otherwise(F.concat(F.lit("in/"), k.cast("string"), F.lit(".pdf")))
+    found = merge.source_errors(sized.select("seq", path.alias("path"), spec.alias("spec"), "n_pages", (k % 5 != 0).alias("exists")))
+    return found.select("seq", F.concat_ws("; ", "errors").alias("errors"))
