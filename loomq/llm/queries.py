@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomq.llm import backoff, decontamination, jaccard_join
+from loomq.llm import backoff, decontamination, jaccard_join, sharding, vector_codes
 from loomq.llm import secrets as secret_scans
 from loomq.llm.language_id import languages
 from loomq.llm.licenses import licenses
@@ -14,6 +14,7 @@ from loomq.llm.packing import pack
 from loomq.llm.quality import quality
 from loomq.llm.token_counts import token_counts
 from loomq.llm.toxicity import toxicity
+from loomq.llm.whitening import whitening
 from loomq.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +60,18 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff.backoff_scores(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening(table(spark, sf_dir, "embeddings"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
@@ -70,6 +83,9 @@ QUERIES: dict[str, Query] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_secret_scans": op9_secret_scans,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_whitening": op11_whitening,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_sharding": op13_sharding,
 }
 #: The other queries can't be put as SQL; the tests hold them against brute force, the libraries or held-out labels.
 ORACLES: dict[str, str] = {
@@ -77,4 +93,6 @@ ORACLES: dict[str, str] = {
     "op8_jaccard_join": jaccard_join.ORACLE,
     "op9_secret_scans": secret_scans.ORACLE,
     "op10_lm_scoring": backoff.ORACLE,
+    "op12_vector_codes": vector_codes.ORACLE,
+    "op13_sharding": sharding.ORACLE,
 }
