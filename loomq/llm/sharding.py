@@ -77,32 +77,37 @@ def prefix_sums(rows: DataFrame) -> DataFrame:
     return joined.withColumn("bytes_before", F.col("bytes_before") + F.col("range_bytes")).withColumn("rows_before", F.col("rows_before") + F.col("range_rows")).drop("range", "range_bytes", "range_rows")
 
 
-def shards(df: DataFrame, count: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+def dealt(df: DataFrame, count: int, id_col: str, text_col: str, carry: Sequence[str]) -> DataFrame:
+    """The measured rows, with their carried columns as a struct, and shard and slot."""
+    if count < 1:
+        raise ValueError("at least one shard")
+    summed = prefix_sums(measured(df, id_col, text_col, carry))
+    cut = summed.withColumn("shard", shard_of(F.col("bytes_before"), F.col("size"), F.col("total"), count))
+    first = cut.groupBy("shard").agg(F.min("rows_before").alias("first"))
+    return cut.join(F.broadcast(first), "shard").withColumn("slot", F.col("rows_before") - F.col("first"))  # as many rows as shards
+
+
+def shards(df: DataFrame, count: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row with its shard, from 0, and its slot in it, gapless from 0: doc_id, size, text_crc32, law, shard, slot,
-    grown_shard, and the carried columns.
+    grown_shard.
 
     The law is bytes: a shard's sizes (UTF-8 bytes plus 1) sum to the equal share within one row's size. Shards are
     contiguous in the order of ids, null ids first; rows of one id follow each other by checksum and size, rows alike as
     they lie in the table. Null and empty texts have size 1; repeated rows are rows of their own; an empty table gives no
-    rows. A row longer than a share makes shards that hold nothing. Two passes move some twenty bytes a row, and the
-    carried columns; no text moves that isn't carried. No key can fill a range, as rows alike are ordered by their place.
+    rows. A row longer than a share leaves shards that hold nothing. Two passes move some twenty bytes a row and no
+    text. No key can fill a range, as rows alike are ordered by their place.
     """
-    if count < 1:
-        raise ValueError("at least one shard")
-    summed = prefix_sums(measured(df, id_col, text_col, carry))
-    dealt = summed.withColumn("shard", shard_of(F.col("bytes_before"), F.col("size"), F.col("total"), count))
-    first = dealt.groupBy("shard").agg(F.min("rows_before").alias("first"))
-    out = dealt.join(F.broadcast(first), "shard")  # as many rows as shards
-    kept = ["doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("rows_before") - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")]
-    return out.select(*kept, *[F.col(f"carried.`{c}`") for c in carry])
+    kept = ["doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")]
+    return dealt(df, count, id_col, text_col, ()).select(*kept)
 
 
 def write_shards(df: DataFrame, folder: str, count: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """The table's shards as Parquet below folder/shard=N, each with slot, in as many files as ranges meet in it."""
+    """The table's shards as Parquet below folder/shard=N, each row with its slot, in as many files as ranges meet there.
+
+    The columns of the table move with the sizes here. Columns named shard or slot are replaced.
+    """
     named = [c for c in df.columns if c not in ("shard", "slot")]
-    placed = shards(df, count, id_col, text_col, carry=named)
-    own = placed.select("shard", "slot", *placed.columns[7:])
-    own.toDF("shard", "slot", *named).write.partitionBy("shard").parquet(folder)
+    dealt(df, count, id_col, text_col, named).select("shard", "slot", "carried.*").write.partitionBy("shard").parquet(folder)
 
 
 #: A crc32 by SQL: the table of the polynomial (a fixed value), then a fold over the bytes.
