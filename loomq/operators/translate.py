@@ -3,22 +3,18 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Sequence
-from typing import Protocol
+from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomq.functions.text import blank, protect_terms, restore_terms
-from loomq.operators.cost import PRICES, RUN_BUDGET, within_budget
-from loomq.session import expose_package
-
-
-class Provider(Protocol):
-    """What translates texts; it is created once for a worker's batches."""
-
-    def translate(self, texts: list[str], target: str, source: str | None) -> list[str | Exception]: ...
+from loomq.operators.answers import REFUSED, SEND, Book, Provider, Service, answers_to, answers_within, ledger, text_key
+from loomq.operators.cost import PRICES, RUN_BUDGET
+from loomq.session import store
+from loomq.sources.sinks import append_log
 
 
 class Echo:
@@ -28,6 +24,15 @@ class Echo:
         return [ValueError("refused") if "[[fail]]" in t else f"[{target}] {t}" for t in texts]
 
 
+class Short:
+    """A provider for tests that takes no text over a limit, as services do; others come back in reverse."""
+
+    limit = 120
+
+    def translate(self, texts: list[str], target: str, source: str | None) -> list[str | Exception]:
+        return [ValueError(f"over {self.limit} characters") if len(t) > self.limit else t[::-1] for t in texts]
+
+
 class Upper:
     """A provider for tests that keeps markup: capitals outside of tags, character references and placeholders."""
 
@@ -38,7 +43,7 @@ class Upper:
         return [re.sub(r"(<[^>]+>|&[a-z#0-9]+;|§§\w+§§)|[^<&§]+", capitals, t) for t in texts]
 
 
-_PROVIDERS: dict[str, Callable[[], Provider]] = {"echo": Echo, "upper": Upper}
+_PROVIDERS: dict[str, Service] = {}
 
 
 class UnknownProvider(KeyError):
@@ -46,54 +51,73 @@ class UnknownProvider(KeyError):
 
 
 def register(name: str, factory: Callable[[], Provider]) -> None:
-    _PROVIDERS[name] = factory
+    _PROVIDERS[name] = Service(name, uuid.uuid4().hex, factory)
+
+
+for _name, _factory in (("echo", Echo), ("upper", Upper), ("short", Short)):
+    register(_name, _factory)
 
 
-def factory_of(name: str) -> Callable[[], Provider]:
+def service_of(name: str) -> Service:
     if name not in _PROVIDERS:
         raise UnknownProvider(f"no provider {name!r}; known: {', '.join(sorted({*_PROVIDERS, *PRICES}))}")
     return _PROVIDERS[name]
 
 
-def translate_units(
+@dataclass
+class Run:
+    """Translated units, and the answers that were paid for in the run."""
+
+    units: DataFrame
+    new: DataFrame
+
+
+def run_units(
     units: DataFrame, provider: str, target: str, source: str | None = None, terms: Sequence[str] = (), text: str = "text", translatable: str = "translatable",
-    run: Sequence[str] = (), order: str = "unit_index", budget: int | None = None,
-) -> DataFrame:
-    """The units with status, translated, chars_sent and error.
+    run: Sequence[str] = (), order: str = "unit_index", budget: int | None = None, book: Book | None = None, log: str | None = None,
+) -> Run:
+    """The units with status, translated, chars_sent and error, and what was paid for.
 
     A unit that isn't translatable, or is blank, is skipped and nothing is sent. Terms in capitals are masked before
-    and restored after. A failing unit doesn't stop the others. With a budget (of characters for each run) units that
-    don't fit fail as too large. Statuses: skipped, translated, failed.
+    and restored after. Texts that are equal then are sent once, however many units have them, and their answers are
+    written before this returns: however often the result is used, nobody is asked again. chars_sent counts a unit's
+    own characters where it was translated, the ledger those that went out. A failing unit doesn't stop the others. With
+    a budget (of characters for each run) a unit that doesn't fit what the successes before it have left fails as too
+    large; failures use nothing. A book keeps answers for later runs; a log is a folder to which the ledger's rows are
+    added once all is done. Statuses: skipped, translated, failed.
     """
-    expose_package(units.sparkSession)
-    factory = factory_of(provider)
+    service = service_of(provider)
     masked = protect_terms(F.col(text), terms)
     send = F.col(translatable) & ~blank(F.col(text))
-    rows = units.withColumn("__masked", F.when(send, masked))
-    rows = rows.withColumn("__text", F.col("__masked.text")).withColumn("__chars", F.coalesce(F.length("__masked.text"), F.lit(0)))
-    if budget is not None:
-        rows = within_budget(rows, run, order, "__chars", budget).drop("used")
+    rows = units.withColumn("__masked", F.when(send, masked)).withColumn("__id", F.monotonically_increasing_id())
+    rows = store(rows.withColumn("__key", text_key(F.col("__masked.text"))), "units")
+    named = {"id": "__id", "key": "__key", "text": "__masked.text"}
+    sent = rows.filter("__key is not null")
+    if budget is None:
+        answers = answers_to(sent.select(F.col("__key").alias("key"), F.col("__masked.text").alias("text")), service, target, source, book)
+        joined = rows.withColumn("__state", F.when(F.col("__key").isNotNull(), SEND))
     else:
-        rows = rows.withColumn("admitted", F.lit(True))
-
-    @F.pandas_udf("struct<text:string,error:string>")
-    def call(texts: pd.Series) -> pd.DataFrame:
-        wanted = texts.notna()
-        answers = factory().translate(texts[wanted].tolist(), target, source)
-        out = pd.DataFrame({"text": None, "error": None}, index=texts.index, dtype="object")
-        for i, answer in zip(texts.index[wanted], answers):
-            failed = isinstance(answer, Exception)
-            out.loc[i] = (None, f"{type(answer).__name__}: {answer}") if failed else (answer, None)
-        return out
-
-    sent = rows.withColumn("__answer", call(F.when(F.col("admitted"), F.col("__text"))))
-    over = F.col("__text").isNotNull() & ~F.col("admitted")
-    error = F.when(over, F.lit("over budget")).otherwise(F.col("__answer.error"))
-    status = F.when(F.col("__text").isNull(), "skipped").when(error.isNotNull(), "failed").otherwise("translated")
-    done = sent.withColumn("status", status).withColumn("error", error)
-    done = done.withColumn("translated", restore_terms(F.col("__answer.text"), F.col("__masked.placeholders")))
-    done = done.withColumn("chars_sent", F.when(F.col("status") == "translated", F.col("__chars")).otherwise(0).cast("long"))
-    return done.drop("__masked", "__text", "__chars", "__answer", "admitted")
+        runs = {f"__run{i}": k for i, k in enumerate(run)}
+        own = sent.select(*[F.col(c).alias(n) for n, c in named.items()], *[F.col(c).alias(n) for n, c in runs.items()], F.col(order).alias("__order"), F.length("__masked.text").alias("size"))
+        answers = answers_within(own, list(runs), ["__order"], budget, service, target, source, book)
+        joined = rows.join(answers.decided.select(F.col("id").alias("__id"), F.col("state").alias("__state")), "__id", "left")
+    found = answers.all.select(F.col("key").alias("__key"), F.struct("answer", "error").alias("__answer"))
+    joined = joined.join(found, "__key", "left")
+    error = F.when(F.col("__state") == REFUSED, F.lit("over budget")).otherwise(F.col("__answer.error"))
+    status = F.when(F.col("__key").isNull(), "skipped").when(error.isNotNull(), "failed").otherwise("translated")
+    done = joined.withColumn("status", status).withColumn("error", error)
+    good = F.col("status") == "translated"
+    done = done.withColumn("translated", F.when(good, restore_terms(F.col("__answer.answer"), F.col("__masked.placeholders"))))
+    done = done.withColumn("chars_sent", F.when(good, F.length("__masked.text")).otherwise(0).cast("long"))
+    if log is not None:
+        append_log(ledger(answers.new, service), log)
+    added = ["status", "error", "translated", "chars_sent"]
+    return Run(done.select(*[c for c in units.columns if c not in added], *added), answers.new)
+
+
+def translate_units(units: DataFrame, provider: str, target: str, source: str | None = None, terms: Sequence[str] = (), **more) -> DataFrame:
+    """The units of run_units(), which says what more is understood."""
+    return run_units(units, provider, target, source, terms, **more).units
 
 
 def outcome_stats(outcomes: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -3,36 +3,20 @@
 from __future__ import annotations
 
 import datetime
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomq.functions import dates, ordering, text
 from loomq.operators import cost, dedupe, fitting, geometry, layout, manifest, merge, pages, pipelines, prefix, regions, search, translate
+from loomq.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from loomq.session import table
 from loomq.sources.files import tree_files
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
 #: The flagship's query.
 BOOLEAN_QUERY = "the AND (copyright OR license)"
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a function under its name, with its SQL if there is some."""
-
-    def add(fn: Query) -> Query:
-        QUERIES[fn.__name__] = fn
-        if sql is not None:
-            ORACLES[fn.__name__] = sql
-        return fn
-
-    return add
-
-
 # --- searching ----------------------------------------------------------------------------------------------------
 
 

@@ -100,6 +100,11 @@ def remove_folder(spark: SparkSession, folder: str) -> None:
     file_system.delete(path, True)
 
 
+def folder_exists(spark: SparkSession, folder: str) -> bool:
+    path, file_system = _path(spark, folder)
+    return file_system.exists(path)
+
+
 def _path(spark: SparkSession, folder: str):
     # Spark has no other way to a store that only its readers and writers can open.
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
