@@ -86,3 +86,64 @@ def test_missing_links(spark):
 @pytest.mark.parametrize("text", [None, ""])
 def test_empty_text(value, text):
     assert tuple(value(lambda t: fitting.wrapped(t, F.lit(5)), (text, "string"))) == (1, 0)
+
+
+def fit_in_steps(text, width, first, high, left, right):
+    """Every size from the first down, then every width, as one would try them by hand."""
+    each = fitting.SANS.each()
+
+    def wide(word):
+        return sum(each.get(c, fitting.SANS.default) for c in word)
+
+    def lines_at(most):
+        out = []
+        for segment in text.split("\n"):
+            own = []
+            for word in segment.split():
+                if own and wide(own[-1].replace(" ", "")) + own[-1].count(" ") * fitting.SANS.space + fitting.SANS.space + wide(word) <= most:
+                    own[-1] += " " + word
+                else:
+                    own.append(word)
+            out += own or [""]
+        return out
+
+    def good(size, most):
+        lines = lines_at(most * 1000 / size)
+        return len(lines) * max(1, int(size * 1.15)) <= high and max(wide(w) for w in [*text.split(), ""]) * size <= most * 1000, lines
+
+    size = first
+    while True:
+        fits, lines = good(size, width)
+        if fits or size <= 9:
+            break
+        size = max(9, size - 2)
+    extra, more = 0.0, left + right
+    while not fits and extra < more:
+        extra = min(extra + max(more / 8, 1.0), more)
+        fits, lines = good(size, width + extra)
+    return size, "\n".join(lines), -(extra - min(extra, right)), fits
+
+
+def test_fit_texts(spark):
+    r = random.Random(11)
+    rows = []
+    for n in range(250):
+        text = " ".join("".join(r.choice("iWmaÄé中l") for _ in range(r.randint(1, 14))) for _ in range(r.randrange(25))) + r.choice(["", "\n", "\nend  of it", "\n\n"])
+        rows.append((n, text, r.randint(0, 300), r.randint(5, 70), r.randint(10, 200), r.choice([0, 3, 50]), r.choice([0, 1, 90])))
+    df = spark.createDataFrame(rows, "id int, text string, width int, height int, high int, l int, r int")
+    got = {x["id"]: x for x in fitting.fit_texts(df, "text", "high", "l", "r").collect()}
+    seen = set()
+    for n, text, width, height, high, left, right in rows:
+        first = min(max(int(height * 0.8), 9), 48)
+        size, lines, offset, fits = fit_in_steps(text, max(width, 1), first, high, left, right)
+        x = got[n]
+        assert (x["size"], x["wrapped"], x["n_lines"], x["fits"]) == (size, lines, lines.count("\n") + 1, fits) and x["x_offset"] == pytest.approx(offset)
+        assert x["line_height"] == max(1, int(size * 1.15))
+        seen.add((size < first, offset < 0, fits))
+    assert len(seen) >= 5  # shrunk or not, widened or not, fitting or not
+
+
+def test_fit_texts_from_columns(spark):
+    df = spark.createDataFrame([(None, 50, 30, 13, 31), ("a", 50, 30, None, 8)], "text string, width int, height int, line_height int, first int")
+    assert [(x["size"], x["n_lines"], x["fits"]) for x in fitting.fit_texts(df, "text").collect()] == [(10, 1, True), (24, 1, True)]
+    assert [x["size"] for x in fitting.fit_texts(df, "text", start_size="first").collect()] == [25, 8]
