@@ -43,14 +43,14 @@ _ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score",
 # Letters of other scripts that look like Latin ones, and digits and signs written for letters.
 _HOMOGLYPHS = dict(zip("аеорсухкмтнвіјѕԁɡαορνικτυ", "aeopcyxkmthbijsdgaopviktu"))
 _SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "i"}
-_SIGNS_BEFORE = re.compile(r"[013457@$!|]+(?=[^\W\d_])")
-_SIGNS_AFTER = re.compile(r"[013457@$|]+(?=$|[\s.,;:!?)\"'])")
+# Runs are taken whole and entered at their beginning only, so that a text of nothing else is read once.
+_SIGNS_BEFORE = re.compile(r"(?<![013457@$!|])[013457@$!|]++(?=[^\W\d_])")
+_SIGNS_AFTER = re.compile(r"(?<![^\W\d_])([^\W\d_]++)([013457@$|]++)(?=$|[\s.,;:!?)\"'])")
 _ODD = re.compile("[\u0261\u0300-\U0010ffff]")
 _WORDS = re.compile(r"[^\W\d_]+")
-_LAST_WORD = re.compile(r"[^\W\d_]+$")
 _MARKED = {c: unicodedata.normalize("NFKD", chr(c))[0] for c in range(0xC0, 0x250) if unicodedata.normalize("NFKD", chr(c))[0].isascii()}
-#: Letters that stand alone and are taken for one word if they are so many at least, and how long a word with a sign at its end may be.
-SPELT, WORD_CHARS = 4, 40
+#: Letters that stand alone and are taken for one word if they are so many at least.
+SPELT = 4
 
 
 def _folded_char(c: str) -> str:
@@ -66,20 +66,20 @@ def words_of(text: str, is_term: Callable[[str], bool] | None = None) -> list[st
     if _ODD.search(text):
         text = unicodedata.normalize("NFC", text)
         text = "".join([c if c < "\u0300" and c != "\u0261" else _folded_char(c) for c in text])
-    signs = lambda m: "".join(map(_SIGNS.__getitem__, m[0]))
+    signs = lambda run: "".join(map(_SIGNS.__getitem__, run))
 
     def before(m: re.Match) -> str:
         """Signs inside of a word, or digits and such at its beginning."""
         at = text[m.start() - 1 : m.start()]
-        return signs(m) if at.isalpha() or ((not at or at.isspace()) and "!" not in m[0] and "|" not in m[0]) else m[0]
+        return signs(m[0]) if at.isalpha() or ((not at or at.isspace()) and "!" not in m[0] and "|" not in m[0]) else m[0]
 
     text = _SIGNS_BEFORE.sub(before, text)
     if is_term is None:
         return _WORDS.findall(text)
 
     def after(m: re.Match) -> str:
-        own = _LAST_WORD.search(text, max(0, m.start() - WORD_CHARS), m.start())
-        return signs(m) if own and is_term(own[0] + signs(m)) else m[0]
+        word = m[1] + signs(m[2])
+        return word if is_term(word) else m[0]
 
     words = _WORDS.findall(_SIGNS_AFTER.sub(after, text))
     doubtful = [i for i, w in enumerate(words) if len(w) == 1 or not w.isascii()]
@@ -98,10 +98,10 @@ def _settled(words: list[str], doubtful: list[int], is_term: Callable[[str], boo
             alone[-1][1] = i + 1
         else:
             alone.append([i, i + 1])
-    for first, end in reversed(alone):
+    for first, end in alone:
         if end - first >= SPELT and is_term(word := "".join(words[first:end]).translate(_MARKED)):
-            words[first:end] = [word]
-    return words
+            words[first:end] = [word] + [""] * (end - first - 1)
+    return [w for w in words if w]
 
 
 class Lexicon:
