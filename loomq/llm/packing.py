@@ -1,7 +1,7 @@
 """Packing documents into windows by the minimum-bin-slack method.
 
 Documents are tokenized and cut at every full window, which is final where it is cut; what remains of each is shorter than
-a window. Only the remainders' identifiers move: they are dealt in turn into buckets of a bounded mean size, and every
+a window. Only the remainders' identifiers move: they are dealt by hash into buckets of a bounded mean size, and every
 bucket is packed on its own. A window is seeded with the
 longest remainder left; a bitset subset-sum dynamic programme over the multiset of remaining lengths finds the total
 closest to the capacity, and backtracking through the stored bitsets gives how often each length is taken. The same
@@ -11,16 +11,18 @@ window of a bucket is cut into powers of two, which need no padding.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from array import array
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -32,8 +34,8 @@ from loomq.session import expose_package
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 WINDOW = 2048
 END_ID = 1
-#: Mean number of documents in a bucket that is packed by one task.
-BUCKET_DOCUMENTS = 4096
+#: Mean number of documents, and of bytes of text, in a bucket that is packed by one task: the first that is reached.
+BUCKET_DOCUMENTS, BUCKET_BYTES = 4096, 32_000_000
 #: Words whose identifiers a worker keeps.
 KEPT_WORDS = 400_000
 
@@ -188,8 +190,25 @@ def checksum(ids: bytes) -> int:
     return zlib.crc32(np.frombuffer(ids, "<u2").astype("<u4").tobytes())
 
 
+class Dealer:
+    """Buckets of a task's pieces: by what a piece is, the task, and the number of pieces alike before it.
+
+    Pieces alike can stand for each other, so the order in which a task sees its rows changes nothing.
+    """
+
+    def __init__(self, buckets: int):
+        context = TaskContext.get()
+        self.buckets, self.task, self.seen = buckets, context.partitionId() if context else 0, Counter()
+
+    def __call__(self, doc_id: int | None, start: int, ids: bytes) -> int:
+        own = hashlib.blake2b(ids, digest_size=16, person=b"%d" % (hash((doc_id is None, doc_id or 0, start)) % 10**15)).digest()
+        alike = self.seen[own]
+        self.seen[own] = alike + 1
+        return zlib.crc32(b"%d %d" % (self.task, alike), zlib.crc32(own)) % self.buckets
+
+
 def pack(
-    df: DataFrame, window: int = WINDOW, end_id: int = END_ID, vocabulary: str = VOCABULARY, bucket_documents: int = BUCKET_DOCUMENTS,
+    df: DataFrame, window: int = WINDOW, end_id: int = END_ID, vocabulary: str = VOCABULARY, bucket_documents: int = BUCKET_DOCUMENTS, bucket_bytes: int = BUCKET_BYTES,
     id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True,
 ) -> DataFrame:
     """Every document's identifiers plus an end identifier, packed into sequences of at most window identifiers.
@@ -198,36 +217,35 @@ def pack(
     little-endian unsigned 32-bit numbers), doc_tokens, sequence_id and offset, and with with_ids also ids, the
     identifiers as little-endian unsigned 16-bit numbers. A null or empty text is a document of the end identifier only.
     Repeated rows are documents of their own; null ids are kept. An empty table gives no rows. One shuffle deals the
-    remainders, each shorter than a window, into buckets whose number grows with the table; a task deals them in turn, so
-    that no value of any column can fill a bucket. Of a full window only its place and checksum move, and with with_ids
-    its identifiers.
+    remainders, each shorter than a window, into buckets whose number grows with the table; rows alike are told apart by
+    their number, so that no value of any column can fill a bucket. Of a full window only its place and checksum move, and with with_ids
+    its identifiers. A piece's bucket follows from what it is, its task, and how many like it the task has seen, so a task
+    that is run again with its rows in another order deals the same pieces to the same buckets.
     """
     docs = documents_of(df, id_col, text_col)
     expose_package(df.sparkSession)
-    buckets = max(1, -(-docs.count() // bucket_documents))
+    whole = docs.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("bytes")).first()
+    buckets = max(1, -(-whole["rows"] // bucket_documents), -(-whole["bytes"] // bucket_bytes))
 
     schema = _PIECES.append(pa.field("ids", pa.binary())) if with_ids else _PIECES
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("packing", word_ids.cache_clear)
-        model, end, turn = word_ids(vocabulary), array("H", [end_id]).tobytes(), None
+        model, end, deal = word_ids(vocabulary), array("H", [end_id]).tobytes(), Dealer(buckets)
         for batch in batches:
             out: list[list] = [[] for _ in _CUT]
             for key, text in zip(batch.column("doc_id").to_pylist(), texts(batch)):
                 ids = model.ids(text) + end
-                if turn is None:  # tasks begin at different buckets
-                    turn = zlib.crc32(b"%d" % (key or 0), zlib.crc32(ids[:64]))
                 for start in range(0, len(ids), 2 * window):
                     own = ids[start : start + 2 * window]
                     full = len(own) == 2 * window
-                    row = (key, start // 2, len(own) // 2, checksum(own) if full else None, len(ids) // 2, None if full and not with_ids else own, turn % buckets)
+                    row = (key, start // 2, len(own) // 2, checksum(own) if full else None, len(ids) // 2, None if full and not with_ids else own, deal(key, start, own))
                     for column, value in zip(out, row):
                         column.append(value)
-                    turn += 1
             yield record_batch(_CUT, out)
 
     def fill(key: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("doc_id", "ascending"), ("doc_tokens", "ascending"), ("start", "ascending"), ("ids", "ascending")])
+        rows = rows.sort_by([("doc_id", "ascending"), ("doc_tokens", "ascending"), ("start", "ascending"), ("crc", "ascending"), ("ids", "ascending")])
         keys, starts, sizes, crcs, ids, whole = (rows.column(c).to_pylist() for c in ("doc_id", "start", "length", "crc", "ids", "doc_tokens"))
         out: list[list] = [[] for _ in schema]
         base, rests = key[0].as_py() << 40, [k for k, crc in enumerate(crcs) if crc is None]

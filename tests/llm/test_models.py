@@ -291,3 +291,17 @@ def test_viterbi_is_the_best_path():
         scores = x @ field.weights
         best = max(itertools.product((0, 1), repeat=6), key=lambda y: sum(scores[i, a] for i, a in enumerate(y)) + sum(field.moves[a, b] for a, b in zip(y, y[1:])))
         assert field.decode(x) == list(best)
+
+
+@pytest.mark.parametrize("run", ["0", "01", "$", "!", "a1", "h a t e . "])
+def test_toxicity_of_long_runs(run):
+    """A million signs that a word could have are read once."""
+    import time
+
+    lexicon = toxicity.Lexicon({"hate": 1.0}, [], [0.0] * 5)
+    text = (run * (1_000_000 // len(run)))[:1_000_000]
+    began = time.perf_counter()
+    lexicon.score(text)
+    toxicity.words_of(text)
+    assert time.perf_counter() - began < 4
+    assert toxicity.words_of("a" * 50 + "t3", lambda w: w == "a" * 50 + "te") == ["a" * 50 + "te"]  # long words whole

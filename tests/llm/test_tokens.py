@@ -136,3 +136,30 @@ def test_copies_and_long_texts_are_spread(spark):
     assert sum(p["length"] for p in pieces if p["doc_id"] == 7) == 60_001
     by_sequence = _check(pieces, [(7, "a longer text " * 20_000)] + [(None, "the same words again")])
     assert sum(len(s) == 1 and s[0]["length"] == 2048 and s[0]["doc_id"] == 7 for s in by_sequence.values()) >= 29
+
+
+def test_dealing_in_any_order(rows):
+    """A task that sees its rows in another order deals the same pieces to the same buckets, copies included."""
+    pieces = [(k, 0, (t or "").encode()[:60]) for k, t in rows[:80]] + [(7, 0, b"same")] * 50 + [(None, 0, b"same")] * 5 + [(0, 0, b"same")] * 5
+
+    def dealt(order):
+        deal = packing.Dealer(64)
+        return sorted((str(p), deal(*p)) for p in order)
+
+    assert dealt(pieces) == dealt(pieces[::-1]) == dealt(pieces[50:] + pieces[:50])
+    assert len({b for p, b in dealt(pieces) if p == str((7, 0, b"same"))}) > 20
+
+
+def test_shuffled_input_read_twice(spark, docs):
+    """The same rows in partitions of another inner order give the same pieces of the same sequences."""
+    fixed = docs.repartition(3, "doc_id")
+    one = packing.pack(fixed.sortWithinPartitions("doc_id"), bucket_documents=50).collect()
+    other = packing.pack(fixed.sortWithinPartitions("text"), bucket_documents=50).collect()
+    assert sorted(map(tuple, one)) == sorted(map(tuple, other))
+
+
+def test_buckets_of_long_texts(spark):
+    """Long texts get buckets of a bounded size in bytes, however few documents there are."""
+    df = spark.range(40).selectExpr("id AS doc_id", "repeat('some words to pack here ', 400) AS text")
+    pieces = packing.pack(df, bucket_bytes=50_000).collect()
+    assert len({p["sequence_id"] >> 40 for p in pieces}) >= 6 and {p["doc_id"] for p in pieces} == set(range(40))
