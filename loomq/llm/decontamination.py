@@ -15,10 +15,12 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import repeat
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -68,8 +70,16 @@ def _shared(a: str, b: str) -> int:
     return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
 
+#: Surroundings of a cut from which on they are found by an index instead of one after the other.
+MANY = 16
+
+
 class Automaton:
-    """The windows of some items: cuts of them as patterns, and for each cut what stands around it."""
+    """The windows of some items: cuts of them as patterns, and for each cut what stands around it.
+
+    A cut that many items share, such as a phrase that introduces questions, has its surroundings in an index: by every
+    way in which the words that a window needs besides the cut can lie on both sides of it.
+    """
 
     def __init__(self, width: int):
         self.width, self.cut = width, (width + 2) // 3
@@ -105,13 +115,48 @@ class Automaton:
         for pattern, n in self.place.items():
             self.automaton.add_word(pattern.translate(self.pairs), n)
         self.place = {}
+        self._index()
         if self.size:
             self.runs = re.compile(f"[^\0]{{{min(self.size)},}}")
             self.automaton.make_automaton()
 
+    def _index(self) -> None:
+        """Sorted hashes of (cut, words before, words after) for cuts with many surroundings, and whose they are."""
+        more, hashes, owners = self.width - self.cut, array("q"), array("l")
+        self.many = {n for n, around in self.around.items() if len(around) > MANY}
+        self.entries: list[tuple[str, str, list[int]]] = []
+        for n in sorted(self.many):
+            for (left, right), items in self.around.pop(n).items():
+                for a in range(max(0, more - len(right)), min(more, len(left)) + 1):
+                    hashes.append(hash((n, left[:a], right[: more - a])))
+                    owners.append(len(self.entries))
+                self.entries.append((left, right, items))
+        keys = np.frombuffer(hashes, np.int64) if hashes else np.zeros(0, np.int64)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.owners = keys[order], np.array(owners, np.int64)[order]
+
+    def _of_many(self, n: int, first: int, last: int, before: str, after: str, spans: list[list[int]], found: set[int], seen: set[tuple]) -> None:
+        """Windows around an occurrence of such a cut; items are looked at once a text for the same words."""
+        more = self.width - self.cut
+        wanted = [(n, before[:a], after[: more - a]) for a in range(more + 1)]
+        probes = np.fromiter(map(hash, wanted), np.int64, more + 1)
+        begin, end = np.searchsorted(self.keys, probes).tolist(), np.searchsorted(self.keys, probes, "right").tolist()
+        for a, (key, lo, hi) in enumerate(zip(wanted, begin, end)):
+            if lo == hi:
+                continue
+            if key not in seen:
+                own = [items for left, right, items in (self.entries[k] for k in self.owners[lo:hi].tolist()) if left[:a] == key[1] and right[: more - a] == key[2] and len(key[1]) + len(key[2]) == more]
+                if not own:
+                    continue
+                seen.add(key)
+                for items in own:
+                    found.update(items)
+            spans.append([first - a, last + more - a])
+
     def scan(self, words: list[bytes], spans: list[list[int]], found: set[int]) -> None:
         if not self.size:
             return
+        seen: set[tuple] = set()
         coded = "".join(map(self.letters.get, words, repeat("\0")))
         more = self.width - self.cut
         for run in self.runs.finditer(coded):
@@ -122,8 +167,11 @@ class Automaton:
                 if n in self.whole:
                     spans.append([first, last])
                     found.update(self.whole[n])
-                if n in self.around:
+                if n in self.around or n in self.many:
                     before, after = coded[max(0, first - more) : first][::-1], coded[last + 1 : last + 1 + more]
+                    if n in self.many:
+                        self._of_many(n, first, last, before, after, spans, found, seen)
+                        continue
                     for (left, right), items in self.around[n].items():
                         a, b = _shared(left, before), _shared(right, after)
                         if a + b >= more:

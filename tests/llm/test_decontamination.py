@@ -106,3 +106,35 @@ def test_spans_map_to_the_text(spark):
     items = spark.createDataFrame([(7, "quick brown FOX")], "item_id long, text string")
     r = d.benchmark_hits(df, items).first()
     assert "Ünïq: The QUICK, brown-fox! é end"[r["char_start"][0] : r["char_end"][0]] == "QUICK, brown-fox" and r["items"] == ["7"]
+
+
+@pytest.mark.parametrize("many", [0, 1, 3])
+@pytest.mark.parametrize("width", [1, 2, 3, 5, 13])
+def test_index_of_surroundings(width, many, monkeypatch):
+    """The same texts where cuts are indexed as where they aren't."""
+    monkeypatch.setattr(d, "MANY", many)
+    test_windows_of_repeating_words(width)
+
+
+def test_phrase_that_many_items_share():
+    """100,000 items begin alike: an occurrence of the phrase without an item costs little, one with an item finds it."""
+    import time
+
+    phrase = "answer the following multiple choice question about"
+    items = [(str(i), f"{phrase} topic{i} and its part{i % 977} of kind{i % 31} with one more word{i} here".encode()) for i in range(100_000)]
+    windows = d.Windows(items, 13)
+    none = d.words_of(f"{phrase} nothing at all we know of it and ".encode() * 5_000)
+    began = time.perf_counter()
+    assert windows.scan(none) == ([], set())
+    took = time.perf_counter() - began
+    assert took / 5_000 < 0.0001
+    some = d.words_of(f"x {phrase} topic77 and its part77 of kind15 with one more word77 here {phrase} topic5 and nothing".encode())
+    assert windows.scan(some) == ([[1, 18]], {"77"})
+
+
+def test_window_that_many_items_share():
+    """All of a thousand items are found, and a text that repeats them looks at them once."""
+    shared = " ".join(f"w{i}" for i in range(13))
+    windows = d.Windows([(str(i), f"{shared} own{i} more{i}".encode()) for i in range(1000)], 13)
+    spans, found = windows.scan(d.words_of((shared + " z ").encode() * 2000))
+    assert len(found) == 1000 and len(spans) == 2000 and all(b - a == 12 for a, b in spans)
