@@ -23,7 +23,9 @@ from loomq.session import expose_package
 #: Bounds of the labelled sample: texts for each language (of a longer one an excerpt of so many characters) and landmarks among them.
 SAMPLE, SAMPLE_CHARS, LANDMARKS = 500, 20_000, 48
 #: Up to so many languages have the whole sample each; more share as many texts and landmarks in all, at least one each.
-LANGUAGES = 64
+LANGUAGES = 16
+#: Languages that are learned, those with the most texts first, and bytes of the weights that are sent for all of them.
+MOST_LANGUAGES, MODEL_BYTES = 256, 128_000_000
 RIDGE = 1e-2
 #: Score below which a filter rejects a text.
 LEAST_SCORE = 0.3
@@ -80,19 +82,28 @@ def grams(text: str) -> np.ndarray:
     return found
 
 
-class Model:
-    """What scoring needs: the landmarks' n-grams as columns, and one weight vector for each language."""
+#: Columns of a dense block when landmarks are multiplied.
+WIDE = 8192
 
-    def __init__(self, languages: list[str], columns: np.ndarray, landmarks: np.ndarray, weights: np.ndarray, bias: np.ndarray):
-        self.languages, self.columns, self.landmarks, self.weights, self.bias = languages, columns, landmarks, weights, bias
-        self.digest = hashlib.sha256(weights.tobytes() + columns.tobytes()).hexdigest()
 
-    def kernel(self, sample: list[str]) -> np.ndarray:
-        rows, sizes = np.zeros((len(sample), len(self.columns)), np.float32), np.zeros(len(sample), np.float32)
-        for i, text in enumerate(sample):
-            found = grams(text)
-            rows[i], sizes[i] = found[self.columns], np.count_nonzero(found)
-        return (rows @ self.landmarks.T) / np.sqrt(np.maximum(sizes, 1))[:, None]
+def _products(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """rows @ others.T of two presence matrices; only a block of columns at a time is more than one byte an entry."""
+    total = np.zeros((len(rows), len(others)), np.float32)
+    for i in range(0, rows.shape[1], WIDE):
+        total += rows[:, i : i + WIDE].astype(np.float32) @ others[:, i : i + WIDE].astype(np.float32).T
+    return total
+
+
+class Scorer:
+    """What scoring needs: of every n-gram that counts its weight for each language.
+
+    A text's kernel with the landmarks is linear in the presence of its n-grams, and so are the regressions over it; the
+    landmarks are summed up in one matrix of columns by languages.
+    """
+
+    def __init__(self, languages: list[str], columns: np.ndarray, weights: np.ndarray, bias: np.ndarray):
+        self.languages, self.columns, self.weights, self.bias = languages, columns, weights, bias
+        self.digest = hashlib.sha256(weights.tobytes() + columns.tobytes()).hexdigest()
 
     def predict(self, sample: list[str]) -> tuple[list[str], list[float]]:
         """The language and its score of every text; 'und' and 0 where there is no letter or no learned language."""
@@ -103,7 +114,11 @@ class Model:
                 names += ["und"] * len(part)
                 scores += [0.0] * len(part)
                 continue
-            outputs = STEEPNESS * (self.kernel(part).astype(np.float64) @ self.weights + self.bias)
+            rows, sizes = np.zeros((len(part), len(self.columns)), np.float32), np.zeros(len(part))
+            for k, text in enumerate(part):
+                found = grams(text)
+                rows[k], sizes[k] = found[self.columns], np.count_nonzero(found)
+            outputs = STEEPNESS * ((rows @ self.weights).astype(np.float64) / np.sqrt(np.maximum(sizes, 1))[:, None] + self.bias)
             chances = np.exp(outputs - outputs.max(1, keepdims=True))
             chances /= chances.sum(1, keepdims=True)
             best = chances.argmax(1)
@@ -114,6 +129,36 @@ class Model:
         return names, scores
 
 
+class Model:
+    """A fit: the landmarks' n-grams as presence by columns, and one weight vector over landmarks for each language."""
+
+    def __init__(self, languages: list[str], columns: np.ndarray, landmarks: np.ndarray, weights: np.ndarray, bias: np.ndarray):
+        self.languages, self.columns, self.landmarks, self.weights, self.bias = languages, columns, landmarks, weights, bias
+        self.sizes = np.sqrt(np.maximum(landmarks.sum(1), 1)) if landmarks.size else np.ones(len(landmarks))
+
+    def kernel(self, sample: list[str]) -> np.ndarray:
+        rows, sizes = np.zeros((len(sample), len(self.columns)), bool), np.zeros(len(sample))
+        for i, text in enumerate(sample):
+            found = grams(text)
+            rows[i], sizes[i] = found[self.columns], np.count_nonzero(found)
+        return _products(rows, self.landmarks) / np.sqrt(np.maximum(sizes, 1))[:, None] / self.sizes
+
+    def scorer(self, most: int = MODEL_BYTES) -> Scorer:
+        """The landmarks summed up; where that is more than the bytes allow, the n-grams of most landmarks are kept."""
+        columns, landmarks = self.columns, self.landmarks
+        room = max(1, most // (4 * max(1, len(self.languages))))
+        if len(columns) > room:
+            kept = np.sort(np.argsort(-landmarks.sum(0), kind="stable")[:room])
+            columns, landmarks = columns[kept], landmarks[:, kept]
+        own = self.weights / self.sizes[:, None]
+        weights = [landmarks[:, i : i + WIDE].T.astype(np.float64) @ own for i in range(0, len(columns), WIDE)]
+        joined = np.concatenate(weights).astype(np.float32) if weights else np.zeros((0, len(self.languages)), np.float32)
+        return Scorer(self.languages, columns.astype(np.int32), joined, self.bias)
+
+    def predict(self, sample: list[str]) -> tuple[list[str], list[float]]:
+        return self.scorer().predict(sample)
+
+
 def even_share(each: int, languages: int) -> int:
     """How many of a bound for each language are left to one if there are more languages than LANGUAGES."""
     return max(1, min(each, each * LANGUAGES // max(languages, 1)))
@@ -124,39 +169,43 @@ def fit(labelled: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: floa
     labelled = sorted((lang, hashlib.sha256(text.encode("utf-8", "replace")).hexdigest(), text) for text, lang in labelled)
     languages = sorted({x[0] for x in labelled})
     if not languages:
-        return Model([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros((0, 0)), np.zeros(0))
+        return Model([], np.zeros(0, np.int64), np.zeros((0, 0), bool), np.zeros((0, 0)), np.zeros(0))
     landmarks = even_share(landmarks, len(languages))
     groups = {lang: list(g) for lang, g in groupby(labelled, lambda x: x[0])}
     chosen = [x[2] for lang in languages for x in groups[lang][:landmarks]]
     found = np.stack([grams(text) for text in chosen])
     columns = np.flatnonzero(found.any(0))
-    basis = found[:, columns].astype(np.float32)
-    basis /= np.sqrt(basis.sum(1, keepdims=True))
-    model = Model(languages, columns, basis, np.zeros((len(chosen), len(languages))), np.zeros(len(languages)))
-    between = (basis @ basis.T).astype(np.float64)
+    model = Model(languages, columns, found[:, columns], np.zeros((len(chosen), len(languages))), np.zeros(len(languages)))
+    del found
+    between = _products(model.landmarks, model.landmarks).astype(np.float64) / np.outer(model.sizes, model.sizes)
     values, vectors = np.linalg.eigh(between)
     whiten = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T  # Nyström: features are kernel @ whiten
-    features = model.kernel([x[2] for x in labelled]).astype(np.float64) @ whiten
-    features = np.hstack([features, np.ones((len(labelled), 1))])
-    counts = {lang: len(g) for lang, g in groups.items()}
-    weight = np.array([1 / counts[x[0]] for x in labelled])[:, None]  # languages weigh the same
-    target = np.array([[1.0 if x[0] == lang else -1.0 for lang in languages] for x in labelled])
-    penalty = ridge * np.eye(features.shape[1])
-    penalty[-1, -1] = 0
-    solved = np.linalg.solve(features.T @ (weight * features) + penalty, features.T @ (weight * target))
-    return Model(languages, columns, basis, whiten @ solved[:-1], solved[-1])
+    number, counts = {lang: n for n, lang in enumerate(languages)}, {lang: len(g) for lang, g in groups.items()}
+    left, right = ridge * np.eye(len(chosen) + 1), np.zeros((len(chosen) + 1, len(languages)))
+    left[-1, -1] = 0
+    for i in range(0, len(labelled), BLOCK):  # the normal equations, summed up
+        part = labelled[i : i + BLOCK]
+        features = np.hstack([model.kernel([x[2] for x in part]).astype(np.float64) @ whiten, np.ones((len(part), 1))])
+        weighted = features * np.array([1 / counts[x[0]] for x in part])[:, None]  # languages weigh the same
+        target = np.full((len(part), len(languages)), -1.0)
+        target[np.arange(len(part)), [number[x[0]] for x in part]] = 1.0
+        left += weighted.T @ features
+        right += weighted.T @ target
+    solved = np.linalg.solve(left, right)
+    return Model(languages, columns, model.landmarks, whiten @ solved[:-1], solved[-1])
 
 
 def training_rows(df: DataFrame, per_language: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
     """A bounded sample of labelled texts, by a hash of the text, from the folds that may be learned from.
 
-    Every language with a labelled text that has a letter is in it. Of a text over SAMPLE_CHARS the excerpt from its first
+    Every language with a labelled text that has a letter is in it, up to the MOST_LANGUAGES with the most texts. Of a text over SAMPLE_CHARS the excerpt from its first
     letter on is taken. One scan counts each language's distinct texts, another keeps about three times the sample's size,
     which is cut to it by the draw before anything is collected. Texts that repeat count once.
     """
     docs = documents_of(df, id_col, text_col, lang=lang_col).filter((fold("doc_id", 4) != 2) & F.col("lang").isNotNull())
     usable = docs.filter(F.col("text").rlike(r"\p{L}")).withColumn("hash", F.xxhash64("text"))
-    top = usable.groupBy("lang").agg(F.approx_count_distinct("hash").alias("n"), F.min(_draw("hash")).alias("least")).collect()
+    counted = usable.groupBy("lang").agg(F.approx_count_distinct("hash").alias("n"), F.min(_draw("hash")).alias("least"))
+    top = counted.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
     if not top:
         return []
     per_language = even_share(per_language, len(top))
@@ -186,7 +235,7 @@ def _release() -> None:
 
 def _predictor(df: DataFrame, train: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[Callable[[list[str]], tuple[list[str], list[float]]], bool]:
     """A fitted model as a function that executors can call, and whether it has learned any language."""
-    model = fit(training_rows(train, id_col=id_col, text_col=text_col, lang_col=lang_col))
+    model = fit(training_rows(train, id_col=id_col, text_col=text_col, lang_col=lang_col)).scorer()
     sent, digest = df.sparkSession.sparkContext.broadcast(pickle.dumps(model)), model.digest
 
     def predict(sample: list[str]) -> tuple[list[str], list[float]]:
@@ -228,7 +277,7 @@ def languages(df: DataFrame, train: DataFrame | None = None, id_col: str = "doc_
     text only. A null text and one without a letter give 'und' and score 0, as does everything if no labelled row outside
     that fold has a letter.
     One row comes back for each row; a null id counts as the empty text in the folds. Apart from the fit the plan has
-    no shuffle; the model that is broadcast has at most LANGUAGES * LANDMARKS landmarks, or one for each language.
+    no shuffle; the model that is broadcast has a row of weights for each hashed n-gram of a landmark, and at most MODEL_BYTES.
     """
     predict, _ = _predictor(df, train if train is not None else df, id_col, text_col, lang_col)
 

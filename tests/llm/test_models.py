@@ -305,3 +305,31 @@ def test_toxicity_of_long_runs(run):
     toxicity.words_of(text)
     assert time.perf_counter() - began < 4
     assert toxicity.words_of("a" * 50 + "t3", lambda w: w == "a" * 50 + "te") == ["a" * 50 + "te"]  # long words whole
+
+
+def test_many_languages_stay_small():
+    """64 languages of letters of their own fill all hashed columns; what is sent stays bounded, and they are told apart."""
+    import pickle
+    import random
+
+    def made(n):
+        r = random.Random(n)
+        stock = ["".join(r.choices([chr(0x4E00 + 40 * n + c) for c in range(40)], k=r.randint(2, 9))) for _ in range(300)]
+        return lambda seed, words: " ".join(random.Random(1000 * n + seed).choices(stock, k=words))
+
+    writers = {f"l{n:02d}": made(n) for n in range(64)}
+    share = language_id.even_share(language_id.LANDMARKS, 64) + 8
+    model = language_id.fit([(write(k, 150), lang) for lang, write in writers.items() for k in range(share)])
+    test = [(write(900 + k, 40), lang) for lang, write in writers.items() for k in range(4)]
+    whole, small = model.scorer(), model.scorer(most=8_000_000)
+    assert len(pickle.dumps(whole)) < 200e6 and len(pickle.dumps(small)) < 9e6
+    for scorer in (whole, small):
+        assert sum(a == b for a, (_, b) in zip(scorer.predict([t for t, _ in test])[0], test)) >= 0.98 * len(test)
+
+
+def test_most_frequent_languages(spark, monkeypatch):
+    """A dirty language column can't grow what is collected: the languages with the most texts are learned."""
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 2)
+    rows = [(i, f"some words {i}", "en") for i in range(30)] + [(100 + i, f"andere {i}", "de") for i in range(20)] + [(200 + i, f"odd {i}", f"x{i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {lang for _, lang in language_id.training_rows(df)} == {"en", "de"}
