@@ -98,7 +98,7 @@ x AS (SELECT *, {_LINES.format(most="(width + extra) * 1000 / size")} AS n_lines
 y AS (SELECT *, n_lines * greatest(1, floor(size * 1.15)) <= high AND longest * size <= (width + extra) * 1000 AS good FROM x),
 v AS (SELECT conv_id, turn, coalesce(arg_min({{'e': extra, 'n': n_lines, 'z': size, 'r': rgt}}, i) FILTER (WHERE good), arg_max({{'e': extra, 'n': n_lines, 'z': size, 'r': rgt}}, i)) AS c, bool_or(good) AS fits FROM y GROUP BY ALL)
 SELECT conv_id, turn, CAST(size AS INTEGER) AS size, n_lines, CAST(0 AS DOUBLE) AS x_offset, true AS fits FROM f JOIN s USING (conv_id, turn, k)
-UNION ALL SELECT conv_id, turn, CAST(c.z AS INTEGER), c.n, -(c.e - least(c.e, c.r)), fits FROM v
+UNION ALL SELECT conv_id, turn, CAST(c.z AS INTEGER), c.n, 0.0 - (c.e - least(c.e, c.r)), fits FROM v
 """)
 def text_fits(spark, sf_dir):
     turn, conv = F.col("turn"), F.col("conv_id")
