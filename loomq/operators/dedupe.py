@@ -53,19 +53,24 @@ def pair_similarities(candidates: DataFrame) -> DataFrame:
     return candidate_pairs(candidates).select("group_id", "i", "j", similarity(F.col("left"), F.col("right")).alias("similarity"))
 
 
-def classify_groups(candidates: DataFrame, similarities: DataFrame) -> DataFrame:
-    """One row for each group with n, min_similarity and its class; the first rule that holds decides.
-
-    candidates: group_id, developer, domain, date (null or empty: unknown), paragraph_count.
-    """
+def group_facts(candidates: DataFrame) -> DataFrame:
+    """group_id, n, and how many known domains, developers, dates and sizes a group's candidates have."""
 
     def distinct(name: str) -> Column:
         return F.countDistinct(F.nullif(F.col(name), F.lit("")))
 
-    facts = candidates.groupBy("group_id").agg(
+    return candidates.groupBy("group_id").agg(
         F.count(F.lit(1)).alias("n"), distinct("domain").alias("domains"), distinct("developer").alias("developers"), distinct("date").alias("dates"),
         F.countDistinct("paragraph_count").alias("sizes"),
     )
+
+
+def classify_groups(candidates: DataFrame, similarities: DataFrame) -> DataFrame:
+    """One row for each group with n, min_similarity and its class; the first rule that holds decides.
+
+    candidates: group_id, developer, domain, date (null or empty: unknown), paragraph_count.
+    """
+    facts = group_facts(candidates)
     least = similarities.groupBy("group_id").agg(F.min("similarity").alias("min_similarity"))
     m = F.col("min_similarity")
     known = (F.col("domains") > 0) | (F.col("developers") > 0)

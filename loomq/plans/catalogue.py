@@ -543,7 +543,7 @@ def exact_duplicates(spark, sf_dir):
     return dedupe.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
-def _candidates(spark, sf_dir) -> DataFrame:
+def candidates_of_turns(spark, sf_dir) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     return turns.select(
         F.col("conv_id").alias("group_id"), F.col("turn").alias("idx"), F.col("text").alias("body"), F.when(F.col("turn") % 7 == 6, "unreadable").alias("error"),
@@ -555,7 +555,7 @@ def _candidates(spark, sf_dir) -> DataFrame:
 
 @query()
 def pair_similarity(spark, sf_dir):
-    return dedupe.pair_similarities(_candidates(spark, sf_dir))
+    return dedupe.pair_similarities(candidates_of_turns(spark, sf_dir))
 
 
 @query("""
