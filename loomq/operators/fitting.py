@@ -149,11 +149,10 @@ def fit_blocks(blocks: DataFrame, keys: Sequence[str], block_id: str, text: str,
     """The blocks with cap_y1, next_y0, final_y1, final_font and fits: how far a text makes its block grow.
 
     blocks: x0..y1, font_size and the page's limit. A block grows down to the limit or to shortly above the nearest
-    block below; only then its font shrinks. wide names columns with the width that counts for blocks below, such as
+    block below, which next_y0 tells if the blocks have it; only then its font shrinks. wide names columns with the width that counts for blocks below, such as
     that of a highlight; nulls mean the block's own.
     """
-    below = next_below(blocks, keys, block_id, wide)
-    near = blocks.join(below, [*keys, block_id])
+    near = blocks if "next_y0" in blocks.columns else blocks.join(next_below(blocks, keys, block_id, wide), [*keys, block_id])
     cap = F.when(F.col("next_y0").isNull(), F.col(limit)).otherwise(F.least(F.col(limit), F.col("next_y0") - MARGIN))
     sized = near.withColumn("cap_y1", cap.cast("double"))
     room = F.greatest(F.col("cap_y1") - F.col("y0"), F.col("y1") - F.col("y0"))

@@ -72,6 +72,17 @@ def next_below(blocks: DataFrame, keys: Sequence[str], block_id: str, wide: tupl
     return met.groupBy(*[F.col(f"a.{k}") for k in (*keys, block_id)]).agg(F.min("b.y0").alias("next_y0"))
 
 
+def below_on_page(blocks: DataFrame, keys: Sequence[str], block_id: str) -> DataFrame:
+    """The blocks with next_y0 as in next_below(), from a window over the page: blocks that lie together aren't moved.
+
+    Each row sees its page's boxes, so a page has to be of a size that a task can hold.
+    """
+    boxes = F.collect_list(F.struct("x0", "x1", "y0", F.col(block_id).alias("id"))).over(Window.partitionBy(*keys))
+    seen = blocks.withColumn("__boxes", boxes)
+    below = F.filter("__boxes", lambda b: (b["id"] != F.col(block_id)) & (b["y0"] >= F.col("y1")) & (b["x0"] < F.col("x1")) & (b["x1"] > F.col("x0")))
+    return seen.withColumn("next_y0", F.array_min(F.transform(below, lambda b: b["y0"]))).drop("__boxes")
+
+
 #: Regions belong to a paragraph if the gap is below this share of the height and heights differ by no more than that.
 GAP_SHARE, HEIGHT_SHARE = 0.6, 0.6
 

@@ -20,10 +20,14 @@ BOOLEAN_QUERY = "the AND (copyright OR license)"
 # --- searching ----------------------------------------------------------------------------------------------------
 
 
-@query("""
+#: The flagship's SQL.
+flagship_sql = """
 SELECT doc_id, source, substr(split_part(text, chr(10), 1), 1, 80) AS snippet FROM documents
 WHERE contains(lower(text), 'the') AND (contains(lower(text), 'copyright') OR contains(lower(text), 'license'))
-""")
+"""
+
+
+@query(flagship_sql)
 def search_boolean(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumnRenamed("text", "full_text")
     found = search.search(docs, BOOLEAN_QUERY, ["full_text"])
@@ -849,7 +853,7 @@ b AS (SELECT conv_id AS doc_id, turn // 4 AS page_index, turn AS block_index, te
 """
 
 
-def _page_blocks(spark, sf_dir) -> DataFrame:
+def page_blocks_of_turns(spark, sf_dir) -> DataFrame:
     turns, turn = table(spark, sf_dir, "conversations"), F.col("turn")
     y0 = 20.0 + (turn % 4) * 190
     return turns.select(
@@ -869,7 +873,7 @@ SELECT doc_id, count(*) FILTER (WHERE translatable AND trim(sent) <> '') AS tran
        CAST(coalesce(sum(length(sent)) FILTER (WHERE translatable), 0) AS BIGINT) AS chars_sent, count(*) FILTER (WHERE translatable AND marked) AS records FROM s GROUP BY doc_id
 """)
 def page_translation(spark, sf_dir):
-    done = pipelines.translate_pages(_page_blocks(spark, sf_dir), "upper", "DE")
+    done = pipelines.translate_pages(page_blocks_of_turns(spark, sf_dir), "upper", "DE")
     records = pipelines.block_records(done).groupBy("doc_id").agg(F.count(F.lit(1)).alias("records"))
     stats = pipelines.page_stats(done).select("doc_id", "translated", "skipped", "failed", "chars_sent")
     return stats.join(records, "doc_id", "left").fillna(0, ["records"])
@@ -893,7 +897,7 @@ h AS (SELECT *, unnest([CASE WHEN final_y1 > y1 + 0.5 AND next_y0 IS NOT NULL AN
 SELECT doc_id, block_index, kind, CAST(round(final_y1, 6) AS DOUBLE) AS final_y1, CAST(final_font AS DOUBLE) AS final_font FROM h WHERE kind IS NOT NULL
 """)
 def growth_anomalies(spark, sf_dir):
-    fitted = fitting.fit_blocks(_page_blocks(spark, sf_dir), ["doc_id", "page_index"], "block_index", "text", "limit")
+    fitted = fitting.fit_blocks(page_blocks_of_turns(spark, sf_dir), ["doc_id", "page_index"], "block_index", "text", "limit")
     return fitting.growth_anomalies(fitted).select("doc_id", "block_index", "kind", F.round("final_y1", 6).alias("final_y1"), "final_font")
 
 
