@@ -105,11 +105,11 @@ def checked_folder(get: Callable[[str], dict], folder: str) -> dict:
 
 
 def client_of(name: str) -> Any:
-    """What the function named module:function returns."""
+    """What the function named module:function returns, given what follows a further colon, if anything does."""
     import importlib
 
-    module, function = name.split(":")
-    return getattr(importlib.import_module(module), function)()
+    module, function, *given = name.split(":", 2)
+    return getattr(importlib.import_module(module), function)(*given)
 
 
 def downloaded(entries: DataFrame, client: str, attempts: int = ATTEMPTS, first_wait: float = FIRST_WAIT) -> DataFrame:

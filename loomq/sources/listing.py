@@ -225,3 +225,35 @@ def changes(spark: SparkSession, client: str, feeds: Sequence[str]) -> DataFrame
 def first_entries(changed: DataFrame, late: str = "1 day") -> DataFrame:
     """Each entry once, as it first changed; one that comes again within the watermark is left out, and its state goes after."""
     return changed.filter("not trashed").withWatermark("at", late).dropDuplicatesWithinWatermark(["id"])
+
+
+# --- a listing without a server -----------------------------------------------------------------------------------
+
+
+class CatalogueClient:
+    """A Lister over a Parquet table of entries (id, parent_id, name, kind, trashed, modified), such as a saved listing.
+
+    The table's own filters find a folder's entries, so other folders' rows aren't read where it is sorted by folder.
+    """
+
+    def __init__(self, path: str):
+        self.path, self._folder, self._rows = path.removeprefix("file:"), None, []
+
+    def page(self, folder: str, where: dict[str, Any], token: str | None, size: int) -> tuple[list[dict], str | None]:
+        key = (folder, repr(sorted(where.items())))
+        if self._folder != key:  # the pages of a folder are asked for one after the other
+            import pyarrow.dataset as ds
+
+            wanted = ds.field("parent_id") == folder
+            for name, column in (("kinds", "kind"), ("trashed", "trashed"), ("since", "modified")):
+                if name in where:
+                    own = ds.field(column)
+                    wanted &= own.isin(where[name]) if name == "kinds" else own == where[name] if name == "trashed" else own >= where[name]
+            self._folder, self._rows = key, ds.dataset(self.path, format="parquet").to_table(filter=wanted).sort_by("id").to_pylist()
+        first = int(token or 0)
+        return self._rows[first : first + size], str(first + size) if first + size < len(self._rows) else None
+
+
+def catalogue_client(path: str) -> str:
+    """The client's name for a saved listing, as listing() takes it."""
+    return f"loomq.sources.listing:CatalogueClient:{path}"

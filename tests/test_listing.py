@@ -169,3 +169,20 @@ def test_a_feed_that_stalls():
             list(reader.read(listing._Span("a", "1", "2")))
     finally:
         listing.client_of = original
+
+
+def test_saved_listing(spark, tmp_path):
+    """A saved listing serves pages of a folder, filtered, in the order of ids."""
+    rows = [(f"{p}{i}", p, f"n{i}", "pdf" if i % 2 else "folder", i % 3 == 0, datetime.date(2026, 1, 1 + i)) for p in "ab" for i in range(9)]
+    spark.createDataFrame(rows, listing.ENTRY).write.parquet(str(tmp_path / "saved"))
+    client = listing.CatalogueClient(str(tmp_path / "saved"))
+    where, found, token = {"kinds": ["pdf"], "trashed": False, "since": datetime.date(2026, 1, 2)}, [], None
+    while True:
+        entries, token = client.page("a", where, token, 2)
+        found.append([e["id"] for e in entries])
+        if token is None:
+            break
+    assert found == [["a1", "a5"], ["a7"]]
+    assert len(client.page("b", {}, None, 100)[0]) == 9 and client.page("c", {}, None, 5) == ([], None)
+    found = listing.listing(spark, listing.catalogue_client(str(tmp_path / "saved")), ["b"]).filter("kind = 'pdf'")
+    assert ids(found) == ["b1", "b3", "b5", "b7"]
