@@ -17,11 +17,11 @@ ZONE_SHARE, PAGE_SHARE = 0.15, 0.6
 COLUMN_SPREAD = 50.0
 
 
-def repeated_keys(blocks: DataFrame, pages: DataFrame, zone: float = ZONE_SHARE, share: float = PAGE_SHARE, hashed: bool = False) -> DataFrame:
+def repeated_keys(blocks: DataFrame, pages: DataFrame, zone: float = ZONE_SHARE, share: float | Column = PAGE_SHARE, hashed: bool = False) -> DataFrame:
     """doc_id, zone (header or footer), key and bbox columns of the texts and places that repeat near the pages' edges.
 
     blocks: doc_id, page_index, x0..y1, text. A block near the top is no footer candidate. Its keys are its text without
-    numbers and case, and its box in steps of two points. With hashed the keys are their 64-bit hashes, which move less.
+    numbers and case, and its box in steps of two points. share is of a document's pages (n_pages). With hashed the keys are their 64-bit hashes, which move less.
     """
     counts = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pages"))
     least = F.greatest(F.lit(1), F.bround(F.lit(share) * F.col("n_pages")))

@@ -453,8 +453,7 @@ def repetition_keys(spark, sf_dir):
     # A source is a document, its texts pages whose lines are blocks at the top, those of a page at a place of its own.
     blocks = lines.select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page_index"), F.lit(0.0).alias("x0"), F.lit(10.0).alias("y0"), (F.col("doc_id") * 4.0 + 2).alias("x1"), F.lit(20.0).alias("y1"), F.col("line").alias("text"))
     pages = docs.select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page_index"), F.lit(500.0).alias("height"))
-    n = pages.groupBy("doc_id").count().agg(F.max("count")).first()[0] or 1
-    found = layout.repeated_keys(blocks, pages, share=2 / n)
+    found = layout.repeated_keys(blocks, pages, share=2.0 / F.col("n_pages"))  # two pages of each
     return found.filter(F.col("key").startswith("text:")).select(F.col("doc_id").alias("source"), "key", "on_pages")
 
 
