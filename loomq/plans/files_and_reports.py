@@ -9,7 +9,7 @@ from loomq.functions.markup import dominant
 from loomq.operators import answers, cost, layout, manifest, pipelines, translate
 from loomq.plans.registry import query
 from loomq.session import shared_folder, table
-from loomq.sources import listing, sinks
+from loomq.sources import listing, reports, sinks
 from loomq.sources.files import remote_date
 
 
@@ -182,3 +182,30 @@ def comparison_reports(spark, sf_dir):
     )
     entries = translate.compare_providers(translate.reading_order(blocks), ["upper"], "DE", "place")
     return sinks.comparison_report(entries, ["upper"], ["page_index", "y0", "doc_id"])
+
+
+@query("""
+WITH c AS (SELECT conv_id AS group_id, turn AS idx, 'turn ' || turn AS name, CASE WHEN turn % 7 = 6 THEN 'unreadable' END AS error, role, CAST(length(text) // 200 AS VARCHAR) AS size FROM conversations),
+v AS (SELECT group_id, idx, name, error, CASE WHEN error IS NULL THEN role ELSE '-' END AS role, CASE WHEN error IS NULL THEN size ELSE '-' END AS size FROM c),
+d AS (SELECT group_id, count(DISTINCT role) FILTER (WHERE error IS NULL) > 1 AS roles, count(DISTINCT size) FILTER (WHERE error IS NULL) > 1 AS sizes, count(error) > 0 AS bad FROM v GROUP BY 1)
+SELECT group_id, '<table>' || chr(10) || '<tr><th></th>' || string_agg('<th>' || name || '</th>', '' ORDER BY idx) || '</tr>' || chr(10) ||
+  CASE WHEN any_value(bad) THEN '<tr><th>error</th>' || string_agg('<td>' || coalesce(error, '-') || '</td>', '' ORDER BY idx) || '</tr>' || chr(10) ELSE '' END ||
+  '<tr><th>role</th>' || string_agg(CASE WHEN roles THEN '<td class=''differs''>' ELSE '<td>' END || role || '</td>', '' ORDER BY idx) || '</tr>' || chr(10) ||
+  '<tr><th>size</th>' || string_agg(CASE WHEN sizes THEN '<td class=''differs''>' ELSE '<td>' END || size || '</td>', '' ORDER BY idx) || '</tr>' || chr(10) || '</table>' AS table_html
+FROM v JOIN d USING (group_id) GROUP BY group_id
+""")
+def candidate_tables(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("group_id"), F.col("turn").alias("idx"), F.concat(F.lit("turn "), F.col("turn").cast("string")).alias("name"), F.when(F.col("turn") % 7 == 6, "unreadable").alias("error"),
+        "role", F.floor(F.length("text") / 200).alias("size"),
+    )
+    return reports.candidate_tables(turns, {"role": "role", "size": "size"}).select("group_id", F.col("table").alias("table_html"))
+
+
+@query("""
+WITH n AS (SELECT s_name, (row_number() OVER (ORDER BY s_name) - 1) // 30 AS page FROM supplier)
+SELECT CAST(page AS INTEGER) AS page, 'index-' || page || '.html' AS name, string_agg('<li><a href=''' || s_name || '''>' || s_name || '</a></li>', chr(10) ORDER BY s_name) AS links FROM n GROUP BY page
+""")
+def report_index(spark, sf_dir):
+    pages = reports.index_pages(table(spark, sf_dir, "supplier"), ["s_name"], "s_name", links=30)
+    return pages.select("page", "name", F.regexp_extract("content", r"(?s)<ul>\n(.*)\n</ul>", 1).alias("links"))
