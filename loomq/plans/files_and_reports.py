@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomq.functions import ordering, text
+from loomq.functions import dates, ordering, text
 from loomq.functions.markup import dominant
-from loomq.operators import answers, cost, layout, manifest, pipelines, translate
+from loomq.operators import answers, cost, layout, manifest, pipelines, regions, translate
 from loomq.plans.registry import query
 from loomq.session import shared_folder, table
 from loomq.sources import listing, reports, sinks
@@ -209,3 +209,55 @@ SELECT CAST(page AS INTEGER) AS page, 'index-' || page || '.html' AS name, strin
 def report_index(spark, sf_dir):
     pages = reports.index_pages(table(spark, sf_dir, "supplier"), ["s_name"], "s_name", links=30)
     return pages.select("page", "name", F.regexp_extract("content", r"(?s)<ul>\n(.*)\n</ul>", 1).alias("links"))
+
+
+# Frequent words of the texts are turned into dates of every format, some of them of days that don't exist.
+_MARKS = {" the ": " 2024-2-29 or 2023-2-29 ", " de ": " 13/7/2021, 7/13/2021 and 31/31/2021 ", " und ": " 31.12.99 (31.11.2020) ", " of ": " March 3, 2020 or february 30 2020 ", " la ": " 4 July 2019 "}
+_COMPOSED = "text"
+for _word, _date in _MARKS.items():
+    _COMPOSED = f"replace({_COMPOSED}, '{_word}', '{_date}')"
+_MONTHS = "january|february|march|april|may|june|july|august|september|october|november|december"
+
+
+@query(rf"""
+WITH t AS (SELECT doc_id, {_COMPOSED} AS t FROM documents),
+f AS (SELECT doc_id,
+  list_transform(regexp_extract_all(t, '\b\d{{4}}-\d{{1,2}}-\d{{1,2}}\b'), lambda x: CAST(try_strptime(x, '%Y-%m-%d') AS DATE)) AS iso,
+  list_transform(regexp_extract_all(t, '\b\d{{1,2}}\.\d{{1,2}}\.\d{{2,4}}\b'), lambda x: CAST(try_strptime(CASE WHEN len(string_split(x, '.')[3]) = 2 THEN
+    string_split(x, '.')[1] || '.' || string_split(x, '.')[2] || '.20' || string_split(x, '.')[3] ELSE string_split(x, '.')[1] || '.' || string_split(x, '.')[2] || '.' || lpad(string_split(x, '.')[3], 4, '0') END, '%d.%m.%Y') AS DATE)) AS german,
+  list_transform(regexp_extract_all(t, '\b\d{{1,2}}/\d{{1,2}}/\d{{4}}\b'), lambda x: CAST(coalesce(try_strptime(x, '%d/%m/%Y'), try_strptime(x, '%m/%d/%Y')) AS DATE)) AS slash,
+  list_transform(regexp_extract_all(t, '(?i)\b(?:(?:{_MONTHS})\s+\d{{1,2}},?\s+\d{{4}}|\d{{1,2}}\s+(?:{_MONTHS})\s+\d{{4}})\b'), lambda x:
+    CAST(coalesce(try_strptime(replace(x, ',', ''), '%B %d %Y'), try_strptime(x, '%d %B %Y')) AS DATE)) AS english FROM t),
+n AS (SELECT doc_id, list_filter(iso, lambda d: d IS NOT NULL) AS iso, list_filter(german, lambda d: d IS NOT NULL) AS german, list_filter(slash, lambda d: d IS NOT NULL) AS slash,
+  list_filter(english, lambda d: d IS NOT NULL) AS english FROM f)
+SELECT doc_id, CAST(len(iso) AS INTEGER) AS n_iso, CAST(len(german) AS INTEGER) AS n_german, CAST(len(slash) AS INTEGER) AS n_slash, CAST(len(english) AS INTEGER) AS n_english,
+  list_min(list_concat(list_concat(iso, german), list_concat(slash, english))) AS earliest, list_max(list_concat(list_concat(iso, german), list_concat(slash, english))) AS latest FROM n
+""")
+def dates_between_words(spark, sf_dir):
+    composed = F.col("text")
+    for word, date in _MARKS.items():
+        composed = F.replace(composed, F.lit(word), F.lit(date))
+    docs = table(spark, sf_dir, "documents").select("doc_id", composed.alias("t"))
+    found = {f"n_{f}": F.size(dates.find_dates(F.col("t"), [f])) for f in dates.FORMATS}
+    every = dates.find_dates(F.col("t"))
+    return docs.select("doc_id", *[c.alias(n) for n, c in zip(("n_iso", "n_german", "n_slash", "n_english"), (found[f"n_{f}"] for f in (dates.ISO, dates.GERMAN, dates.SLASH, dates.ENGLISH)))], F.array_min(every).alias("earliest"), F.array_max(every).alias("latest"))
+
+
+# A turn is a recognised paragraph: its words in boxes, ornaments among them.
+@query(r"""
+WITH w AS (SELECT conv_id, turn, length(text) AS n, list_transform(string_split(replace(text, '.', ' ®'), ' '), lambda x, i: {'t': x, 'h': 8 + i % 3}) AS ws FROM conversations),
+k AS (SELECT conv_id, turn, n, list_filter(ws, lambda s: s.t <> '' AND NOT regexp_full_match(s.t, '[©®™~\\|*•§¶†‡°@()\[\]{}_‘’“”".,]*')) AS ws FROM w)
+SELECT conv_id, turn, array_to_string(list_transform(ws, lambda s: s.t), ' ') AS text, CAST(turn * 10 AS INTEGER) AS x, CAST(conv_id % 50 AS INTEGER) AS y, CAST(n % 300 + 5 AS INTEGER) AS width, 20 AS height,
+  CAST((turn % 10) * 10 AS DOUBLE) AS confidence, CAST(round_even(list_avg(list_transform(ws, lambda s: s.h)), 0) AS INTEGER) AS line_height FROM k WHERE len(ws) > 0
+""")
+def annotated_regions(spark, sf_dir):
+    def box(x0, y0, x1, y1):
+        return F.array(*[F.struct(x.cast("int").alias("x"), y.cast("int").alias("y")) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))])
+
+    turn, left, top = F.col("turn"), F.col("turn") * 10, F.col("conv_id") % 50
+    words = F.transform(F.split(F.replace("text", F.lit("."), F.lit(" ®")), " "), lambda w, i: F.struct(box(i * 7, i, i * 7 + 6, i + 8 + (i + 1) % 3).alias("box"), F.split(w, "").alias("symbols")))
+    turns = table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.struct(box(left, top, left + F.length("text") % 300 + 5, top + 20).alias("box"), (turn % 10 / 10).alias("confidence"), words.alias("words")).alias("paragraph"),
+    )
+    found = turns.select("conv_id", "turn", regions.annotated_paragraph(F.col("paragraph")).alias("r")).filter("r is not null")
+    return found.select("conv_id", "turn", "r.text", *[F.col(f"r.{c}").cast("int").alias(c) for c in ("x", "y", "width", "height")], F.round("r.confidence", 6).alias("confidence"), F.col("r.line_height").cast("int").alias("line_height"))
