@@ -296,7 +296,7 @@ box AS (SELECT p_partkey // 40 AS image, p_partkey % 40 AS idx, 'r' || CAST(p_pa
 """
 
 
-def _boxes(spark, sf_dir) -> DataFrame:
+def boxes_of_parts(spark, sf_dir) -> DataFrame:
     k = F.col("p_partkey")
     columns = {
         "image": F.floor(k / 40), "idx": k % 40, "text": F.concat(F.lit("r"), k.cast("string")), "x": (k * 37) % 400, "y": (k * 53) % 900, "width": 40 + (k * 7) % 160,
@@ -311,7 +311,7 @@ WITH {_BOXES}, p AS (SELECT a.image, a.idx, b.idx AS next_order, b.y - a.y - a.h
 SELECT image, idx, next_order, gap FROM p QUALIFY row_number() OVER (PARTITION BY image, idx ORDER BY gap, next_order) = 1
 """)
 def nearest_below(spark, sf_dir):
-    return geometry.nearest_below(_boxes(spark, sf_dir), ["image"], "idx")
+    return geometry.nearest_below(boxes_of_parts(spark, sf_dir), ["image"], "idx")
 
 
 @query(f"""
@@ -325,7 +325,7 @@ SELECT b.image, c.head AS chain, min(b.x) AS x, min(b.y) AS y, max(b.x + b.width
        count(*) AS members, string_agg(b.text, ' ' ORDER BY b.y, b.idx) AS text FROM box b JOIN chain c ON c.image = b.image AND c.idx = b.idx GROUP BY 1, 2
 """)
 def paragraph_merge(spark, sf_dir):
-    chained = regions.paragraph_chains(_boxes(spark, sf_dir), ["image"], "idx")
+    chained = regions.paragraph_chains(boxes_of_parts(spark, sf_dir), ["image"], "idx")
     return regions.merged_regions(chained, ["image"]).drop("line_height")
 
 
@@ -345,7 +345,7 @@ room AS (SELECT image, idx, CAST(greatest(least(CASE WHEN below IS NULL THEN 4.0
 
 @query(f"WITH {_BOXES}, {_ROOMS} SELECT * FROM room")
 def rooms(spark, sf_dir):
-    sized = _boxes(spark, sf_dir).withColumn("w", F.lit(600)).withColumn("h", F.lit(1000))
+    sized = boxes_of_parts(spark, sf_dir).withColumn("w", F.lit(600)).withColumn("h", F.lit(1000))
     return geometry.rooms(sized, ["image"], "idx", "w", "h")
 
 
@@ -364,7 +364,7 @@ SELECT r.image, r.idx, CASE WHEN f.e >= 0 THEN CAST(trunc(x - (f.e - least(f.e,
 """)
 def region_growth(spark, sf_dir):
     n = (1 + (F.col("image") * 7 + F.col("idx") * 5) % 40).cast("int")
-    sized = _boxes(spark, sf_dir).withColumn("text", F.trim(F.repeat(F.lit("ab "), n))).withColumns({"w": F.lit(600), "h": F.lit(1000), "line_height": F.lit(None).cast("int")})
+    sized = boxes_of_parts(spark, sf_dir).withColumn("text", F.trim(F.repeat(F.lit("ab "), n))).withColumns({"w": F.lit(600), "h": F.lit(1000), "line_height": F.lit(None).cast("int")})
     grown = fitting.grow_regions(sized, ["image"], "idx", "text", "w", "h")
     return grown.select("image", "idx", *[F.col(f"render_box.{c}").alias(f"g{c[0]}") for c in ("x", "y", "width", "height")])
 
@@ -375,7 +375,7 @@ SELECT b.image, b.idx, CASE WHEN NOT translatable THEN 'layout' WHEN confidence
 FROM box b LEFT JOIN m ON m.image = b.image
 """)
 def region_eligibility(spark, sf_dir):
-    judged = regions.eligibility(_boxes(spark, sf_dir).withColumn("line_height", F.lit(None).cast("long")), ["image"], ratio=1.2)
+    judged = regions.eligibility(boxes_of_parts(spark, sf_dir).withColumn("line_height", F.lit(None).cast("long")), ["image"], ratio=1.2)
     return judged.select("image", "idx", "reason")
 
 
@@ -385,7 +385,7 @@ WITH {_BOXES}, area AS (SELECT p_partkey // 40 AS image, p_partkey % 40 AS block
 SELECT b.image, b.idx, a.block FROM box b JOIN area a ON a.image = b.image AND b.x + b.width / 2.0 BETWEEN a.x0 AND a.x1 AND b.y + b.height / 2.0 BETWEEN a.y0 AND a.y1
 """)
 def containment_join(spark, sf_dir):
-    lines = _boxes(spark, sf_dir).select("image", "idx", F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + F.col("width")).alias("x1"), (F.col("y") + F.col("height")).alias("y1"))
+    lines = boxes_of_parts(spark, sf_dir).select("image", "idx", F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + F.col("width")).alias("x1"), (F.col("y") + F.col("height")).alias("y1"))
     k = F.col("p_partkey")
     areas = table(spark, sf_dir, "part").filter(k % 40 < 4).select(F.floor(k / 40).alias("image"), (k % 40).alias("block"), ((k * 17) % 300).alias("x0"), ((k * 29) % 700).alias("y0"), ((k * 17) % 300 + 150).alias("x1"), ((k * 29) % 700 + 120).alias("y1"))
     return geometry.centre_inside(lines, areas, ["image"]).select("a.image", "a.idx", "b.block")
@@ -397,7 +397,7 @@ WITH {_BOXES}, link AS (SELECT p_partkey // 40 AS image, (p_partkey * 19) % 350
 SELECT image, idx FROM box b WHERE EXISTS (SELECT 1 FROM link l WHERE l.image = b.image AND least(b.x + b.width, l.x1) - greatest(b.x, l.x0) > 1 AND least(b.y + b.height, l.y1) - greatest(b.y, l.y0) > 1)
 """)
 def link_overlap(spark, sf_dir):
-    lines = _boxes(spark, sf_dir).select("image", "idx", F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + F.col("width")).alias("x1"), (F.col("y") + F.col("height")).alias("y1"))
+    lines = boxes_of_parts(spark, sf_dir).select("image", "idx", F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + F.col("width")).alias("x1"), (F.col("y") + F.col("height")).alias("y1"))
     k = F.col("p_partkey")
     links = table(spark, sf_dir, "part").filter(k % 40 < 3).select(F.floor(k / 40).alias("image"), ((k * 19) % 350).alias("x0"), ((k * 31) % 800).alias("y0"), ((k * 19) % 350 + 60).alias("x1"), ((k * 31) % 800 + 12).alias("y1"))
     return geometry.touching(lines, links, ["image"]).select("image", "idx")
@@ -752,7 +752,7 @@ def budget_fold(spark, sf_dir):
 
 @query(f"WITH {_BOXES} SELECT image, CAST(sum(length(text)) AS BIGINT) AS characters FROM box WHERE confidence >= 40 GROUP BY image")
 def image_dry_run(spark, sf_dir):
-    return regions.dry_run_characters(_boxes(spark, sf_dir), ["image"])
+    return regions.dry_run_characters(boxes_of_parts(spark, sf_dir), ["image"])
 
 
 @query("""
@@ -828,7 +828,7 @@ SELECT b.image, count(*) AS regions, count(*) - (SELECT coalesce(sum(n), 0) FROM
        0 AS failed, (SELECT coalesce(sum(chars), 0) FROM g WHERE g.image = b.image) AS chars_sent FROM box b GROUP BY b.image
 """)
 def image_translation(spark, sf_dir):
-    boxes = _boxes(spark, sf_dir).withColumn("line_height", F.lit(None).cast("long"))
+    boxes = boxes_of_parts(spark, sf_dir).withColumn("line_height", F.lit(None).cast("long"))
     return pipelines.translate_images(boxes, ["image"], "idx", "echo", "DE")[1]
 
 
@@ -965,7 +965,7 @@ band AS (SELECT p_partkey // 40 AS image, (p_partkey * 19) % 350 AS x0, (p_partk
 
 
 def _lines_and_bands(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    lines = _boxes(spark, sf_dir).select("image", "idx", "text", F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + F.col("width")).alias("x1"), (F.col("y") + F.col("height")).alias("y1"))
+    lines = boxes_of_parts(spark, sf_dir).select("image", "idx", "text", F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + F.col("width")).alias("x1"), (F.col("y") + F.col("height")).alias("y1"))
     k = F.col("p_partkey")
     bands = table(spark, sf_dir, "part").filter(k % 40 < 3).select(F.floor(k / 40).alias("image"), ((k * 19) % 350).alias("x0"), ((k * 31) % 800).alias("y0"), ((k * 19) % 350 + 60).alias("x1"), ((k * 31) % 800 + 12).alias("y1"))
     return lines, bands

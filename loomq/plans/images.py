@@ -1,11 +1,16 @@
-"""Queries over strokes and styles. Embeddings serve as scan lines: 64 values around a background of 0."""
+"""Queries over strokes, styles, fitting, and regions of recognised lines.
+
+Embeddings serve as scan lines: 64 values around a background of 0.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomq.operators import fitting, strokes
+from loomq.functions import text
+from loomq.operators import fitting, layout, regions, strokes
+from loomq.plans.catalogue import _BOXES, boxes_of_parts
 from loomq.plans.registry import query
 from loomq.session import table
 
@@ -107,3 +112,47 @@ def text_fits(spark, sf_dir):
     })
     fitted = fitting.fit_texts(boxes, "text", "high", "left", "right")
     return fitted.select("conv_id", "turn", "size", "n_lines", "x_offset", "fits")
+
+
+# Boxes are recognised lines; twelve layout blocks an image hold them by their centres, and are cut where heights differ much.
+@query(f"""
+WITH {_BOXES},
+z AS (SELECT p_partkey // 40 AS image, j, ['text', 'image', 'footer', 'table'][j % 4 + 1] AS label, j % 3 * 200 AS x0, j // 3 * 250 AS y0, j % 3 * 200 + 200 AS x1, j // 3 * 250 + 250 AS y1 FROM (SELECT p_partkey, p_partkey % 40 AS j FROM part) WHERE j < 12),
+m AS (SELECT z.*, b.idx, b.text, b.x AS lx, b.y AS ly, b.x + b.width AS rx, b.y + b.height AS ry, b.height AS h, b.confidence AS score FROM box b JOIN z ON z.image = b.image
+  AND b.x + b.width / 2.0 BETWEEN z.x0 AND z.x1 AND b.y + b.height / 2.0 BETWEEN z.y0 AND z.y1),
+f AS (SELECT *, lag(h) OVER (PARTITION BY image, j ORDER BY ly, lx, idx) AS before FROM m),
+r AS (SELECT *, sum(CASE WHEN before IS NOT NULL AND least(h, before) < 0.6 * greatest(h, before) THEN 1 ELSE 0 END) OVER (PARTITION BY image, j ORDER BY ly, lx, idx) AS run FROM f),
+n AS (SELECT *, max(run) OVER (PARTITION BY image, j) = 0 AS whole FROM r)
+SELECT image, j AS block_index, label, CAST(run AS BIGINT) AS run, string_agg(text, ' ' ORDER BY ly, lx, idx) AS text, CASE WHEN whole THEN any_value(x0) ELSE min(lx) END AS x, CASE WHEN whole THEN any_value(y0) ELSE min(ly) END AS y,
+  CASE WHEN whole THEN 200 ELSE max(rx) - min(lx) END AS width, CASE WHEN whole THEN 250 ELSE max(ry) - min(ly) END AS height, round(avg(score), 6) AS confidence, CAST(round_even(avg(h), 0) AS BIGINT) AS line_height,
+  label IN ('text', 'footer') AS translatable FROM n GROUP BY image, j, label, run, whole
+""")
+def block_regions(spark, sf_dir):
+    boxes = boxes_of_parts(spark, sf_dir)
+    lines = boxes.select(F.col("image").alias("doc_id"), F.col("idx").alias("line_index"), "text", (F.col("confidence") / 100).alias("score"), F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + F.col("width")).alias("x1"), (F.col("y") + F.col("height")).alias("y1"))
+    j = F.col("idx")
+    label = F.get(F.array(*map(F.lit, ("text", "image", "footer", "table"))), (j % 4).cast("int"))
+    corner = {"x0": j % 3 * 200, "y0": F.floor(j / 3) * 250}
+    blocks = boxes.filter(j < 12).select(F.col("image").alias("doc_id"), j.alias("block_index"), label.alias("label"), *[c.alias(n) for n, c in corner.items()], (corner["x0"] + 200).alias("x1"), (corner["y0"] + 250).alias("y1"))
+    found = regions.block_regions(lines, blocks).withColumnRenamed("doc_id", "image")
+    return found.select("image", "block_index", "label", "run", "text", *[F.col(c).cast("long").alias(c) for c in ("x", "y", "width", "height")], F.round("confidence", 6).alias("confidence"), "line_height", "translatable")
+
+
+# Every fourth line of a text is bold; blank lines part paragraphs, sentences and changes of boldness part lines.
+@query(r"""
+WITH l AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, ls FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+t AS (SELECT doc_id, i, ls[i] AS raw, trim(ls[i], ' ' || chr(9) || chr(13)) AS s, i % 4 = 2 AS bold FROM l),
+n AS (SELECT *, s <> '' AND bold AS is_bold, lead(s) OVER w AS follows, lead(s <> '' AND bold) OVER w AS next_bold FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+p AS (SELECT doc_id, i, CASE WHEN s = '' THEN chr(30) ELSE CASE WHEN bold THEN '<b>' ELSE '' END || replace(replace(replace(replace(replace(raw, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') || CASE WHEN bold THEN '</b>' ELSE '' END ||
+  CASE WHEN coalesce(follows, '') <> '' AND (next_bold <> is_bold OR (regexp_matches(s, '[.!?:]$') AND regexp_matches(follows, '^\p{Lu}'))) THEN '<br/>' ELSE '' END END AS part FROM n),
+d AS (SELECT doc_id, string_agg(part, '' ORDER BY i) AS whole FROM p GROUP BY doc_id)
+SELECT doc_id, CAST(len(list_filter(string_split(whole, chr(30)), lambda x: trim(x) <> '')) AS INTEGER) AS paragraphs,
+  md5(array_to_string(list_transform(list_filter(string_split(whole, chr(30)), lambda x: trim(x) <> ''), lambda x: '<p>' || x || '</p>'), '')) AS digest FROM d
+""")
+def spans_of_lines(spark, sf_dir):
+    no = F.lit(False)
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_index", "line"))
+    spans = F.array(F.struct(F.col("line").alias("text"), (F.col("line_index") % 4 == 1).alias("bold"), no.alias("italic"), no.alias("underline")))
+    joined = layout.text_spans(lines.select("doc_id", "line_index", spans.alias("spans")), ["doc_id"], "line_index")
+    html = text.spans_to_html(F.col("spans"))
+    return joined.select("doc_id", (F.size(F.split(html, "<p>")) - 1).alias("paragraphs"), F.md5(html.cast("binary")).alias("digest"))
