@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from loomq.functions import dates, ordering, text
 from loomq.functions.markup import dominant
-from loomq.operators import answers, cost, layout, manifest, pipelines, regions, translate
+from loomq.operators import answers, cost, layout, manifest, merge, pipelines, regions, translate
 from loomq.plans.registry import query
 from loomq.session import shared_folder, table
 from loomq.sources import listing, reports, sinks
-from loomq.sources.files import remote_date
+from loomq.sources.files import cached, remote_date
 
 
 # --- files and remote entries -------------------------------------------------------------------------------------
@@ -261,3 +261,46 @@ def annotated_regions(spark, sf_dir):
     )
     found = turns.select("conv_id", "turn", regions.annotated_paragraph(F.col("paragraph")).alias("r")).filter("r is not null")
     return found.select("conv_id", "turn", "r.text", *[F.col(f"r.{c}").cast("int").alias(c) for c in ("x", "y", "width", "height")], F.round("r.confidence", 6).alias("confidence"), F.col("r.line_height").cast("int").alias("line_height"))
+
+
+@query("""
+WITH f AS (SELECT s_suppkey AS id, 'Report ' || s_nationkey || '.pdf' AS name, substr(s_name, 1, 80) AS snippet, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS k FROM supplier)
+SELECT id, name, snippet, 'copies/' || CASE WHEN k = 1 THEN name ELSE replace(name, '.pdf', ' (' || k || ').pdf') END AS local_path FROM f
+""")
+def cached_files(spark, sf_dir):
+    found = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.format_string("Report %d.pdf", "s_nationkey").alias("name"), F.substring("s_name", 1, 80).alias("snippet"))
+    return cached(found, "copies/")
+
+
+# Five maps of edits, each with its own regions; an edit of null takes the text away, a missing one leaves it.
+@query("""
+SELECT p_partkey AS region, CASE WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 5 = 0 THEN upper(p_name) ELSE p_name END AS text,
+  CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE p_size END AS x, CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE p_size END AS y, CASE WHEN p_partkey % 11 = 0 THEN 30 ELSE 10 END AS width, CASE WHEN p_partkey % 13 = 0 THEN 40 ELSE 20 END AS height FROM part
+""")
+def replacement_edits(spark, sf_dir):
+    parts, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    records = parts.select(k.alias("region"), F.col("p_name").alias("text"), F.col("p_size").alias("x"), F.col("p_size").alias("y"), F.lit(10).alias("width"), F.lit(20).alias("height"))
+    given = {"text": ((k % 7 == 0) | (k % 5 == 0), F.when(k % 7 != 0, F.upper("p_name"))), "x": (k % 2 == 0, F.lit(1)), "y": (k % 3 == 0, F.lit(2)), "width": (k % 11 == 0, F.lit(30)), "height": (k % 13 == 0, F.lit(40))}
+    edits = parts.select(k.alias("region"), *[v.alias(c) for c, (_, v) in given.items()], *[has.alias(f"has_{c}") for c, (has, _) in given.items()])
+    return merge.apply_edits(records, edits.filter("has_text or has_x or has_y or has_width or has_height"), ["region"], list(given))
+
+
+@query(r"""
+WITH l AS (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents)
+SELECT source, count(*) AS units, count(*) FILTER (WHERE regexp_matches(line, '\p{L}') AND NOT regexp_matches(line, '(?i)^\s*(https?://|www\.|mailto:)')) AS translatable,
+  CAST(sum(CASE WHEN regexp_matches(line, '\p{L}') AND NOT regexp_matches(line, '(?i)^\s*(https?://|www\.|mailto:)') THEN length(line) ELSE 0 END) AS BIGINT) AS characters FROM l GROUP BY source
+""")
+def translatable_totals(spark, sf_dir):
+    lines = table(spark, sf_dir, "documents").select("source", F.explode(F.split("text", "\n")).alias("text"))
+    marked = lines.withColumn("t", text.has_words(F.col("text")))
+    counts = marked.groupBy("source").agg(F.count(F.lit(1)).alias("units"), F.count_if("t").alias("translatable"))
+    return counts.join(cost.characters(marked.withColumn("text", F.when(F.col("t"), F.col("text"))), ["source"]), "source")
+
+
+@query("""
+SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN lower(n_name) WHEN n_nationkey % 3 = 1 THEN r_name ELSE n_name END AS message FROM nation JOIN region ON n_regionkey = r_regionkey
+""")
+def messages(spark, sf_dir):
+    k = F.col("n_nationkey") % 3
+    named = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return named.select("n_nationkey", text.message(F.when(k == 0, F.lower("n_name")), F.when(k == 1, F.col("r_name")), F.col("n_name")).alias("message"))

@@ -177,3 +177,11 @@ class _PagedReader(DataSourceReader):
                 yield e["id"], partition.folder, e["name"], e["is_folder"], e.get("modified")
             if not token:
                 return
+
+
+def cached(found: DataFrame, folder: str, order: str = "id") -> DataFrame:
+    """Remote files that match (id, name, snippet) with local_path: each a name of its own in a folder for copies."""
+    from loomq.operators.merge import free_names
+
+    named = free_names(found, "name", order)
+    return named.select("id", "name", "snippet", F.concat(F.lit(folder.rstrip("/") + "/"), "destination").alias("local_path"))
