@@ -99,11 +99,11 @@ def first_fit(candidates: Column, fits: Callable[[Column], Column]) -> Column:
     return F.aggregate(rounds, start, halve, lambda s: s["high"])
 
 
-def grow_regions(regions: DataFrame, keys: Sequence[str], order: str, text: str, image_width: str, image_height: str) -> DataFrame:
+def grow_regions(regions: DataFrame, keys: Sequence[str], order: str, text: str, image_width: str, image_height: str, obstacles: DataFrame | None = None) -> DataFrame:
     """The regions with render_box: where a text fits at its first font size, null where it doesn't even in all the room.
 
     regions: x, y, width, height, line_height (null: the height), and render_box if some have one already, which stays.
-    Room is measured once, against every region as it is, so no order of growing matters. A region is widened in a few
+    Room is measured once, against every region and obstacle as it is, so no order of growing matters. A region is widened in a few
     steps, to the right first; the narrowest that fits in height counts, and that grows downwards first.
     """
     has_box = "render_box" in regions.columns
@@ -111,7 +111,7 @@ def grow_regions(regions: DataFrame, keys: Sequence[str], order: str, text: str,
     placed = regions.withColumn("__given", given).drop("render_box")
     sides = ("x", "y", "width", "height")
     drawn = placed.select(*keys, order, image_width, image_height, *[F.coalesce(F.col(f"__given.{c}"), F.col(c)).alias(c) for c in sides])
-    sized = placed.join(rooms(drawn, keys, order, image_width, image_height), [*keys, order])
+    sized = placed.join(rooms(drawn, keys, order, image_width, image_height, obstacles), [*keys, order])
     size = initial_font_size(F.coalesce(F.col("line_height"), F.col("height")))
     high = F.greatest(F.lit(1), F.floor(size * LINE_SPACING))
     more = F.col("room_left") + F.col("room_right")

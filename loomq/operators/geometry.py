@@ -107,18 +107,24 @@ def nearest_below(regions: DataFrame, keys: Sequence[str], order: str) -> DataFr
 MARGIN, FREE_HEIGHTS = 3, 4.0
 
 
-def rooms(regions: DataFrame, keys: Sequence[str], order: str, image_width: str, image_height: str) -> DataFrame:
+def rooms(regions: DataFrame, keys: Sequence[str], order: str, image_width: str, image_height: str, obstacles: DataFrame | None = None) -> DataFrame:
     """How far each region may grow: room_below, room_above, room_left and room_right, never negative.
 
-    Neighbours count on the two sides where they share some width or height. Without one there are four heights below
-    and above, up to the image's edge, and the way to the edge at the sides.
+    Neighbours, which are the other regions and the obstacles (keys, x, y, width, height), count on the two sides where
+    they share some width or height. Without one there are four heights below and above, up to the image's edge, and the
+    way to the edge at the sides.
     """
+    sides = ("x", "y", "width", "height")
+    near = regions.select(*keys, order, *sides)
+    if obstacles is not None:
+        near = near.unionByName(obstacles.select(*keys, *sides), allowMissingColumns=True)
+    other = ~F.col(f"a.{order}").eqNullSafe(F.col(f"b.{order}"))
     a, b = ({c: F.col(f"{t}.{c}") for c in ("x", "y", "width", "height")} for t in "ab")
     right, bottom = a["x"] + a["width"], a["y"] + a["height"]
     b_right, b_bottom = b["x"] + b["width"], b["y"] + b["height"]
     column = (b["x"] < right) & (b_right > a["x"])
     row = (b["y"] < bottom) & (b_bottom > a["y"])
-    met = regions.alias("a").join(regions.alias("b"), _same(keys) & (F.col(f"a.{order}") != F.col(f"b.{order}")) & (column | row), "left")
+    met = regions.alias("a").join(near.alias("b"), _same(keys) & other & (column | row), "left")
     kept = [F.col(f"a.{k}") for k in (*keys, order, "x", "y", "width", "height", image_width, image_height)]
     near = met.groupBy(*kept).agg(
         F.min(F.when(column & (b["y"] >= bottom), b["y"] - bottom)).alias("below"),

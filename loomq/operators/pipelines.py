@@ -113,6 +113,16 @@ def translate_images(
     return done.filter(F.col("status") == "translated"), stats
 
 
+def obstacle_regions(regions: DataFrame, chained: DataFrame, replacements: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """The recognised regions whose pixels stay: those that no replacement stands for.
+
+    chained: the regions that went into paragraphs, with their chain; replacements: the paragraphs that were translated.
+    A region of a paragraph that failed, or that wasn't eligible, still takes room from its neighbours.
+    """
+    gone = chained.join(replacements.select(*keys, "chain"), [*keys, "chain"], "left_semi").select(*keys, order)
+    return regions.join(gone, [*keys, order], "left_anti")
+
+
 # --- recognition engines ------------------------------------------------------------------------------------------
 
 

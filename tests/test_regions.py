@@ -101,3 +101,20 @@ def test_bands_and_next(spark):
     assert {r["id"]: r["highlighted"] for r in geometry.under_bands(blocks, bands, ["page"]).collect()} == {0: True, 1: False, 2: True}
     assert {r["id"]: r["y1"] for r in geometry.band_extent(blocks, bands, ["page"], "id").collect()} == {0: 14.0, 1: None, 2: 14.0}
     assert {r["id"]: r["next_y0"] for r in geometry.next_below(blocks, ["page"], "id").collect()} == {0: 30.0, 1: None, 2: None}
+
+
+def test_obstacles(spark):
+    """A region that wasn't replaced still takes room, from every side; one that was replaced doesn't count twice."""
+    from loomq.operators import geometry, pipelines
+
+    box = "image int, idx int, x int, y int, width int, height int"
+    rows = [(1, 0, 100, 100, 50, 20), (1, 1, 100, 140, 50, 20), (1, 2, 200, 100, 50, 20), (2, 0, 0, 0, 10, 10)]
+    regions = spark.createDataFrame(rows, box)
+    chained = regions.filter("idx < 2").withColumn("chain", F.lit(0)).filter("image = 1 or idx = 0")
+    drawn = spark.createDataFrame([(1, 0)], "image int, chain int")
+    left = pipelines.obstacle_regions(regions, chained, drawn, ["image"], "idx")
+    assert sorted((r["image"], r["idx"]) for r in left.collect()) == [(1, 2), (2, 0)]
+    sized = regions.filter("image = 1 and idx = 0").selectExpr("*", "400 AS w", "400 AS h")
+    free = geometry.rooms(sized, ["image"], "idx", "w", "h").first()
+    beside = geometry.rooms(sized, ["image"], "idx", "w", "h", left).first()
+    assert free["room_right"] == 247.0 and beside["room_right"] == 47.0 and beside["room_below"] == free["room_below"]
