@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomq.llm.common import documents_of, hold, record_batch
@@ -151,6 +151,15 @@ def _block_texts(rows: pa.Table) -> tuple[pa.Table, list[bytes]]:
     return rows, [x or b"" for x in rows.column("text").cast(pa.binary()).to_pylist()]
 
 
+def block_of(blocks: int) -> Column:
+    """The block of a row: by its id, its text, and the partition that it is read in.
+
+    However many rows are equal, no block gets more of them than a partition has; and the rows of a partition are the
+    same whenever it is computed again, in whatever order.
+    """
+    return F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(blocks))
+
+
 def backoff_scores(
     df: DataFrame, order: int = ORDER, backoff: float = BACKOFF, least_count: int = LEAST_COUNT, id_col: str = "doc_id", text_col: str = "text",
     block_bytes: int = BLOCK_BYTES, partition_bytes: int = PARTITION_BYTES,
@@ -169,7 +178,7 @@ def backoff_scores(
     expose_package(df.sparkSession)
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks, parts, bits = max(1, -(-size // block_bytes)), max(1, -(-size // partition_bytes)), hash_bits(size, order)
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
+    dealt = docs.withColumn("block", block_of(blocks))
 
     def send(key: tuple, rows: pa.Table) -> pa.Table:
         _, place, grams = block_grams(_block_texts(rows)[1], order, bits)
@@ -210,6 +219,8 @@ def backoff_scores(
             _, inverse = np.unique(np.concatenate([g[i] for g, i in zip(grams, at)]), return_inverse=True)
             if len(inverse):
                 counts = np.concatenate(list(map(_unpacked, given[slice(*np.searchsorted(answered, (low, high)))])))
+                if len(counts) != int(inverse.max()) + 1:
+                    raise RuntimeError("a block's rows are others than those that were counted: the input changed between two reads")
                 ends = np.cumsum([0, *map(len, at)])
                 for total, i, a, b in zip(totals, at, ends, ends[1:]):
                     total[i] = counts[inverse[a:b]]

@@ -55,3 +55,13 @@ def test_partitions_are_ranges():
         assert (np.diff(part.astype(np.int64)) >= 0).all() and part.max() < parts
         for p, h in zip(part.tolist(), hashes.tolist()):
             assert b.first_of(p, parts, bits) <= h and (p + 1 == parts or h < b.first_of(p + 1, parts, bits))
+
+
+def test_equal_rows_fall_into_many_blocks(spark):
+    """Rows that are equal in id and text go by the partition they lie in, and the scores are those of all rows."""
+    df = spark.range(4000).selectExpr("IF(id % 10 = 0, id, 7) AS doc_id", "IF(id % 10 = 0, concat('w', id % 13, ' common words'), 'the same few words again') AS text").repartition(8)
+    blocks = df.filter("doc_id = 7").select(b.block_of(50).alias("block")).groupBy("block").count().collect()
+    assert len(blocks) >= 5 and max(r["count"] for r in blocks) < 1500
+    rows = [(r["doc_id"], r["text"]) for r in df.collect()]
+    got = sorted(((r["doc_id"], r["n_words"], r["n_backoffs"]) for r in b.backoff_scores(df, block_bytes=2_000, partition_bytes=9_000).collect()), key=str)
+    assert got == [x[:3] for x in brute(rows)]
