@@ -49,7 +49,7 @@ def monthly_usage(log: DataFrame, provider: str = "provider", at: str = "ts", am
 def estimates(usage: DataFrame, planned: DataFrame, prices: DataFrame, month: str) -> DataFrame:
     """provider, characters, used and estimate of planned characters given a month's usage."""
     own = usage.filter(F.col("month") == month).select("provider", F.col("characters").alias("used"))
-    joined = planned.join(F.broadcast(prices), "provider").join(own, "provider", "left")  # a price list of fixed size
+    joined = planned.join(prices, "provider").join(own, "provider", "left")
     value = cost(F.col("characters"), F.col("used"), F.col("free_tier"), F.col("cost_per_million"))
     return joined.select("provider", "characters", F.coalesce("used", F.lit(0)).alias("used"), value.alias("estimate"))
 
