@@ -158,3 +158,26 @@ def test_keep_one_whatever_the_splits(spark, tmp_path):
     finally:
         spark.conf.set(setting, before)
     assert found[0] == found[1] and sorted(classes[i][0] for i in found[0]) == sorted({c for c, _ in classes.values()})
+
+
+def test_alike_buckets_are_not_split(spark, monkeypatch):
+    """A group of near copies is linked where it is met first: only buckets whose sets differ go to further levels."""
+    r, n = np.random.default_rng(5), 300
+    base = r.integers(0, 1 << 32, j.TOKENS, np.uint64).astype(np.uint32)
+    own = r.integers(0, 1 << 32, (n, j.TOKENS), np.uint64).astype(np.uint32)
+    near = np.where(r.random((n, j.TOKENS)) < 0.95, base, own)
+    apart = r.integers(0, 1 << 32, (n, j.TOKENS), np.uint64).astype(np.uint32)
+    apart[:, 0] = 7  # one common shingle
+    rows = [(b"%s%03d" % (kind, i), x[i].tobytes()) for kind, x in ((b"n", near), (b"x", apart)) for i in range(n)]
+    split, paths = [], j._paths
+
+    def counted(rows, path, places):
+        if "path" in rows.columns:
+            split.append(sorted({bytes(k["set_key"]) for k in rows.select("set_key").collect()}))
+        return paths(rows, path, places)
+
+    monkeypatch.setattr(j, "_paths", counted)
+    sets = spark.createDataFrame(rows, "set_key binary, tokens binary")
+    found = {bytes(k["node"]): bytes(k["component"]) for k in j.components(j.candidate_edges(sets, j.THRESHOLD, j.RECALL, large=64)).collect()}
+    assert split == [[b"x%03d" % i for i in range(n)]]
+    assert len({found[b"n%03d" % i] for i in range(n)}) == 1 and not any(k.startswith(b"x") for k in found)
