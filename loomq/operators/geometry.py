@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,12 +44,36 @@ def touching(rows: DataFrame, marks: DataFrame, keys: Sequence[str], x: float =
     return rows.alias("a").join(marks.alias("b"), _same(keys) & overlaps("a", "b", x, y), "left_semi")
 
 
+def met_by(rows: DataFrame, marks: DataFrame, keys: Sequence[str], met: Callable[[Callable[[str], Column], Callable[[str], Column]], Column], name: str) -> DataFrame:
+    """Rows with a column that says whether some mark of equal keys meets them; met gets the columns of a row and a mark.
+
+    One existence join: what the rows come from is computed and moved once, however many marks meet a row.
+    """
+
+    def own(column: str) -> Column:
+        return F.col(f"a.{column}").outer()
+
+    def other(column: str) -> Column:
+        return F.col(f"b.{column}")
+
+    found = met(own, other)
+    for k in keys:
+        never_null = not (rows.schema[k].nullable or marks.schema[k].nullable)
+        found &= own(k) == other(k) if never_null else own(k).eqNullSafe(other(k))
+    return rows.alias("a").select("a.*", marks.alias("b").where(found).exists().alias(name))
+
+
+def on_height(own: Callable[[str], Column], other: Callable[[str], Column], y: float = 1.5) -> Column:
+    return F.least(own("y1"), other("y1")) - F.greatest(own("y0"), other("y0")) > y
+
+
+def on_both(own: Callable[[str], Column], other: Callable[[str], Column], x: float = 1.0, y: float = 1.0) -> Column:
+    return (F.least(own("x1"), other("x1")) - F.greatest(own("x0"), other("x0")) > x) & on_height(own, other, y)
+
+
 def under_bands(rows: DataFrame, bands: DataFrame, keys: Sequence[str], y: float = 1.5) -> DataFrame:
     """Rows with a column highlighted: some band overlaps them by more than y in height, wherever it is in width."""
-    height = F.least("a.y1", "b.y1") - F.greatest("a.y0", "b.y0")
-    found = rows.alias("a").join(bands.alias("b"), _same(keys) & (height > y), "left_semi").withColumn("highlighted", F.lit(True))
-    rest = rows.alias("a").join(bands.alias("b"), _same(keys) & (height > y), "left_anti").withColumn("highlighted", F.lit(False))
-    return found.unionByName(rest)
+    return met_by(rows, bands, keys, lambda a, b: on_height(a, b, y), "highlighted")
 
 
 def band_extent(blocks: DataFrame, bands: DataFrame, keys: Sequence[str], block_id: str, y: float = 1.5) -> DataFrame:

@@ -46,14 +46,19 @@ def zones(blocks: DataFrame, pages: DataFrame, zone: float = ZONE_SHARE, share:
     return keys.groupBy("doc_id", "zone").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count(F.lit(1)).alias("n_keys"))
 
 
+def in_zone(block: Callable[[str], Column], zone: Callable[[str], Column]) -> Column:
+    """Whether a block overlaps a zone, from functions that give the columns of both."""
+    return (block("x0") < zone("x1")) & (block("x1") > zone("x0")) & (block("y0") < zone("y1")) & (block("y1") > zone("y0"))
+
+
 def outside_zones(blocks: DataFrame, found: DataFrame) -> DataFrame:
     """Blocks that overlap no zone of their document."""
     a, b = blocks.alias("a"), found.alias("b")
-    met = (F.col("a.x0") < F.col("b.x1")) & (F.col("a.x1") > F.col("b.x0")) & (F.col("a.y0") < F.col("b.y1")) & (F.col("a.y1") > F.col("b.y0"))
+    met = in_zone(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}"))
     return a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & met, "left_anti")
 
 
-def column_groups(lines: DataFrame, keys: Sequence[str], order: str, spread: float = COLUMN_SPREAD) -> DataFrame:
+def column_groups(lines: DataFrame, keys: Sequence[str], order: str, spread: float = COLUMN_SPREAD, dealt_by: Sequence[str] | None = None) -> DataFrame:
     """The lines with column_group: a new group starts where the left edges would differ by more than the spread.
 
     Blank lines belong to the open group and don't count. The range starts anew with each group, which no window frame
@@ -75,7 +80,7 @@ def column_groups(lines: DataFrame, keys: Sequence[str], order: str, spread: flo
         return step
 
     edge = F.when(~blank(F.col("text")), F.col("x0").cast("double"))
-    return fold_rows(lines, keys, [order], [edge], block, "column_group bigint")
+    return fold_rows(lines, keys, [order], [edge], block, "column_group bigint", dealt_by)
 
 
 def metadata_lines(lines: DataFrame, keys: Sequence[str], order: str, anchors: Sequence[str]) -> DataFrame:

@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomq.functions.text import blank, stripped
-from loomq.operators.geometry import touching, under_bands
-from loomq.operators.layout import column_groups, metadata_lines, outside_zones, status_runs
+from loomq.operators.geometry import met_by, on_both, under_bands
+from loomq.operators.layout import column_groups, in_zone, metadata_lines, status_runs
 
 PAGE = ["doc_id", "page_index"]
 BLOCK = [*PAGE, "block_index"]
+#: A page's keys as one, in which null equals null: rows dealt by it once serve all joins and windows of pages and blocks.
+DEALT = "__page"
 
 
 def _joined(order: Sequence[str], text: str = "text", keep: Column | None = None, separator: str = "\n") -> Column:
@@ -27,8 +29,15 @@ def split_lines(lines: DataFrame, bands: DataFrame, links: DataFrame, anchors: S
     column_group, part (0 is the first page's metadata), highlighted with its run, is_link with its run. bands and
     links: doc_id, page_index, x0..y1.
     """
-    grouped = column_groups(lines, BLOCK, "line_index")
-    keys = [*BLOCK, "column_group"]
+    return _split_lines(lines, bands, links, anchors).drop(DEALT)
+
+
+def _split_lines(lines: DataFrame, bands: DataFrame, links: DataFrame, anchors: Sequence[str]) -> DataFrame:
+    """split_lines() with the column by which the rows are dealt."""
+    lines, bands, links = (x.withColumn(DEALT, F.struct(*PAGE)) for x in (lines, bands, links))
+    flagged = met_by(under_bands(lines, bands, [DEALT]), links, [DEALT], on_both, "is_link")
+    grouped = column_groups(flagged, BLOCK, "line_index", dealt_by=[DEALT]).repartition(DEALT)
+    keys = [DEALT, *BLOCK, "column_group"]
     if anchors:
         marked = metadata_lines(grouped, keys, "line_index", anchors)
         is_metadata = F.col("is_metadata") & (F.col("page_index") == 0)
@@ -36,10 +45,8 @@ def split_lines(lines: DataFrame, bands: DataFrame, links: DataFrame, anchors: S
     else:
         grouped = grouped.withColumn("part", F.lit(1))
     keys += ["part"]
-    lit = status_runs(under_bands(grouped, bands, PAGE), keys, "line_index", "highlighted").withColumnRenamed("run", "band_run")
-    linked = touching(lit, links, PAGE).select(*BLOCK, "line_index").withColumn("is_link", F.lit(True))
-    flagged = lit.join(linked, [*BLOCK, "line_index"], "left").withColumn("is_link", F.coalesce("is_link", F.lit(False)))
-    return status_runs(flagged, [*keys, "band_run"], "line_index", "is_link").withColumnRenamed("run", "link_run")
+    lit = status_runs(grouped, keys, "line_index", "highlighted").withColumnRenamed("run", "band_run")
+    return status_runs(lit, [*keys, "band_run"], "line_index", "is_link").withColumnRenamed("run", "link_run")
 
 
 def page_blocks(lines: DataFrame, bands: DataFrame, links: DataFrame, anchors: Sequence[str] = (), zones: DataFrame | None = None) -> DataFrame:
@@ -48,22 +55,20 @@ def page_blocks(lines: DataFrame, bands: DataFrame, links: DataFrame, anchors: S
     Links, metadata and what lies in a zone (doc_id, x0..y1) aren't translatable. insert_y0 is where a block whose first
     line is blank starts. place numbers a page's blocks in reading order.
     """
-    keys = [*BLOCK, "column_group", "part", "band_run", "link_run"]
+    keys = [DEALT, *BLOCK, "column_group", "part", "band_run", "link_run"]
     first = F.min(F.struct("line_index", "y0"))
     shown = F.min(F.when(~blank(F.col("text")), F.struct("line_index", "y0")))
-    made = split_lines(lines, bands, links, anchors).groupBy(*keys, "highlighted", "is_link").agg(
+    made = _split_lines(lines, bands, links, anchors).groupBy(*keys, "highlighted", "is_link").agg(
         stripped(_joined(["line_index"])).alias("text"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
         first.alias("f"), shown.alias("s"),
     )
     made = made.filter(F.col("text") != "").withColumn("insert_y0", F.when(F.col("s.line_index") != F.col("f.line_index"), F.col("s.y0"))).drop("f", "s")
     free = ~F.col("is_link") & (F.col("part") == 1)
+    w = Window.partitionBy(DEALT).orderBy("block_index", "column_group", "part", "band_run", "link_run")
+    out = made.withColumn("place", F.row_number().over(w)).drop(DEALT)
     if zones is None:
-        out = made.withColumn("translatable", free)
-    else:
-        outside = outside_zones(made, zones).select(*keys).withColumn("__outside", F.lit(True))
-        out = made.join(outside, keys, "left").withColumn("translatable", free & F.coalesce("__outside", F.lit(False))).drop("__outside")
-    w = Window.partitionBy(*PAGE).orderBy("block_index", "column_group", "part", "band_run", "link_run")
-    return out.withColumn("place", F.row_number().over(w))
+        return out.withColumn("translatable", free)
+    return met_by(out, zones, ["doc_id"], in_zone, "__inside").withColumn("translatable", free & ~F.col("__inside")).drop("__inside")
 
 
 def page_scopes(lines: DataFrame, bands: DataFrame, links: DataFrame, zones: DataFrame, anchors: Sequence[str]) -> DataFrame:

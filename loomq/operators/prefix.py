@@ -36,17 +36,18 @@ def places(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame
     return dealt.join(F.broadcast(starts), "__range").withColumn(name, (F.col("__start") + own).cast("long")).drop("__range", "__start")
 
 
-def fold_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], inputs: Sequence[Column], fold: Callable[[], Callable[..., tuple]], added: str) -> DataFrame:
+def fold_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], inputs: Sequence[Column], fold: Callable[[], Callable[..., tuple]], added: str, dealt_by: Sequence[str] | None = None) -> DataFrame:
     """The rows with added columns ("name type, …") that depend on the rows before them in a way no window frame can say.
 
     fold() gives a group's step, which takes a row's inputs and returns the added values. Rows are dealt by the keys and
     sorted outside of Python, which sees them in batches one after the other: the work is linear, a group of any size
-    needs the memory of its step only, and ties keep all their rows.
+    needs the memory of its step only, and ties keep all their rows. dealt_by names columns that are equal within a
+    group, where the rows lie together by these already.
     """
     expose_package(df.sparkSession)
     columns, names = df.columns, [f"__in{i}" for i in range(len(inputs))]
     ready = df.select("*", *[c.alias(n) for c, n in zip(inputs, names)])
-    dealt = ready.repartition(*keys) if keys else ready.repartition(1)
+    dealt = ready.repartition(*(dealt_by or keys)) if keys else ready.repartition(1)
     schema = df.limit(0).select("*", *[F.lit(None).cast(a.split(" ", 1)[1]).alias(a.split(" ", 1)[0]) for a in added.split(", ")]).schema
     fields = [a.split(" ", 1)[0] for a in added.split(", ")]
 

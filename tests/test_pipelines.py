@@ -96,6 +96,18 @@ def _line(block, n, y, text, x=10.0, page=0):
     return (1, page, block, n, x, float(y), x + 100, float(y + 10), text)
 
 
+def test_page_blocks_move_rows_once(spark):
+    """The lines go through Python once and are moved three times: by page, after the fold and by document for zones."""
+    box = "x0 double, y0 double, x1 double, y1 double"
+    lines = spark.createDataFrame([(None, 0, 0, 0, 1.0, 10.0, 9.0, 18.0, "a"), (None, 0, 0, 1, 1.0, 20.0, 9.0, 28.0, "b")], f"doc_id long, page_index int, block_index int, line_index int, {box}, text string")
+    marks = spark.createDataFrame([(None, 0, 0.0, 20.0, 9.0, 28.0)] * 2, f"doc_id long, page_index int, {box}")
+    zones = spark.createDataFrame([(None, 0.0, 0.0, 9.0, 15.0)], f"doc_id long, {box}")
+    found = pages.page_blocks(lines, marks, marks, zones=zones)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Exchange ") <= 6
+    assert [(r["text"], r["highlighted"], r["is_link"], r["translatable"]) for r in found.orderBy("place").collect()] == [("a", False, False, False), ("b", True, True, False)]
+
+
 def test_page_blocks(spark):
     lines = spark.createDataFrame([_line(0, 0, 5, "Letterhead"), _line(1, 0, 30, "Issuer Address: X"), _line(1, 1, 42, "street"), _line(1, 2, 54, ""), _line(1, 3, 66, "Title"), _line(1, 4, 78, "quoted"), _line(1, 5, 90, "linked"), _line(1, 6, 102, "right", 300.0), _line(2, 0, 130, " ")], LINE)
     bands = spark.createDataFrame([(1, 0, 0.0, 78.0, 500.0, 88.0)], MARK)
