@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import html
+import html.entities
+import re
 from collections.abc import Callable, Iterable, Sequence
 from functools import lru_cache
 
@@ -120,13 +122,28 @@ def restore_terms(text: Column, placeholders: Column) -> Column:
 # --- HTML and plain text -----------------------------------------------------------------------------------------
 
 
+#: The references that the queries on pages resolve, as their SQL does.
+PAGE_NAMES = ("copy", "middot", "quot", "amp")
+
+
 def _unescaped(column: pa.Array) -> pa.Array:
     return pa.array([None if x is None else html.unescape(x) for x in column.to_pylist()], pa.string())
 
 
-def unescape(text: Column) -> Column:
-    """Character references as characters, by HTML's own table, in Arrow batches."""
-    return F.arrow_udf(_unescaped, "string")(text)
+def _named(column: pa.Array, names: Sequence[str]) -> pa.Array:
+    reference = re.compile("&(" + "|".join(map(re.escape, names)) + ");")
+    return pa.array([None if x is None else reference.sub(lambda m: html.entities.html5[f"{m[1]};"], x) for x in column.to_pylist()], pa.string())
+
+
+def unescape(text: Column, names: Sequence[str] | None = None) -> Column:
+    """Character references as characters, by HTML's own table, in Arrow batches.
+
+    As browsers do, this takes some names without their semicolon too, even before further letters. With names only
+    these are resolved, and only where the semicolon is there.
+    """
+    if names is None:
+        return F.arrow_udf(_unescaped, "string")(text)
+    return F.arrow_udf(lambda column: _named(column, names), "string")(text)
 
 
 def escape(text: Column, quotes: bool = True) -> Column:
@@ -142,18 +159,18 @@ def without_tags(markup: Column) -> Column:
     return F.regexp_replace(text, r"<[^>]+>", "")
 
 
-def html_to_plain(markup: Column) -> Column:
-    return unescape(without_tags(markup))
+def html_to_plain(markup: Column, names: Sequence[str] | None = None) -> Column:
+    return unescape(without_tags(markup), names)
 
 
-def html_to_line(markup: Column) -> Column:
+def html_to_line(markup: Column, names: Sequence[str] | None = None) -> Column:
     """One line: tags count as spaces, character references are resolved, white space is collapsed."""
-    return collapsed(unescape(F.regexp_replace(markup, r"<[^>]+>", " ")))
+    return collapsed(unescape(F.regexp_replace(markup, r"<[^>]+>", " "), names))
 
 
-def html_preview(markup: Column, length: int = 80) -> Column:
+def html_preview(markup: Column, length: int = 80, names: Sequence[str] | None = None) -> Column:
     """The beginning of a paragraph's text on one line; tags leave no space behind."""
-    return F.substring(collapsed(unescape(F.regexp_replace(markup, r"<[^>]+>", ""))), 1, length)
+    return F.substring(collapsed(unescape(F.regexp_replace(markup, r"<[^>]+>", ""), names)), 1, length)
 
 
 def paragraphs(text: Column) -> Column:

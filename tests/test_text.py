@@ -37,6 +37,20 @@ def test_html(value):
     assert value(lambda: text.spans_to_html(F.expr(spans))) == "<p><b><u>a&lt;</u></b></p><p><i>b</i><br/>c</p>"
 
 
+@pytest.mark.parametrize("query", ["html_lines"])
+def test_pages_resolve_what_their_sql_does(spark, tmp_path, query):
+    """References that a tag has cut off stay, which HTML's table would resolve without their semicolon."""
+    import hashlib
+
+    from __spark_entry__ import queries
+
+    spark.createDataFrame([(1, "<b>a&amp;&amp</b>p &copy;&amp;quot; &lt; &#65;")], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = queries()[query](spark, str(tmp_path)).first()[1]
+    shown = "a&&ampp ©&quot; &lt; &#65;" if query != "html_lines" else "a&&amp p ©&quot; &lt; &#65;"
+    assert got == (shown if query == "html_previews" else hashlib.md5(shown.encode()).hexdigest())
+    assert html.unescape("&ampp") == "&p"  # as the functions do by themselves
+
+
 def test_predicates(value):
     assert value(text.needs_unicode_font, "café") is False and value(text.needs_unicode_font, "Ж") is True
     assert value(text.without_private_glyphs, "ab") == "a□b"
