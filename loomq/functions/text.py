@@ -70,20 +70,25 @@ def _ranges(chars: Iterable[str]) -> str:
 PLACEHOLDER = "§§{}§§"
 
 
-def term_pattern(terms: Sequence[str]) -> str | None:
-    """Whole words, longest first, in any case; None without terms."""
+def term_pattern(terms: Sequence[str], ascii_words: bool = False) -> str | None:
+    """Whole words, longest first, in any case; None without terms. With ascii_words other letters bound a word, too."""
     kept = sorted({t for t in terms if t}, key=lambda t: (-len(t), t))
     quoted = ["".join(c if c.isalnum() else f"\\x{{{ord(c):x}}}" for c in t) for t in kept]
-    return rf"(?iU)\b(?:{'|'.join(quoted)})\b" if kept else None
+    if not kept:
+        return None
+    if ascii_words:  # \b itself knows all letters
+        edge = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+        return rf"(?iu){edge}(?:{'|'.join(quoted)}){edge}"
+    return rf"(?iU)\b(?:{'|'.join(quoted)})\b"
 
 
 def _all_caps(word: Column) -> Column:
     return (word == F.upper(word)) & (word != F.lower(word))
 
 
-def protect_terms(text: Column, terms: Sequence[str]) -> Column:
+def protect_terms(text: Column, terms: Sequence[str], ascii_words: bool = False) -> Column:
     """struct(text, placeholders): occurrences in capitals are replaced by numbered placeholders, others stay."""
-    pattern = term_pattern(terms)
+    pattern = term_pattern(terms, ascii_words)
     none = F.expr("cast(map() as map<string,string>)")
     if pattern is None:
         return F.struct(text.alias("text"), F.when(text.isNotNull(), none).alias("placeholders"))

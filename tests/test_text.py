@@ -28,6 +28,16 @@ def test_protect_round_trip(value, source):
     assert value(both, source) == source
 
 
+def test_protect_caps_count_bounds_words_as_its_sql(spark, tmp_path):
+    """To the SQL a letter beyond ASCII bounds a word; to the function it doesn't, unless it is told so."""
+    from __spark_entry__ import queries
+
+    spark.createDataFrame([(1, "DES! DESÈOUM ÉDES DESX _DES des TOKEN")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert queries()["protect_caps_count"](spark, str(tmp_path)).first()["n_protected"] == 4
+    masked = spark.read.parquet(str(tmp_path / "documents.parquet")).select(text.protect_terms(F.col("text"), ["the", "Token", "DES"]).alias("m"))
+    assert masked.first()["m"]["placeholders"] == {"§§0§§": "DES", "§§1§§": "TOKEN"}
+
+
 def test_html(value):
     assert value(text.html_to_plain, "<p>a &amp; <b>b</b></p> <p>c<br/>d &lt;x&gt;</p>") == "a & b\n\nc\nd <x>"
     assert value(text.html_to_line, "<p>a</p><p>b &amp;\n c</p>") == "a b & c"
